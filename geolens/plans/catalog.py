@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geolens.plans import scalar_queries, table_queries
+from geolens.plans import scalar_queries, spatial_queries, table_queries
 from geolens.plans.views import Tables
 
-_GROUPS = (scalar_queries, table_queries)
+_GROUPS = (scalar_queries, table_queries, spatial_queries)
 FLAGSHIP = "game_score"
 
 

@@ -232,19 +232,20 @@ def point_difference(t: Tables) -> DataFrame:
     return tables.point_difference(t.coverage, moved)
 
 
-@query("SELECT DISTINCT lat, lon FROM (SELECT " + "round_even(lat, 0) AS lat, round_even(lon, 0) AS lon FROM @loc_points) x")
+@query("SELECT DISTINCT CAST(floor(lat / 2) AS DOUBLE) AS lat, CAST(floor(lon / 2) AS DOUBLE) AS lon FROM @loc_points")
 def distinct_points(t: Tables) -> DataFrame:
-    return tables.distinct_points(t.loc_points.select(F.rint("lat").alias("lat"), F.rint("lon").alias("lon")))
+    halves = [F.floor(F.col(c) / 2).cast("double").alias(c) for c in ("lat", "lon")]
+    return tables.distinct_points(t.loc_points.select(*halves))
 
 
 @query(
-    "WITH u AS (" + UNION_SQL + "), done AS (SELECT lat, lon FROM @loc_points WHERE point_id % 3 = 0 UNION ALL SELECT lat + 0.5@D, lon FROM @loc_points WHERE point_id % 5 = 1), "
+    "WITH u AS (" + UNION_SQL + "), done AS (SELECT lat, lon FROM @loc_points WHERE country_id < 8 UNION ALL SELECT lat + 0.5@D, lon FROM @loc_points WHERE country_id >= 20), "
     "open AS (SELECT lat, lon FROM u EXCEPT SELECT lat, lon FROM done), pick AS (SELECT lat, lon FROM open ORDER BY lat, lon LIMIT 2425) "
     "SELECT lat, lon, (row_number() OVER (ORDER BY lat, lon) - 1) // 25 AS batch FROM pick"
 )
 def collection_plan(t: Tables) -> DataFrame:
-    collected = t.loc_points.where("point_id % 3 = 0")
-    failed = t.loc_points.where("point_id % 5 = 1").withColumn("lat", F.col("lat") + 0.5)
+    collected = t.loc_points.where("country_id < 8")
+    failed = t.loc_points.where("country_id >= 20").withColumn("lat", F.col("lat") + 0.5)
     return tables.collection_plan(*point_lists(t), collected, failed, 9700 // 4)
 
 

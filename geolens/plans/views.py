@@ -43,6 +43,7 @@ VIEWS = {
     "min_x + (q % 2)*36.0@D AS min_x, min_y + (q @/ 2)*18.0@D AS min_y, "
     "min_x + (q % 2)*36.0@D + 36.0@D AS max_x, min_y + (q @/ 2)*18.0@D + 18.0@D AS max_y "
     "FROM @boxes, @quarters",
+    "kites": "SELECT point_id, country_id, lat, lon, 2.0@D + point_id % 5 AS r FROM @loc_points",
     "point_cells": "SELECT point_id, country_id AS cell_id, lat, lon FROM @loc_points",
     "coverage": "SELECT point_id AS cov_id, CASE point_id % 3 WHEN 0 THEN lat + 0.0003@D ELSE lat + 0.01@D END AS lat, "
     "lon FROM @loc_points",
@@ -69,7 +70,7 @@ VIEWS = {
     # a climate raster of 5 degree pixels whose values come from the points inside
     "raster": "SELECT CAST(floor((90.0@D-lat)/5.0@D) AS INT) AS row, CAST(floor((lon+180.0@D)/5.0@D) AS INT) AS col, "
     "CAST(count(*) % 33 AS INT) AS value FROM @loc_points "
-    "WHERE point_id % 2 = 0 GROUP BY 1, 2",
+    "WHERE lat < 40 GROUP BY 1, 2",
 }
 
 _NAME = re.compile(r"@([a-z_0-9]+)")
