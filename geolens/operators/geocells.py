@@ -291,7 +291,7 @@ def density_clusters(
     spots = points.groupBy("cell_id", "lat", "lon").agg(
         F.count(F.lit(1)).alias("n"), F.min("point_id").alias("pid")
     )
-    spots = salted_join(spots, reach, ["cell_id"], spread_by=["lat", "lon"])
+    spots = spots.join(reach, "cell_id")
     spots = spots.withColumn("eps", F.greatest("eps", F.lit(1e-9)))
     spots = spots.withColumn("s", F.col("eps") * (0.5**0.5 * (1.0 - 1e-9)))
     spots = spots.withColumns({"g0": square(F.col("lat"), F.col("s")), "g1": square(F.col("lon"), F.col("s"))})
@@ -300,7 +300,7 @@ def density_clusters(
     squares = spots.groupBy(*home).agg(F.sum("n").alias("square_n"), F.min("pid").alias("node"))
     squares = cut_lineage(squares)
     dense = squares.where(F.col("square_n") >= min_points)
-    marked = salted_join(spots, squares, home, spread_by=["lat", "lon"])
+    marked = cut_lineage(salted_join(spots, squares, home, spread_by=["lat", "lon"]))
     is_dense = F.col("square_n") >= min_points
 
     # Sparse positions against everything within eps of them.
@@ -327,7 +327,7 @@ def density_clusters(
     nodes = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
     border = to_core.join(loose_core, "a", "left_anti").withColumnRenamed("core", "node")
-    border = salted_join(border, nodes, ["node"]).groupBy("a").agg(F.min("root").alias("root"))
+    border = border.join(nodes, "node").groupBy("a").agg(F.min("root").alias("root"))
     loose_roots = border.unionByName(
         loose_core.withColumnRenamed("a", "node").join(nodes, "node").select(F.col("node").alias("a"), "root")
     )
@@ -365,7 +365,7 @@ def split_dense_cells(
         "cluster_id",
         ((F.col("cell_n") > max_points) & (F.col("cluster_n") > min_cluster)).alias("split"),
     )
-    marked = salted_join(clustered, splits, ["cell_id", "cluster_id"], spread_by=["point_id"])
+    marked = clustered.join(splits, ["cell_id", "cluster_id"])
     renamed = F.concat_ws("_", F.col("cell_id").cast("string"), F.col("cluster_id").cast("string"))
     return marked.withColumn("cell_id", F.when(F.col("split"), renamed).otherwise(F.col("cell_id").cast("string")))
 
@@ -399,7 +399,7 @@ def prototype_table(clustered: DataFrame, cells: DataFrame | None = None) -> Dat
 def prototype_members(clustered: DataFrame, chunk: int = 1000) -> DataFrame:
     """Sorted member ids per (geocell_index, cluster_id), in numbered lists of at most ``chunk`` ids."""
     keys = ["country", "admin1", "cell_id"]
-    indexed = salted_join(clustered, geocell_index(clustered), keys, spread_by=["point_id"])
+    indexed = clustered.join(geocell_index(clustered), keys)
     group = ["geocell_index", "cluster_id"]
     ranked = rank_in_group(indexed.select(*group, "point_id"), group, [F.col("point_id")], "_at")
     ranked = ranked.withColumn("chunk", F.floor((F.col("_at") - 1) / chunk))

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geolens.operators.spread import ROWS_PER_TASK, salted_join, top_per_key
+from geolens.operators.spread import keyed_join, salted_join, top_per_key
 
 
 def square(value: Column, size: float | Column) -> Column:
@@ -43,19 +43,19 @@ def grid_join(
     condition: Column,
     keys: Sequence[str] = (),
     how: str = "inner",
-    spread_by: Sequence[str] | None = None,
-    rows_per_task: int = ROWS_PER_TASK,
+    salt: bool = False,
 ) -> DataFrame:
     """Join points to the boxes around them; ``condition`` is the exact test.
 
     ``keys`` are further equality keys both sides share (for example a parent
-    region).  Crowded squares are spread over several tasks.
+    region).  Crowded squares are split by adaptive execution, or salted up front
+    with ``salt`` where the points can be read twice cheaply.
     """
     left = with_point_key(points, axes, size)
     right = with_box_keys(boxes, lows, highs, size)
     squares = [f"g{i}" for i in range(len(axes))]
-    joined = salted_join(left, right, [*keys, *squares], how, spread_by, condition, rows_per_task)
-    return joined.drop(*squares)
+    join = salted_join if salt else keyed_join
+    return join(left, right, [*keys, *squares], how, condition=condition).drop(*squares)
 
 
 def distance(a: Sequence[Column], b: Sequence[Column]) -> Column:
@@ -126,8 +126,8 @@ def nearest_candidates(
     lists = spots.join(balls, ["lv", *squares]).where(distance(i, c) <= F.col("reach"))
     lists = lists.drop("lv", "u", "reach", *squares, *[f"c{a}" for a in axes])
 
-    # 3. the list of a crowded square is shared by several tasks.
-    return salted_join(keyed, lists, cell_keys, spread_by=[f"q{a}" for a in axes]).drop(*cell_keys)
+    # 3. a crowded square is split over several tasks by adaptive execution.
+    return keyed.join(lists, cell_keys).drop(*cell_keys)
 
 
 def nearest(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from geolens import constants as K
 from geolens.functions.scalar import dot, haversine_km
-from geolens.operators.spread import global_index, running_total, salted_join
+from geolens.operators.spread import global_index, running_total
 from geolens.operators.tables import valid_indices
 
 
@@ -75,7 +75,7 @@ def exact_median(df: DataFrame, by: Sequence[str], value: str, name: str = "medi
     summed = running_total(counts, by, [F.col(value)], F.col("_n"), "_cum")
     keyed = summed.withColumn("_all", F.lit(1))
     totals = keyed.groupBy("_all", *by).agg(F.sum("_n").alias("_size"))
-    placed = salted_join(keyed, totals, ["_all", *by])
+    placed = keyed.join(totals, ["_all", *by])
     low, high = F.floor((F.col("_size") + 1) / 2), F.floor(F.col("_size") / 2) + 1
     first = F.col("_cum") - F.col("_n") + 1
     covers_low = (first <= low) & (low <= F.col("_cum"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from geolens import constants as K
 from geolens.functions.scalar import euclidean, game_score, haversine_km
 from geolens.operators.measures import result_summary
-from geolens.operators.spread import salted_join, top_per_key
+from geolens.operators.spread import top_per_key
 
 # A block of weights shipped to every executor stays below this size.
 BLOCK_BYTES = 64 * 1024 * 1024
@@ -118,7 +118,7 @@ def score_linear_head(samples: DataFrame, weights: DataFrame, cells: DataFrame,
     ready = scored.select("sample_id", candidates.alias("candidates"))
     ready = ready.withColumn("geocell_index", F.col("candidates")[0]["geocell_index"])
     where = cells.select("geocell_index", F.col("clat").alias("pred_lat"), F.col("clon").alias("pred_lon"))
-    return salted_join(ready, where, ["geocell_index"])
+    return ready.join(where, "geocell_index")
 
 
 def topk_candidates(probabilities: DataFrame, k: int = 5) -> DataFrame:
@@ -136,7 +136,7 @@ def _packs(items: DataFrame, keys: Sequence[str], key: str, payload: Sequence[st
     first = F.min(F.struct(key, *payload)).alias("_i")
     unique = items.groupBy(*keys, "vector").agg(first).select(*keys, "vector", "_i.*")
     sizes = unique.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / PACK_SIZE).cast("int").alias("_packs"))
-    numbered = salted_join(unique, sizes, keys, spread_by=[key])
+    numbered = unique.join(sizes, list(keys))
     numbered = numbered.withColumn("_pack", F.pmod(F.xxhash64(key), F.col("_packs")))
     return numbered.groupBy(*keys, "_pack").agg(F.collect_list(F.struct("vector", key, *payload)).alias("_items"))
 
@@ -163,7 +163,7 @@ def closest_vector(
         gap = -gap if farthest else gap
         return F.struct(gap.alias("gap"), *[item[c].alias(c) for c in (key, *payload)])
 
-    met = salted_join(queries, packs, group, spread_by=query_keys)
+    met = queries.join(packs, list(group))
     met = met.withColumn("_best", F.array_min(F.transform("_items", rated))).drop("_items", "_pack")
     best = top_per_key(met, query_keys, [F.col("_best.gap"), F.col(f"_best.{key}")])
     gap = -F.col("_best.gap") if farthest else F.col("_best.gap")
@@ -287,7 +287,7 @@ def evaluate(predictions: DataFrame, truth: DataFrame, meta: DataFrame, k: int =
     km = haversine_km(F.col("lat"), F.col("lon"), F.col("pred_lat"), F.col("pred_lon"), K.LABEL_RADIUS_M)
     listed = joined.select("sample_id", F.posexplode("candidates").alias("at", "c"))
     named = listed.select("sample_id", "at", "c.geocell_index", "c.probability")
-    named = salted_join(named, meta.select("geocell_index", "country", "admin1"), ["geocell_index"], "left")
+    named = named.join(meta.select("geocell_index", "country", "admin1"), "geocell_index", "left")
     entry = F.struct(
         "at",
         "geocell_index",

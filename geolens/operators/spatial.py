@@ -62,7 +62,7 @@ def join_within(
     lows, highs = _box_sides()
     lon, lat = F.col("lon"), F.col("lat")
     joined = grid_join(
-        points, polygons, [lon, lat], lows, highs, size, _inside(G.contains_point, lon, lat), how="left"
+        points, polygons, [lon, lat], lows, highs, size, _inside(G.contains_point, lon, lat), how="left", salt=True
     )
     return _polygon_columns(joined).withColumn(label, F.coalesce(F.col(label), F.lit(default)))
 
@@ -185,7 +185,7 @@ def cell_neighbours(cells: DataFrame, size: float = 8.0) -> DataFrame:
 
     meets = G.edges_intersect(F.col("a_edges"), F.col("b_edges")) | holds("a", "b") | holds("b", "a")
     pairs = (
-        salted_join(a, b, ["country_id", "g0", "g1"], spread_by=["a_cell_id"])
+        a.join(b, ["country_id", "g0", "g1"])
         .where(F.col("a_cell_id") < F.col("b_cell_id"))
         .where(overlap)
         .where(meets)

@@ -12,6 +12,19 @@ from geolens.session import cut_lineage, range_tasks
 ROWS_PER_TASK = 1_000_000
 
 
+def keyed_join(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", condition: Column | None = None
+) -> DataFrame:
+    """Equi-join with an optional further condition that also decides outer matches."""
+    if condition is None:
+        return left.join(right, list(keys), how)
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = condition
+    for k in keys:
+        on = (F.col(k) == F.col(f"_r_{k}")) & on
+    return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def salted_join(
     left: DataFrame,
     right: DataFrame,
@@ -23,7 +36,8 @@ def salted_join(
 ) -> DataFrame:
     """Equi-join whose hot left keys are split over several tasks.
 
-    Keys holding more than ``rows_per_task`` left rows are found by a partial
+    For a left side that is cheap to read twice (a scan, a checkpointed table);
+    elsewhere a plain join leaves hot partitions to adaptive execution.  Keys holding more than ``rows_per_task`` left rows are found by a partial
     aggregation; there are at most ``rows / rows_per_task`` of them, which is what
     bounds the broadcast below.  Their left rows are spread by a hash of
     ``spread_by`` and only their right rows are repeated.  ``how`` is inner, left,
@@ -44,13 +58,7 @@ def salted_join(
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)))
         .drop("_salts")
     )
-    if condition is None:
-        return left.join(right, [*keys, "_salt"], how).drop("_salt")
-    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in [*keys, "_salt"]})
-    on = condition
-    for k in [*keys, "_salt"]:
-        on = (F.col(k) == F.col(f"_r_{k}")) & on
-    return left.join(renamed, on, how).drop("_salt", *[f"_r_{k}" for k in [*keys, "_salt"]])
+    return keyed_join(left, right, [*keys, "_salt"], how, condition).drop("_salt")
 
 
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int = 1, rank: str | None = None):

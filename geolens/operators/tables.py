@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from geolens import constants as K
 from geolens.functions.scalar import _literal_map, heading_distance, round6
-from geolens.operators.spread import global_index, rank_in_group, running_total, salted_join, top_per_key
+from geolens.operators.spread import global_index, rank_in_group, running_total, top_per_key
 
 # Above this many rows an ordered pick is cut by row index instead of a single top-n task.
 TOP_N_LIMIT = 100_000
@@ -54,7 +54,7 @@ def valid_indices(df: DataFrame, points: DataFrame) -> DataFrame:
         return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
 
     good = points.where(finite("lat") & finite("lon"))
-    return salted_join(df, good, ["point_idx"])
+    return df.join(good, "point_idx")
 
 
 def snapshot_metadata(df: DataFrame) -> DataFrame:
@@ -138,7 +138,7 @@ def split_stratified(
     mixed = df.withColumn("_mix", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))))
     ranked = rank_in_group(mixed, [stratum], [F.col("_mix"), F.col(key)], "_at")
     sizes = df.groupBy(stratum).agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * frac)).alias("_val"))
-    marked = salted_join(ranked, sizes, [stratum])
+    marked = ranked.join(sizes, stratum)
     drop = ("_mix", "_at", "_val")
     return (
         marked.where(F.col("_at") > F.col("_val")).drop(*drop),
@@ -153,7 +153,7 @@ def allocate_by_area(parts: DataFrame, need: int | str, scalar: float = 1.0) ->
     """
     totals = parts.groupBy("country").agg(F.sum("area").alias("_total")).where(F.col("_total") > 0)
     wanted = F.col(need) if isinstance(need, str) else F.lit(need)
-    sized = salted_join(parts, totals, ["country"]).withColumn("_need", wanted.cast("bigint"))
+    sized = parts.join(totals, "country").withColumn("_need", wanted.cast("bigint"))
     sized = sized.withColumn("_r", F.rint(F.col("area") * scalar / F.col("_total") * F.col("_need")).cast("bigint"))
     summed = running_total(sized, ["country"], [F.col("part_id")], F.col("_r"), "_cum")
     take = F.least("_cum", "_need") - F.least(F.col("_cum") - F.col("_r"), F.col("_need"))
@@ -176,7 +176,7 @@ def apply_label_map(df: DataFrame, column: str, labels: DataFrame) -> DataFrame:
     """Number the classes of ``column``; a class not in the map gets UNKNOWN and the next free number."""
     unknown = labels.count()
     known = labels.select(F.col("name").alias(column), "label_id")
-    out = salted_join(df, known, [column], "left")
+    out = df.join(known, column, "left")
     return out.withColumns(
         {
             "class_name": F.when(F.col("label_id").isNull(), F.lit("UNKNOWN")).otherwise(F.col(column)),
@@ -268,7 +268,7 @@ def point_cell_info(points: DataFrame, cell_points: DataFrame) -> DataFrame:
     last = top_per_key(cell_points, ["lat", "lon"], [F.col("ord").desc()]).select(
         "lat", "lon", "country", "admin1", "geocell", F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id")
     )
-    return salted_join(points, last, ["lat", "lon"], "left")
+    return points.join(last, ["lat", "lon"], "left")
 
 
 def raster_sample(
@@ -290,7 +290,7 @@ def raster_sample(
             "col": F.floor((F.col("lon") - F.lit(x0)) / dx).cast("int"),
         }
     )
-    hit = salted_join(keyed, raster.select("row", "col", F.col("value").alias("_v")), ["row", "col"], "left")
+    hit = keyed.join(raster.select("row", "col", F.col("value").alias("_v")), ["row", "col"], "left")
     value = F.col("_v") if legend is None else F.try_element_at(_literal_map(legend), F.col("_v").cast("int"))
     return hit.withColumn(name, value).drop("row", "col", "_v")
 
@@ -298,7 +298,7 @@ def raster_sample(
 def geocell_meta(df: DataFrame, prototypes: DataFrame) -> DataFrame:
     """Country and region of a cell index, from the first prototype row; ``?`` when unknown."""
     first = top_per_key(prototypes, ["geocell_index"], [F.col("ord")]).select("geocell_index", "country", "admin1")
-    out = salted_join(df, first, ["geocell_index"], "left")
+    out = df.join(first, "geocell_index", "left")
     return out.withColumns({c: F.coalesce(c, F.lit("?")) for c in ("country", "admin1")})
 
 
@@ -315,4 +315,4 @@ def restore_order_join(rows: DataFrame, embeddings: DataFrame, n: int) -> DataFr
 
 
 def country_rate_join(counts: DataFrame, rates: DataFrame) -> DataFrame:
-    return salted_join(counts, rates, ["country"], "left")
+    return counts.join(rates, "country", "left")

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geolens.plans import scalar_queries, spatial_queries, table_queries
+from geolens.plans import predict_queries, scalar_queries, source_queries, spatial_queries, table_queries
 from geolens.plans.views import Tables
 
-_GROUPS = (scalar_queries, table_queries, spatial_queries)
-FLAGSHIP = "game_score"
+_GROUPS = (scalar_queries, table_queries, spatial_queries, predict_queries, source_queries)
+FLAGSHIP = "evaluate_summary"
 
 
 def _bind(fn: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from geolens import constants as K
 from geolens.functions.scalar import fill_optional_columns, location_id
-from geolens.operators.spread import salted_join, top_per_key
+from geolens.operators.spread import top_per_key
 from geolens.operators.tables import first_n, nearest_heading
 
 
@@ -47,7 +47,7 @@ def parse_image_listing(paths: DataFrame, path: str = "path") -> DataFrame:
     first = parsed.groupBy("place").agg(F.min(F.struct("name", "lat", "lon", "capture_date", "pano_id")).alias("f"))
     first = first.select("place", "f.lat", "f.lon", "f.capture_date", "f.pano_id")
     rows = seen.select("place", "heading", "ord", F.col("last.image_path").alias("image_path"))
-    return salted_join(rows, first, ["place"])
+    return rows.join(first, "place")
 
 
 def read_image_listing(spark: SparkSession, folder: str) -> DataFrame:

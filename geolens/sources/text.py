@@ -87,7 +87,10 @@ def parse_country_rates(lines: DataFrame) -> DataFrame:
 
 
 def read_boundaries(
-    spark: SparkSession, folder: str, name_candidates: Sequence[str] = K.COUNTRY_COLUMNS
+    spark: SparkSession,
+    folder: str,
+    name_candidates: Sequence[str] = K.COUNTRY_COLUMNS,
+    pattern: str = "*.{json,geojson}",
 ) -> DataFrame:
     """Polygon parts of a folder of GeoJSON files.
 
@@ -102,7 +105,7 @@ def read_boundaries(
         spark.read.schema(shape)
         .option("multiLine", "true")
         .option("mode", "PERMISSIVE")
-        .option("pathGlobFilter", "*.{json,geojson}")
+        .option("pathGlobFilter", pattern)
         .json(folder)
         .select(F.explode("features").alias("f"), F.col("_metadata.file_name").alias("file"))
     )
