@@ -358,6 +358,7 @@ def split_dense_cells(
     The new cell is named by parent and cluster and ``split`` is set, so that it can
     be clustered again with a tighter radius; everything else stays in its cell.
     """
+    clustered = cut_lineage(clustered)
     clusters = clustered.groupBy("cell_id", "cluster_id").agg(F.count(F.lit(1)).alias("cluster_n"))
     cells = clusters.groupBy("cell_id").agg(F.sum("cluster_n").alias("cell_n"))
     splits = clusters.join(cells, "cell_id").select(

@@ -73,9 +73,10 @@ def exact_median(df: DataFrame, by: Sequence[str], value: str, name: str = "medi
     by = list(by)
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
     summed = running_total(counts, by, [F.col(value)], F.col("_n"), "_cum")
-    keyed = summed.withColumn("_all", F.lit(1))
-    totals = keyed.groupBy("_all", *by).agg(F.sum("_n").alias("_size"))
-    placed = keyed.join(totals, ["_all", *by])
+    if by:
+        placed = summed.join(summed.groupBy(*by).agg(F.sum("_n").alias("_size")), by)
+    else:
+        placed = summed.withColumn("_size", F.lit(summed.agg(F.sum("_n")).first()[0]).cast("bigint"))
     low, high = F.floor((F.col("_size") + 1) / 2), F.floor(F.col("_size") / 2) + 1
     first = F.col("_cum") - F.col("_n") + 1
     covers_low = (first <= low) & (low <= F.col("_cum"))
@@ -90,15 +91,16 @@ def result_summary(results: DataFrame, by: Sequence[str] | None = None, check: b
     if check and results.isEmpty():
         raise ValueError("no results to summarise")
     keys = list(by or [])
-    keyed = results.withColumn("_all", F.lit(1))
-    means = keyed.groupBy("_all", *keys).agg(
+    means = results.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("num_samples"),
         F.avg("distance_km").alias("avg_distance_km"),
         F.avg(F.coalesce("top1_prob", F.lit(0.0))).alias("avg_top1_prob"),
         F.avg("score").alias("avg_score"),
     )
-    medians = exact_median(keyed, ["_all", *keys], "distance_km", "median_distance_km")
-    return means.join(medians, ["_all", *keys]).drop("_all")
+    medians = exact_median(results, keys, "distance_km", "median_distance_km")
+    if keys:
+        return means.join(medians, keys)
+    return means.withColumn("median_distance_km", F.lit(medians.first()[0]).cast("double"))
 
 
 def best_worst(results: DataFrame) -> DataFrame:

@@ -150,11 +150,12 @@ def closest_vector(
     payload: Sequence[str],
     farthest: bool = False,
 ) -> DataFrame:
-    """For each query the closest (or farthest) item of its group in Euclidean distance.
+    """Add the closest (or farthest) item of its group in Euclidean distance to each query.
 
     ``queries`` has ``embedding``, ``items`` has ``vector``; ties go to the smaller
-    ``key``.  Groups are packed into short lists, so a query meets a handful of
-    lists and gives one row for each, never one row per item.
+    ``key``, and a query whose group is empty gets NULLs.  Groups are packed into
+    short lists, so a query meets a handful of lists and gives one row for each,
+    never one row per item.
     """
     packs = _packs(items, group, key, payload)
 
@@ -163,44 +164,35 @@ def closest_vector(
         gap = -gap if farthest else gap
         return F.struct(gap.alias("gap"), *[item[c].alias(c) for c in (key, *payload)])
 
-    met = queries.join(packs, list(group))
+    met = queries.join(packs, list(group), "left")
     met = met.withColumn("_best", F.array_min(F.transform("_items", rated))).drop("_items", "_pack")
     best = top_per_key(met, query_keys, [F.col("_best.gap"), F.col(f"_best.{key}")])
     gap = -F.col("_best.gap") if farthest else F.col("_best.gap")
     return best.withColumns({"gap": gap, **{c: F.col(f"_best.{c}") for c in (key, *payload)}}).drop("_best")
 
 
-def nearest_prototype(samples: DataFrame, candidates: DataFrame, prototypes: DataFrame) -> DataFrame:
-    """Closest prototype of every candidate cell; a cell without prototypes gets logit -100000 at (0, 0).
-
-    ``candidates`` has sample_id, candidate, geocell_index and probability;
-    ``prototypes`` has geocell_index, cluster_id, embedding, n, centroid_lat, centroid_lon.
-    """
-    asked = candidates.join(samples.select("sample_id", "embedding"), "sample_id")
+def _closest_prototype(asked: DataFrame, prototypes: DataFrame) -> DataFrame:
+    """Closest prototype of each row of ``asked`` (sample_id, candidate, geocell_index, embedding)."""
     items = prototypes.withColumnRenamed("embedding", "vector")
-    keys = ["sample_id", "candidate"]
-    hits = closest_vector(
-        asked, items, keys, ["geocell_index"], "cluster_id", ["n", "centroid_lat", "centroid_lon"]
-    ).select(*keys, "cluster_id", "n", "centroid_lat", "centroid_lon", (-F.col("gap")).alias("logit"))
-    out = candidates.join(hits, keys, "left")
-    return out.withColumns(
+    placed = closest_vector(
+        asked,
+        items,
+        ["sample_id", "candidate"],
+        ["geocell_index"],
+        "cluster_id",
+        ["centroid_lat", "centroid_lon"],
+    )
+    return placed.withColumns(
         {
-            "logit": F.coalesce("logit", F.lit(K.MISSING_LOGIT)),
+            "logit": F.coalesce(-F.col("gap"), F.lit(K.MISSING_LOGIT)),
             "centroid_lat": F.coalesce("centroid_lat", F.lit(0.0)),
             "centroid_lon": F.coalesce("centroid_lon", F.lit(0.0)),
         }
-    )
+    ).drop("gap")
 
 
-def nearest_member(samples: DataFrame, clusters: DataFrame, members: DataFrame, pick: str = "nearest") -> DataFrame:
-    """Position of the best matching image of the chosen cluster; an empty cluster keeps its centroid.
-
-    ``clusters`` comes from :func:`nearest_prototype`; ``members`` has geocell_index,
-    cluster_id, point_idx, embedding, lat, lon.  ``pick`` is nearest or farthest.
-    """
-    keys = ["sample_id", "candidate"]
-    asked = clusters.select(*keys, "geocell_index", "cluster_id").where(F.col("cluster_id").isNotNull())
-    asked = asked.join(samples.select("sample_id", "embedding"), "sample_id")
+def _closest_member(asked: DataFrame, members: DataFrame, pick: str) -> DataFrame:
+    """Position of the best member of each row's cluster; its centroid when there is none."""
     items = members.select(
         "geocell_index",
         "cluster_id",
@@ -209,13 +201,38 @@ def nearest_member(samples: DataFrame, clusters: DataFrame, members: DataFrame,
         F.col("lat").alias("m_lat"),
         F.col("lon").alias("m_lon"),
     )
-    hits = closest_vector(
-        asked, items, keys, ["geocell_index", "cluster_id"], "point_idx", ["m_lat", "m_lon"], pick == "farthest"
-    ).select(*keys, "point_idx", "m_lat", "m_lon")
-    out = clusters.join(hits, keys, "left")
-    return out.withColumns(
+    placed = closest_vector(
+        asked,
+        items,
+        ["sample_id", "candidate"],
+        ["geocell_index", "cluster_id"],
+        "point_idx",
+        ["m_lat", "m_lon"],
+        pick == "farthest",
+    )
+    return placed.withColumns(
         {"lat": F.coalesce("m_lat", "centroid_lat"), "lon": F.coalesce("m_lon", "centroid_lon")}
-    ).drop("m_lat", "m_lon")
+    ).drop("m_lat", "m_lon", "gap")
+
+
+def nearest_prototype(samples: DataFrame, candidates: DataFrame, prototypes: DataFrame) -> DataFrame:
+    """Closest prototype of every candidate cell; a cell without prototypes gets logit -100000 at (0, 0).
+
+    ``candidates`` has sample_id, candidate, geocell_index and probability;
+    ``prototypes`` has geocell_index, cluster_id, embedding, centroid_lat, centroid_lon.
+    """
+    asked = candidates.join(samples.select("sample_id", "embedding"), "sample_id")
+    return _closest_prototype(asked, prototypes).drop("embedding")
+
+
+def nearest_member(samples: DataFrame, clusters: DataFrame, members: DataFrame, pick: str = "nearest") -> DataFrame:
+    """Position of the best matching image of the chosen cluster; an empty cluster keeps its centroid.
+
+    ``clusters`` comes from :func:`nearest_prototype`; ``members`` has geocell_index,
+    cluster_id, point_idx, embedding, lat, lon.  ``pick`` is nearest or farthest.
+    """
+    asked = clusters.join(samples.select("sample_id", "embedding"), "sample_id")
+    return _closest_member(asked, members, pick).drop("embedding")
 
 
 def refine_prediction(
@@ -234,14 +251,18 @@ def refine_prediction(
     with the cell probabilities.  When the winner lies more than ``max_km`` from the
     initial prediction (``init_lat``, ``init_lon`` of ``samples``), the most probable
     cell is taken instead.  Without ``probability`` only candidate 0 counts.
+
+    Samples and candidates are joined once; vectors and initial positions then
+    travel with the rows instead of being joined again.
     """
     if "probability" not in candidates.columns:
         candidates = candidates.withColumn("probability", (F.col("candidate") == 0).cast("double"))
-    first = candidates.where(F.col("candidate") < topk)
-    placed = nearest_member(samples, nearest_prototype(samples, first, prototypes), members, pick)
+    asked = candidates.where(F.col("candidate") < topk)
+    asked = asked.join(samples.select("sample_id", "embedding", "init_lat", "init_lon"), "sample_id")
+    placed = _closest_member(_closest_prototype(asked, prototypes), members, pick)
     # At most topk rows per sample are gathered.
     row = F.struct("candidate", "geocell_index", "cluster_id", "probability", "logit", "lat", "lon")
-    listed = placed.groupBy("sample_id").agg(F.array_sort(F.collect_list(row)).alias("c"))
+    listed = placed.groupBy("sample_id", "init_lat", "init_lon").agg(F.array_sort(F.collect_list(row)).alias("c"))
     listed = listed.withColumn(
         "c", F.when(F.size("c") < topk, F.raise_error(F.lit("fewer candidates than topk"))).otherwise(F.col("c"))
     )
@@ -259,7 +280,6 @@ def refine_prediction(
         {"p": field("probability"), "f": F.zip_with(field("probability"), "e", lambda p, e: p * e / total)}
     )
     listed = listed.withColumns({"initial": first_max("p"), "refined": first_max("f")})
-    listed = listed.join(samples.select("sample_id", "init_lat", "init_lon"), "sample_id")
     win = F.element_at("c", F.col("refined"))
     km = haversine_km(F.col("init_lat"), F.col("init_lon"), win["lat"], win["lon"], K.LABEL_RADIUS_M)
     final = F.when(km > max_km, F.col("initial")).otherwise(F.col("refined"))

@@ -10,6 +10,7 @@ from geolens.functions import geometry as G
 from geolens.functions.scalar import haversine_km, one_hot, round6, unit_xyz
 from geolens.operators.grid import grid_join, nearest, square, with_box_keys
 from geolens.operators.spread import salted_join, top_per_key
+from geolens.session import cut_lineage
 
 
 _CELL_COLUMNS = ("cell_id", "edges", "min_x", "min_y", "max_x", "max_y")
@@ -100,7 +101,7 @@ def label_covered_or_nearest(
     lon, lat = F.col("lon"), F.col("lat")
     spots = points.select("lon", "lat").distinct()
     covered = grid_join(spots, cells, [lon, lat], lows, highs, size, _inside(G.covers_point, lon, lat))
-    covered = covered.groupBy("lon", "lat").agg(F.min("geocell_index").alias("geocell_index"))
+    covered = cut_lineage(covered.groupBy("lon", "lat").agg(F.min("geocell_index").alias("geocell_index")))
     rest = spots.join(covered, ["lon", "lat"], "left_anti").withColumns({"q0": lon, "q1": lat})
     pieces = boundary_pieces(cells, "geocell_index", size)
     gap = G.segment_distance(lon, lat, *[F.col(c) for c in ("x1", "y1", "x2", "y2")])

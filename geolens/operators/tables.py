@@ -112,10 +112,13 @@ def build_panoramas(images: DataFrame) -> DataFrame:
 
 def ingest_report(batch: DataFrame, latest: DataFrame) -> DataFrame:
     """Rows in the batch, rows and distinct locations in the latest snapshot."""
-    counted = batch.agg(F.count(F.lit(1)).alias("rows_in_batch")).withColumn("k", F.lit(1))
-    now = latest.groupBy("location_id").agg(F.count(F.lit(1)).alias("n"))
-    now = now.agg(F.sum("n").alias("rows_in_latest"), F.count(F.lit(1)).alias("distinct_locations"))
-    return counted.join(now.withColumn("k", F.lit(1)), "k").drop("k")
+    places = latest.groupBy("location_id").agg(F.count(F.lit(1)).alias("n"))
+    parts = batch.agg(F.count(F.lit(1)).alias("rows_in_batch")).unionByName(
+        places.agg(F.sum("n").alias("rows_in_latest"), F.count(F.lit(1)).alias("distinct_locations")),
+        allowMissingColumns=True,
+    )
+    names = ("rows_in_batch", "rows_in_latest", "distinct_locations")
+    return parts.agg(*[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in names])
 
 
 # ---- splits, indexes and batches --------------------------------------------

@@ -1,7 +1,7 @@
 """Views over the given tables that stand for points, cells, images and vectors.
 
 Each view is one SQL text for both engines: ``@name`` is a table or view, ``@D`` a
-double literal suffix and ``@/`` integer division.
+double literal suffix, ``@/`` integer division and ``@each4`` one row for each of 0..3.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ VIEWS = {
     "admin2": "SELECT CAST(geocell_index AS BIGINT)*4 + q AS cell_id, admin0 AS country_id, geocell_index AS admin1_id, "
     "min_x + (q % 2)*36.0@D AS min_x, min_y + (q @/ 2)*18.0@D AS min_y, "
     "min_x + (q % 2)*36.0@D + 36.0@D AS max_x, min_y + (q @/ 2)*18.0@D + 18.0@D AS max_y "
-    "FROM @boxes, @quarters",
+    "FROM (SELECT b.*, @each4 AS q FROM @boxes b) x",
     "kites": "SELECT point_id, country_id, lat, lon, 2.0@D + point_id % 5 AS r FROM @loc_points",
     "point_cells": "SELECT point_id, country_id AS cell_id, lat, lon FROM @loc_points",
     "coverage": "SELECT point_id AS cov_id, CASE point_id % 3 WHEN 0 THEN lat + 0.0003@D ELSE lat + 0.01@D END AS lat, "
@@ -78,6 +78,7 @@ _NAME = re.compile(r"@([a-z_0-9]+)")
 
 def _render(text: str, spark: bool) -> str:
     text = text.replace("@D", "D" if spark else "::DOUBLE").replace("@/", "div" if spark else "//")
+    text = text.replace("@each4", "explode(array(0, 1, 2, 3))" if spark else "unnest([0, 1, 2, 3])")
     if spark:
         text = text.replace("printf(", "format_string(")
     else:
