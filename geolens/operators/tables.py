@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geolens import constants as K
@@ -30,12 +30,12 @@ def filter_countries(df: DataFrame, names: DataFrame, candidates: Sequence[str]
 def complete_panoramas(df: DataFrame, key: str, order: Sequence[Column], tiles: int = 4) -> DataFrame:
     """The first ``tiles`` rows of every group that has that many.
 
-    Rows beyond the first ``tiles`` are dropped before the shuffle, so the last
-    tile's rank tells whether the group is complete.
+    Rows beyond the first ``tiles`` are dropped before the shuffle, so counting
+    what is left of a group needs neither a second shuffle nor a large window.
     """
     first = top_per_key(df, [key], order, tiles, rank="tile")
-    full = first.where(F.col("tile") == tiles).select(key)
-    return first.join(full, key, "left_semi")
+    left = F.count(F.lit(1)).over(Window.partitionBy(key))
+    return first.withColumn("_left", left).where(F.col("_left") == tiles).drop("_left")
 
 
 def drop_missing_images(df: DataFrame, image: str = "image") -> DataFrame:

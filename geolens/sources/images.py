@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geolens import constants as K
@@ -22,32 +22,44 @@ def parse_image_listing(paths: DataFrame, path: str = "path") -> DataFrame:
     name is used; capture date and panorama come from the first name of the location.
     """
     name = F.substring_index(F.col(path), "/", -1)
-    part = F.split(F.regexp_replace(name, r"(?i)\.jpg$", ""), "_")
+    bare = F.regexp_extract(name, r"(?i)^(.*)\.jpg$", 1)
 
-    def piece(i: int, kind: str) -> Column:
-        return F.try_element_at(part, F.lit(i)).try_cast(kind)
+    def fields(parts: Column) -> Column:
+        def piece(i: int, kind: str) -> Column:
+            return F.try_element_at(parts, F.lit(i)).try_cast(kind)
 
-    parsed = (
-        paths.where(F.lower(name).endswith(".jpg"))
-        .select(
+        lat, lon = piece(1, "double"), piece(2, "double")
+        return F.struct(
             F.col(path).alias("image_path"),
             name.alias("name"),
-            piece(1, "double").alias("lat"),
-            piece(2, "double").alias("lon"),
+            lat.alias("lat"),
+            lon.alias("lon"),
             piece(3, "int").alias("heading"),
             piece(4, "string").alias("capture_date"),
-            F.when(F.size(part) > 4, F.array_join(F.slice(part, F.lit(5), F.size(part)), "_")).alias("pano_id"),
+            F.when(F.size(parts) > 4, F.array_join(F.slice(parts, F.lit(5), F.size(parts)), "_")).alias("pano_id"),
+            F.format_string("%.7f_%.7f", lat, lon).alias("place"),
         )
-        .where("lat IS NOT NULL AND lon IS NOT NULL AND heading IS NOT NULL AND pano_id IS NOT NULL")
-        .withColumn("place", F.format_string("%.7f_%.7f", "lat", "lon"))
-    )
+
+    def complete(row: Column) -> Column:
+        return row["lat"].isNotNull() & row["lon"].isNotNull() & row["heading"].isNotNull() & row["pano_id"].isNotNull()
+
+    # A name is taken apart once: the test on the result stays inside the generator
+    # instead of being pushed below it as a second copy of the parsing.
+    parsed = paths.select(F.inline(F.filter(F.transform(F.array(F.split(bare, "_")), fields), complete)))
     seen = parsed.groupBy("place", "heading").agg(
-        F.max(F.struct("name", "image_path")).alias("last"), F.min("name").alias("ord")
+        F.max(F.struct("name", "image_path")).alias("last"),
+        F.min(F.struct("name", "lat", "lon", "capture_date", "pano_id")).alias("first"),
+    )
+    # One row per heading is left, so the window over a place is short.
+    earliest = F.min("first").over(Window.partitionBy("place"))
+    rows = seen.withColumn("f", earliest)
+    return rows.select(
+        "place",
+        "heading",
+        F.col("first.name").alias("ord"),
+        F.col("last.image_path").alias("image_path"),
+        *[F.col(f"f.{c}").alias(c) for c in ("lat", "lon", "capture_date", "pano_id")],
     )
-    first = parsed.groupBy("place").agg(F.min(F.struct("name", "lat", "lon", "capture_date", "pano_id")).alias("f"))
-    first = first.select("place", "f.lat", "f.lon", "f.capture_date", "f.pano_id")
-    rows = seen.select("place", "heading", "ord", F.col("last.image_path").alias("image_path"))
-    return rows.join(first, "place")
 
 
 def read_image_listing(spark: SparkSession, folder: str) -> DataFrame:
