@@ -8,15 +8,19 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from geolens import constants as K
-from geolens.functions.scalar import euclidean, game_score, haversine_km
+from geolens.functions.scalar import game_score, haversine_km
 from geolens.operators.measures import result_summary
 from geolens.operators.spread import top_per_key
+from geolens.session import cut_lineage
 
 # A block of weights shipped to every executor stays below this size.
 BLOCK_BYTES = 64 * 1024 * 1024
-PACK_SIZE = 256
+# Blocks of queries and items that meet in one task when nearest vectors are searched.
+CHUNK_SIZE = 4096
+PACK_SIZE = 1024
 
 
 # ---- linear head -------------------------------------------------------------
@@ -131,18 +135,35 @@ def topk_candidates(probabilities: DataFrame, k: int = 5) -> DataFrame:
 # ---- nearest vector inside a group -------------------------------------------
 
 
-def _packs(items: DataFrame, keys: Sequence[str], key: str, payload: Sequence[str]) -> DataFrame:
-    """Vectors of a group in lists of about ``PACK_SIZE``; copies of a vector are listed once."""
+def _distinct_vectors(items: DataFrame, keys: Sequence[str], key: str, payload: Sequence[str]) -> DataFrame:
+    """Copies of a vector inside a group are represented by the one with the smallest key."""
     first = F.min(F.struct(key, *payload)).alias("_i")
-    unique = items.groupBy(*keys, "vector").agg(first).select(*keys, "vector", "_i.*")
-    sizes = unique.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / PACK_SIZE).cast("int").alias("_packs"))
-    numbered = unique.join(sizes, list(keys))
-    numbered = numbered.withColumn("_pack", F.pmod(F.xxhash64(key), F.col("_packs")))
-    return numbered.groupBy(*keys, "_pack").agg(F.collect_list(F.struct("vector", key, *payload)).alias("_items"))
+    return items.groupBy(*keys, "vector").agg(first).select(*keys, "vector", "_i.*")
+
+
+def _best_in_block(queries: np.ndarray, vectors: np.ndarray, keys: np.ndarray, farthest: bool):
+    """Row of the best vector for every query, and the distance, for one block of each.
+
+    A matrix product rates all pairs up to rounding; the few that could still win
+    are measured exactly, and equal distances go to the smaller key.
+    """
+    qq, vv = (queries**2).sum(axis=1), (vectors**2).sum(axis=1)
+    rated = qq[:, None] + vv[None, :] - 2.0 * (queries @ vectors.T)
+    slack = (1e-9 * (qq + vv.max()) + 1e-18)[:, None]
+    if farthest:
+        row, col = np.nonzero(rated >= rated.max(axis=1, keepdims=True) - slack)
+    else:
+        row, col = np.nonzero(rated <= rated.min(axis=1, keepdims=True) + slack)
+    gap = np.round(np.sqrt(((queries[row] - vectors[col]) ** 2).sum(axis=1)), 9)
+    order = np.lexsort((keys[col], -gap if farthest else gap, row))
+    _, first = np.unique(row[order], return_index=True)
+    chosen = order[first]
+    return col[chosen], gap[chosen]
 
 
 def closest_vector(
     queries: DataFrame,
+    samples: DataFrame,
     items: DataFrame,
     query_keys: Sequence[str],
     group: Sequence[str],
@@ -152,31 +173,69 @@ def closest_vector(
 ) -> DataFrame:
     """Add the closest (or farthest) item of its group in Euclidean distance to each query.
 
-    ``queries`` has ``embedding``, ``items`` has ``vector``; ties go to the smaller
-    ``key``, and a query whose group is empty gets NULLs.  Groups are packed into
-    short lists, so a query meets a handful of lists and gives one row for each,
-    never one row per item.
+    ``queries`` names the groups, ``samples`` holds the query vectors (sample_id,
+    embedding), ``items`` has ``vector``; ties go to the smaller ``key``, and a query
+    whose group is empty gets NULLs.  The queries of a group are cut into chunks and
+    its items into packs of bounded size.  A task meets one chunk and one pack at a
+    time and returns one row per query, so a hot group is simply more such meetings.
     """
-    packs = _packs(items, group, key, payload)
+    query_keys, group = list(query_keys), list(group)
+    queries = cut_lineage(queries)
+    stock = _distinct_vectors(items, group, key, payload)
+    chunks = queries.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / CHUNK_SIZE).alias("_chunks"))
+    packs = stock.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / PACK_SIZE).alias("_packs"))
+    shape = cut_lineage(chunks.join(packs, group))
+
+    asked = queries.select(*query_keys, *group).join(shape, group)
+    asked = asked.join(samples.select("sample_id", "embedding"), "sample_id").select(
+        *query_keys,
+        *group,
+        F.pmod(F.xxhash64(*query_keys), F.col("_chunks")).alias("_chunk"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_packs") - 1)).alias("_pack"),
+        "embedding",
+    )
+    stock = stock.join(shape, group).select(
+        *group,
+        key,
+        *payload,
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_chunks") - 1)).alias("_chunk"),
+        F.pmod(F.xxhash64(key), F.col("_packs")).alias("_pack"),
+        "vector",
+    )
+    fields = [asked.schema[c] for c in query_keys] + [T.StructField("gap", T.DoubleType())]
+    fields += [stock.schema[c] for c in (key, *payload)]
+    names = [f.name for f in fields]
+
+    def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({name: [] for name in names})
+        at, gap = _best_in_block(
+            np.stack(left["embedding"].to_numpy()).astype(np.float64),
+            np.stack(right["vector"].to_numpy()).astype(np.float64),
+            right[key].to_numpy(),
+            farthest,
+        )
+        found = left[query_keys].assign(gap=gap)
+        for name in (key, *payload):
+            found[name] = right[name].to_numpy()[at]
+        return found[names]
 
-    def rated(item: Column) -> Column:
-        gap = F.round(euclidean(F.col("embedding"), item["vector"]), 9)
-        gap = -gap if farthest else gap
-        return F.struct(gap.alias("gap"), *[item[c].alias(c) for c in (key, *payload)])
+    blocks = [*group, "_chunk", "_pack"]
+    hits = asked.groupBy(*blocks).cogroup(stock.groupBy(*blocks)).applyInPandas(match, T.StructType(fields))
+    order = F.col("gap").desc() if farthest else F.col("gap").asc()
+    return queries.join(top_per_key(hits, query_keys, [order, F.col(key)]), query_keys, "left")
 
-    met = queries.join(packs, list(group), "left")
-    met = met.withColumn("_best", F.array_min(F.transform("_items", rated))).drop("_items", "_pack")
-    best = top_per_key(met, query_keys, [F.col("_best.gap"), F.col(f"_best.{key}")])
-    gap = -F.col("_best.gap") if farthest else F.col("_best.gap")
-    return best.withColumns({"gap": gap, **{c: F.col(f"_best.{c}") for c in (key, *payload)}}).drop("_best")
 
+def nearest_prototype(samples: DataFrame, candidates: DataFrame, prototypes: DataFrame) -> DataFrame:
+    """Closest prototype of every candidate cell; a cell without prototypes gets logit -100000 at (0, 0).
 
-def _closest_prototype(asked: DataFrame, prototypes: DataFrame) -> DataFrame:
-    """Closest prototype of each row of ``asked`` (sample_id, candidate, geocell_index, embedding)."""
-    items = prototypes.withColumnRenamed("embedding", "vector")
+    ``candidates`` has sample_id, candidate, geocell_index and probability;
+    ``prototypes`` has geocell_index, cluster_id, embedding, centroid_lat, centroid_lon.
+    """
     placed = closest_vector(
-        asked,
-        items,
+        candidates,
+        samples,
+        prototypes.withColumnRenamed("embedding", "vector"),
         ["sample_id", "candidate"],
         ["geocell_index"],
         "cluster_id",
@@ -191,8 +250,12 @@ def _closest_prototype(asked: DataFrame, prototypes: DataFrame) -> DataFrame:
     ).drop("gap")
 
 
-def _closest_member(asked: DataFrame, members: DataFrame, pick: str) -> DataFrame:
-    """Position of the best member of each row's cluster; its centroid when there is none."""
+def nearest_member(samples: DataFrame, clusters: DataFrame, members: DataFrame, pick: str = "nearest") -> DataFrame:
+    """Position of the best matching image of the chosen cluster; an empty cluster keeps its centroid.
+
+    ``clusters`` comes from :func:`nearest_prototype`; ``members`` has geocell_index,
+    cluster_id, point_idx, embedding, lat, lon.  ``pick`` is nearest or farthest.
+    """
     items = members.select(
         "geocell_index",
         "cluster_id",
@@ -202,7 +265,8 @@ def _closest_member(asked: DataFrame, members: DataFrame, pick: str) -> DataFram
         F.col("lon").alias("m_lon"),
     )
     placed = closest_vector(
-        asked,
+        clusters,
+        samples,
         items,
         ["sample_id", "candidate"],
         ["geocell_index", "cluster_id"],
@@ -215,26 +279,6 @@ def _closest_member(asked: DataFrame, members: DataFrame, pick: str) -> DataFram
     ).drop("m_lat", "m_lon", "gap")
 
 
-def nearest_prototype(samples: DataFrame, candidates: DataFrame, prototypes: DataFrame) -> DataFrame:
-    """Closest prototype of every candidate cell; a cell without prototypes gets logit -100000 at (0, 0).
-
-    ``candidates`` has sample_id, candidate, geocell_index and probability;
-    ``prototypes`` has geocell_index, cluster_id, embedding, centroid_lat, centroid_lon.
-    """
-    asked = candidates.join(samples.select("sample_id", "embedding"), "sample_id")
-    return _closest_prototype(asked, prototypes).drop("embedding")
-
-
-def nearest_member(samples: DataFrame, clusters: DataFrame, members: DataFrame, pick: str = "nearest") -> DataFrame:
-    """Position of the best matching image of the chosen cluster; an empty cluster keeps its centroid.
-
-    ``clusters`` comes from :func:`nearest_prototype`; ``members`` has geocell_index,
-    cluster_id, point_idx, embedding, lat, lon.  ``pick`` is nearest or farthest.
-    """
-    asked = clusters.join(samples.select("sample_id", "embedding"), "sample_id")
-    return _closest_member(asked, members, pick).drop("embedding")
-
-
 def refine_prediction(
     samples: DataFrame,
     candidates: DataFrame,
@@ -252,17 +296,16 @@ def refine_prediction(
     initial prediction (``init_lat``, ``init_lon`` of ``samples``), the most probable
     cell is taken instead.  Without ``probability`` only candidate 0 counts.
 
-    Samples and candidates are joined once; vectors and initial positions then
-    travel with the rows instead of being joined again.
+    The list of candidates is carried through without vectors.
     """
     if "probability" not in candidates.columns:
         candidates = candidates.withColumn("probability", (F.col("candidate") == 0).cast("double"))
     asked = candidates.where(F.col("candidate") < topk)
-    asked = asked.join(samples.select("sample_id", "embedding", "init_lat", "init_lon"), "sample_id")
-    placed = _closest_member(_closest_prototype(asked, prototypes), members, pick)
+    placed = nearest_member(samples, nearest_prototype(samples, asked, prototypes), members, pick)
     # At most topk rows per sample are gathered.
     row = F.struct("candidate", "geocell_index", "cluster_id", "probability", "logit", "lat", "lon")
-    listed = placed.groupBy("sample_id", "init_lat", "init_lon").agg(F.array_sort(F.collect_list(row)).alias("c"))
+    listed = placed.groupBy("sample_id").agg(F.array_sort(F.collect_list(row)).alias("c"))
+    listed = listed.join(samples.select("sample_id", "init_lat", "init_lon"), "sample_id")
     listed = listed.withColumn(
         "c", F.when(F.size("c") < topk, F.raise_error(F.lit("fewer candidates than topk"))).otherwise(F.col("c"))
     )

@@ -112,13 +112,27 @@ def test_refinement_without_probabilities_prototypes_or_candidates(spark):
         refine(spark, (0.0, 0.0), [(1, 0, 1, 1.0)], topk=2)
 
 
-def test_packs_keep_the_closest_of_many_and_of_copies(spark, monkeypatch):
-    monkeypatch.setattr(predict, "PACK_SIZE", 4)
-    items = [(1, i, [float(i % 20), 1.0]) for i in range(100)]
+@pytest.mark.parametrize("farthest", [False, True])
+def test_chunks_and_packs_against_brute_force(spark, monkeypatch, farthest):
+    """A hot group cut into many chunks and packs, copies of vectors, ties, and a query without a group."""
+    monkeypatch.setattr(predict, "PACK_SIZE", 7)
+    monkeypatch.setattr(predict, "CHUNK_SIZE", 5)
+    rng = np.random.default_rng(4)
+    spots = rng.normal(size=(30, 3)).round(1)
+    items = [(1 if i % 3 else 2, i, spots[i % 30].tolist()) for i in range(120)]
+    rows = [(i, 1 if i % 4 else 2, (spots[i % 30] + (0.0 if i % 2 else 0.05)).tolist()) for i in range(60)]
+    rows.append((77, 5, [0.0, 0.0, 0.0]))
     table = spark.createDataFrame(items, "g long, k long, vector array<double>").withColumn("x", F.col("k") * 2)
-    asked = spark.createDataFrame([(i, 1, [i + 0.4, 1.0]) for i in range(10)] + [(77, 5, [0.0, 0.0])], "q long, g long, embedding array<double>")
-    got = {r["q"]: (r["k"], r["x"]) for r in predict.closest_vector(asked, table, ["q"], ["g"], "k", ["x"]).collect()}
-    assert got == {i: (i, 2 * i) for i in range(10)} | {77: (None, None)}
+    asked = spark.createDataFrame([(q, g) for q, g, _ in rows], "sample_id long, g long")
+    samples = spark.createDataFrame([(q, v) for q, _, v in rows], "sample_id long, embedding array<double>")
+    out = predict.closest_vector(asked, samples, table, ["sample_id"], ["g"], "k", ["x"], farthest)
+    got = {r["sample_id"]: (r["k"], r["x"]) for r in out.collect()}
+    sign = -1 if farthest else 1
+    want = {}
+    for q, g, v in rows:
+        near = [(sign * round(math.dist(v, w), 9), k) for h, k, w in items if h == g]
+        want[q] = (min(near)[1], 2 * min(near)[1]) if near else (None, None)
+    assert got == want
 
 
 def test_losses_by_hand(spark):
