@@ -106,13 +106,25 @@ def merge_sparse_cells(
 # ---- C4: core distance -------------------------------------------------------
 
 
+def _uncrowded_size(spots: DataFrame, size: float, limit: int) -> float:
+    """Square size, divided by four as often as needed, at which no square holds over ``limit`` positions."""
+    for _ in range(20):
+        squares = with_point_key(spots, [F.col("lat"), F.col("lon")], size).groupBy("cell_id", "g0", "g1")
+        fullest = squares.agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+        if fullest is None or fullest <= limit:
+            break
+        size /= 4.0
+    return size
+
+
 def core_distance(points: DataFrame, k: int = K.CLUSTER_MIN_POINTS, name: str = "core_km_deg") -> DataFrame:
     """Distance in degrees to the k-th nearest point of the same cell, the point itself included.
 
     Equal positions count with their weight.  The search looks at the 3x3 squares
     around a position; when the k-th neighbour is no farther than the border of
     that block it is final, otherwise the position goes on to squares four times
-    as large.  Cells with fewer than ``k`` points have no core distance (NULL).
+    as large.  The first squares are small enough for the most crowded spot, so
+    crowds are settled before squares grow.  Cells with fewer than ``k`` points have no core distance (NULL).
     """
     spots = cut_lineage(points.groupBy("cell_id", "lat", "lon").agg(F.count(F.lit(1)).alias("n")))
     sizes = spots.groupBy("cell_id").agg(F.sum("n").alias("cell_n"))
@@ -121,7 +133,7 @@ def core_distance(points: DataFrame, k: int = K.CLUSTER_MIN_POINTS, name: str =
         F.greatest(F.max("lat") - F.min("lat"), F.max("lon") - F.min("lon")).alias("side"),
     ).first()
     side = max(extent["side"] or 0.0, 1e-6)
-    size = side * (k / (9.0 * max(extent["n"], 1))) ** 0.5 * 4.0
+    size = _uncrowded_size(spots, side * (k / (9.0 * max(extent["n"], 1))) ** 0.5 * 4.0, 16 * k)
     found = spots.where(F.col("n") >= k).select("cell_id", "lat", "lon", F.lit(0.0).alias(name))
     small = sizes.where(F.col("cell_n") < k).select("cell_id")
     open_spots = cut_lineage(spots.where(F.col("n") < k).join(small, "cell_id", "left_anti").drop("n"))

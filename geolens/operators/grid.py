@@ -14,6 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geolens.operators.spread import keyed_join, salted_join, top_per_key
+from geolens.session import cut_lineage
+
+
+# A square whose candidate list is longer than this is searched on a finer grid.
+LONG_LIST = 256
+MAX_DEPTH = 8
 
 
 def square(value: Column, size: float | Column) -> Column:
@@ -69,6 +75,7 @@ def nearest_candidates(
     size: float,
     levels: int,
     slack: float = 0.0,
+    depth: int = 0,
 ) -> DataFrame:
     """Pairs that are certain to include the nearest item of every query.
 
@@ -81,7 +88,8 @@ def nearest_candidates(
     2. the nearest item of any query in the square lies within ``u`` plus the
        square's diagonal of the centre (triangle inequality), so a ball join of
        the square centres with the items yields a short list per square;
-    3. queries pick up the list of their square.
+    3. queries pick up the list of their square.  Squares with a long list, where
+       items crowd, are searched again on a finer grid instead.
 
     No item is left out, so the nearest one found among the pairs is exact.
     """
@@ -126,8 +134,17 @@ def nearest_candidates(
     lists = spots.join(balls, ["lv", *squares]).where(distance(i, c) <= F.col("reach"))
     lists = lists.drop("lv", "u", "reach", *squares, *[f"c{a}" for a in axes])
 
-    # 3. a crowded square is split over several tasks by adaptive execution.
-    return keyed.join(lists, cell_keys).drop(*cell_keys)
+    # 3. short lists are handed out, crowded squares go on with finer squares.  The
+    # rows of a square asked for most are split over tasks by adaptive execution.
+    lists = cut_lineage(lists)
+    long = lists.groupBy(*cell_keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > LONG_LIST)
+    long = cut_lineage(long.select(*cell_keys))
+    if slack > 0 or depth >= MAX_DEPTH or long.isEmpty():
+        return keyed.join(lists, cell_keys).drop(*cell_keys)
+    short = keyed.join(lists.join(long, cell_keys, "left_anti"), cell_keys).drop(*cell_keys)
+    crowded = cut_lineage(keyed.join(long, cell_keys, "left_semi").drop(*cell_keys))
+    finer = nearest_candidates(crowded, items, dims, size / 16.0, levels + 4, slack, depth + 1)
+    return short.unionByName(finer)
 
 
 def nearest(

@@ -16,8 +16,6 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.checkpoint.compress": "true",
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -37,9 +35,8 @@ def shared_folder(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="geolens-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return spark.sparkContext.getCheckpointDir() or folder
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="geolens-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def work_path(spark: SparkSession, label: str) -> str:
@@ -48,11 +45,16 @@ def work_path(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably so that later rounds neither recompute nor drift."""
+    """Write ``df`` to the shared folder and go on from the written table.
+
+    Later rounds neither recompute it nor lose it with an executor.  A table also
+    brings its true size along, whereas a checkpointed plan keeps the estimate of
+    the joins behind it, which squares with every round of a loop.
+    """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+    path = work_path(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def range_tasks(spark: SparkSession) -> int:
