@@ -69,7 +69,7 @@ def merge_sparse_cells(
     """
     state = cut_lineage(cells.select(F.col("cell_id").alias("region"), F.col("n_points").cast("bigint").alias("n")))
     edges = cut_lineage(neighbours.select("src", "dst").distinct())
-    roots = cut_lineage(cells.select("cell_id", F.col("cell_id").alias("root")))
+    roots = state.select(F.col("region").alias("cell_id"), F.col("region").alias("root"))
     turn = 0
     while True:
         sparse = state.where(F.col("n") < min_points).select("region")

@@ -10,6 +10,7 @@ from geolens.functions.geometry import box_ring
 from geolens.operators import geocells, measures, sampling, spatial
 from geolens.plans.scalar_queries import n4
 from geolens.plans.views import Tables, haversine, oracle, r4
+from geolens.session import cut_lineage
 
 QUERIES, ORACLES = {}, {}
 
@@ -209,7 +210,7 @@ def merge_sparse_cells(t: Tables) -> DataFrame:
     points = t.loc_points.drop("country_id")
     placed = spatial.assign_admin_cell(points, *admin_tables(t))
     counts = placed.groupBy("cell_id").agg(F.count(F.lit(1)).alias("n_points"))
-    cells = t.admin2.select("cell_id").join(counts, "cell_id", "left").fillna(0, ["n_points"])
+    cells = cut_lineage(t.admin2.select("cell_id").join(counts, "cell_id", "left").fillna(0, ["n_points"]))
     merged = geocells.merge_sparse_cells(cells, spatial.cell_neighbours(box_polygons(t.admin2)), 15)
     return merged.join(cells, "cell_id").groupBy("root").agg(
         F.sum("n_points").alias("n_points"), F.count(F.lit(1)).alias("n_cells")
