@@ -3,11 +3,12 @@
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from geolens.plans.catalog import all_oracles, all_queries
 from geolens.plans.views import TABLES
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, ORACLES = queries(), oracle_sql()
+QUERIES, ORACLES = all_queries(), all_oracles()
 ROWS_ONLY = {"merge_sparse_cells"}
 
 
