@@ -8,13 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from geolens.llm import decontaminate, rules
+from geolens.llm import chat, decontaminate, rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tricky = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat.read_back(chat.segments(rows))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_hits(docs, _table(spark, sf_dir, "benchmark"))
@@ -35,10 +42,35 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_chat_format": op2_chat_format,
     "op5_decontaminate": op5_decontaminate,
     "op10_quality_rules": op10_quality_rules,
 }
 
+_OP2 = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+),
+marked AS (
+  SELECT *, CASE role WHEN 'system' THEN 6 WHEN 'user' THEN 4 WHEN 'assistant' THEN 9
+      ELSE 1 + length(regexp_replace(role, '(\\|###|</turn>|:)', '\\\1', 'g')) END
+    + 6 + 8 + length(regexp_replace(text, '(\\|###|</turn>)', '\\\1', 'g')) AS chars,
+    lag(role, 1, '') OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k,
+    count(*) OVER (PARTITION BY conv_id) AS n
+  FROM rows
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY k), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars,
+  bool_and((CASE WHEN k = 1 THEN role IN ('system', 'user') ELSE (before = 'system' AND role = 'user')
+    OR (before = 'user' AND role = 'assistant') OR (before = 'assistant' AND role = 'user') END) AND (k < n OR role = 'assistant')) AS valid
+FROM marked GROUP BY conv_id
+"""
+
 _CAPITALS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _ALNUM = r"'[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+'"
 
@@ -63,4 +95,4 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN spots USING (r) LEFT JOIN named USING (r)
 """
 
-ORACLES: dict[str, str] = {"op5_decontaminate": _OP5}
+ORACLES: dict[str, str] = {"op2_chat_format": _OP2, "op5_decontaminate": _OP5}
