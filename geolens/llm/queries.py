@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from geolens.llm import chat, decontaminate, jaccard, packing, rules
+from geolens.llm import chat, decontaminate, html_text, jaccard, packing, rules
 
 
 def vocabulary(name: str) -> str:
@@ -51,6 +51,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rules.quality(_table(spark, sf_dir, "documents"), passing=["doc_id"])
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": op2_chat_format,
     "op5_decontaminate": op5_decontaminate,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op9_html_text": op9_html_text,
     "op10_quality_rules": op10_quality_rules,
 }
 
