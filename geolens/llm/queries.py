@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from geolens.llm import chat, decontaminate, html_text, jaccard, packing, rules, secrets
+from geolens.llm import archives, chat, decontaminate, html_text, jaccard, packing, rules, secrets
 
 
 def vocabulary(name: str) -> str:
@@ -53,6 +53,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": op2_chat_format,
     "op4_secret_scan": op4_secret_scan,
     "op5_decontaminate": op5_decontaminate,
+    "op6_warc_archives": op6_warc_archives,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op9_html_text": op9_html_text,
     "op10_quality_rules": op10_quality_rules,
@@ -124,4 +129,18 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN spots USING (r) LEFT JOIN named USING (r)
 """
 
-ORACLES: dict[str, str] = {"op2_chat_format": _OP2, "op5_decontaminate": _OP5}
+_OP6 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+q AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM q)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+ORACLES: dict[str, str] = {
+    "op2_chat_format": _OP2,
+    "op5_decontaminate": _OP5,
+    "op6_warc_archives": _OP6,
+}
