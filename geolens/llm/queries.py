@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from geolens.llm import archives, chat, decontaminate, html_text, jaccard, packing, rules, secrets
+from geolens.llm import archives, chat, decontaminate, html_text, jaccard, packing, pii, rules, secrets, token_counts
 
 
 def vocabulary(name: str) -> str:
@@ -33,6 +33,12 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.segments(rows))
 
 
+def op3_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.pseudonymise(docs, key="a key from the owner's store")
+    return found.select("doc_id", F.size("pii_kinds").cast("long").alias("n_replaced"), F.array_join("pii_kinds", ",").alias("kinds"), "text")
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.scan(docs, secrets.learn(docs))
@@ -61,6 +67,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), passing=["doc_id"])
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(_table(spark, sf_dir, "pages"))
 
@@ -73,10 +83,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_chat_format": op2_chat_format,
+    "op3_pii_pseudonyms": op3_pii_pseudonyms,
     "op4_secret_scan": op4_secret_scan,
     "op5_decontaminate": op5_decontaminate,
     "op6_warc_archives": op6_warc_archives,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_token_counts": op8_token_counts,
     "op9_html_text": op9_html_text,
     "op10_quality_rules": op10_quality_rules,
 }
