@@ -6,7 +6,6 @@ stage and never leaves the JVM.
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -329,5 +328,7 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def add_all(columns: list[Column]) -> Column:
-    return reduce(lambda left, right: left + right, columns)
+def unit_vector(a: Column) -> Column:
+    """The vector at length one, in doubles; the zero vector stays."""
+    length = F.sqrt(dot(a, a))
+    return F.transform(a, lambda x: F.when(length > 0, x.cast("double") / length).otherwise(x.cast("double")))

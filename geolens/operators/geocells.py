@@ -25,9 +25,11 @@ def rect_partition(points: DataFrame, max_points: int) -> DataFrame:
     A cell is cut at the middle of the longer side of its tight box; points beyond
     the middle go to child ``1``, the others to child ``0``, and ties of the sides
     cut the latitude.  A cell whose points all coincide is kept as it is.  Points
-    are reduced to weighted distinct positions, and finished cells leave the loop.
-    Returns one row per leaf.
+    without finite coordinates belong to no cell.  Points are reduced to weighted
+    distinct positions, and finished cells leave the loop.  Returns one row per leaf.
     """
+    for name in ("lat", "lon"):
+        points = points.where(F.abs(F.col(name).cast("double")) < F.lit(float("inf")))
     spots = points.groupBy("lat", "lon").agg(F.count(F.lit(1)).alias("n")).withColumn("cell", F.lit(""))
     open_spots, leaves = cut_lineage(spots), None
     while True:
@@ -45,8 +47,14 @@ def rect_partition(points: DataFrame, max_points: int) -> DataFrame:
         if boxes.where("split").isEmpty():
             return leaves
         by_lon = (F.col("max_lon") - F.col("min_lon")) > (F.col("max_lat") - F.col("min_lat"))
-        upper = F.when(by_lon, F.col("lon") > (F.col("max_lon") + F.col("min_lon")) / 2).otherwise(
-            F.col("lat") > (F.col("max_lat") + F.col("min_lat")) / 2
+
+        def middle(low: Column, high: Column) -> Column:
+            """Between neighbouring numbers the middle may round up to the larger one; then the smaller one cuts."""
+            half = (high + low) / 2
+            return F.when(half >= high, low).otherwise(half)
+
+        upper = F.when(by_lon, F.col("lon") > middle(F.col("min_lon"), F.col("max_lon"))).otherwise(
+            F.col("lat") > middle(F.col("min_lat"), F.col("max_lat"))
         )
         child = F.concat("cell", F.when(upper, "1").otherwise("0"))
         cut = salted_join(open_spots, boxes.where("split").drop("split", "n_points"), ["cell"])

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from geolens import constants as K
-from geolens.functions.scalar import dot, haversine_km
+from geolens.functions.scalar import dot, haversine_km, unit_vector
 from geolens.operators.spread import global_index, running_total
 from geolens.operators.tables import valid_indices
 
@@ -154,27 +154,30 @@ def hard_label_loss(logits: DataFrame, labels: DataFrame) -> DataFrame:
     return named.agg(F.count(F.lit(1)).alias("n"), F.avg(-F.col("log_prob")).alias("loss"))
 
 
-def retrieval_accuracy(left: DataFrame, right: DataFrame, batch_size: int) -> DataFrame:
-    """Share of rows whose most similar partner in their batch is their own, averaged over full batches.
+def retrieval_accuracy(left: DataFrame, right: DataFrame, batch_size: int, trials: int | None = None) -> DataFrame:
+    """Share of rows whose most similar partner in their batch, by cosine, is their own.
 
-    A batch is ``batch_size`` consecutive ids.  The partners of a batch travel as
-    one array, so rows are joined once each rather than pair by pair.
+    A batch is ``batch_size`` consecutive ids; the last one may be shorter.  A row
+    without partner is a miss.  ``trials`` looks at the first batches only.  The
+    partners of a batch travel as one array, so rows are joined once each rather
+    than pair by pair.
     """
-    rows = global_index(left.select("id", "embedding"), [F.col("id")], "at")
+    rows = global_index(left.select("id", unit_vector(F.col("embedding")).alias("embedding")), [F.col("id")], "at")
     rows = rows.withColumn("batch", F.floor(F.col("at") / batch_size))
+    if trials is not None:
+        rows = rows.where(F.col("batch") < trials)
     partners = rows.select("id", "at", "batch").join(
-        right.select("id", F.col("embedding").alias("partner")), "id"
+        right.select("id", unit_vector(F.col("embedding")).alias("partner")), "id"
     )
     packed = partners.groupBy("batch").agg(
         F.array_sort(F.collect_list(F.struct("at", "partner"))).alias("partners")
     )
-    packed = packed.where(F.size("partners") == batch_size)
     scores = F.transform("partners", lambda p: dot(F.col("embedding"), p["partner"]))
-    best = F.array_position(F.col("scores"), F.array_max("scores")) - 1
-    matched = rows.join(packed, "batch").withColumn("scores", scores)
-    hit = (best == F.pmod(F.col("at"), F.lit(batch_size))).cast("double")
-    trials = matched.groupBy("batch").agg(F.avg(hit).alias("accuracy"))
-    return trials.agg(F.count(F.lit(1)).alias("trials"), F.avg("accuracy").alias("accuracy"))
+    best = F.element_at("partners", F.array_position(F.col("scores"), F.array_max("scores")).cast("int"))["at"]
+    matched = rows.join(packed, "batch", "left").withColumn("scores", scores)
+    hit = F.coalesce(best == F.col("at"), F.lit(False)).cast("double")
+    by_batch = matched.groupBy("batch").agg(F.sum(hit).alias("hits"), F.count(F.lit(1)).alias("n"))
+    return by_batch.agg(F.count(F.lit(1)).alias("trials"), F.try_divide(F.sum("hits"), F.sum("n")).alias("accuracy"))
 
 
 def conversion_rate(
@@ -216,5 +219,3 @@ def binary_auc(df: DataFrame, y: str, score: str) -> DataFrame:
     wins = F.sum(F.col("pos") * (F.col("neg_upto") - F.col("neg") / 2.0))
     pairs = F.sum("pos").cast("double") * F.sum("neg")
     return summed.agg(F.when(pairs > 0, wins / pairs).otherwise(F.lit(float("nan"))).alias("auc"))
-
-

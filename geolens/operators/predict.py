@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from geolens import constants as K
 from geolens.functions.scalar import game_score, haversine_km
 from geolens.operators.measures import result_summary
-from geolens.operators.spread import top_per_key
+from geolens.operators.spread import global_index, top_per_key
 from geolens.session import cut_lineage
 
 # A block of weights shipped to every executor stays below this size.
@@ -27,12 +27,15 @@ PACK_SIZE = 1024
 
 
 def _weight_blocks(weights: DataFrame, dim: int) -> Iterator[pd.DataFrame]:
-    """The class weights in slices of bounded size, in class order."""
+    """The class weights in slices of bounded size, in class order, whatever their ids; a class without id is none."""
     per_block = max(1, BLOCK_BYTES // (8 * (dim + 2)))
-    top = weights.agg(F.max("geocell_index")).first()[0]
-    for start in range(0, (top if top is not None else -1) + 1, per_block):
-        window = weights.where(F.col("geocell_index").between(start, start + per_block - 1))
-        yield window.select("geocell_index", "weight", "bias").toPandas().sort_values("geocell_index")
+    named = weights.where(F.col("geocell_index").isNotNull()).select("geocell_index", "weight", "bias")
+    total = named.count()
+    if total > per_block:
+        named = global_index(named, [F.col("geocell_index")], "_row")
+    for start in range(0, total, per_block):
+        part = named.where(F.col("_row").between(start, start + per_block - 1)) if total > per_block else named
+        yield part.select("geocell_index", "weight", "bias").toPandas().sort_values("geocell_index")
 
 
 def _block_scores(samples: DataFrame, block: pd.DataFrame, schema: str, emit) -> DataFrame:
@@ -68,11 +71,12 @@ def class_logits(samples: DataFrame, weights: DataFrame, dim: int) -> DataFrame:
             }
         )
 
+    schema = "sample_id long, geocell_index long, logit double"
     out = None
     for block in _weight_blocks(weights, dim):
-        part = _block_scores(samples, block, "sample_id long, geocell_index long, logit double", emit)
+        part = _block_scores(samples, block, schema, emit)
         out = part if out is None else out.unionByName(part)
-    return out
+    return samples.sparkSession.createDataFrame([], schema) if out is None else out
 
 
 def score_linear_head(samples: DataFrame, weights: DataFrame, cells: DataFrame, dim: int, k: int = 5) -> DataFrame:
@@ -80,7 +84,8 @@ def score_linear_head(samples: DataFrame, weights: DataFrame, cells: DataFrame,
 
     Each slice of classes yields per sample its k best logits and the log of its
     sum of exponentials; slices are combined by sample.  With a single slice -
-    the usual case - nothing is shuffled.
+    the usual case - nothing is shuffled.  Without any class a sample has no
+    candidates; a best class without centroid has NULL coordinates.
     """
     schema = "sample_id long, peak double, total double, top array<struct<logit:double,geocell_index:long>>"
 
@@ -96,6 +101,10 @@ def score_linear_head(samples: DataFrame, weights: DataFrame, cells: DataFrame,
         return pd.DataFrame({"sample_id": ids, "peak": peak, "total": total, "top": top})
 
     parts = [_block_scores(samples, block, schema, emit) for block in _weight_blocks(weights, dim)]
+    if not parts:
+        none = [F.expr(f"cast(null as {kind}) as {name}") for name, kind in (("peak", "double"), ("total", "double"))]
+        none.append(F.expr("cast(array() as array<struct<logit: double, geocell_index: bigint>>) as top"))
+        parts = [samples.select("sample_id", *none)]
     scored = parts[0]
     if len(parts) > 1:
         for part in parts[1:]:
@@ -120,9 +129,9 @@ def score_linear_head(samples: DataFrame, weights: DataFrame, cells: DataFrame,
         ),
     )
     ready = scored.select("sample_id", candidates.alias("candidates"))
-    ready = ready.withColumn("geocell_index", F.col("candidates")[0]["geocell_index"])
+    ready = ready.withColumn("geocell_index", F.get("candidates", F.lit(0))["geocell_index"])
     where = cells.select("geocell_index", F.col("clat").alias("pred_lat"), F.col("clon").alias("pred_lon"))
-    return ready.join(where, "geocell_index")
+    return ready.join(where, "geocell_index", "left")
 
 
 def topk_candidates(probabilities: DataFrame, k: int = 5) -> DataFrame:
@@ -344,10 +353,11 @@ def evaluate(predictions: DataFrame, truth: DataFrame, meta: DataFrame, k: int =
     """Nested result per sample and the summary over all samples.
 
     ``predictions`` comes from :func:`score_linear_head`; ``meta`` names the cells
-    (geocell_index, country, admin1).
+    (geocell_index, country, admin1).  A sample without truth, or whose best class has
+    no centroid, keeps its row with NULL distance and score.
     """
-    joined = predictions.join(truth.select("sample_id", "lat", "lon", "true_cell"), "sample_id")
-    km = haversine_km(F.col("lat"), F.col("lon"), F.col("pred_lat"), F.col("pred_lon"), K.LABEL_RADIUS_M)
+    joined = predictions.join(truth.select("sample_id", "lat", "lon", "true_cell"), "sample_id", "left")
+    km = haversine_km(F.col("lat"), F.col("lon"), F.col("pred_lat"), F.col("pred_lon"), K.SCORE_RADIUS_M)
     listed = joined.select("sample_id", F.posexplode("candidates").alias("at", "c"))
     named = listed.select("sample_id", "at", "c.geocell_index", "c.probability")
     named = named.join(meta.select("geocell_index", "country", "admin1"), "geocell_index", "left")
@@ -363,7 +373,7 @@ def evaluate(predictions: DataFrame, truth: DataFrame, meta: DataFrame, k: int =
         "sample_id",
         F.transform("t", lambda e: e.dropFields("at")).alias("top5_geocells"),
     )
-    results = joined.join(top, "sample_id").select(
+    results = joined.join(top, "sample_id", "left").select(
         "sample_id",
         "true_cell",
         F.struct("lat", "lon").alias("ground_truth"),
@@ -372,5 +382,5 @@ def evaluate(predictions: DataFrame, truth: DataFrame, meta: DataFrame, k: int =
         game_score(km).alias("score"),
         F.slice("top5_geocells", 1, k).alias("top5_geocells"),
     )
-    flat = results.withColumn("top1_prob", F.col("top5_geocells")[0]["probability"])
+    flat = results.withColumn("top1_prob", F.get("top5_geocells", F.lit(0))["probability"])
     return results, result_summary(flat, check=False)

@@ -95,11 +95,12 @@ def label_covered_or_nearest(
     """Lowest cell covering the point, boundary included; otherwise the nearest cell.
 
     The nearest cell is measured to its boundary in degrees, ties to the lower
-    index.  Points are reduced to distinct coordinates for the search.
+    index.  Points are reduced to distinct coordinates for the search; a point without
+    coordinates has no label.
     """
     lows, highs = _box_sides()
     lon, lat = F.col("lon"), F.col("lat")
-    spots = points.select("lon", "lat").distinct()
+    spots = points.select("lon", "lat").dropna().distinct()
     covered = grid_join(spots, cells, [lon, lat], lows, highs, size, _inside(G.covers_point, lon, lat))
     covered = cut_lineage(covered.groupBy("lon", "lat").agg(F.min("geocell_index").alias("geocell_index")))
     rest = spots.join(covered, ["lon", "lat"], "left_anti").withColumns({"q0": lon, "q1": lat})
@@ -109,7 +110,7 @@ def label_covered_or_nearest(
         rest, pieces, ["lon", "lat"], F.round(gap, 9), [F.col("geocell_index")], 2, size, levels, slack=size / 2
     ).select("lon", "lat", "geocell_index")
     labels = covered.unionByName(closest)
-    out = salted_join(points, labels, ["lon", "lat"])
+    out = salted_join(points, labels, ["lon", "lat"], "left")
     if one_hot_size is not None:
         out = out.withColumn("one_hot", one_hot(F.col("geocell_index"), one_hot_size))
     return out
@@ -181,8 +182,14 @@ def cell_neighbours(cells: DataFrame, size: float = 8.0) -> DataFrame:
     )
 
     def holds(outer: str, inner: str) -> Column:
-        corner = F.element_at(f"{inner}_edges", 1)
-        return G.covers_point(F.col(f"{outer}_edges"), corner["x1"], corner["y1"])
+        """Some part of the inner shape lies inside the outer one: one corner of every ring is tested."""
+        edges = F.col(f"{inner}_edges")
+
+        def opens_ring(e: Column, i: Column) -> Column:
+            before = F.element_at(edges, F.greatest(i, F.lit(1)))
+            return (i == 0) | (e["x1"] != before["x2"]) | (e["y1"] != before["y2"])
+
+        return F.exists(F.filter(edges, opens_ring), lambda e: G.covers_point(F.col(f"{outer}_edges"), e["x1"], e["y1"]))
 
     meets = G.edges_intersect(F.col("a_edges"), F.col("b_edges")) | holds("a", "b") | holds("b", "a")
     pairs = (
@@ -203,9 +210,9 @@ def nearest_centroid(
 
     ``cells`` has geocell_index, clat, clon.  The search runs on the unit sphere,
     where chord length orders pairs as distance does, over distinct coordinates.
-    Ties (to the millimetre) go to the lower index.
+    Ties (to the millimetre) go to the lower index; a point without coordinates has no label.
     """
-    spots = points.select("lat", "lon").distinct()
+    spots = points.select("lat", "lon").dropna().distinct()
     queries = spots.withColumns({f"q{a}": v for a, v in enumerate(unit_xyz(F.col("lat"), F.col("lon")))})
     items = cells.select("geocell_index", "clat", "clon").withColumns(
         {f"i{a}": v for a, v in enumerate(unit_xyz(F.col("clat"), F.col("clon")))}
@@ -214,7 +221,7 @@ def nearest_centroid(
     best = nearest(
         queries, items, ["lat", "lon"], km, [F.col("geocell_index")], 3, size, 6, score_name="distance_km"
     ).select("lat", "lon", "geocell_index", "distance_km")
-    return salted_join(points, best, ["lat", "lon"])
+    return salted_join(points, best, ["lat", "lon"], "left")
 
 
 def coverage_snap(candidates: DataFrame, coverage: DataFrame, radius_m: float = 60.0) -> DataFrame:
@@ -246,14 +253,14 @@ def lookup_exact_or_nearest(
 ) -> DataFrame:
     """Row of ``table`` at the point's coordinates, otherwise the closest one in degrees.
 
-    Adds ``key`` and ``exact``; ties go to the smaller key.
+    Adds ``key`` and ``exact``; ties go to the smaller key.  Both are NULL for a point without coordinates.
     """
     first = table.groupBy("lat", "lon").agg(F.min(key).alias(key))
-    spots = points.select("lat", "lon").distinct()
+    spots = points.select("lat", "lon").dropna().distinct()
     exact = spots.join(first, ["lat", "lon"]).withColumn("exact", F.lit(True))
     rest = spots.join(first, ["lat", "lon"], "left_anti").withColumns({"q0": F.col("lon"), "q1": F.col("lat")})
     items = first.select(key, F.col("lon").alias("i0"), F.col("lat").alias("i1"))
     gap = F.pow(F.col("q0") - F.col("i0"), F.lit(2.0)) + F.pow(F.col("q1") - F.col("i1"), F.lit(2.0))
     closest = nearest(rest, items, ["lat", "lon"], F.round(gap, 9), [F.col(key)], 2, size, levels)
     closest = closest.select("lat", "lon", key).withColumn("exact", F.lit(False))
-    return salted_join(points, exact.unionByName(closest), ["lat", "lon"])
+    return salted_join(points, exact.unionByName(closest), ["lat", "lon"], "left")

@@ -11,7 +11,8 @@ from geolens import constants as K
 from geolens.functions.scalar import _literal_map, heading_distance, round6
 from geolens.operators.spread import global_index, rank_in_group, running_total, top_per_key
 
-# Above this many rows an ordered pick is cut by row index instead of a single top-n task.
+# Above this many rows an ordered pick is cut by row index instead of a single top-n task; the rows and their
+# order are the same.
 TOP_N_LIMIT = 100_000
 
 # ---- filters ----------------------------------------------------------------
@@ -137,12 +138,14 @@ def split_stratified(
     """Train and validation rows, shuffled per stratum by a seeded hash.
 
     Every stratum sends max(1, int(n*frac)) rows to validation, so a single row goes there.
+    Rows without a stratum are a stratum of their own.
     """
     mixed = df.withColumn("_mix", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))))
     ranked = rank_in_group(mixed, [stratum], [F.col("_mix"), F.col(key)], "_at")
-    sizes = df.groupBy(stratum).agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * frac)).alias("_val"))
-    marked = ranked.join(sizes, stratum)
-    drop = ("_mix", "_at", "_val")
+    size = F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * frac))
+    sizes = df.groupBy(F.col(stratum).alias("_stratum")).agg(size.alias("_val"))
+    marked = ranked.join(sizes, F.col(stratum).eqNullSafe(F.col("_stratum")))
+    drop = ("_mix", "_at", "_val", "_stratum")
     return (
         marked.where(F.col("_at") > F.col("_val")).drop(*drop),
         marked.where(F.col("_at") <= F.col("_val")).drop(*drop),
@@ -152,11 +155,13 @@ def split_stratified(
 def allocate_by_area(parts: DataFrame, need: int | str, scalar: float = 1.0) -> DataFrame:
     """Points each polygon part of a country takes, in part order, never beyond the country's need.
 
-    ``need`` is a number or a column of ``parts``.
+    ``need`` is a number or a column of ``parts``.  Parts without a country are one country; parts of a country
+    without area take nothing and are left out.
     """
-    totals = parts.groupBy("country").agg(F.sum("area").alias("_total")).where(F.col("_total") > 0)
+    totals = parts.groupBy(F.col("country").alias("_country")).agg(F.sum("area").alias("_total")).where(F.col("_total") > 0)
     wanted = F.col(need) if isinstance(need, str) else F.lit(need)
-    sized = parts.join(totals, "country").withColumn("_need", wanted.cast("bigint"))
+    sized = parts.join(totals, F.col("country").eqNullSafe(F.col("_country"))).drop("_country")
+    sized = sized.withColumn("_need", wanted.cast("bigint"))
     sized = sized.withColumn("_r", F.rint(F.col("area") * scalar / F.col("_total") * F.col("_need")).cast("bigint"))
     summed = running_total(sized, ["country"], [F.col("part_id")], F.col("_r"), "_cum")
     take = F.least("_cum", "_need") - F.least(F.col("_cum") - F.col("_r"), F.col("_need"))
@@ -210,7 +215,7 @@ def version_nth(keys: DataFrame, n: int = 0) -> DataFrame:
 def first_n(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
     if n <= TOP_N_LIMIT:
         return df.orderBy(*order).limit(n)
-    return global_index(df, order, "_at").where(F.col("_at") < n).drop("_at")
+    return global_index(df, order, "_at").where(F.col("_at") < n).orderBy("_at").drop("_at")
 
 
 def collection_budget(points: DataFrame, n: int) -> DataFrame:

@@ -142,17 +142,17 @@ def hard_label_loss(t: Tables) -> DataFrame:
 @query(
     f"WITH m AS ({MEANS_SQL}), r AS (SELECT vec_id, embedding::DOUBLE[] AS e, row_number() OVER (ORDER BY vec_id) - 1 AS at_, label FROM embeddings), "
     "p AS (SELECT r.*, list_transform(list_zip(r.e, m.mean), lambda x: x[1]*0.5::DOUBLE + x[2]) AS partner FROM r JOIN m USING (label)), "
-    "b AS (SELECT a.at_ // 20 AS batch, a.at_ AS i, q.at_ AS j, list_dot_product(a.e, q.partner) AS s FROM p a JOIN p q ON a.at_ // 20 = q.at_ // 20), "
+    "b AS (SELECT a.at_ // 30 AS batch, a.at_ AS i, q.at_ AS j, list_dot_product(a.e, q.partner) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(q.partner, q.partner))) AS s FROM p a JOIN p q ON a.at_ // 30 = q.at_ // 30), "
     "k AS (SELECT batch, i, j, row_number() OVER (PARTITION BY i ORDER BY s DESC, j) AS n FROM b) "
-    f"SELECT count(*) AS trials, {r4('avg(acc)')} AS accuracy FROM (SELECT batch, avg(CAST(i = j AS INTEGER)) AS acc FROM k WHERE n = 1 GROUP BY 1 HAVING count(*) = 20) f"
+    f"SELECT count(DISTINCT batch) AS trials, {r4('avg(CAST(i = j AS INTEGER))')} AS accuracy FROM k WHERE n = 1"
 )
 def retrieval_accuracy(t: Tables) -> DataFrame:
-    """Partner vectors: half the own vector plus the mean of the label."""
+    """Partner vectors: half the own vector plus the mean of the label.  The last batch is a short one."""
     left = t.embeddings.select(F.col("vec_id").alias("id"), "embedding", "label")
     means = measures.mean_vector(t.embeddings, ["label"], "embedding", "mean").drop("n")
     partner = F.zip_with("embedding", "mean", lambda a, b: a.cast("double") * 0.5 + b)
     right = left.join(means, "label").select("id", partner.alias("embedding"))
-    out = measures.retrieval_accuracy(left, right, 20)
+    out = measures.retrieval_accuracy(left, right, 30)
     return out.select("trials", n4("accuracy").alias("accuracy"))
 
 
@@ -271,7 +271,7 @@ def refine_change_rate(t: Tables) -> DataFrame:
 
 # ---- evaluation --------------------------------------------------------------
 
-_EVAL_KM = haversine("s.lat", "s.lon", "c.clat", "c.clon", K.LABEL_RADIUS_M)
+_EVAL_KM = haversine("s.lat", "s.lon", "c.clat", "c.clon", K.SCORE_RADIUS_M)
 EVAL_SQL = (
     f"{HEAD_SQL}, ev AS (SELECT s.sample_id, s.true_cell, k.geocell_index AS pred_cell, probability, {_EVAL_KM} AS km, c.clat, c.clon FROM rk k JOIN @samples s USING (sample_id) "
     "JOIN @cells c ON c.geocell_index = k.geocell_index WHERE candidate = 0)"

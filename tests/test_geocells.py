@@ -175,3 +175,13 @@ def test_prototype_members_are_chunked_and_complete(spark):
     table = geocells.prototype_table(clustered).collect()
     assert {(r["geocell_index"], r["cluster_id"]): r["count"] for r in table}[(0, 0)] == 33
     assert all((r["centroid_lat"], r["centroid_lng"]) == (1.0, 2.0) for r in table)
+
+
+def test_halving_ends_on_odd_numbers(spark):
+    nan, inf = float("nan"), float("inf")
+    a, b = 1 + 2**-52, 1 + 2**-51  # the middle rounds to the larger one
+    rows = [(nan, 0.0), (inf, 1.0), (0.0, -inf), (None, 1.0), (a, 0.0), (b, 0.0), (a, 0.0)]
+    frame = spark.createDataFrame(rows, "lat double, lon double")
+    got = sorted((r["min_lat"], r["max_lat"], r["n_points"]) for r in geocells.rect_partition(frame, 1).collect())
+    assert got == [(a, a, 2), (b, b, 1)]
+    assert geocells.rect_partition(frame.limit(4), 1).count() == 0

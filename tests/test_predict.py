@@ -158,12 +158,36 @@ def test_prototype_embeddings_average_views_then_members(spark):
     assert got == {1: (2, [6.0, 0.5]), 2: (0, [0.0, 0.0])}
 
 
-def test_retrieval_counts_full_batches(spark):
+def test_retrieval_counts_every_row(spark):
     left = spark.createDataFrame([(i, [1.0 if i % 2 == 0 else 0.0, 1.0 if i % 2 else 0.0]) for i in range(5)], "id long, embedding array<double>")
     right = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0]), (3, [0.0, 1.0]), (4, [1.0, 0.0])], "id long, embedding array<double>")
     trials, accuracy = measures.retrieval_accuracy(left, right, 2).first()
-    # rows 0, 1 and 2, 3 form batches; row 2 ties between its partners and takes the first, row 3 does too.
-    assert trials == 2 and accuracy == pytest.approx(0.75)
+    # rows 0, 1 and 2, 3 form batches; row 2 ties between its partners and takes the first, row 3 does too; row 4 is alone.
+    assert trials == 3 and accuracy == pytest.approx(0.8)
+    assert measures.retrieval_accuracy(left, right, 2, trials=2).first()["accuracy"] == pytest.approx(0.75)
+    # the partner of row 1 is missing: a miss, and the others still count
+    assert measures.retrieval_accuracy(left, right.where("id <> 1"), 5).first()["accuracy"] == pytest.approx(0.2)
+
+
+def test_retrieval_compares_unit_vectors(spark):
+    left = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.6, 0.8])], "id long, embedding array<double>")
+    right = spark.createDataFrame([(0, [1.0, 0.0]), (1, [60.0, 80.0])], "id long, embedding array<double>")
+    assert tuple(measures.retrieval_accuracy(left, right, 2).first()) == (1, 1.0)
+
+
+def test_head_with_gaps_in_class_ids_and_without_classes(spark, monkeypatch):
+    samples = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "sample_id long, embedding array<double>")
+    weights = spark.createDataFrame([(0, [1.0, 0.0], 0.0), (300_000, [0.0, 1.0], 0.0), (-5, [0.5, 0.5], 0.0)], "geocell_index long, weight array<double>, bias double")
+    cells = spark.createDataFrame([(0, 1.0, 2.0)], "geocell_index long, clat double, clon double")
+    whole = {r["sample_id"]: (r["geocell_index"], r["pred_lat"], [c["geocell_index"] for c in r["candidates"]]) for r in predict.score_linear_head(samples, weights, cells, 2).collect()}
+    assert whole == {1: (0, 1.0, [0, -5, 300_000]), 2: (300_000, None, [300_000, -5, 0])}
+    monkeypatch.setattr(predict, "BLOCK_BYTES", 32)  # one class a slice
+    sliced = {r["sample_id"]: (r["geocell_index"], r["pred_lat"], [c["geocell_index"] for c in r["candidates"]]) for r in predict.score_linear_head(samples, weights, cells, 2).collect()}
+    assert sliced == whole
+    assert predict.class_logits(samples, weights, 2).count() == 6
+    none = predict.score_linear_head(samples, weights.limit(0), cells, 2).collect()
+    assert [(len(r["candidates"]), r["geocell_index"]) for r in none] == [(0, None), (0, None)]
+    assert predict.class_logits(samples, weights.limit(0), 2).count() == 0
 
 
 def test_topk_and_rank_ties_take_the_lower_index(spark):

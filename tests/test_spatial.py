@@ -169,3 +169,27 @@ def test_sampling_counts_positions_and_repartitioning(spark):
     assert all(20 < r[2] < 21 and 20 < r[3] < 21 for r in runs[0] if r[0] == 2)
     assert all(r[2] < 0.2 or r[3] < 0.2 for r in runs[0] if r[0] == 1)
     assert len({r[2:] for r in runs[0]}) == 50
+
+
+def test_points_without_coordinates_keep_their_row(spark):
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, None, 0.0), (3, 1.0, None)], "point_id long, lat double, lon double")
+    cells = spark.createDataFrame([(7, 1.0, 1.0)], "geocell_index long, clat double, clon double")
+    got = {r["point_id"]: r["geocell_index"] for r in spatial.nearest_centroid(points, cells).collect()}
+    assert got == {1: 7, 2: None, 3: None}
+    table = spark.createDataFrame([(5, 0.0, 0.0)], "id long, lat double, lon double")
+    got = {r["point_id"]: (r["id"], r["exact"]) for r in spatial.lookup_exact_or_nearest(points, table, "id").collect()}
+    assert got == {1: (5, True), 2: (None, None), 3: (None, None)}
+
+
+def test_cells_with_several_parts_are_neighbours(spark):
+    """The second part of cell 2 lies inside cell 1; its first part is far away."""
+    square_ = lambda x, y, d: [(x, y), (x + d, y), (x + d, y + d), (x, y + d), (x, y)]
+    shapes = {1: [square_(0.0, 0.0, 10.0)], 2: [square_(50.0, 50.0, 1.0), square_(4.0, 4.0, 1.0)], 3: [square_(-40.0, -40.0, 1.0)]}
+    rows = []
+    for cell, rings in shapes.items():
+        edges = [(x1, y1, x2, y2) for ring in rings for (x1, y1), (x2, y2) in zip(ring, ring[1:])]
+        xs, ys = [e[0] for e in edges], [e[1] for e in edges]
+        rows.append((cell, 1, edges, min(xs), min(ys), max(xs), max(ys)))
+    schema = "cell_id long, country_id long, edges array<struct<x1: double, y1: double, x2: double, y2: double>>, min_x double, min_y double, max_x double, max_y double"
+    pairs = {(r["src"], r["dst"]) for r in spatial.cell_neighbours(spark.createDataFrame(rows, schema)).collect()}
+    assert pairs == {(1, 2), (2, 1)}

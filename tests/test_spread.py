@@ -153,3 +153,19 @@ def test_auc_and_accuracy_edges(spark):
     assert tuple(measures.map_center(spark.createDataFrame([], "lat double, lon double")).first()) == (60.0, 15.0, 0)
     with pytest.raises(ValueError):
         measures.result_summary(spark.createDataFrame([], "distance_km double, top1_prob double, score double"))
+
+
+def test_rows_without_stratum_or_country_are_kept(spark):
+    frame = spark.createDataFrame([(i, "a" if i < 10 else None) for i in range(30)], "id long, c string")
+    train, val = tables.split_stratified(frame, "c", "id", 0.1)
+    assert train.unionByName(val).count() == 30 and val.count() == 3
+    parts = spark.createDataFrame([(1, "x", 1.0), (2, None, 2.0), (3, None, 2.0)], "part_id long, country string, area double")
+    got = {r["part_id"]: r["take"] for r in tables.allocate_by_area(parts, 10).collect()}
+    assert got == {1: 10, 2: 5, 3: 5}
+
+
+def test_large_picks_are_ordered_like_small_ones(spark, monkeypatch):
+    frame = spark.createDataFrame([(i * 7 % 50,) for i in range(50)], "id long")
+    small = [r["id"] for r in tables.first_n(frame, [frame["id"].desc()], 20).collect()]
+    monkeypatch.setattr(tables, "TOP_N_LIMIT", 5)
+    assert [r["id"] for r in tables.first_n(frame, [frame["id"].desc()], 20).collect()] == small
