@@ -1,11 +1,13 @@
 """Versioned snapshots in plain Parquet folders.
 
 ``root/manifests``  one folder per ingested batch
-``root/snapshots``  one folder per version, holding a full table or only a batch
+``root/snapshots``  one folder per pointer and version, holding a full table or only a batch
 ``root/<pointer>``  one small JSON per version, naming the folders that make it up
 
 Data is written before its pointer, and a pointer is never changed, so a reader sees
-either the old version or the new one.  A new version normally adds its batch as one
+either the old version or the new one.  Versions are ordered by a sequence number in
+the pointer, not by their ids.  A known id with the same rows is a replay and changes
+nothing; with other rows it is refused, as later versions may stand on its folder.  A new version normally adds its batch as one
 more folder; the folders are folded into a full table every few versions, so a
 small batch does not rewrite a large snapshot.
 """
@@ -13,6 +15,7 @@ small batch does not rewrite a large snapshot.
 from __future__ import annotations
 
 import datetime
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -24,10 +27,12 @@ from geolens.operators.tables import ingest_report
 KEYS = ("location_id", "heading")
 LATEST = "_latest"
 HOLDOUT = "_holdout"
+_POINTER = "run_id string, parts array<string>, seq long, content string"
 
 
 def new_run_id() -> str:
-    return "run_ts=" + datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H%M%SZ")
+    """Time to the microsecond, and a few letters that keep writers of the same moment apart."""
+    return "run_ts=" + datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H%M%S.%fZ-") + uuid.uuid4().hex[:6]
 
 
 def write_batch_manifest(batch: DataFrame, root: str, run_id: str) -> str:
@@ -36,20 +41,45 @@ def write_batch_manifest(batch: DataFrame, root: str, run_id: str) -> str:
     return path
 
 
-def _write_pointer(spark: SparkSession, root: str, pointer: str, run_id: str, parts: list[str]) -> None:
-    row = spark.createDataFrame([(run_id, parts)], "run_id string, parts array<string>")
+def _write_pointer(
+    spark: SparkSession, root: str, pointer: str, run_id: str, parts: list[str], seq: int, content: str
+) -> None:
+    row = spark.createDataFrame([(run_id, parts, seq, content)], _POINTER)
     row.coalesce(1).write.mode("overwrite").json(f"{root}/{pointer}/version={run_id}")
 
 
-def _pointer(spark: SparkSession, root: str, pointer: str, before: str | None = None):
-    """Newest pointer entry, optionally older than a given run."""
+def _pointer(spark: SparkSession, root: str, pointer: str, run_id: str | None = None):
+    """Newest pointer entry, or the one of a run."""
     try:
-        entries = spark.read.schema("run_id string, parts array<string>").json(f"{root}/{pointer}/version=*")
-    except AnalysisException:
+        entries = spark.read.schema(_POINTER).json(f"{root}/{pointer}/version=*")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
-    if before is not None:
-        entries = entries.where(F.col("run_id") < before)
-    return entries.orderBy(F.col("run_id").desc()).first()
+    if run_id is not None:
+        return entries.where(F.col("run_id") == run_id).first()
+    return entries.orderBy(F.col("seq").desc()).first()
+
+
+def _content(df: DataFrame) -> str:
+    """Digest of the rows and columns of a table, whatever their order."""
+    names = sorted(df.columns)
+    sums = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*names).cast("decimal(38,0)"))).first()
+    return f"{sums[0]}:{sums[1] or 0}:{','.join(names)}"
+
+
+def _next_seq(newest) -> int:
+    return 0 if newest is None else newest["seq"] + 1
+
+
+def _published(spark: SparkSession, root: str, pointer: str, run_id: str, content: str) -> str | None:
+    """Path of a run that was published before with the same rows; an error if it had others."""
+    known = _pointer(spark, root, pointer, run_id)
+    if known is None:
+        return None
+    if known["content"] != content:
+        raise ValueError(f"{run_id} was published with other rows; use a new run id")
+    return known["parts"][-1]
 
 
 def _read_parts(spark: SparkSession, parts: list[str], keys=KEYS) -> DataFrame:
@@ -64,10 +94,12 @@ def _read_parts(spark: SparkSession, parts: list[str], keys=KEYS) -> DataFrame:
 
 def snapshot_write(df: DataFrame, root: str, run_id: str | None = None, pointer: str = LATEST) -> str:
     """Write a full version and flip the pointer to it."""
-    run_id = run_id or new_run_id()
-    path = f"{root}/snapshots/{run_id}"
+    run_id, spark, content = run_id or new_run_id(), df.sparkSession, _content(df)
+    if path := _published(spark, root, pointer, run_id, content):
+        return path
+    path = f"{root}/snapshots/{pointer.strip('_')}/{run_id}"
     df.write.mode("overwrite").parquet(path)
-    _write_pointer(df.sparkSession, root, pointer, run_id, [path])
+    _write_pointer(spark, root, pointer, run_id, [path], _next_seq(_pointer(spark, root, pointer)), content)
     return path
 
 
@@ -87,14 +119,17 @@ def publish_batch(
 ) -> str:
     """Add a batch as a new version: newest row per key wins, within the batch the last.
 
-    Publishing the same ``run_id`` again replaces that version, so a replayed
-    micro-batch changes nothing.
+    Publishing the same rows under the same ``run_id`` again changes nothing, so a
+    replayed micro-batch is harmless; other rows under it are refused.
     """
     spark = batch.sparkSession
     if order is not None:
         batch = top_per_key(batch, KEYS, [F.col(order).desc()])
-    path = f"{root}/snapshots/{run_id}"
-    previous = _pointer(spark, root, pointer, before=run_id)
+    content = _content(batch)
+    if path := _published(spark, root, pointer, run_id, content):
+        return path
+    path = f"{root}/snapshots/{pointer.strip('_')}/{run_id}"
+    previous = _pointer(spark, root, pointer)
     parts = list(previous["parts"]) if previous is not None else []
     if len(parts) + 1 >= compact_every:
         added = f"{path}-added"
@@ -103,7 +138,7 @@ def publish_batch(
         parts = []
     else:
         batch.write.mode("overwrite").parquet(path)
-    _write_pointer(spark, root, pointer, run_id, [*parts, path])
+    _write_pointer(spark, root, pointer, run_id, [*parts, path], _next_seq(previous), content)
     return path
 
 

@@ -51,6 +51,26 @@ def test_versions_replays_and_compaction(spark, tmp_path):
     assert snapshots.snapshot_read(spark, root, snapshots.HOLDOUT).count() == 1
 
 
+def test_versions_follow_their_publication_not_their_names(spark, tmp_path):
+    root = str(tmp_path)
+    for run_id, place in (("run_ts=stream-0000000000", "a"), ("run_ts=2026-01-01", "b"), ("run_ts=1999-01-01", "c")):
+        snapshots.publish_batch(batch(spark, [(place, 0, 1, run_id)]), root, run_id, "ord")
+    assert {r["location_id"] for r in snapshots.snapshot_read(spark, root).collect()} == {"a", "b", "c"}
+    assert snapshots._pointer(spark, root, "_latest")["run_id"] == "run_ts=1999-01-01"
+
+
+def test_a_known_version_is_not_overwritten(spark, tmp_path):
+    root = str(tmp_path)
+    snapshots.publish_batch(batch(spark, [("a", 0, 1, "x")]), root, "run_ts=1", "ord")
+    with pytest.raises(ValueError):
+        snapshots.publish_batch(batch(spark, [("b", 0, 1, "y")]), root, "run_ts=1", "ord")
+    with pytest.raises(ValueError):
+        snapshots.snapshot_write(batch(spark, [("b", 0, 1, "y")]), root, "run_ts=1")
+    snapshots.snapshot_write(batch(spark, [("h", 0, 1, "z")]), root, "run_ts=1", pointer=snapshots.HOLDOUT)
+    assert [r["note"] for r in snapshots.snapshot_read(spark, root).collect()] == ["x"]
+    assert len({snapshots.new_run_id() for _ in range(100)}) == 100
+
+
 def test_new_columns_become_null_in_old_rows(spark, tmp_path):
     root = str(tmp_path)
     snapshots.snapshot_write(batch(spark, [("a", 0, 1, "x")]).drop("note"), root, "run_ts=1")
