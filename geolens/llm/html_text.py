@@ -30,6 +30,8 @@ from geolens.llm.words import chunks
 from geolens.operators.spread import global_index
 from geolens.session import cut_lineage
 
+BROADCAST_ROWS = 500_000
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^>]*\Z|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>",
     re.S,
@@ -275,7 +277,8 @@ def template_blocks(parsed: DataFrame) -> DataFrame:
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of each page."""
     parsed = cut_lineage(parse_pages(pages))
-    marked = parsed.join(template_blocks(parsed), "row", "left")
+    deleted = cut_lineage(template_blocks(parsed))
+    marked = parsed.join(F.broadcast(deleted) if deleted.count() <= BROADCAST_ROWS else deleted, "row", "left")
     # the number of a loose block among the loose ones, to look it up in `deleted`
     numbered = F.transform("texts", lambda t, i: F.struct(t.alias("text"), F.element_at("loose", i + 1).alias("loose"), F.size(F.filter(F.slice("loose", 1, i), lambda x: x)).alias("place")))
     kept = F.when(F.col("deleted").isNull(), F.col("texts")).otherwise(
