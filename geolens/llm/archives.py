@@ -43,6 +43,8 @@ CHUNK = 4 << 20
 _V1 = "URL IP-address Archive-date Content-type Archive-length"
 _V2 = "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"
 _START = datetime(2001, 1, 1, tzinfo=timezone.utc)
+#: Schemes whose records hold no HTTP response.
+_OTHER = {"dns", "ftp", "whois", "gopher", "nntp", "mailto", "metadata"}
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -139,10 +141,16 @@ def _arc_records(content: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
 
 
 def _http(body: bytes) -> tuple[bytes, bytes]:
-    head, gap, payload = body.partition(b"\r\n\r\n")
+    """Head and payload; a body that doesn't begin as HTTP does is all payload."""
+    head, gap, payload = body.partition(b"\r\n\r\n") if body.startswith(b"HTTP/") else (b"", b"", body)
     return (head + gap, payload) if gap else (b"", body)
 
 
+def _full_date(said: str) -> str:
+    """Fourteen digits; what a short date leaves out is the first of its kind."""
+    return said[:14] + "00000101000000"[len(said) :]
+
+
 def _page_id(head: bytes) -> int | None:
     m = re.search(rb"^X-Page-Id: (-?\d+)\r?$", head, re.M)
     return int(m[1]) if m else None
@@ -163,9 +171,9 @@ def read_arc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame
             for k in range(batch.num_rows):
                 file = batch.column(0)[k].as_py().rpartition("/")[2]
                 for begin, fields, body in _arc_records(batch.column(1)[k].as_py()):
-                    web = fields["URL"].lower().startswith(("http:", "https:", "about:"))
+                    web = fields["URL"].lower().partition(":")[0] not in _OTHER
                     head, payload = _http(body) if web else (b"", body)
-                    when = datetime.strptime(fields["Archive-date"][:14].ljust(14, "0"), "%Y%m%d%H%M%S")
+                    when = datetime.strptime(_full_date(fields["Archive-date"]), "%Y%m%d%H%M%S")
                     row = (f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{file}#{begin}')}>", _page_id(head), fields["URL"], f"{when:%Y-%m-%dT%H:%M:%SZ}")
                     row += ("response" if web else "resource", hashlib.sha256(payload).hexdigest(), len(payload))
                     held.append(row + ((head, payload) if payloads else ()))
