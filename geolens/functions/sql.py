@@ -70,7 +70,7 @@ SQL_FUNCTIONS: dict[str, tuple[str, str, str]] = {
         "CASE WHEN country = 'United States Of America' THEN 'the United States' "
         f"WHEN country IN ({_quoted(K.ARTICLE_COUNTRIES)}) THEN concat('the ', country) ELSE country END",
     ),
-    "is_valid": ("value STRING", "BOOLEAN", "value IS NOT NULL AND trim(value) <> ''"),
+    "is_valid": ("value STRING", "BOOLEAN", "coalesce(value RLIKE r'\\S', false)"),
     "round6": ("value DOUBLE", "DOUBLE", "rint(value * 1e6D) / 1e6D"),
     "euclidean": ("a ARRAY<DOUBLE>, b ARRAY<DOUBLE>", "DOUBLE", f"sqrt({_EUCLID})"),
     "cosine": (
