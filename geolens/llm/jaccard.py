@@ -16,12 +16,13 @@ both sets give it.  (A set with fewer than t rich segments uses its poor segment
 each band by cost: more signatures against more false candidates, from the number of sets in the band.
 
 Equal sets are one class and give their signatures once.  Signatures are shuffled; sets that meet are candidates.
-A bucket of few sets gives its pairs.  A larger one is never expanded: its members are verified against one hub,
-what is linked becomes one component, and only members of different components go on to the next hub; what few
-pairs of different components are left after some rounds are verified one by one.  So no link between components
-is lost, whatever the bucket sizes.  Verification intersects the full sets: 100 * intersection >= 85 * union.
+A bucket of few sets gives its pairs.  A larger one is never expanded: its members are verified against one hub and
+what is linked becomes one component.  Buckets that still hold several components are crowds.  Sets of a crowd
+with too few shingles in other components leave it; the others are settled group by group in blocks inside the
+tasks, which return joining links only.  So no link between components is lost, whatever the bucket sizes, and
+pairs of a crowd are never rows.  Verification intersects the full sets: 100 * intersection >= 85 * union.
 
-Memory: a task holds a few MB of text, or one hub and a batch of members.  Only tables of checked size are
+Memory: a task holds a few MB of text, or one hub and a batch of members, or two blocks of a crowd.  Only tables of checked size are
 broadcast (ids of candidates, up to ``BROADCAST_ROWS``); larger ones are joined by shuffle.
 
 Hashes: shingles are told apart by 64 bits, sets by 64 bits as class id; a second 64-bit digest guards the class
@@ -42,16 +43,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geolens.llm.words import NOT_SPACE, Texts, Words, chunks, mix, window_firsts, windows
-from geolens.operators.geocells import connected_components
 from geolens.session import cut_lineage
 
 SHINGLE = 4
 PERCENT = 85
 FEW = 6  # sets of a bucket that gives all its pairs
 SMALL = 48  # largest set size of the bands that use one-deletion neighbourhoods of all segments
-HUB_ROUNDS = 3
 BROADCAST_ROWS = 1_000_000
 MEMBERS_PER_TASK = 2000
+BLOCK_SETS = 1000
+BLOCK_TOKENS = 400_000
 
 _U = np.uint64
 
@@ -355,46 +356,212 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
 # ---- components ---------------------------------------------------------------------
 
 
+def components(links: DataFrame) -> DataFrame:
+    """(node, root) of every node but the roots themselves, for a written table of links (a, b).
+
+    Every node hangs on its smallest neighbour, if that is smaller; such trees are flattened by pointer jumping.
+    Links between different trees are links of the next, much smaller round.
+    """
+    labels = None
+    while True:
+        both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        tree = cut_lineage(both.filter("b < a").groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")))
+        while True:
+            above = tree.select(F.col("node").alias("root"), F.col("root").alias("above"))
+            jumped = tree.join(above, "root", "left").select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved"))
+            jumped = cut_lineage(jumped)
+            if jumped.filter("moved").isEmpty():
+                break
+            tree = jumped.select("node", "root")
+        if labels is None:
+            labels = tree
+        else:
+            over = tree.select(F.col("node").alias("root"), F.col("root").alias("over"))
+            labels = labels.join(over, "root", "left").select("node", F.coalesce("over", "root").alias("root")).unionByName(tree)
+            labels = cut_lineage(labels)
+        links = _labelled(_labelled(links, "a", "x", tree), "b", "y", tree).filter("x <> y")
+        links = cut_lineage(links.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+        if links.isEmpty():
+            return labels
+
+
 def _labelled(df: DataFrame, column: str, name: str, labels: DataFrame) -> DataFrame:
     found = labels.select(F.col("node").alias(column), F.col("root").alias(name))
     return df.join(found, column, "left").withColumn(name, F.coalesce(name, column))
 
 
-def link_components(pairs: DataFrame, members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(node, root) of the linked sets, from written pairs (a, b) and bucket members (key, id, active)."""
-    ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b")
+# ---- crowds: sets that meet in large buckets and are not linked by way of their hubs -----------
 
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components and an active member."""
+    found = members.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("active").alias("any"))
+    return members.join(found.filter("x <> y and any").select("key"), "key")
+
+
+def _supported(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(id, label, size) of the sets of which ``percent`` % of the shingles are also in crowd sets of other components.
+
+    Others have no link into another component.  A count for each shingle, linear in the size of the sets.
+    """
+    tokens = sets.join(crowd, "id").select("id", "label", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
+    tokens = cut_lineage(tokens)
+    shared = tokens.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("token")
+    have = tokens.join(shared, "token").groupBy("id", "label", "size").agg(F.count(F.lit(1)).alias("n"))
+    return have.filter(100 * F.col("n") >= percent * F.col("size")).select("id", "label", "size")
+
+
+def _overlaps(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Intersection sizes of the sets of two blocks, each given as shingles and the number of their set, counted from 0."""
+    (ta, ra), (tb, rb) = a, b
+    na, nb = int(ra.max()) + 1, int(rb.max()) + 1
+    known = np.intersect1d(ta, tb)
+    out = np.zeros((na, nb), np.int32)
+    if not len(known):
+        return out
+    sides = []
+    for t, r in (a, b):
+        spot = np.minimum(np.searchsorted(known, t), len(known) - 1)
+        hit = known[spot] == t
+        spot, r = spot[hit], r[hit]
+        order = np.argsort(spot, kind="stable")
+        sides.append((spot[order], r[order], np.bincount(spot, minlength=len(known))))
+    (sa, ra, ca), (sb, rb, cb) = sides
+    frequent = ca * cb > max(na * nb // 100, 64)  # these by matrix products, the others pair by pair
+    for start in range(0, len(common := np.flatnonzero(frequent)), 512):
+        part = common[start : start + 512]
+        place = np.full(len(known), -1)
+        place[part] = np.arange(len(part))
+        x, y = np.zeros((na, len(part)), np.float32), np.zeros((nb, len(part)), np.float32)
+        x[ra[place[sa] >= 0], place[sa][place[sa] >= 0]] = 1
+        y[rb[place[sb] >= 0], place[sb][place[sb] >= 0]] = 1
+        out += (x @ y.T).astype(np.int32)
+    ia, ib = np.flatnonzero(~frequent[sa]), np.flatnonzero(~frequent[sb])
+    first = np.concatenate(([0], np.cumsum(np.where(frequent, 0, cb))))
+    reps = cb[sa[ia]]
+    left = np.repeat(ra[ia], reps)
+    inner = np.arange(len(left)) - np.repeat(np.cumsum(reps) - reps, reps)
+    right = rb[ib][np.repeat(first[sa[ia]], reps) + inner]
+    out += np.bincount(left * nb + right, minlength=na * nb).reshape(na, nb).astype(np.int32)
+    return out
+
+
+def _joined(ids: np.ndarray, labels: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join what ``linked`` (sets x sets) and equal labels join: to each other component at most one a set."""
+    number = np.unique(labels, return_inverse=True)[1]
+    x, y = np.nonzero(linked)
+    apart = number[x] != number[y]
+    x, y = x[apart], y[apart]
+    low = number.copy()
+    while True:
+        m = low.copy()
+        np.minimum.at(m, x, low[y])
+        np.minimum.at(m, y, low[x])
+        group = np.full(len(low), len(low))  # sets of one component stay together
+        np.minimum.at(group, number, m)
+        m = group[number]
+        if np.array_equal(m, low):
+            break
+        low = m
+    first = np.full(len(low) + 1, -1)
+    first[low[::-1]] = np.arange(len(low))[::-1]
+    root = first[low]
+    moved = np.flatnonzero(number != number[root])
+    return ids[root[moved]], ids[moved]
+
+
+def crowd_links(crowd: DataFrame, sets: DataFrame, plan: Allocation, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) that join the linked sets of each group of a written crowd (id, label, size, grp).
+
+    Sets of one group and band are dealt into blocks of bounded size; a block meets every block of its band and of
+    the band above inside a task, where intersections are matrix products and sums over shared shingles.  Pairs
+    are no rows: a task returns joining links only, at most one a set.
+    """
+    lows = F.array(*[F.lit(int(x)) for x in plan.lows])
+    crowd = crowd.withColumn("band", F.size(F.filter(lows, lambda x: x <= F.col("size"))) - 1)
+    blocks = crowd.groupBy("grp", "band").agg(F.greatest(F.ceil(F.sum("size") / BLOCK_TOKENS), F.ceil(F.count(F.lit(1)) / BLOCK_SETS)).cast("int").alias("blocks"))
+    blocks = cut_lineage(blocks)
+    near = lambda step: blocks.select("grp", (F.col("band") + step).alias("band"), F.col("blocks").alias("above" if step < 0 else "below"))
+    dealt = crowd.join(blocks, ["grp", "band"]).join(near(-1), ["grp", "band"], "left").join(near(1), ["grp", "band"], "left")
+    own = F.pmod(F.xxhash64("id"), "blocks").cast("int")
+    number = lambda n: F.when(F.coalesce(n, F.lit(0)) > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    place = lambda step, x, y, side: F.struct(step.alias("low"), x.alias("x"), y.alias("y"), side.alias("side"))
+    band = F.col("band")
+    at = F.concat(
+        F.transform(number(F.col("blocks")), lambda j: place(2 * band, F.least(own, j), F.greatest(own, j), (own > j).cast("int"))),
+        F.transform(number(F.col("above")), lambda j: place(2 * band + 1, own, j, F.lit(0))),
+        F.transform(number(F.col("below")), lambda j: place(2 * band - 1, j, own, F.lit(1))),
+    )
+    asked = cut_lineage(dealt.select("id", "label", "grp", F.explode(at).alias("at")).select("id", "label", "grp", "at.*"))
+    unit = ["grp", "low", "x", "y"]
+    rows = sets.join(_checked(asked, asked.count()), "id").repartition(*unit).sortWithinPartitions(*unit, "side")
+    rows = rows.select(F.xxhash64(*unit).alias("unit"), "side", "id", "label", "tokens")
+
+    def meet(held: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        side = np.concatenate([h[0] for h in held])
+        ids, labels = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
+        tokens, size = np.concatenate([h[3] for h in held]), np.concatenate([h[4] for h in held])
+        split = int((side == 0).sum())
+        owner = np.repeat(np.arange(len(ids)), size)
+        linked = np.zeros((len(ids), len(ids)), bool)
+        if split == len(ids):
+            both = _overlaps((tokens, owner), (tokens, owner))
+            linked[:] = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+        elif split:
+            left = owner < split
+            both = _overlaps((tokens[left], owner[left]), (tokens[~left], owner[~left] - split))
+            linked[:split, split:] = 100 * both >= percent * (size[:split, None] + size[None, split:] - both)
+        return _joined(ids, labels, linked)
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        now = None
+        for batch in batches:
+            units, side, ids, labels = (batch.column(i).to_numpy() for i in range(4))
+            lists = batch.column(4)
+            tokens, offsets = lists.values.to_numpy().view(_U), lists.offsets.to_numpy()
+            starts = np.flatnonzero(np.concatenate(([True], units[1:] != units[:-1]))) if len(units) else []
+            for a, b in zip(starts, np.append(starts[1:], len(units)) if len(units) else ()):
+                if units[a] != now:
+                    if held:
+                        yield from _in_parts([*meet(held)], ["a", "b"])
+                    held, now = [], units[a]
+                held.append((side[a:b].copy(), ids[a:b].copy(), labels[a:b].copy(), tokens[offsets[a] : offsets[b]].copy(), np.diff(offsets[a : b + 1])))
+        if held:
+            yield from _in_parts([*meet(held)], ["a", "b"])
+
+    return rows.mapInArrow(settle, "a long, b long")
+
+
+def link_components(pairs: DataFrame, members: DataFrame, sets: DataFrame, plan: Allocation, percent: int = PERCENT) -> DataFrame:
+    """(node, root) of the linked sets, from written pairs (a, b) and bucket members (key, id, active).
+
+    1. Each set is verified against the smallest set that it meets.
+    2. Pairs that this leaves in different components are verified, and large buckets that it leaves with several
+       components become crowds: groups of sets that meet, each settled block by block.
+    """
     hub = members.filter("active").groupBy("key").agg(F.min("id").alias("a"))
-    star = ordered(members.join(hub, "key").select("a", F.col("id").alias("b")))
+    star = members.join(hub, "key").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).filter("a <> b")
     tested = cut_lineage(pairs.select("a", "b").unionByName(star).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     links = cut_lineage(verify(tested, sets, percent).distinct())
-    number = 0
-    while True:
-        number += 1
-        labels = cut_lineage(connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
-        apart = _labelled(_labelled(pairs, "a", "la", labels), "b", "lb", labels).filter("la <> lb").select("a", "b")
-        known = _labelled(members, "id", "label", labels)
-        mixed = known.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("active").alias("any")).filter("x <> y and any").select("key")
-        members = cut_lineage(known.join(mixed, "key").select("key", "id", "active", "label"))
-        if number <= HUB_ROUNDS:  # each set meets one hub of another component
-            order = F.xxhash64("id", F.lit(number))
-            hub = members.filter("active").groupBy("key").agg(F.min(F.struct(order, F.col("id").alias("a"), F.col("label").alias("la"))).alias("h")).select("key", "h.a", "h.la")
-            star = members.join(hub, "key").filter("label <> la")
-            star = star.groupBy("id").agg(F.min(F.struct(F.xxhash64("a", F.lit(number)), "a")).alias("h")).select("h.a", F.col("id").alias("b"))
-        else:  # the rest, pair by pair
-            one = members.filter("active").select("key", F.col("id").alias("a"), F.col("label").alias("la"))
-            star = one.join(members, "key").filter("label <> la").select("a", F.col("id").alias("b"))
-        next_ = ordered(apart.unionByName(star)).distinct().join(tested, ["a", "b"], "left_anti")
-        next_ = cut_lineage(next_)
-        members = members.drop("label")
-        if next_.isEmpty():
-            if number > HUB_ROUNDS or members.isEmpty():
-                return labels
-            continue
-        links = cut_lineage(links.unionByName(verify(next_, sets, percent)).distinct())
-        tested = cut_lineage(tested.unionByName(next_))
-        if number > HUB_ROUNDS:
-            return cut_lineage(connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
+    labels = components(links)
+
+    apart = _labelled(_labelled(pairs, "a", "x", labels), "b", "y", labels).filter("x <> y").select("a", "b")
+    apart = cut_lineage(apart.join(tested, ["a", "b"], "left_anti"))
+    more = verify(apart, sets, percent)
+    mixed = cut_lineage(_mixed(_labelled(members, "id", "label", labels)))
+    crowd = cut_lineage(mixed.select("id", "label").distinct())
+    if not crowd.isEmpty():
+        crowd = cut_lineage(_supported(crowd, sets, percent))
+        mixed = _mixed(mixed.join(crowd.select("id"), "id", "left_semi"))
+        meeting = mixed.join(mixed.groupBy("key").agg(F.min("id").alias("a")), "key").filter("a <> id").select("a", F.col("id").alias("b"))
+        meeting = cut_lineage(meeting.distinct())
+        if not meeting.isEmpty():
+            inside = meeting.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+            crowd = cut_lineage(_labelled(crowd.join(inside, "id"), "id", "grp", components(meeting)))
+            more = more.unionByName(crowd_links(crowd, sets, plan, percent))
+    more = cut_lineage(more)
+    return components(cut_lineage(links.unionByName(more).distinct()))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc: str = "doc_id", shingle: int = SHINGLE, percent: int = PERCENT, small: int = SMALL, seed: int = 0) -> DataFrame:
@@ -417,7 +584,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc: str = "doc_id", sh
     needed = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(members.select("id")).distinct())
     found = _set_rows(docs, "text", shingle, seed).join(_checked(needed, needed.count()), "id")
     sets = cut_lineage(found.dropDuplicates(["id"]))
-    labels = link_components(pairs, members, sets, percent)
+    labels = link_components(pairs, members, sets, plan, percent)
 
     named = classes.join(labels, classes["id"] == labels["node"], "left").select("id", "first", F.coalesce("root", "id").alias("root"))
     best = named.groupBy("root").agg(F.min("first").alias("component_id"))
