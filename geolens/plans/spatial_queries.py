@@ -204,17 +204,37 @@ def rect_partition(t: Tables) -> DataFrame:
     )
 
 
-@query()
+@query(
+    "WITH RECURSIVE hits AS (SELECT cell_id, count(*) AS n FROM (SELECT lon, lat FROM @loc_points) p JOIN @admin2 ON lon > min_x AND lon < max_x AND lat > min_y AND lat < max_y "
+    "WHERE admin1_id <> 7 GROUP BY 1), "
+    "pairs AS (SELECT a.cell_id AS src, b.cell_id AS dst FROM @admin2 a JOIN @admin2 b ON a.country_id = b.country_id AND a.cell_id <> b.cell_id "
+    "AND a.max_x >= b.min_x AND b.max_x >= a.min_x AND a.max_y >= b.min_y AND b.max_y >= a.min_y), "
+    "reached(cell_id, other) AS (SELECT cell_id, cell_id FROM @admin2 UNION SELECT r.cell_id, p.dst FROM reached r JOIN pairs p ON p.src = r.other), "
+    "placed AS (SELECT cell_id, min(other) AS component FROM reached GROUP BY 1) "
+    "SELECT component, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_points, count(*) AS n_cells, true AS settled FROM placed LEFT JOIN hits USING (cell_id) GROUP BY 1"
+)
 def merge_sparse_cells(t: Tables) -> DataFrame:
-    """Quarter cells with fewer than 15 points absorb neighbours; totals per root."""
+    """Quarter cells with fewer than 15 points absorb neighbours; totals per group of neighbours.
+
+    Which cells join depends on hashes; that no point or cell is lost, and that every
+    root has its points unless it used up its group (``settled``), does not.
+    """
     points = t.loc_points.drop("country_id")
     placed = spatial.assign_admin_cell(points, *admin_tables(t))
     counts = placed.groupBy("cell_id").agg(F.count(F.lit(1)).alias("n_points"))
     cells = cut_lineage(t.admin2.select("cell_id").join(counts, "cell_id", "left").fillna(0, ["n_points"]))
-    merged = geocells.merge_sparse_cells(cells, spatial.cell_neighbours(box_polygons(t.admin2)), 15)
-    return merged.join(cells, "cell_id").groupBy("root").agg(
+    neighbours = cut_lineage(spatial.cell_neighbours(box_polygons(t.admin2)).select("src", "dst"))
+    merged = geocells.merge_sparse_cells(cells, neighbours, 15)
+    roots = merged.join(cells, "cell_id").groupBy("root").agg(
         F.sum("n_points").alias("n_points"), F.count(F.lit(1)).alias("n_cells")
     )
+    groups = geocells.connected_components(neighbours).select(F.col("node").alias("root"), F.col("root").alias("group"))
+    grouped = roots.join(groups, "root", "left").groupBy(F.coalesce("group", "root").alias("component"))
+    return grouped.agg(
+        F.sum("n_points").alias("n_points"),
+        F.sum("n_cells").alias("n_cells"),
+        ((F.min("n_points") >= 15) | (F.count(F.lit(1)) == 1)).alias("settled"),
+    )
 
 
 _GAP = "sqrt((a.lat-b.lat)*(a.lat-b.lat) + (a.lon-b.lon)*(a.lon-b.lon))"

@@ -9,7 +9,7 @@ from geolens.plans.views import TABLES
 
 FOLDER = "/root/testdata/sf0.001"
 QUERIES, ORACLES = all_queries(), all_oracles()
-ROWS_ONLY = {"merge_sparse_cells"}
+ROWS_ONLY: set[str] = set()
 
 
 @pytest.fixture(scope="module")
