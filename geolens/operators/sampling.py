@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +16,8 @@ from geolens.operators.spread import rank_in_group
 from geolens.operators.tables import allocate_by_area
 from geolens.session import cut_lineage, range_tasks
 
-TRIES_PER_POINT = 10_000
+# Draws for each wanted point before a part is filled slab by slab instead.
+TRIES_PER_POINT = 256
 CHUNK = 10_000
 
 
@@ -28,6 +34,58 @@ def _draws(parts: DataFrame, first: str, last: str) -> DataFrame:
     return spread.withColumn("trial", F.explode(F.sequence(start, end))).drop("_c")
 
 
+def _trapezoids(edges: np.ndarray) -> np.ndarray:
+    """(y0, y1, left and width at y0, left and width at y1) of the slabs between corners that lie inside the shape."""
+    low = np.where((edges[:, 1] <= edges[:, 3])[:, None], edges, edges[:, [2, 3, 0, 1]])
+    low = low[low[:, 1] < low[:, 3]]
+    low = low[np.argsort(low[:, 1], kind="stable")]
+    levels, out, active, at = np.unique(low[:, [1, 3]]), [], low[:0], 0
+    for y0, y1 in zip(levels[:-1], levels[1:]):
+        upto = int(np.searchsorted(low[:, 1], y0, side="right"))
+        active = np.concatenate((active[active[:, 3] > y0], low[at:upto]))
+        at = upto
+        slope = (active[:, 2] - active[:, 0]) / (active[:, 3] - active[:, 1])
+        x0, x1 = active[:, 0] + slope * (y0 - active[:, 1]), active[:, 0] + slope * (y1 - active[:, 1])
+        order = np.argsort(x0 + x1, kind="stable")
+        x0, x1 = x0[order], x1[order]
+        for k in range(0, len(order) - 1, 2):
+            out.append((y0, y1, x0[k], x0[k + 1] - x0[k], x1[k], x1[k + 1] - x1[k]))
+    return np.array(out).reshape(-1, 6)
+
+
+def _draw_in_slabs(edges: np.ndarray, n: int, seed: str) -> tuple[np.ndarray, np.ndarray]:
+    t = _trapezoids(edges)
+    area = (t[:, 1] - t[:, 0]) * (t[:, 3] + t[:, 5]) / 2 if len(t) else np.zeros(0)
+    if not area.sum() > 0:
+        raise ValueError("a polygon part without area was asked for points")
+    rng = np.random.default_rng(int.from_bytes(hashlib.md5(seed.encode()).digest()[:8], "big"))
+    t = t[rng.choice(len(t), n, p=area / area.sum())]
+    u, v = rng.random(n), rng.random(n)
+    a, b = t[:, 3], t[:, 5]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        up = np.where(np.isclose(a, b, rtol=1e-12, atol=0), u, (np.sqrt(a * a + u * (b * b - a * a)) - a) / (b - a))
+    return t[:, 2] + up * (t[:, 4] - t[:, 2]) + v * (a + up * (b - a)), t[:, 0] + up * (t[:, 1] - t[:, 0])
+
+
+def _fill(short: DataFrame, seed: int) -> DataFrame:
+    """The missing points of parts that fill little of their box: slabs by area, then a place inside the slab."""
+    chunks = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("take") - F.col("got") - 1) / CHUNK))
+    rows = short.withColumn("_c", F.explode(chunks)).repartition(range_tasks(short.sparkSession), "part_id", "_c")
+    n = F.least(F.lit(CHUNK), F.col("take") - F.col("got") - F.col("_c") * CHUNK)
+    first = F.col("from_t") + F.col("_c") * CHUNK
+    flat = F.flatten(F.transform("edges", lambda e: F.array(e["x1"], e["y1"], e["x2"], e["y2"])))
+    rows = rows.select("country", "part_id", F.concat_ws(":", F.lit(str(seed)), "part_id", "_c").alias("key"), n.alias("n"), first.alias("first"), flat.alias("edges"))
+    kinds = {f.name: f.dataType.simpleString() for f in short.schema}
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                lon, lat = _draw_in_slabs(np.asarray(r.edges, np.float64).reshape(-1, 4), int(r.n), r.key)
+                yield pd.DataFrame({"country": [r.country] * int(r.n), "part_id": r.part_id, "trial": np.arange(r.first, r.first + r.n), "lat": lat, "lon": lon})
+
+    return rows.mapInPandas(draw, f"country {kinds['country']}, part_id {kinds['part_id']}, trial long, lat double, lon double")
+
+
 def sample_in_polygons(parts: DataFrame, need: int | str, scalar: float = 1.0, seed: int = 42) -> DataFrame:
     """Points drawn uniformly inside each polygon part, boundary excluded.
 
@@ -35,7 +93,8 @@ def sample_in_polygons(parts: DataFrame, need: int | str, scalar: float = 1.0, s
     comes from :func:`allocate_by_area`.  Trial ``t`` of a part is a fixed function of
     seed, part and ``t``, and a part keeps its first accepted trials, so neither the
     partitioning nor the number of rounds shows in the result.  Parts still short
-    after a round draw on, up to 10000 trials per wanted point.
+    after a round draw on; those that fill too little of their box for that are cut
+    into slabs and filled exactly.  Every part gets its number of points.
     """
     planned = allocate_by_area(parts, need, scalar).where(F.col("take") > 0)
     columns = ["country", "part_id", "take", "edges", "min_x", "min_y", "max_x", "max_y"]
@@ -61,9 +120,11 @@ def sample_in_polygons(parts: DataFrame, need: int | str, scalar: float = 1.0, s
         grown = batch.join(added, "part_id", "left").withColumns(
             {"got": F.col("got") + F.coalesce("added", F.lit(0)), "from_t": F.col("to_t") + 1}
         )
-        open_parts = cut_lineage(
-            grown.where((F.col("got") < F.col("take")) & (F.col("from_t") <= limit)).select(*columns, "got", "from_t")
-        )
+        short = cut_lineage(grown.where(F.col("got") < F.col("take")).select(*columns, "got", "from_t"))
+        open_parts = short.where(F.col("from_t") <= limit)
+        slivers = short.where(F.col("from_t") > limit)
+        if not slivers.isEmpty():
+            kept = kept.unionByName(cut_lineage(_fill(slivers, seed)))
         if open_parts.isEmpty():
             return kept
         factor *= 2

@@ -193,3 +193,27 @@ def test_cells_with_several_parts_are_neighbours(spark):
     schema = "cell_id long, country_id long, edges array<struct<x1: double, y1: double, x2: double, y2: double>>, min_x double, min_y double, max_x double, max_y double"
     pairs = {(r["src"], r["dst"]) for r in spatial.cell_neighbours(spark.createDataFrame(rows, schema)).collect()}
     assert pairs == {(1, 2), (2, 1)}
+
+
+def test_slivers_get_all_their_points(spark):
+    """A triangle that fills a millionth of its box, a diagonal band with a hole, and two far parts of one shape."""
+    ring = lambda *p: [(x1, y1, x2, y2) for (x1, y1), (x2, y2) in zip(p, (*p[1:], p[0]))]
+    shapes = {
+        1: ring((0.0, 0.0), (10.0, 10.0), (10.0, 10.00001)),
+        2: ring((0.0, 0.0), (100.0, 99.9), (100.0, 100.0), (0.0, 0.1)) + ring((50.0, 50.0), (50.01, 50.02), (50.01, 50.03)),
+        3: ring((0.0, 0.0), (0.001, 0.0), (0.0, 0.001)) + ring((90.0, 90.0), (90.001, 90.0), (90.0, 90.003)),
+    }
+    rows = [(k, "c", 1.0, e, min(min(a[0], a[2]) for a in e), min(min(a[1], a[3]) for a in e), max(max(a[0], a[2]) for a in e), max(max(a[1], a[3]) for a in e)) for k, e in shapes.items()]
+    schema = "part_id long, country string, area double, edges array<struct<x1: double, y1: double, x2: double, y2: double>>, min_x double, min_y double, max_x double, max_y double"
+    parts = spark.createDataFrame(rows, schema)
+    got = sampling.sample_in_polygons(parts, 600).collect()
+    assert sorted(r["part_id"] for r in got) == [1] * 200 + [2] * 200 + [3] * 200
+    assert sorted(map(tuple, sampling.sample_in_polygons(parts.repartition(3), 600).collect())) == sorted(map(tuple, got))
+    for r in got:
+        x, y = r["lon"], r["lat"]
+        if r["part_id"] == 1:
+            assert x - 1e-12 <= y <= x * 1.000001 + 1e-12
+        elif r["part_id"] == 2:
+            assert 0.999 * x - 1e-9 <= y <= 0.999 * x + 0.1 + 1e-9
+    upper = sum(r["lat"] > 45 for r in got if r["part_id"] == 3)
+    assert 120 < upper < 180  # three quarters of the area
