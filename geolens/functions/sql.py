@@ -22,6 +22,41 @@ def _int32(name: str) -> str:
     return f"unhex(right(lpad(hex(cast(rint({name} * 1e7D) AS BIGINT)), 16, '0'), 8))"
 
 
+_MEAN = "aggregate(transform(ring, p -> p.{0}), 0D, (t, v) -> t + v) / size(ring)"
+_SQUASH = (1.0 - K.WGS84_FLATTENING) ** 2
+
+
+def _lla_from_ecef() -> str:
+    """The closed-form solution; each stage names its value for the next one."""
+    a = K.LABEL_RADIUS_M
+    b = a * (1.0 - K.WGS84_FLATTENING)
+    e2 = 1.0 - (b / a) ** 2
+    linear2 = a * a - b * b
+    n = {k: f"{v!r}D" for k, v in {"a": a, "b2": b * b, "e2": e2, "one": 1.0 - e2, "l2": linear2, "s2": linear2 / (b * b)}.items()}
+    stages = (
+        ("g", f"pow(v.rho, 2) + {n['one']} * z * z - {n['e2']} * {n['l2']}"),
+        ("f", f"54D * {n['b2']} * z * z"),
+        ("c", f"{n['e2']} * {n['e2']} * v.f * v.rho * v.rho / (v.g * v.g * v.g)"),
+        ("s", "pow(1D + v.c + sqrt(v.c * v.c + 2D * v.c), 1D / 3D)"),
+        ("p", "v.f / (3D * pow(v.s + 1D / v.s + 1D, 2) * v.g * v.g)"),
+        ("q", f"sqrt(1D + 2D * {n['e2']} * {n['e2']} * v.p)"),
+        (
+            "r",
+            f"-(v.p * {n['e2']} * v.rho) / (1D + v.q) + sqrt(greatest(0D, 0.5D * {n['a']} * {n['a']} * (1D + 1D / v.q) "
+            f"- v.p * {n['one']} * z * z / (v.q * (1D + v.q)) - 0.5D * v.p * v.rho * v.rho))",
+        ),
+        ("w", f"sqrt(pow(v.rho - {n['e2']} * v.r, 2) + {n['one']} * z * z)"),
+    )
+    row, known = "array(named_struct('rho', hypot(x, y)))", ["rho"]
+    for name, value in stages:
+        kept = ", ".join(f"'{k}', v.{k}" for k in known)
+        row = f"transform({row}, v -> named_struct({kept}, '{name}', {value}))"
+        known.append(name)
+    latitude = f"degrees(atan((z + {n['s2']} * ({n['b2']} * z / ({n['a']} * v.w))) / v.rho))"
+    lat = f"transform({row}, v -> {latitude})[0]"
+    return f"named_struct('lat', IF(hypot(x, y) < 1e-9D, signum(z) * 90D, {lat}), 'lon', degrees(atan2(y, x)))"
+
+
 SQL_FUNCTIONS: dict[str, tuple[str, str, str]] = {
     "location_id": (
         "lat DOUBLE, lon DOUBLE",
@@ -89,6 +124,35 @@ SQL_FUNCTIONS: dict[str, tuple[str, str, str]] = {
         "abs(aggregate(zip_with(slice(ring, 1, size(ring) - 1), slice(ring, 2, size(ring) - 1), "
         "(p, q) -> p.x * q.y - q.x * p.y), 0D, (s, v) -> s + v)) / 2D",
     ),
+    "ring_bbox": (
+        "ring ARRAY<STRUCT<x: DOUBLE, y: DOUBLE>>",
+        "STRUCT<min_x: DOUBLE, min_y: DOUBLE, max_x: DOUBLE, max_y: DOUBLE>",
+        "named_struct('min_x', array_min(transform(ring, p -> p.x)), 'min_y', array_min(transform(ring, p -> p.y)), "
+        "'max_x', array_max(transform(ring, p -> p.x)), 'max_y', array_max(transform(ring, p -> p.y)))",
+    ),
+    "ring_centroid": (
+        "ring ARRAY<STRUCT<x: DOUBLE, y: DOUBLE>>",
+        "STRUCT<x: DOUBLE, y: DOUBLE>",
+        "aggregate(zip_with(slice(ring, 1, size(ring) - 1), slice(ring, 2, size(ring) - 1), (p, q) -> named_struct("
+        "'a', p.x * q.y - q.x * p.y, 'x', (p.x + q.x) * (p.x * q.y - q.x * p.y), 'y', (p.y + q.y) * (p.x * q.y - q.x * p.y))), "
+        "named_struct('a', 0D, 'x', 0D, 'y', 0D), (s, v) -> named_struct('a', s.a + v.a, 'x', s.x + v.x, 'y', s.y + v.y), "
+        f"s -> IF(s.a = 0, named_struct('x', {_MEAN.format('x')}, 'y', {_MEAN.format('y')}), "
+        "named_struct('x', s.x / (3D * s.a), 'y', s.y / (3D * s.a))))",
+    ),
+    "ecef_from_lla": (
+        "lat DOUBLE, lon DOUBLE",
+        "STRUCT<x: DOUBLE, y: DOUBLE, z: DOUBLE>",
+        "transform(array(named_struct('f', radians(lat), 'l', radians(lon), 'n', "
+        f"{K.LABEL_RADIUS_M}D / sqrt(pow(cos(radians(lat)), 2) + {_SQUASH!r}D * pow(sin(radians(lat)), 2)))), "
+        "p -> named_struct('x', p.n * cos(p.f) * cos(p.l), 'y', p.n * cos(p.f) * sin(p.l), "
+        f"'z', p.n * {_SQUASH!r}D * sin(p.f)))[0]",
+    ),
+    "lla_from_ecef": ("x DOUBLE, y DOUBLE, z DOUBLE", "STRUCT<lat: DOUBLE, lon: DOUBLE>", _lla_from_ecef()),
+    "multitask_labels": (
+        "elevation DOUBLE, population DOUBLE, temperature DOUBLE, temperature_range DOUBLE, precipitation DOUBLE, precipitation_range DOUBLE",
+        "ARRAY<DOUBLE>",
+        "array(elevation, population, temperature, temperature_range, precipitation, precipitation_range)",
+    ),
 }
 
 

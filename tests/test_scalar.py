@@ -175,3 +175,24 @@ def test_sql_functions_agree_with_columns(spark):
         S.one_hot(F.lit(1), 3), F.lit(5.0), S.image_key(F.lit("ab"), F.lit(90)),
     )
     assert list(got) == list(want)
+
+
+def test_sql_functions_say_what_the_columns_say(spark):
+    from geolens.functions import geometry as G
+    from geolens.functions.sql import register_functions
+
+    register_functions(spark, "same_")
+    places = [(0.0, 0.0), (90.0, 5.0), (-90.0, 0.0), (59.9, 10.7), (-33.9, 151.2), (1e-9, -180.0), (45.0, 90.0)]
+    table = spark.createDataFrame(places, "lat double, lon double").withColumn("p", S.ecef_from_lla("lat", "lon"))
+    table = table.withColumn("back", S.lla_from_ecef(F.col("p.x"), F.col("p.y"), F.col("p.z")))
+    for r in table.selectExpr("p", "back", "same_ecef_from_lla(lat, lon) AS q", "same_lla_from_ecef(p.x, p.y, p.z) AS again").collect():
+        assert tuple(r["q"]) == pytest.approx(tuple(r["p"]), abs=1e-6)
+        assert tuple(r["again"]) == pytest.approx(tuple(r["back"]), abs=1e-9)
+    rings = [[(0.0, 0.0), (4.0, 0.0), (4.0, 2.0), (0.0, 2.0), (0.0, 0.0)], [(1.0, 1.0), (2.0, 2.0), (1.0, 1.0)]]
+    table = spark.createDataFrame([(r,) for r in rings], "ring array<struct<x: double, y: double>>")
+    table = table.select("ring", G.ring_bbox(F.col("ring")).alias("b"), G.ring_centroid(F.col("ring")).alias("c"))
+    for r in table.selectExpr("b", "c", "same_ring_bbox(ring) AS b2", "same_ring_centroid(ring) AS c2").collect():
+        assert r["b"] == r["b2"] and tuple(r["c2"]) == pytest.approx(tuple(r["c"]))
+    values = spark.createDataFrame([(None,), ("",), ("\t\n",), (" ",), (" x",)], "v string")
+    assert values.where(S.is_valid(F.col("v")) != F.expr("same_is_valid(v)")).count() == 0
+    assert spark.sql("SELECT same_multitask_labels(1, 2, 3, 4, 5, NULL) AS l").first()["l"] == [1.0, 2.0, 3.0, 4.0, 5.0, None]
