@@ -64,7 +64,16 @@ def _hits(words: Words, i: int, spans: list[tuple[int, int]]) -> list[dict]:
     return [{"first": a, "last": b} for a, b in out]
 
 
-def _scan(docs: DataFrame, rows: list, text: str) -> DataFrame:
+def _without(whole: bytes, hits: list[dict], starts: np.ndarray, ends: np.ndarray) -> str:
+    """The text without the bytes from the first to the last word of each hit range; borders are those of its words."""
+    begin, kept = 0, []
+    for r in hits:
+        kept.append(whole[begin : starts[r["first"]]])
+        begin = ends[r["last"]]
+    return b"".join([*kept, whole[begin:]]).decode()
+
+
+def _scan(docs: DataFrame, rows: list, text: str, remove: bool = False) -> DataFrame:
     items: dict[str, list[str]] = {}
     hashes: dict[int, set[int]] = {}
     for r in rows:
@@ -108,12 +117,20 @@ def _scan(docs: DataFrame, rows: list, text: str) -> DataFrame:
                         spans.setdefault(i, []).extend((x["first"], x["last"]) for x in old)
                         found.setdefault(i, set()).update(old_items[i])
                 n = len(texts)
+                hits = [_hits(words, i, spans[i]) if i in spans else [] for i in range(n)]
+                kept = {i: part.column(i) for i in keep}
+                if remove and spans:
+                    said = part.column(at).to_pylist()
+                    for i in spans:
+                        own = slice(words.first[i], words.first[i + 1])
+                        said[i] = _without(texts.one(i), hits[i], words.starts[own] - texts.offsets[i], words.ends[own] - texts.offsets[i])
+                    kept[at] = pa.array(said, pa.string())
                 new = [
                     pa.array(np.diff(words.first), pa.int64()),
-                    pa.array([_hits(words, i, spans[i]) if i in spans else [] for i in range(n)], _HITS),
+                    pa.array(hits, _HITS),
                     pa.array([sorted(found[i]) if i in found else [] for i in range(n)], pa.list_(pa.string())),
                 ]
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in keep), *new], names=[*(names[i] for i in keep), "n_words", "hits", "items"])
+                yield pa.RecordBatch.from_arrays([*kept.values(), *new], names=[*(names[i] for i in keep), "n_words", "hits", "items"])
 
     return docs.mapInArrow(scan, f"{schema}, n_words long, hits array<struct<first: long, last: long>>, items array<string>")
 
@@ -126,15 +143,19 @@ def find_hits(
     item: str = "item_id",
     item_text: str = "text",
     windows_at_once: int = WINDOWS_AT_ONCE,
+    remove: bool = False,
 ) -> DataFrame:
-    """``docs`` with ``n_words``, ``hits`` (merged word ranges inside windows) and ``items`` (ids of the items found)."""
+    """``docs`` with ``n_words``, ``hits`` (merged word ranges inside windows) and ``items`` (ids of the items found).
+
+    With ``remove`` the texts come without the hits, as from ``remove_hits``; ``n_words`` and ``hits`` are those before.
+    """
     known = benchmark_windows(benchmark, window, item_text, item).persist()
     docs = docs.drop("n_words", "hits", "items").withColumn("hits", F.expr("cast(null as array<struct<first: long, last: long>>)"))
     docs = docs.withColumn("items", F.expr("cast(null as array<string>)"))
     try:
         slices = -(-known.count() // windows_at_once) or 1
         for b in range(slices):
-            docs = _scan(docs, known.filter(F.pmod("hash", F.lit(slices)) == b).collect(), text)
+            docs = _scan(docs, known.filter(F.pmod("hash", F.lit(slices)) == b).collect(), text, remove and b + 1 == slices)
             if b + 1 < slices:
                 docs = cut_lineage(docs)
     finally:
@@ -159,12 +180,8 @@ def remove_hits(found: DataFrame, text: str = "text") -> DataFrame:
                 for i, ranges in enumerate(hits):
                     if not ranges:
                         continue
-                    whole, begin, first = texts.one(i), 0, words.first[i]
-                    kept = []
-                    for r in ranges:
-                        kept.append(whole[begin : words.starts[first + r["first"]] - texts.offsets[i]])
-                        begin = words.ends[first + r["last"]] - texts.offsets[i]
-                    out[i] = b"".join([*kept, whole[begin:]]).decode()
+                    own = slice(words.first[i], words.first[i + 1])
+                    out[i] = _without(texts.one(i), ranges, words.starts[own] - texts.offsets[i], words.ends[own] - texts.offsets[i])
                 arrays = [*part.columns]
                 arrays[at] = pa.array(out, pa.string())
                 yield pa.RecordBatch.from_arrays(arrays, names=names)

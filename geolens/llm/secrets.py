@@ -248,8 +248,20 @@ _RESULT = "base_spans string, spans string, n_assign long, n_access long, n_hex
 _NAMES = ["base_spans", "spans", "n_assign", "n_access", "n_hex", "secret_bytes"]
 
 
-def scan(docs: DataFrame, network: Network | None, text: str = "text") -> DataFrame:
-    """``docs`` with all spans (kind:start:end in code points, comma-joined), counts of base spans, and byte ranges."""
+def _masked(text: str, ranges: list[dict], mask: str) -> str:
+    whole, kept, begin = text.encode(), [], 0
+    for r in ranges:
+        if r["start"] >= begin:
+            kept += [whole[begin : r["start"]], mask.encode()]
+        begin = max(begin, r["end"])
+    return b"".join([*kept, whole[begin:]]).decode()
+
+
+def scan(docs: DataFrame, network: Network | None, text: str = "text", mask: str | None = None) -> DataFrame:
+    """``docs`` with all spans (kind:start:end in code points, comma-joined), counts of base spans, and byte ranges.
+
+    With ``mask`` the texts come redacted, as from ``redact``; spans and ranges are those of the texts before.
+    """
     docs = docs.drop(*_NAMES)
     names = docs.columns
     at = names.index(text)
@@ -284,7 +296,13 @@ def scan(docs: DataFrame, network: Network | None, text: str = "text") -> DataFr
                     ranges[i] = [{"start": a, "end": b} for a, _, b in found]
                 new = [pa.array(own, pa.string()), pa.array(said, pa.string()), *(pa.array(counts[k]) for k in range(3))]
                 new.append(pa.array(ranges, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))))
-                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*names, *_NAMES])
+                columns = [*part.columns]
+                if mask is not None and spans:
+                    column = part.column(at).to_pylist()
+                    for i in spans:
+                        column[i] = _masked(column[i], ranges[i], mask)
+                    columns[at] = pa.array(column, pa.string())
+                yield pa.RecordBatch.from_arrays([*columns, *new], names=[*names, *_NAMES])
 
     return docs.mapInArrow(look, f"{schema}, {_RESULT}")
 
@@ -299,12 +317,7 @@ def redact(found: DataFrame, text: str = "text", mask: str = "[SECRET]") -> Data
             column = batch.column(at).to_pylist()
             for i, ranges in enumerate(batch.column(at_ranges).to_pylist()):
                 if ranges:
-                    whole, kept, begin = column[i].encode(), [], 0
-                    for r in ranges:
-                        if r["start"] >= begin:
-                            kept += [whole[begin : r["start"]], mask.encode()]
-                        begin = max(begin, r["end"])
-                    column[i] = b"".join([*kept, whole[begin:]]).decode()
+                    column[i] = _masked(column[i], ranges, mask)
             arrays = [*batch.columns]
             arrays[at] = pa.array(column, pa.string())
             yield pa.RecordBatch.from_arrays(arrays, names=names)

@@ -37,16 +37,25 @@ class WordEndTokenizer:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
+        self.path, self._whole = path, None
         parts = json.loads(open(path, encoding="utf-8").read())
         parts |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
         self.merger = Tokenizer.from_str(json.dumps(parts))
-        vocabulary = self.whole.get_vocab()
+        vocabulary = parts["model"]["vocab"]
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         suffix = parts["model"]["end_of_word_suffix"]
         self.ends[[i for s, i in vocabulary.items() if s.endswith(suffix)]] = True
         self.memo: dict[bytes, bytes] = {}
 
+    @property
+    def whole(self):
+        """The complete tokenizer, loaded when the first chunk asks for it."""
+        if self._whole is None:
+            from tokenizers import Tokenizer
+
+            self._whole = Tokenizer.from_file(self.path)
+        return self._whole
+
     def _slow(self, chunk: str) -> bytes:
         return np.array(self.whole.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 

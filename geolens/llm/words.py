@@ -7,12 +7,13 @@ all texts of a chunk at once; a word never crosses the end of its text.  Chunks
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _BYTE = np.arange(256)
 #: Word bytes of ``[^\x20\x09-\x0D]+``: all but the six ASCII white space characters.
@@ -119,6 +120,16 @@ def window_firsts(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]
     return np.arange(at[-1]) - np.repeat(at[:-1] - first[:-1], count), np.repeat(np.arange(len(count)), count)
 
 
+def give_back() -> None:
+    """Hand freed memory back to the machine; workers live on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
 def chunks(batch: pa.RecordBatch, column: str, size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batch with about ``size`` bytes of text each, one row at least."""
     n = batch.num_rows
@@ -131,3 +142,4 @@ def chunks(batch: pa.RecordBatch, column: str, size: int = CHUNK_BYTES) -> Itera
         end = min(max(end, begin + 1), n)
         yield batch.slice(begin, end - begin)
         begin = end
+    give_back()
