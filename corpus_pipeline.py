@@ -18,12 +18,19 @@ from geolens.llm.queries import vocabulary
 from geolens.session import cut_lineage
 
 REMOVED_AT_ONCE = 1_000_000
+BATCH_ROWS = 2500  # rows of an Arrow batch at most: stages carry whole texts
 
 _USED = ("doc_id", "text", "lang", "n_chars")
 
 
 def _neutral(docs: DataFrame) -> DataFrame:
-    """Columns that no stage uses get names that no operator uses."""
+    """Columns that no stage uses get names that no operator uses.
+
+    Also keeps the session's Arrow batches small, for whole texts pass through Python workers that live on.
+    """
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
     return docs.toDF(*[n if n in _USED else f"_own_{i}" for i, n in enumerate(docs.columns)])
 
 
@@ -58,16 +65,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages are cut out; a document of nothing else goes."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.find_hits(_neutral(docs), benchmark)
+    found = decontaminate.find_hits(_neutral(docs), benchmark, remove=True)
     hit = F.size("hits") > 0
-    cut = decontaminate.remove_hits(found).filter(~hit | F.col("text").rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"))
+    cut = found.filter(~hit | F.col("text").rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"))
     return _restored(cut, docs, hit)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked; the network is trained on this stage's own documents."""
     plain = _neutral(docs)
-    found = secrets.redact(secrets.scan(plain, secrets.learn(plain)))
+    found = secrets.scan(plain, secrets.learn(plain), mask="[SECRET]")
     return _restored(found, docs, F.size("secret_bytes") > 0)
 
 
