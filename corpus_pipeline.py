@@ -18,6 +18,7 @@ from geolens.llm.queries import vocabulary
 from geolens.session import cut_lineage
 
 REMOVED_AT_ONCE = 1_000_000
+NEAR_SHINGLE, NEAR_PERCENT = 5, 80  # of the near-duplicate stage; the op1 query has a contract of its own
 BATCH_ROWS = 2500  # rows of an Arrow batch at most: stages carry whole texts
 
 _USED = ("doc_id", "text", "lang", "n_chars")
@@ -51,9 +52,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays; of repeated rows one."""
+    """Of each group of linked documents the one with the smallest id stays; of repeated rows one.
+
+    Linked are documents whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
+    """
     keyed = _neutral(docs).withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
-    found = cut_lineage(jaccard.near_duplicates(keyed, doc="_key").withColumnRenamed("doc_id", "_key"))
+    found = cut_lineage(jaccard.near_duplicates(keyed, doc="_key", shingle=NEAR_SHINGLE, percent=NEAR_PERCENT).withColumnRenamed("doc_id", "_key"))
     removed = found.filter("_key <> component_id").select("_key").distinct()
     removed = F.broadcast(removed) if removed.count() <= REMOVED_AT_ONCE else removed
     kept = keyed.join(removed, "_key", "left_anti")

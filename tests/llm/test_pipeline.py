@@ -1,5 +1,7 @@
 """The pipeline stage by stage, each held against what its input asks for."""
 
+import itertools
+import random
 import re
 
 import pytest
@@ -59,3 +61,45 @@ def test_odd_rows_and_clashing_names(spark, empty):
             assert re.match(r"\[SECRET\] other0 ", out.where("doc_id = 5").first()["text"])
         docs = out
     assert docs.count() == (0 if empty else 2)
+
+
+def kept_by_all_pairs(docs):
+    """Ids that are the smallest of their group, linked by 5-word shingles and a similarity of 0.8."""
+    sets, smallest = {}, {d: d for d in docs}
+    for d, text in docs.items():
+        w = text.lower().split()
+        sets[d] = frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)])
+
+    def find(x):
+        while smallest[x] != x:
+            x = smallest[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(docs), 2):
+        if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+            x, y = sorted((find(a), find(b)))
+            smallest[y] = x
+    return {d for d in docs if find(d) == d}
+
+
+def test_near_duplicates_link_five_words_at_four_fifths(spark):
+    rng = random.Random(3)
+    docs = {}
+    for n in (5, 12, 25, 46, 50, 60, 100, 200, 400):
+        base = [f"b{n}x{i}" for i in range(n)]
+        one = [*base[: n // 2], "other", *base[n // 2 + 1 :]]
+        longer = [[*base, *(f"more{n}y{i}" for i in range(round(n * x)))] for x in (0.16, 0.18, 0.2, 0.23, 0.26, 0.4)]
+        edited = []
+        for edits in (2, 4, 6, 8, 10):
+            words = list(base)
+            for i in rng.sample(range(n), min(n, edits)):
+                words[i] = f"e{rng.randrange(10**6)}"
+            edited.append(words)
+        for words in (base, one, *longer, *edited):
+            docs[len(docs)] = " ".join(words)
+    frame = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in docs.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    for ids in (docs.keys(), [d for d in docs if d % 13 in (0, 1)], [d for d in docs if d % 13 in (0, 4)]):
+        some = {d: docs[d] for d in ids}
+        got = {r["doc_id"] for r in P.near_duplicates(spark, frame.where(frame.doc_id.isin(list(ids))), FOLDER).collect()}
+        assert got == kept_by_all_pairs(some)
+    assert kept_by_all_pairs({0: docs[13 * 4], 1: docs[13 * 4 + 1]}) == {0}  # one replaced word in 50
