@@ -4,8 +4,9 @@ A tolerant scanner cuts a page into blocks of text.  Blocks in elements that say
 headers, footers, sidebars, notices, adverts, forms, reader comments, scripts, hidden parts) are left out; blocks
 in an article are kept.  What else is on the page - loose blocks - is settled by page differencing: pages are put
 in order of host, path and id, each page is aligned with its nearest neighbour of the same host by the longest
-common subsequence of their loose blocks, and shared blocks are deleted as parts of the host's template.  A
-neighbour with the same blocks in the same order is a copy and says nothing about the template; it is not used.
+common subsequence of their loose blocks, and shared blocks are deleted as parts of the host's template.  Equal
+pages at one URL take one place in the order and get the same text, whatever their number.  A neighbour at another
+path with the same blocks in the same order is a copy too and says nothing about the template; it is not used.
 
 The order is a global index over range partitions, and neighbours meet by an equi-join on it, so a host with a
 third of all pages is spread over tasks.  Only hashes of loose blocks travel; texts stay where they were written.
@@ -31,6 +32,7 @@ from geolens.operators.spread import global_index
 from geolens.session import cut_lineage
 
 BROADCAST_ROWS = 500_000
+_GROUP = ["host", "path", "page", "flags"]  # equal pages at one URL
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^>]*\Z|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>",
@@ -247,10 +249,15 @@ def _common(a: str, b: str) -> int:
     return n
 
 
+def _grouped(parsed: DataFrame) -> DataFrame:
+    return parsed.withColumns({"page": F.xxhash64("texts"), "flags": F.xxhash64("loose")})
+
+
 def template_blocks(parsed: DataFrame) -> DataFrame:
-    """(row, deleted): places among a page's blocks that its nearest page shares, for pages that have some."""
+    """(_GROUP, deleted): places among a page's loose blocks that its nearest page shares, for groups that have some."""
     hashes = F.transform(F.filter(F.arrays_zip("texts", "loose"), lambda x: x["loose"]), lambda x: F.xxhash64(x["texts"]))
-    keys = parsed.select("row", "host", "path", hashes.alias("loose"), F.xxhash64("texts").alias("page"))
+    keys = _grouped(parsed).select("row", *_GROUP, hashes.alias("loose"))
+    keys = keys.groupBy(*_GROUP).agg(F.min("row").alias("row"), F.first("loose").alias("loose"))
     order = [F.col("host"), F.col("path"), F.col("row")]
     indexed = cut_lineage(global_index(keys, order, "place"))
     other = indexed.select(F.struct("host", "path", "loose", "page").alias("other"), "place")
@@ -260,25 +267,27 @@ def template_blocks(parsed: DataFrame) -> DataFrame:
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, deleted = [], []
+            found_in, deleted = [], []
             for start in range(0, batch.num_rows, 500):
                 for r in batch.slice(start, 500).to_pylist():
                     near = [x for x in (r["before"], r["after"]) if x and x["host"] == r["host"] and x["page"] != r["page"]]
                     if near:
                         nearest = max(near, key=lambda x: _common(x["path"], r["path"]))  # the earlier one of two as near
                         if found := shared_places(np.array(r["loose"], np.int64), np.array(nearest["loose"], np.int64)):
-                            rows.append(r["row"])
+                            found_in.append(r)
                             deleted.append(found)
-            yield pa.record_batch([pa.array(rows, pa.int64()), pa.array(deleted, pa.list_(pa.int32()))], ["row", "deleted"])
+            keys = [pa.array([r[k] for r in found_in], kind) for k, kind in zip(_GROUP, (pa.string(), pa.string(), pa.int64(), pa.int64()))]
+            yield pa.record_batch([*keys, pa.array(deleted, pa.list_(pa.int32()))], [*_GROUP, "deleted"])
 
-    return asking.select("row", "host", "path", "loose", "page", "before", "after").mapInArrow(align, "row long, deleted array<int>")
+    schema = "host string, path string, page long, flags long, deleted array<int>"
+    return asking.select(*_GROUP, "loose", "before", "after").mapInArrow(align, schema)
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of each page."""
     parsed = cut_lineage(parse_pages(pages))
     deleted = cut_lineage(template_blocks(parsed))
-    marked = parsed.join(F.broadcast(deleted) if deleted.count() <= BROADCAST_ROWS else deleted, "row", "left")
+    marked = _grouped(parsed).join(F.broadcast(deleted) if deleted.count() <= BROADCAST_ROWS else deleted, _GROUP, "left")
     # the number of a loose block among the loose ones, to look it up in `deleted`
     numbered = F.transform("texts", lambda t, i: F.struct(t.alias("text"), F.element_at("loose", i + 1).alias("loose"), F.size(F.filter(F.slice("loose", 1, i), lambda x: x)).alias("place")))
     kept = F.when(F.col("deleted").isNull(), F.col("texts")).otherwise(

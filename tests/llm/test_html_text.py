@@ -79,3 +79,16 @@ def test_template_blocks_are_deleted(spark):
     assert texts[None] == "" and texts[41] == ""
     assert sorted(len(t) for k, t in got if k == 50) == [1, 199_999]
     assert H.main_text(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("copies", [3, 50])
+def test_equal_pages_at_one_url_get_one_text(spark, copies):
+    def page(own):
+        return f"<body><div>Site name</div><p>{own}</p><div>All rights reserved</div></body>"
+
+    rows = [(0, "http://h.org/a/1", page("before")), (1000, "http://h.org/a/3", page("after"))]
+    rows += [(1 + i, "http://h.org/a/2", page("copy")) for i in range(copies)]
+    rows += [(500 + i, "http://h.org/a/2", page("revised")) for i in range(copies)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = {r["page_id"]: r["text"] for r in H.main_text(frame).collect()}
+    assert got == {i: re.search("<p>(.*)</p>", x)[1] for i, _, x in rows}
