@@ -48,6 +48,8 @@ _BLOCKS = set(
     "address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup "
     "hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Elements that may stand in a head; any other one ends a head without an end tag.
+_HEAD = set("base basefont bgsound link meta noscript script style template title".split())
 #: Elements that a following element closes.
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 _ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist status".split())
@@ -123,12 +125,18 @@ def blocks(page: str) -> list[tuple[str, bool]]:
             piece = page[at : token.start()] if token else page[at:]
             if piece:
                 text.append(piece)
+        elif stack and stack[-1].name == "head" and (piece := page[at : token.start()] if token else page[at:]).strip():
+            close(len(stack) - 1)  # so does text
+            if not dropped:
+                text.append(piece)
         if token is None:
             break
         at = token.end()
         if token["name"] is None:
             continue
         name, rest = token["name"].lower(), token["rest"]
+        if stack and stack[-1].name == "head" and not token["end"] and name not in ("html", "head", *_HEAD):
+            close(len(stack) - 1)
         if token["end"]:
             if name == "br":
                 text.append(" ")

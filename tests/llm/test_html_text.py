@@ -36,6 +36,10 @@ def test_given_pages(spark):
         ("<article><p>cut <a href=\"x", ["cut"]),
         ("<article><p>5 < 6 and 7 > 3</p></article>", ["5 < 6 and 7 > 3"]),
         ("<article><div hidden>h</div><div style='display: none'>i</div><p aria-hidden=true>j</p>k</article>", ["k"]),
+        ("<html><head><title>t</title><body><article><p>a</article>", ["a"]),
+        ("<html><head><meta charset=utf-8><title>t</title><link rel=x><article><p>a</article>", ["a"]),
+        ("<head><title>t</title>\n loose <main>a</main>", ["a"]),
+        ("<head><title>t</title><script>var x='<body>'</script><style>p{}</style></head><body><article>a</article>", ["a"]),
         ("", []),
         ("no mark-up", []),
     ],
