@@ -391,6 +391,24 @@ def split_dense_cells(
     return marked.withColumn("cell_id", F.when(F.col("split"), renamed).otherwise(F.col("cell_id").cast("string")))
 
 
+def split_and_cluster(
+    clustered: DataFrame,
+    max_points: int = K.MAX_CELL_POINTS,
+    min_cluster: int = K.MAX_CLUSTER_POINTS,
+    eps: float | None = None,
+    min_points: int = K.CLUSTER_MIN_POINTS,
+) -> DataFrame:
+    """:func:`split_dense_cells`, and the new cells are clustered again.
+
+    Give a tighter ``eps`` than the first time; without it each new cell uses the
+    median of its own core distances.  Rows that stay keep their cluster.
+    """
+    marked = cut_lineage(split_dense_cells(clustered, max_points, min_cluster))
+    again = density_clusters(marked.where("split").drop("cluster_id"), eps, min_points)
+    again = again.withColumn("cluster_id", F.col("cluster_id").cast(marked.schema["cluster_id"].dataType))
+    return marked.where("NOT split").unionByName(again)
+
+
 def prototype_table(clustered: DataFrame, cells: DataFrame | None = None) -> DataFrame:
     """One row per (geocell_index, cluster_id): names, member count and the cell's centroid.
 

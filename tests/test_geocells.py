@@ -185,3 +185,11 @@ def test_halving_ends_on_odd_numbers(spark):
     got = sorted((r["min_lat"], r["max_lat"], r["n_points"]) for r in geocells.rect_partition(frame, 1).collect())
     assert got == [(a, a, 2), (b, b, 1)]
     assert geocells.rect_partition(frame.limit(4), 1).count() == 0
+
+
+def test_split_cells_are_clustered_again(spark):
+    rows = [(i, 1, 0, (0.0 if i < 40 else 1.0) + i % 5 * 0.001, 0.0) for i in range(80)]  # two heaps, one cluster
+    rows += [(80 + i, 1, 1, 9.0, 9.0) for i in range(10)] + [(90 + i, 2, 3, 5.0, 5.0) for i in range(20)]
+    clustered = spark.createDataFrame(rows, "point_id long, cell_id long, cluster_id long, lat double, lon double")
+    got = {r["point_id"]: (r["cell_id"], r["cluster_id"]) for r in geocells.split_and_cluster(clustered, eps=0.1).collect()}
+    assert got == {i: ("1_0", int(i >= 40)) if i < 80 else ("1", 1) if i < 90 else ("2", 3) for i in range(110)}
