@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from geolens.llm import archives, chat, decontaminate, html_text, jaccard, packing, pii, rules, secrets, token_counts
+from geolens.llm import archives, byte_bpe, chat, decontaminate, html_text, jaccard, packing, pii, rules, secrets, token_counts
 
 
 def vocabulary(name: str) -> str:
@@ -80,6 +80,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = vocabulary("byte_bpe_50k.tiktoken")
+    encoded = byte_bpe.encode(_table(spark, sf_dir, "documents"), ranks, passing=["doc_id"])
+    decoded = byte_bpe.decode(encoded, ranks, passing=["doc_id", "ids"])
+    n_tokens = (F.octet_length("ids") / 4).cast("long")
+    return decoded.select("doc_id", n_tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_chat_format": op2_chat_format,
@@ -91,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_html_text": op9_html_text,
     "op10_quality_rules": op10_quality_rules,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
 _OP2 = r"""

@@ -45,13 +45,15 @@ _TABLE = _letter(np.arange(_POSITIONS * 256))
 
 
 class Texts:
-    """Bytes and offsets of one text column; null texts are empty."""
+    """Bytes and offsets of one text (or binary) column; nulls are empty."""
 
     def __init__(self, column: pa.Array):
-        if not pa.types.is_large_string(column.type):
-            column = column.cast(pa.large_string())
+        binary = pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)
+        kind = pa.large_binary() if binary else pa.large_string()
+        if column.type != kind:
+            column = column.cast(kind)
         if column.null_count:
-            column = column.fill_null("")
+            column = column.fill_null(b"" if binary else "")
         _, offsets, data = column.buffers()
         at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
         whole = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
