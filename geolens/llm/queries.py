@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geolens.llm import archives, byte_bpe, chat, decontaminate, html_text, jaccard, packing, pii, rules, secrets, token_counts
+from geolens.llm import archives, byte_bpe, chat, decontaminate, html_text, jaccard, packing, periodic, pii, rules, secrets, token_counts
 
 
 def vocabulary(name: str) -> str:
@@ -80,6 +79,34 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periodic.find_runs(docs.select("doc_id", _made_periodic("doc_id", "text").alias("text")), passing=["doc_id"])
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    found = found.withColumn("best", periodic.longest())
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(line, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def _made_periodic(doc: str, text: str) -> Column:
+    """Texts of a tenth of the documents repeat from some word on; the others are as they were."""
+    words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    h, n = F.crc32(F.col(doc).cast("string")), F.size(words)
+    g = F.floor(h / 10)
+    a = g % n
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    made = F.transform(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1), lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")))
+    return F.when((h % 10 == 0) & (n > 0), F.array_join(made, " ")).otherwise(F.col(text))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = vocabulary("byte_bpe_50k.tiktoken")
     encoded = byte_bpe.encode(_table(spark, sf_dir, "documents"), ranks, passing=["doc_id"])
@@ -99,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_html_text": op9_html_text,
     "op10_quality_rules": op10_quality_rules,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_byte_bpe": op13_byte_bpe,
 }
 

@@ -84,14 +84,14 @@ class Words:
         self.starts = np.flatnonzero(starts)
         self.ends = np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.starts, texts.offsets)
-        self._inside = inside
+        self.inside = inside
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash for each word, of its bytes and their places."""
         length = self.ends - self.starts
         at = np.concatenate(([0], np.cumsum(length)))
         place = np.arange(at[-1]) - np.repeat(at[:-1], length)
-        letters = self.bytes[self._inside]
+        letters = self.bytes[self.inside]
         value = _TABLE[(np.minimum(place, _POSITIONS - 1) << 8) | letters]
         far = place >= _POSITIONS
         if far.any():
