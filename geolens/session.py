@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 # Settings every job of this package relies on.  Skew splitting, runtime
 # broadcast decisions and partition coalescing are left to adaptive execution;
@@ -54,7 +55,28 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = work_path(spark, "cut")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(spark, path, df.schema)
+
+
+def written(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """A table of the shared folder, whose frame remembers its place for ``discard``."""
+    df = spark.read.schema(schema).parquet(path)
+    df._scratch = path
+    return df
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables made by ``cut_lineage`` that no plan reads any more.
+
+    For tables whose successors are written themselves: a plan that is still to run must not read them, and a
+    frame derived from such a table (or any other frame) is left alone.
+    """
+    for df in tables:
+        path = df.__dict__.pop("_scratch", None) if df is not None else None
+        if path:
+            spark = df.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def range_tasks(spark: SparkSession) -> int:
