@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geolens.llm import archives, byte_bpe, chat, decontaminate, html_text, jaccard, packing, periodic, pii, rules, secrets, token_counts
+from geolens.llm import archives, byte_bpe, chat, codes, decontaminate, html_text, jaccard, packing, periodic, pii, rules, secrets, token_counts
 
 
 def vocabulary(name: str) -> str:
@@ -79,6 +79,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = codes.compress(_table(spark, sf_dir, "embeddings"), passing=["vec_id", "label"])
+    out = codes.with_totals(found.frame, "label")
+    return out.select("vec_id", "code", "error", "label_error", F.lit(found.sha256()).alias("codebooks_sha256"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = periodic.find_runs(docs.select("doc_id", _made_periodic("doc_id", "text").alias("text")), passing=["doc_id"])
@@ -126,6 +132,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_html_text": op9_html_text,
     "op10_quality_rules": op10_quality_rules,
+    "op11_vector_codes": op11_vector_codes,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_byte_bpe": op13_byte_bpe,
 }
@@ -188,8 +195,38 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM f
 """
 
+
+
+def _op11(rounds: int = 4) -> str:
+    """Lloyd rounds one after the other; parts are lists of whole numbers, which doubles hold exactly."""
+    kept = """
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"""
+    steps = [
+        f"kept AS MATERIALIZED ({kept})",
+        "parts AS MATERIALIZED (SELECT r, p, v[p * len(v) // 4 + 1:(p + 1) * len(v) // 4] AS v FROM kept, (SELECT unnest([0, 1, 2, 3]) AS p) q)",
+        "first AS (SELECT r, row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS e FROM kept)",
+        "c0 AS MATERIALIZED (SELECT p, e, v FROM parts JOIN first USING (r) WHERE e < 256)",
+    ]
+    for k in range(rounds + 1):
+        far = "list_inner_product(x.v, x.v) - 2 * list_inner_product(x.v, c.v) + list_inner_product(c.v, c.v)"
+        steps.append(f"a{k} AS MATERIALIZED (SELECT r, x.p, min({{'d': {far}, 'e': e}}) AS best, any_value(x.v) AS v FROM parts x JOIN c{k} c ON x.p = c.p GROUP BY r, x.p)")
+        if k < rounds:
+            means = f"SELECT p, e, i, floor(sum(x) / count(*)) AS x FROM (SELECT p, best.e AS e, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{k}) y GROUP BY p, e, i"
+            steps.append(f"m{k} AS (SELECT p, e, list(x ORDER BY i) AS v FROM ({means}) z GROUP BY p, e)")
+            steps.append(f"c{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(m{k}.v, c{k}.v) AS v FROM c{k} LEFT JOIN m{k} USING (p, e))")
+    steps += [
+        f"coded AS (SELECT r, string_agg(printf('%02x', CAST(best.e AS BIGINT)), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a{rounds} GROUP BY r)",
+        f"books AS (SELECT sha256(string_agg(array_to_string(list_transform(v, lambda x: CAST(x AS BIGINT)), ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c{rounds})",
+    ]
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (r), books"""
+
+
 ORACLES: dict[str, str] = {
     "op2_chat_format": _OP2,
     "op5_decontaminate": _OP5,
     "op6_warc_archives": _OP6,
+    "op11_vector_codes": _op11(),
 }

@@ -2,7 +2,7 @@ import duckdb
 import pytest
 
 FOLDER = "/root/testdata/sf0.001"
-TABLES = "documents pages benchmark labels conversations".split()
+TABLES = "documents embeddings pages benchmark labels conversations".split()
 
 
 @pytest.fixture(scope="session")
