@@ -104,13 +104,19 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _made_periodic(doc: str, text: str) -> Column:
     """Texts of a tenth of the documents repeat from some word on; the others are as they were."""
-    words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    h, n = F.crc32(F.col(doc).cast("string")), F.size(words)
+    words = F.filter(F.split(F.col(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    h = F.crc32(F.col(doc).cast("string"))
     g = F.floor(h / 10)
-    a = g % n
-    p = 1 + F.floor((n - a) / (3 + g % 8))
-    made = F.transform(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1), lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")))
-    return F.when((h % 10 == 0) & (n > 0), F.array_join(made, " ")).otherwise(F.col(text))
+
+    def made(w: Column) -> Column:
+        n = F.size(w).cast("long")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(w, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))), " ")
+
+    # The words are bound as a variable: as an expression they would be split again for each of them.
+    bound = F.get(F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, made(w)).otherwise("")), 0)
+    return F.when(h % 10 == 0, bound).otherwise(F.col(text))
 
 
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
