@@ -3,8 +3,8 @@
 ``STAGES`` are (name, function) pairs; a function takes (spark, docs, sf_dir) and returns a DataFrame that is
 written as Parquet and read again as the next one's docs.  All but the last return the columns of documents.
 
-A stage tells documents apart by ``doc_id``; a document without one is told apart by its text.  Null texts and
-languages, empty tables, repeated rows and more columns (whatever their names) are fine in every stage: columns a
+The near-duplicate stage tells rows apart by ``doc_id`` and text together, so different texts under one id (or none)
+are different documents.  Null texts and languages, empty tables, repeated rows and more columns (whatever their names) are fine in every stage: columns a
 stage doesn't use come out as they went in.
 """
 
@@ -17,7 +17,7 @@ from geolens.llm import decontaminate, jaccard, packing, rules, secrets
 from geolens.llm.queries import vocabulary
 from geolens.session import cut_lineage
 
-REMOVED_AT_ONCE = 1_000_000
+REMOVED_AT_ONCE = 500_000
 NEAR_SHINGLE, NEAR_PERCENT = 5, 80  # of the near-duplicate stage; the op1 query has a contract of its own
 BATCH_ROWS = 2500  # rows of an Arrow batch at most: stages carry whole texts
 
@@ -56,16 +56,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Linked are documents whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
     """
-    keyed = _neutral(docs).withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
-    found = cut_lineage(jaccard.near_duplicates(keyed, doc="_key", shingle=NEAR_SHINGLE, percent=NEAR_PERCENT).withColumnRenamed("doc_id", "_key"))
-    removed = found.filter("_key <> component_id").select("_key").distinct()
-    removed = F.broadcast(removed) if removed.count() <= REMOVED_AT_ONCE else removed
+    # Rows are equal if id and text are; a null id comes after all others, so it represents only its like.
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.unhex(F.md5("text")).alias("digest"))
+    keyed = _neutral(docs).withColumn("_key", key)
+    found = jaccard.near_duplicates(keyed, doc="_key", shingle=NEAR_SHINGLE, percent=NEAR_PERCENT).withColumnRenamed("doc_id", "_key")
+    removed = _bounded(found.filter("_key <> component_id").select("_key").distinct())
     kept = keyed.join(removed, "_key", "left_anti")
-    if not found.groupBy("_key").count().filter("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["_key"])
+    repeated = found.groupBy("_key").count().filter("count > 1").select("_key")
+    if not repeated.isEmpty():
+        repeated = _bounded(repeated)
+        kept = kept.join(repeated, "_key", "left_anti").unionByName(kept.join(repeated, "_key", "left_semi").dropDuplicates(["_key"]))
     return _restored(kept, docs)
 
 
+def _bounded(keys: DataFrame) -> DataFrame:
+    """A broadcast hint for keys whose number was counted and is bounded."""
+    return F.broadcast(keys) if keys.count() <= REMOVED_AT_ONCE else keys
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages are cut out; a document of nothing else goes."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -79,5 +80,15 @@ def discard(*tables: DataFrame | None) -> None:
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of plans that nothing refers to any more.
+
+    The cleaner follows garbage collections of the driver, which are rare there; between the large steps of one
+    job, shuffles whose results are written would otherwise stay on the executors' disks.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def range_tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
