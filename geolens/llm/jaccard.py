@@ -13,9 +13,10 @@ them gives the one-deletion neighbourhoods of its first segments, in a fixed ord
 shingles or more.  If a linked pair agrees only in c <= t unused segments, the others all differ, by H in all, so
 at most c - 1 of them differ by more than one shingle, and of the first c rich ones one differs by exactly one;
 both sets give it.  (A set with fewer than t rich segments uses its poor segments after all.)  ``w`` is chosen for
-each band by cost: more signatures against more false candidates, from the number of sets in the band.
+each band by the cost of one set: more signatures against more meetings, whatever the number of sets.
 
 Equal sets are one class and give their signatures once.  Signatures are shuffled; sets that meet are candidates.
+Buckets without an active member hold none and are left out; tables are deleted once the next ones stand.
 A bucket of few sets gives its pairs.  A larger one is never expanded: its members are verified against one hub and
 what is linked becomes one component.  Buckets that still hold several components are crowds.  Sets of a crowd
 with too few shingles in other components leave it; the others are settled group by group in blocks inside the
@@ -43,15 +44,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geolens.llm.words import NOT_SPACE, Texts, Words, chunks, mix, window_firsts, windows
-from geolens.session import cut_lineage
+from geolens.session import cut_lineage, discard, release_shuffles
 
 SHINGLE = 4
 PERCENT = 85
 FEW = 6  # sets of a bucket that gives all its pairs
 SMALL = 48  # largest set size of the bands that use one-deletion neighbourhoods of all segments
+PASSAGE = 50
 BROADCAST_ROWS = 1_000_000
-MEMBERS_PER_TASK = 2000
-BLOCK_SETS = 1000
+MEMBERS_PER_TASK = 400
+BLOCK_SETS = 500
 BLOCK_TOKENS = 400_000
 
 _U = np.uint64
@@ -106,28 +108,31 @@ def bands(limit: int, percent: int = PERCENT) -> list[tuple[int, int, int]]:
     return out
 
 
-def light_limit(sets_in_band: int, low: int, segments: int) -> int:
-    """Shingles of an unused segment at most: 0 or 1, whichever costs less for the band.
+def light_limit(low: int, segments: int) -> int:
+    """Shingles of an unused segment at most: 0 or 1, whichever costs less for a set of the band.
 
-    Unit: one signature; a false candidate counts as 20.  Segments hold Poisson numbers of shingles.  For single
-    shingles the worst case is taken: a passage of 50 shingles that a third of the band's sets share.
+    Unit: one signature.  Segments hold Poisson numbers of shingles; every unused one costs a one-deletion
+    neighbourhood.  For single shingles the worst case is taken, a passage of ``PASSAGE`` shingles that a third of the
+    band's sets share: each of its shingles that is alone in a segment makes them meet, which costs a row, and once
+    a set is a candidate its shingles are shuffled and counted.  Both costs are for one set, so the choice
+    doesn't change with the number of sets.
     """
     mean = low / segments
     alone = np.exp(-mean)
-    unused = [segments * alone, segments * alone * (1 + mean)]
-    more = [sets_in_band * u * (mean + 1) for u in unused]
-    false = 20 * 50 * (sets_in_band / 3 * alone) ** 2 / 2
-    return int(more[1] < more[0] + false)
+    more = segments * alone * mean * (mean + 1)
+    meetings = PASSAGE * alone
+    false = (meetings + min(1.0, meetings) * 2 * low) / 3
+    return int(more < false)
 
 
 class Allocation:
-    def __init__(self, counts: dict[int, int], limit: int, percent: int, small: int):
+    def __init__(self, limit: int, percent: int, small: int):
         self.bands = bands(limit, percent)
         self.lows = np.array([b[0] for b in self.bands])
         self.h = np.array([b[2] for b in self.bands])
         self.deletion = np.array([b[1] <= small for b in self.bands])
         self.segments = np.where(self.deletion, (self.h + 2) // 2, self.h + 1)
-        self.light = np.array([light_limit(counts.get(k, 0), b[0], b[2] + 1) for k, b in enumerate(self.bands)])
+        self.light = np.array([light_limit(b[0], b[2] + 1) for b in self.bands])
 
     def band(self, size: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.lows, size, side="right") - 1
@@ -313,8 +318,11 @@ def _checked(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The linked ones of the pairs (a, b), a the hub.  A hub is copied for each ``MEMBERS_PER_TASK`` of its members."""
+def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """The linked ones of the pairs (a, b), a the hub, and a written table that they are read from.
+
+    A hub is copied for each ``MEMBERS_PER_TASK`` of its members.
+    """
     hubs = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEMBERS_PER_TASK).cast("int").alias("parts"))
     members = pairs.join(hubs, "a").select(F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), F.col("b").alias("id"), F.lit(1).alias("role"))
     hubs = hubs.select(F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("id"), F.lit(0).alias("role"))
@@ -350,7 +358,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
             if found_a:
                 yield from _in_parts([np.concatenate(found_a), np.concatenate(found_b)], ["a", "b"])
 
-    return dealt.mapInArrow(compare, "a long, b long")
+    return dealt.mapInArrow(compare, "a long, b long"), asked
 
 
 # ---- components ---------------------------------------------------------------------
@@ -362,26 +370,33 @@ def components(links: DataFrame) -> DataFrame:
     Every node hangs on its smallest neighbour, if that is smaller; such trees are flattened by pointer jumping.
     Links between different trees are links of the next, much smaller round.
     """
-    labels = None
+    labels, given = None, links
     while True:
         both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        tree = cut_lineage(both.filter("b < a").groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")))
+        tree = cut_lineage(both.filter("b < a").groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).withColumn("moved", F.lit(True)))
         while True:
             above = tree.select(F.col("node").alias("root"), F.col("root").alias("above"))
             jumped = tree.join(above, "root", "left").select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved"))
             jumped = cut_lineage(jumped)
-            if jumped.filter("moved").isEmpty():
+            ended = jumped.filter("moved").isEmpty()
+            discard(tree)
+            tree = jumped
+            if ended:
                 break
-            tree = jumped.select("node", "root")
+        flat = tree.select("node", "root")
+        last = labels
         if labels is None:
-            labels = tree
+            labels = cut_lineage(flat)
         else:
-            over = tree.select(F.col("node").alias("root"), F.col("root").alias("over"))
-            labels = labels.join(over, "root", "left").select("node", F.coalesce("over", "root").alias("root")).unionByName(tree)
+            over = flat.select(F.col("node").alias("root"), F.col("root").alias("over"))
+            labels = labels.join(over, "root", "left").select("node", F.coalesce("over", "root").alias("root")).unionByName(flat)
             labels = cut_lineage(labels)
-        links = _labelled(_labelled(links, "a", "x", tree), "b", "y", tree).filter("x <> y")
+        before = links
+        links = _labelled(_labelled(links, "a", "x", flat), "b", "y", flat).filter("x <> y")
         links = cut_lineage(links.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+        discard(tree, last, before if before is not given else None)
         if links.isEmpty():
+            discard(links)
             return labels
 
 
@@ -400,7 +415,7 @@ def _mixed(members: DataFrame) -> DataFrame:
 
 
 def _supported(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(id, label, size) of the sets of which ``percent`` % of the shingles are also in crowd sets of other components.
+    """A written table (id, label, size) of the sets of which ``percent`` % of the shingles are also in crowd sets of other components.
 
     Others have no link into another component.  A count for each shingle, linear in the size of the sets.
     """
@@ -408,7 +423,9 @@ def _supported(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     tokens = cut_lineage(tokens)
     shared = tokens.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("token")
     have = tokens.join(shared, "token").groupBy("id", "label", "size").agg(F.count(F.lit(1)).alias("n"))
-    return have.filter(100 * F.col("n") >= percent * F.col("size")).select("id", "label", "size")
+    found = cut_lineage(have.filter(100 * F.col("n") >= percent * F.col("size")).select("id", "label", "size"))
+    discard(tokens)
+    return found
 
 
 def _overlaps(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -470,12 +487,12 @@ def _joined(ids: np.ndarray, labels: np.ndarray, linked: np.ndarray) -> tuple[np
     return ids[root[moved]], ids[moved]
 
 
-def crowd_links(crowd: DataFrame, sets: DataFrame, plan: Allocation, percent: int = PERCENT) -> DataFrame:
+def crowd_links(crowd: DataFrame, sets: DataFrame, plan: Allocation, percent: int = PERCENT) -> tuple[DataFrame, list[DataFrame]]:
     """Links (a, b) that join the linked sets of each group of a written crowd (id, label, size, grp).
 
     Sets of one group and band are dealt into blocks of bounded size; a block meets every block of its band and of
     the band above inside a task, where intersections are matrix products and sums over shared shingles.  Pairs
-    are no rows: a task returns joining links only, at most one a set.
+    are no rows: a task returns joining links only, at most one a set.  Also the written tables they are read from.
     """
     lows = F.array(*[F.lit(int(x)) for x in plan.lows])
     crowd = crowd.withColumn("band", F.size(F.filter(lows, lambda x: x <= F.col("size"))) - 1)
@@ -530,7 +547,7 @@ def crowd_links(crowd: DataFrame, sets: DataFrame, plan: Allocation, percent: in
         if held:
             yield from _in_parts([*meet(held)], ["a", "b"])
 
-    return rows.mapInArrow(settle, "a long, b long")
+    return rows.mapInArrow(settle, "a long, b long"), [blocks, asked]
 
 
 def link_components(pairs: DataFrame, members: DataFrame, sets: DataFrame, plan: Allocation, percent: int = PERCENT) -> DataFrame:
@@ -543,50 +560,65 @@ def link_components(pairs: DataFrame, members: DataFrame, sets: DataFrame, plan:
     hub = members.filter("active").groupBy("key").agg(F.min("id").alias("a"))
     star = members.join(hub, "key").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).filter("a <> b")
     tested = cut_lineage(pairs.select("a", "b").unionByName(star).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    links = cut_lineage(verify(tested, sets, percent).distinct())
+    found, asked = verify(tested, sets, percent)
+    links = cut_lineage(found.distinct())
+    discard(asked)
     labels = components(links)
 
     apart = _labelled(_labelled(pairs, "a", "x", labels), "b", "y", labels).filter("x <> y").select("a", "b")
     apart = cut_lineage(apart.join(tested, ["a", "b"], "left_anti"))
-    more = verify(apart, sets, percent)
     mixed = cut_lineage(_mixed(_labelled(members, "id", "label", labels)))
     crowd = cut_lineage(mixed.select("id", "label").distinct())
+    discard(tested, labels)
+    more, asked = verify(apart, sets, percent)
+    read = [asked, apart, mixed, crowd]
     if not crowd.isEmpty():
-        crowd = cut_lineage(_supported(crowd, sets, percent))
+        crowd = _supported(crowd, sets, percent)
         mixed = _mixed(mixed.join(crowd.select("id"), "id", "left_semi"))
         meeting = mixed.join(mixed.groupBy("key").agg(F.min("id").alias("a")), "key").filter("a <> id").select("a", F.col("id").alias("b"))
         meeting = cut_lineage(meeting.distinct())
+        read += [crowd, meeting]
         if not meeting.isEmpty():
             inside = meeting.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-            crowd = cut_lineage(_labelled(crowd.join(inside, "id"), "id", "grp", components(meeting)))
-            more = more.unionByName(crowd_links(crowd, sets, plan, percent))
-    more = cut_lineage(more)
-    return components(cut_lineage(links.unionByName(more).distinct()))
+            groups = components(meeting)
+            crowd = cut_lineage(_labelled(crowd.join(inside, "id"), "id", "grp", groups))
+            inner, tables = crowd_links(crowd, sets, plan, percent)
+            more = more.unionByName(inner)
+            read += [groups, crowd, *tables]
+    every = cut_lineage(links.unionByName(more).distinct())
+    discard(links, *read)
+    return components(every)
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc: str = "doc_id", shingle: int = SHINGLE, percent: int = PERCENT, small: int = SMALL, seed: int = 0) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each document."""
+    """A written table (doc_id, n_shingles, component_id) of each document; all others are deleted on the way."""
+    spark = docs.sparkSession
     docs = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"))
     sizes = cut_lineage(set_sizes(docs, "text", "doc_id", shingle, seed))
     classes = cut_lineage(sizes.filter("id is not null").groupBy("id").agg(F.min("n_shingles").alias("n"), F.min("guard").alias("g"), F.max("guard").alias("h"), F.min("doc_id").alias("first")))
     if not classes.filter("g <> h").isEmpty():
         raise ValueError("two sets share a class id; use another seed")
-    largest = classes.agg(F.max("n")).first()[0] or 1
-    whole = Allocation({}, largest, percent, small)
-    lows = F.array(*[F.lit(int(x)) for x in whole.lows])
-    band = F.size(F.filter(lows, lambda x: x <= F.col("n"))) - 1
-    counts = {r["band"]: r["count"] for r in classes.groupBy(band.alias("band")).count().collect()}
-    plan = Allocation(counts, largest, percent, small)
+    plan = Allocation(classes.agg(F.max("n")).first()[0] or 1, percent, small)
 
     met = cut_lineage(_meet(_signature_rows(docs, "text", shingle, seed, plan)))
+    release_shuffles(spark)
     pairs = cut_lineage(met.filter("not large").select("a", "b").distinct())
-    members = cut_lineage(met.filter("large").select(F.col("a").alias("key"), F.col("b").alias("id"), "active"))
+    members = met.filter("large").select(F.col("a").alias("key"), F.col("b").alias("id"), "active")
+    members = cut_lineage(members.join(members.filter("active").select("key").distinct(), "key", "left_semi"))  # others hold no candidates
+    discard(met)
     needed = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(members.select("id")).distinct())
     found = _set_rows(docs, "text", shingle, seed).join(_checked(needed, needed.count()), "id")
     sets = cut_lineage(found.dropDuplicates(["id"]))
+    discard(needed)
+    release_shuffles(spark)
     labels = link_components(pairs, members, sets, plan, percent)
+    discard(pairs, members, sets)
 
     named = classes.join(labels, classes["id"] == labels["node"], "left").select("id", "first", F.coalesce("root", "id").alias("root"))
     best = named.groupBy("root").agg(F.min("first").alias("component_id"))
     named = named.join(best, "root").select("id", "component_id")
-    return sizes.join(named, "id", "left").select("doc_id", "n_shingles", F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    named = sizes.join(named, "id", "left").select("doc_id", "n_shingles", F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = cut_lineage(named)
+    discard(sizes, classes, labels)
+    release_shuffles(spark)
+    return out

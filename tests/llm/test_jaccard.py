@@ -113,7 +113,7 @@ def test_every_linked_pair_meets(light, monkeypatch):
     """The pigeonhole itself, where few shingles make segments that are empty or hold one."""
     monkeypatch.setattr(jaccard, "light_limit", lambda *_: light)
     rng = np.random.default_rng(light)
-    plan = jaccard.Allocation({}, 2000, 85, small=8)
+    plan = jaccard.Allocation(2000, 85, small=8)
     for trial in range(400):
         n = int(rng.integers(6, 120))
         a = rng.integers(0, 2**63, n).astype(np.uint64)

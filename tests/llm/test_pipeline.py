@@ -103,3 +103,14 @@ def test_near_duplicates_link_five_words_at_four_fifths(spark):
         got = {r["doc_id"] for r in P.near_duplicates(spark, frame.where(frame.doc_id.isin(list(ids))), FOLDER).collect()}
         assert got == kept_by_all_pairs(some)
     assert kept_by_all_pairs({0: docs[13 * 4], 1: docs[13 * 4 + 1]}) == {0}  # one replaced word in 50
+
+
+def test_no_document_is_lost_among_equal_and_missing_ids(spark):
+    text = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcdefg"]
+    rows = [(42, text[0]), (None, None), (7, text[1]), (7, text[2]), (8, text[3]), (None, text[4]), (None, text[5]), (None, text[4]), (7, text[1]), (9, ""), (9, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(map(repr, ((r["doc_id"], r["text"]) for r in P.near_duplicates(spark, docs, FOLDER).collect())))
+    assert got == sorted(map(repr, set(rows)))
+    near = [(None, text[0]), (3, text[0]), (5, text[0] + " end")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in near], docs.schema)
+    assert [r["doc_id"] for r in P.near_duplicates(spark, docs, FOLDER).collect()] == [3]
