@@ -1,24 +1,42 @@
 """Token ids of whole texts by a public tokenizer, with a bounded memo of white-space separated chunks.
 
 White space never lies within a token of the tokenizers used here, so a text's ids are its chunks' ids in order.
-Chunks of ASCII and Latin letters that a worker has not met are cut into pre-tokens here and merged by the
-tokenizer's own model, many in one call; all other chunks go through the complete tokenizer.
+Chunks of ASCII and Latin letters are cut into pre-tokens by array operations over all texts at once.  Only distinct
+pre-tokens are looked up; those that a worker has not met are merged by the tokenizer's own model, many in one
+call.  Every other chunk goes through the complete tokenizer.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
 
-from geolens.llm.words import Texts
+from geolens.llm.byte_bpe import _SYMBOLS, Automaton
+from geolens.llm.words import LOWER, NOT_SPACE, Texts, Words
 
 MEMO = 400_000
 
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+
+_SPACE, _LETTER, _DIGIT, _OTHER, _ODD = range(5)
+_SINGLE = _SYMBOLS.index("single")
+
+
+def _byte_classes() -> np.ndarray:
+    """Classes of single bytes; the bytes above ASCII are odd until their pair is known."""
+    out = np.full(256, _ODD, np.uint8)
+    out[33:127] = _OTHER
+    out[ord("0") : ord("9") + 1] = _DIGIT
+    out[ord("a") : ord("z") + 1] = _LETTER
+    out[~NOT_SPACE] = _SPACE
+    return out
+
+
+_CLASSES = _byte_classes()
 
 
 def _byte_letters() -> dict[int, str]:
@@ -45,7 +63,13 @@ class WordEndTokenizer:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         suffix = parts["model"]["end_of_word_suffix"]
         self.ends[[i for s, i in vocabulary.items() if s.endswith(suffix)]] = True
-        self.memo: dict[bytes, bytes] = {}
+        self.automaton = Automaton()
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget all chunks: numbers of chunks, and their ids one after the other."""
+        self.place: dict[bytes, int] = {}
+        self.at, self.ids = array("q", [0]), array("I")
 
     @property
     def whole(self):
@@ -60,39 +84,90 @@ class WordEndTokenizer:
         return np.array(self.whole.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, missing: list[bytes]) -> dict[bytes, bytes]:
-        out, plain, pieces, counts = {}, [], [], []
+        out, plain = {}, []
         for raw in missing:
             chunk = raw.decode()
             if "<|" in chunk or not _PLAIN.fullmatch(chunk):
                 out[raw] = self._slow(chunk)
-                continue
-            cut = _PIECES.findall(chunk.lower())
-            plain.append(raw)
-            pieces += cut
-            counts.append(len(cut))
+            else:
+                plain.append(chunk)
         if not plain:
             return out
-        ids = np.array(self.merger.encode(" ".join(pieces).translate(_LETTERS), add_special_tokens=False).ids, "<u4")
-        ends = np.flatnonzero(self.ends[ids]) + 1
-        if len(ends) != len(pieces):
-            raise ValueError(f"{len(pieces)} pre-tokens gave {len(ends)} word ends")
-        data, at = ids.tobytes(), 0
-        for raw, last in zip(plain, ends[np.cumsum(counts) - 1].tolist()):
-            out[raw] = data[4 * at : 4 * last]
-            at = last
+        ids = np.array(self.merger.encode(" ".join(plain).translate(_LETTERS), add_special_tokens=False).ids, "<u4")
+        ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+        if len(ends) != len(plain):
+            raise ValueError(f"{len(plain)} pre-tokens gave {len(ends)} word ends")
+        data = ids.tobytes()
+        out.update((chunk.encode(), data[4 * a : 4 * b]) for chunk, a, b in zip(plain, [0, *ends], ends, strict=False))
         return out
 
+    def places(self, distinct: list[bytes]) -> np.ndarray:
+        """Numbers of units; those not met before are learnt."""
+        if len(self.place) > MEMO:
+            self.clear()
+        for raw, ids in self._learn([w for w in distinct if w not in self.place]).items():
+            self.place[raw] = len(self.place)
+            self.ids.frombytes(ids)
+            self.at.append(len(self.ids))
+        return np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))
+
+    def units(self, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes of all units, where each begins in them (and the end), and the first unit of each text.
+
+        Units of a white-space separated chunk of plain letters are its pre-tokens in lower case; any other chunk is
+        one unit as it stands.
+        """
+        data = texts.data
+        n = len(data)
+        words = Words(texts, NOT_SPACE, lower=False)
+        lower = LOWER[data]
+        kind = _CLASSES[lower]
+        pair = np.flatnonzero(data[:-1] == 0xC3)
+        second = data[pair + 1]
+        latin = (second != 0x97) & (second != 0xB7)
+        pair, second = pair[latin], second[latin]
+        kind[pair] = kind[pair + 1] = _LETTER
+        lower[pair + 1] = np.where(second <= 0x9E, second + 0x20, second)
+        marks = np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|")))
+        kind[marks] = _ODD
+        odd = np.flatnonzero(np.diff(np.concatenate(([0], np.cumsum(kind == _ODD)))[np.stack((words.starts, words.ends))], axis=0)[0])
+        symbols = np.array([_SINGLE, 0, _SINGLE, 2, 2], np.uint8)[kind]
+        quotes = np.flatnonzero(data[: n - 1] == ord("'"))
+        if len(quotes):
+            after = lower[quotes + 1]
+            symbols[quotes[np.isin(after, np.frombuffer(b"stmd", np.uint8))]] = 6
+            then = np.where(quotes + 2 < n, lower[np.minimum(quotes + 2, n - 1)], 0)
+            r, v, e, l = b"rvel"
+            symbols[quotes[((after == r) | (after == v)) & (then == e) | (after == l) & (then == l)]] = 7
+        symbols[words.starts] += len(_SYMBOLS)
+        begins = self.automaton.begins_at(symbols)
+        begins &= words.inside
+        if len(odd):
+            inside = np.zeros(n + 1, np.int8)
+            inside[words.starts[odd]] = 1
+            inside[words.ends[odd]] -= 1
+            inside = np.cumsum(inside[:-1], dtype=np.int8).astype(bool)
+            begins &= ~inside
+            begins[words.starts[odd]] = True
+            lower[inside] = data[inside]
+        at = np.flatnonzero(begins)
+        letters = np.ascontiguousarray(lower[words.inside])
+        bounds = np.append((np.cumsum(words.inside) - 1)[at], len(letters)).astype(np.int64)
+        return letters, bounds, np.searchsorted(at, texts.offsets)
+
     def encode(self, texts: Texts) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        cut = [texts.one(i).split() for i in range(len(texts))]
-        memo = self.memo
-        missing = {w for words in cut for w in words if w not in memo}
-        if missing:
-            new = self._learn(list(missing))
-            if len(memo) + len(new) > MEMO:  # start again from the words of these texts
-                memo = self.memo = {w: memo[w] for words in cut for w in words if w not in new}
-            memo.update(new)
-        return [b"".join([memo[w] for w in words]) for words in cut]
+        if not len(texts.data):
+            return [b""] * len(texts)
+        letters, bounds, first = self.units(texts)
+        units = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(letters)]).dictionary_encode()
+        own = self.places(units.dictionary.to_pylist())[units.indices.to_numpy()]
+        at = np.frombuffer(self.at, np.int64)
+        size = at[own + 1] - at[own]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        ids = np.frombuffer(self.ids, np.uint32)[np.arange(ends[-1]) + np.repeat(at[own] - ends[:-1], size)].astype("<u4", copy=False)
+        data, cut = ids.tobytes(), (4 * ends[first]).tolist()
+        return [data[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
 _LOADED: dict[str, WordEndTokenizer] = {}
