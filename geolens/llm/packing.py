@@ -4,8 +4,9 @@ Documents become token ids; those longer than a sequence are cut into whole sequ
 are dealt into buckets of bounded size, each packed by best fit decreasing.  Dual feasible functions give a
 lower bound of the number of sequences a bucket needs.  A bucket that reaches its bound is certified and gives
 back only its emptiest sequence; a bucket with a gap gives back all sequences with room.  What was given back is
-dealt into fewer buckets and packed again, until all that is open fits into one bucket, or reaches its common
-bound, or a round no longer saves a sequence (then the sequences before it stand).
+dealt anew, by another salt, into as many buckets as their size asks for and packed again, until all that is open
+fits into one bucket, or reaches its common bound, or a round no longer saves a sequence (then the sequences before
+it stand).  So no group grows with the data, however many pieces come back.
 
 Each round reads and writes (row, length) tables only; ids never move after the first scan.  The driver gets
 counts of lengths (as many rows as a sequence has tokens) and nothing else.
@@ -30,7 +31,8 @@ from geolens.session import cut_lineage
 
 LENGTH = 4096
 END_ID = 1
-ROWS_PER_BUCKET = 10_000  # far below the 2^20 bins that a sequence number has room for
+ROWS_PER_BUCKET = 10_000
+BINS = 1 << 20  # of a bucket, as a sequence number has 20 bits for them
 
 
 def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = END_ID, text: str = "text", doc: str = "doc_id", with_ids: bool = False) -> DataFrame:
@@ -114,7 +116,7 @@ def best_fit_decreasing(sizes: np.ndarray, length: int = LENGTH) -> tuple[np.nda
 _PLACED = "row long, length long, bucket long, bin long, offset long, stays boolean"
 
 
-def _pack(open_: DataFrame, buckets: int, length: int, last: bool) -> DataFrame:
+def _pack(open_: DataFrame, buckets: int, round_: int, length: int, last: bool) -> DataFrame:
     """One round: (row, length, bucket, bin, offset, stays)."""
 
     def pack(group: pa.Table) -> pa.Table:
@@ -122,6 +124,8 @@ def _pack(open_: DataFrame, buckets: int, length: int, last: bool) -> DataFrame:
         order = np.lexsort((row, -size))
         row, size = row[order], size[order]
         bins, offsets, fill = best_fit_decreasing(size, length)
+        if len(fill) > BINS:
+            raise ValueError(f"a bucket has {len(fill)} sequences; use fewer rows in a bucket")
         stays = fill == length
         if last:
             stays[:] = True
@@ -131,7 +135,7 @@ def _pack(open_: DataFrame, buckets: int, length: int, last: bool) -> DataFrame:
         bucket = np.full(len(row), group["bucket"][0].as_py())
         return pa.table({"row": row, "length": size, "bucket": bucket, "bin": bins, "offset": offsets, "stays": stays[bins]})
 
-    dealt = open_.select("row", "length", F.pmod(F.xxhash64("row", F.lit(buckets)), F.lit(buckets)).alias("bucket"))
+    dealt = open_.select("row", "length", F.pmod(F.xxhash64("row", F.lit(round_)), F.lit(buckets)).alias("bucket"))
     return dealt.groupBy("bucket").applyInArrow(pack, _PLACED)
 
 
@@ -157,13 +161,11 @@ def place(written: DataFrame, length: int = LENGTH, rows_per_bucket: int = ROWS_
     while n:
         number += 1
         buckets = -(-n // rows_per_bucket)
-        if before is not None:
-            buckets = min(buckets, max(1, before[2] // 2))
         bound = _bound(open_, length)
         if before is not None and before[1] == bound:  # the open sequences are certified as they stand
             placed.append(name(before[0], number - 1))
             break
-        packed = cut_lineage(_pack(open_, buckets, length, last=buckets == 1))
+        packed = cut_lineage(_pack(open_, buckets, number, length, last=buckets == 1))
         used = packed.select("bucket", "bin").distinct().count()
         if before is not None and used >= before[1]:
             placed.append(name(before[0], number - 1))
@@ -171,7 +173,7 @@ def place(written: DataFrame, length: int = LENGTH, rows_per_bucket: int = ROWS_
         placed.append(name(packed.filter("stays"), number))
         returned = packed.filter("not stays")
         n = returned.count()
-        before = returned, returned.select("bucket", "bin").distinct().count(), buckets
+        before = returned, returned.select("bucket", "bin").distinct().count()
         open_ = returned.select("row", "length")
     out = placed[0]
     for more in placed[1:]:

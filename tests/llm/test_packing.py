@@ -104,3 +104,30 @@ def test_odd_rows(spark):
         [("1", 0, 1, 1)] * 2 + [("None", 0, 1, 1)] + [("3", 0, 4096, 4096), ("3", 1, 4096, 4096), ("3", 2, 809, 809)] * 2
     )
     assert packing.pack(docs.limit(0), PATH).count() == 0
+
+
+def test_groups_stay_bounded_where_most_pieces_come_back(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    sizes = rng.integers(1025, 2048, 4000)
+    dealt, pack = [], packing._pack
+
+    def watched(open_, buckets, *rest, **more):
+        dealt.append((open_.count(), buckets))
+        return pack(open_, buckets, *rest, **more)
+
+    monkeypatch.setattr(packing, "_pack", watched)
+    written = spark.createDataFrame([(i, int(n)) for i, n in enumerate(sizes)], "row long, length long")
+    rows = packing.place(written, rows_per_bucket=250).join(written, "row").collect()
+    assert len(rows) == len(sizes) and len(dealt) > 1
+    assert all(buckets == -(-n // 250) for n, buckets in dealt)
+    used = check_placed(rows, 4096)
+    alone = len(packing.best_fit_decreasing(np.sort(sizes)[::-1])[2])
+    assert used <= 1.02 * alone
+    assert len({r["sequence_id"] for r in rows}) == used
+
+
+def test_too_many_sequences_in_a_bucket_stop(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BINS", 3)
+    written = spark.createDataFrame([(i, 3000) for i in range(10)], "row long, length long")
+    with pytest.raises(Exception, match="use fewer rows"):
+        packing.place(written).collect()
