@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from geolens import constants as K
 from geolens.functions.geometry import box_ring
-from geolens.operators import geocells, measures, sampling, spatial
+from geolens.operators import build, geocells, measures, sampling, spatial
 from geolens.plans.scalar_queries import n4
 from geolens.plans.views import Tables, haversine, oracle, r4
-from geolens.session import cut_lineage
+from geolens.session import cut_lineage, work_path
+from geolens.sources.text import PROTOTYPE_SCHEMA, read_prototypes, write_prototypes
 
 QUERIES, ORACLES = {}, {}
 
@@ -250,20 +251,25 @@ def core_distance(t: Tables) -> DataFrame:
     return out.select("cell_id", "point_id", n4("core").alias("core"))
 
 
-def _cluster_ctes(eps: str) -> str:
+def _cluster_steps(eps: str, points: str = "@point_cells", n: str = "") -> str:
+    """Steps up to ``clusters`` for a table of points; ``n`` tells several such chains apart."""
     return (
-        f"WITH RECURSIVE eps AS ({eps}), "
-        f"near AS (SELECT a.cell_id, a.point_id AS a, b.point_id AS b FROM @point_cells a JOIN @point_cells b ON a.cell_id = b.cell_id JOIN eps e ON e.cell_id = a.cell_id WHERE {_GAP} <= e.eps), "
-        "core AS (SELECT a AS id FROM near GROUP BY 1 HAVING count(*) >= 5), "
-        "link AS (SELECT a, b FROM near WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)), "
-        "reach AS (SELECT id AS a, id AS b FROM core UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b), "
-        "roots AS (SELECT a AS id, min(b) AS root FROM reach GROUP BY 1), "
-        "rooted AS (SELECT p.cell_id, p.point_id, coalesce(min(r.root), min(q.root)) AS root FROM @point_cells p LEFT JOIN roots r ON r.id = p.point_id "
-        "LEFT JOIN near n ON n.a = p.point_id LEFT JOIN roots q ON q.id = n.b GROUP BY 1, 2), "
-        "clusters AS (SELECT cell_id, point_id, CASE WHEN root IS NULL THEN -1 ELSE dense_rank() OVER (PARTITION BY cell_id ORDER BY root NULLS LAST) - 1 END AS cluster_id FROM rooted) "
+        f"eps{n} AS ({eps}), "
+        f"near{n} AS (SELECT a.cell_id, a.point_id AS a, b.point_id AS b FROM {points} a JOIN {points} b ON a.cell_id = b.cell_id JOIN eps{n} e ON e.cell_id = a.cell_id WHERE {_GAP} <= e.eps), "
+        f"core{n} AS (SELECT a AS id FROM near{n} GROUP BY 1 HAVING count(*) >= 5), "
+        f"link{n} AS (SELECT a, b FROM near{n} WHERE a IN (SELECT id FROM core{n}) AND b IN (SELECT id FROM core{n})), "
+        f"reach{n} AS (SELECT id AS a, id AS b FROM core{n} UNION SELECT r.a, l.b FROM reach{n} r JOIN link{n} l ON l.a = r.b), "
+        f"roots{n} AS (SELECT a AS id, min(b) AS root FROM reach{n} GROUP BY 1), "
+        f"rooted{n} AS (SELECT p.cell_id, p.point_id, coalesce(min(r.root), min(q.root)) AS root FROM {points} p LEFT JOIN roots{n} r ON r.id = p.point_id "
+        f"LEFT JOIN near{n} n ON n.a = p.point_id LEFT JOIN roots{n} q ON q.id = n.b GROUP BY 1, 2), "
+        f"clusters{n} AS (SELECT cell_id, point_id, CASE WHEN root IS NULL THEN -1 ELSE dense_rank() OVER (PARTITION BY cell_id ORDER BY root NULLS LAST) - 1 END AS cluster_id FROM rooted{n}) "
     )
 
 
+def _cluster_ctes(eps: str) -> str:
+    return "WITH RECURSIVE " + _cluster_steps(eps)
+
+
 @query(
     _cluster_ctes(f"SELECT cell_id, median(core) AS eps FROM ({_CORE}) c WHERE n = 1 GROUP BY 1")
     + "SELECT cell_id, point_id, cluster_id FROM clusters"
@@ -337,6 +343,62 @@ def prototype_members(t: Tables) -> DataFrame:
     return out.withColumn("indices", F.array_join(F.col("indices").cast("array<string>"), ","))
 
 
+# ---- the whole build ----------------------------------------------------------
+
+_BUILD_MERGE, _BUILD_EPS, _BUILD_TIGHT, _BUILD_MAX = 15, 9.0, 4.0, 30
+
+_MERGING = (
+    "SELECT * FROM (WITH cur AS (SELECT turn, cell_id, root FROM merging), "
+    "region AS (SELECT root AS region, sum(n) AS n FROM cur JOIN base USING (cell_id) GROUP BY 1), "
+    "edge AS (SELECT DISTINCT a.root AS src, b.root AS dst FROM nb JOIN cur a ON a.cell_id = nb.src JOIN cur b ON b.cell_id = nb.dst WHERE a.root <> b.root), "
+    "wish AS (SELECT src AS region, min(dst) AS target, md5('42:' || (SELECT max(turn) FROM cur) || ':' || src) AS priority "
+    f"FROM edge JOIN region ON region = src WHERE n < {_BUILD_MERGE} GROUP BY src), "
+    "claim AS (SELECT region AS claimed, priority FROM wish UNION ALL SELECT target, priority FROM wish), "
+    "held AS (SELECT claimed, min(priority) AS best FROM claim GROUP BY 1), "
+    "moves AS (SELECT w.target AS old, w.region AS new FROM wish w JOIN held o ON o.claimed = w.region JOIN held t ON t.claimed = w.target WHERE o.best = priority AND t.best = priority) "
+    "SELECT turn + 1 AS turn, cell_id, coalesce(new, root) AS root FROM cur LEFT JOIN moves ON root = old WHERE (SELECT count(*) FROM moves) > 0) z"
+)
+
+
+@query(
+    "WITH RECURSIVE hits AS (SELECT point_id, lat, lon, cell_id FROM (SELECT point_id, lon, lat FROM @loc_points) p JOIN @admin2 ON lon > min_x AND lon < max_x AND lat > min_y AND lat < max_y WHERE admin1_id <> 7), "
+    "base AS (SELECT a.cell_id, count(h.cell_id) AS n FROM @admin2 a LEFT JOIN hits h ON h.cell_id = a.cell_id GROUP BY 1), "
+    "nb AS (SELECT a.cell_id AS src, b.cell_id AS dst FROM @admin2 a JOIN @admin2 b ON a.country_id = b.country_id AND a.cell_id <> b.cell_id "
+    "AND a.max_x >= b.min_x AND b.max_x >= a.min_x AND a.max_y >= b.min_y AND b.max_y >= a.min_y), "
+    f"merging(turn, cell_id, root) AS (SELECT 0, cell_id, cell_id FROM @admin2 UNION ALL {_MERGING}), "
+    "joined AS (SELECT cell_id, root FROM merging WHERE turn = (SELECT max(turn) FROM merging)), "
+    "box AS (SELECT *, (max_x - min_x) * (max_y - min_y) AS area FROM @admin2), "
+    "shape AS (SELECT root, sum(area * (min_y + max_y) / 2) / sum(area) AS g_lat, sum(area * (min_x + max_x) / 2) / sum(area) AS g_lon FROM joined JOIN box USING (cell_id) GROUP BY 1), "
+    "pts AS (SELECT point_id, lat, lon, CAST(root AS VARCHAR) AS cell_id FROM hits JOIN joined USING (cell_id)), "
+    + _cluster_steps(f"SELECT DISTINCT cell_id, {_BUILD_EPS}::DOUBLE AS eps FROM pts", "pts", "1")
+    + f", marked AS (SELECT *, count(*) OVER (PARTITION BY cell_id) > {_BUILD_MAX} AND count(*) OVER (PARTITION BY cell_id, cluster_id) > 10 AS split FROM clusters1), "
+    "again AS (SELECT m.cell_id || '_' || m.cluster_id AS cell_id, point_id, lat, lon FROM marked m JOIN pts USING (point_id) WHERE split), "
+    + _cluster_steps(f"SELECT DISTINCT cell_id, {_BUILD_TIGHT}::DOUBLE AS eps FROM again", "again", "2")
+    + ", every AS (SELECT cell_id AS parent_id, cell_id, cluster_id, point_id FROM marked WHERE NOT split UNION ALL "
+    "SELECT m.cell_id, c.cell_id, c.cluster_id, point_id FROM clusters2 c JOIN marked m USING (point_id)), "
+    "named AS (SELECT e.*, a.country_id AS country, a.admin1_id AS admin1, p.lat, p.lon FROM every e JOIN @admin2 a ON a.cell_id = CAST(parent_id AS BIGINT) JOIN pts p USING (point_id)), "
+    "mean AS (SELECT cell_id, avg(lat) AS m_lat, avg(lon) AS m_lon FROM named GROUP BY 1), "
+    "ix AS (SELECT *, dense_rank() OVER (ORDER BY country, admin1, cell_id) - 1 AS geocell_index FROM named) "
+    "SELECT geocell_index, CAST(country AS VARCHAR) AS country, CAST(admin1 AS VARCHAR) AS admin1, ix.cell_id, parent_id, cluster_id, count(*) AS count, "
+    "string_agg(CAST(point_id AS VARCHAR), ',' ORDER BY point_id) AS indices, "
+    f"{r4('round(coalesce(any_value(g_lat), any_value(m_lat)), 8)')} AS centroid_lat, {r4('round(coalesce(any_value(g_lon), any_value(m_lon)), 8)')} AS centroid_lng "
+    "FROM ix JOIN mean USING (cell_id) LEFT JOIN shape ON CAST(root AS VARCHAR) = ix.cell_id GROUP BY 1, 2, 3, 4, 5, 6"
+)
+def build_geocells(t: Tables) -> DataFrame:
+    """All steps on real clusters, exported as prototype rows and read back."""
+    ringed = box_rings(t.admin2).withColumn("rings", F.array("ring")).drop("ring", "min_x", "min_y", "max_x", "max_y")
+    adm0, adm1, _ = admin_tables(t)
+    adm2 = spatial.polygon_table(build.with_shape(ringed))
+    rows = build.build_geocells(
+        t.loc_points.drop("country_id"), adm0, adm1, adm2, _BUILD_EPS, _BUILD_TIGHT, min_cell=_BUILD_MERGE, max_points=_BUILD_MAX
+    )
+    path = work_path(t.spark, "prototypes")
+    write_prototypes(rows, path, "csv")
+    back = read_prototypes(t.spark, path, PROTOTYPE_SCHEMA.replace("cluster_id", "parent_id string, cluster_id", 1))
+    back = back.withColumn("indices", F.array_join(F.col("indices").cast("array<string>"), ","))
+    return back.withColumns({c: n4(F.round(c, 8)) for c in ("centroid_lat", "centroid_lng")})
+
+
 # ---- sampling ----------------------------------------------------------------
 
 
