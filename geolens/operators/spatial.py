@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from geolens import constants as K
 from geolens.functions import geometry as G
 from geolens.functions.scalar import haversine_km, one_hot, round6, unit_xyz
+from geolens.operators.clipped import clipped_join
 from geolens.operators.grid import grid_join, nearest, square, with_box_keys
 from geolens.operators.spread import salted_join, top_per_key
 from geolens.session import cut_lineage
@@ -43,15 +44,6 @@ def _box_sides() -> tuple[list[Column], list[Column]]:
     return [F.col("min_x"), F.col("min_y")], [F.col("max_x"), F.col("max_y")]
 
 
-def _inside(test, x: Column, y: Column) -> Column:
-    in_box = x.between(F.col("min_x"), F.col("max_x")) & y.between(F.col("min_y"), F.col("max_y"))
-    return in_box & test(F.col("edges"), x, y)
-
-
-def _polygon_columns(df: DataFrame) -> DataFrame:
-    return df.drop("edges", "min_x", "min_y", "max_x", "max_y")
-
-
 def join_within(
     points: DataFrame, polygons: DataFrame, label: str, default: str = "UNKNOWN", size: float = 4.0
 ) -> DataFrame:
@@ -60,12 +52,8 @@ def join_within(
     A point in several polygons appears once for each; a point in none gets
     ``default``.  ``polygons`` comes from :func:`polygon_table`.
     """
-    lows, highs = _box_sides()
-    lon, lat = F.col("lon"), F.col("lat")
-    joined = grid_join(
-        points, polygons, [lon, lat], lows, highs, size, _inside(G.contains_point, lon, lat), how="left", salt=True
-    )
-    return _polygon_columns(joined).withColumn(label, F.coalesce(F.col(label), F.lit(default)))
+    joined = clipped_join(points, polygons, size, boundary=False, how="left", salt=True)
+    return joined.withColumn(label, F.coalesce(F.col(label), F.lit(default)))
 
 
 def boundary_pieces(polygons: DataFrame, key: str, piece: float) -> DataFrame:
@@ -98,10 +86,9 @@ def label_covered_or_nearest(
     index.  Points are reduced to distinct coordinates for the search; a point without
     coordinates has no label.
     """
-    lows, highs = _box_sides()
     lon, lat = F.col("lon"), F.col("lat")
     spots = points.select("lon", "lat").dropna().distinct()
-    covered = grid_join(spots, cells, [lon, lat], lows, highs, size, _inside(G.covers_point, lon, lat))
+    covered = clipped_join(spots, cells, size, boundary=True)
     covered = cut_lineage(covered.groupBy("lon", "lat").agg(F.min("geocell_index").alias("geocell_index")))
     rest = spots.join(covered, ["lon", "lat"], "left_anti").withColumns({"q0": lon, "q1": lat})
     pieces = boundary_pieces(cells, "geocell_index", size)
@@ -148,16 +135,13 @@ def assign_admin_cell(
     ``adm0`` has country_id, ``adm1`` country_id and admin1_id, ``adm2`` country_id,
     admin1_id and cell_id, all from :func:`polygon_table`.
     """
-    lows, highs = _box_sides()
-    lon, lat = F.col("lon"), F.col("lat")
-    inside = _inside(G.contains_point, lon, lat)
     found = points.select("lon", "lat").distinct()
     for table, keys, target in (
         (adm0, [], "country_id"),
         (adm1, ["country_id"], "admin1_id"),
         (adm2, ["country_id", "admin1_id"], "cell_id"),
     ):
-        hits = grid_join(found, table, [lon, lat], lows, highs, size, inside, keys=keys)
+        hits = clipped_join(found, table, size, boundary=False, keys=keys)
         found = hits.groupBy("lon", "lat", *keys).agg(F.min(target).alias(target))
     return salted_join(points, found, ["lon", "lat"])
 
