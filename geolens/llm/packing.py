@@ -31,6 +31,7 @@ from geolens.session import cut_lineage
 
 LENGTH = 4096
 END_ID = 1
+TEXT_BYTES = 2 << 20  # tokenised at once
 ROWS_PER_BUCKET = 10_000
 BINS = 1 << 20  # of a bucket, as a sequence number has 20 bits for them
 
@@ -41,7 +42,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int =
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", TEXT_BYTES):
                 owner, piece, start, size, crc, own = [], [], [], [], [], []
                 for i, data in enumerate(token_bytes(part.column("text"), tokenizer)):
                     data += end

@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import re
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +19,9 @@ import pyarrow as pa
 from geolens.llm.byte_bpe import _SYMBOLS, Automaton
 from geolens.llm.words import LOWER, NOT_SPACE, Texts, Words
 
-MEMO = 400_000
+MEMO = 700_000
 
+_CONTROL = frozenset([*range(33), 127])
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 
 _SPACE, _LETTER, _DIGIT, _OTHER, _ODD = range(5)
@@ -83,33 +85,48 @@ class WordEndTokenizer:
     def _slow(self, chunk: str) -> bytes:
         return np.array(self.whole.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, missing: list[bytes]) -> dict[bytes, bytes]:
-        out, plain = {}, []
+    def _learn(self, missing: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Units and their ids; ASCII ones are their own byte-level letters."""
+        ascii_, latin = [], []
         for raw in missing:
-            chunk = raw.decode()
-            if "<|" in chunk or not _PLAIN.fullmatch(chunk):
-                out[raw] = self._slow(chunk)
-            else:
-                plain.append(chunk)
-        if not plain:
-            return out
-        ids = np.array(self.merger.encode(" ".join(plain).translate(_LETTERS), add_special_tokens=False).ids, "<u4")
-        ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-        if len(ends) != len(plain):
-            raise ValueError(f"{len(plain)} pre-tokens gave {len(ends)} word ends")
-        data = ids.tobytes()
-        out.update((chunk.encode(), data[4 * a : 4 * b]) for chunk, a, b in zip(plain, [0, *ends], ends, strict=False))
-        return out
+            if b"<|" not in raw:
+                if raw.isascii() and _CONTROL.isdisjoint(raw):
+                    ascii_.append(raw)
+                    continue
+                if _PLAIN.fullmatch(raw.decode()):
+                    latin.append(raw)
+                    continue
+            yield raw, self._slow(raw.decode())
+        for group in (ascii_, latin):
+            if not group:
+                continue
+            said = b" ".join(group).decode()
+            ids = np.array(self.merger.encode(said if group is ascii_ else said.translate(_LETTERS), add_special_tokens=False).ids, "<u4")
+            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(ends) != len(group):
+                raise ValueError(f"{len(group)} pre-tokens gave {len(ends)} word ends")
+            data = ids.tobytes()
+            yield from ((raw, data[4 * a : 4 * b]) for raw, a, b in zip(group, [0, *ends], ends, strict=False))
 
     def places(self, distinct: list[bytes]) -> np.ndarray:
         """Numbers of units; those not met before are learnt."""
         if len(self.place) > MEMO:
             self.clear()
-        for raw, ids in self._learn([w for w in distinct if w not in self.place]).items():
-            self.place[raw] = len(self.place)
-            self.ids.frombytes(ids)
-            self.at.append(len(self.ids))
-        return np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))
+        found = list(map(self.place.get, distinct))
+        missing = [i for i, k in enumerate(found) if k is None]
+        if missing:
+            place, n = self.place, len(self.place)
+            new: list[bytes] = []
+            for raw, ids in self._learn([distinct[i] for i in missing]):
+                place[raw] = n
+                n += 1
+                new.append(ids)
+            ends = np.cumsum([len(x) // 4 for x in new]) + len(self.ids)
+            self.ids.frombytes(b"".join(new))
+            self.at.extend(ends.tolist())
+            for i in missing:
+                found[i] = place[distinct[i]]
+        return np.array(found, np.int64)
 
     def units(self, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bytes of all units, where each begins in them (and the end), and the first unit of each text.
@@ -162,11 +179,11 @@ class WordEndTokenizer:
         letters, bounds, first = self.units(texts)
         units = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(letters)]).dictionary_encode()
         own = self.places(units.dictionary.to_pylist())[units.indices.to_numpy()]
-        at = np.frombuffer(self.at, np.int64)
-        size = at[own + 1] - at[own]
-        ends = np.concatenate(([0], np.cumsum(size)))
-        ids = np.frombuffer(self.ids, np.uint32)[np.arange(ends[-1]) + np.repeat(at[own] - ends[:-1], size)].astype("<u4", copy=False)
-        data, cut = ids.tobytes(), (4 * ends[first]).tolist()
+        at = np.frombuffer(self.at, np.int64).astype(np.int32)  # the memo is far below 2^31 ids
+        size = np.diff(at)[own]
+        ends = np.concatenate((np.zeros(1, np.int32), np.cumsum(size, dtype=np.int32)))
+        ids = np.frombuffer(self.ids, np.uint32)[np.arange(ends[-1], dtype=np.int32) + np.repeat(at[own] - ends[:-1], size)].astype("<u4", copy=False)
+        data, cut = ids.tobytes(), (4 * ends[first].astype(np.int64)).tolist()
         return [data[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
