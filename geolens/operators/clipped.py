@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geolens.functions.geometry import on_boundary
+from geolens.functions.geometry import edges_intersect, on_boundary
 from geolens.operators.spread import keyed_join, salted_join
 from geolens.session import cut_lineage
 
@@ -122,9 +122,10 @@ def _quartered(squares: DataFrame) -> DataFrame:
     return out.where((F.size("local") > 0) | F.col("odd"))
 
 
-def clip(polygons: DataFrame, size: float = 4.0, local_edges: int = LOCAL_EDGES) -> tuple[DataFrame, list[int], float]:
+def clip(polygons: DataFrame, size: float = 4.0, local_edges: int | None = LOCAL_EDGES) -> tuple[DataFrame, list[int], float]:
     """The polygons' squares (lv, g0, g1, local, odd and the columns of ``polygons`` but edges and box), the levels
     there are, and the size of squares of level 0: the largest power of two up to ``size``, which keeps borders exact.
+    Without ``local_edges`` all squares are of level 0.
     """
     power = 1.0
     while power > size:
@@ -147,8 +148,8 @@ def clip(polygons: DataFrame, size: float = 4.0, local_edges: int = LOCAL_EDGES)
         "_pid", F.lit(0).alias("lv"), "g0", "g1", F.lit(size).alias("_size"), F.coalesce("local", F.array().cast(known.schema["local"].dataType)).alias("local"), "odd"
     )
     done, levels = cut_lineage(squares), [0]
-    crowded = F.size("local") > local_edges
-    if not done.where(crowded).isEmpty():
+    crowded = F.size("local") > (local_edges or 0)
+    if local_edges is not None and not done.where(crowded).isEmpty():
         open_, kept = done.where(crowded), [done.where(~crowded)]
         while levels[-1] < DEEPEST:
             below = cut_lineage(_quartered(open_))
@@ -172,6 +173,32 @@ def inside(x: Column, y: Column, boundary: bool) -> Column:
     return parity | on if boundary else parity & ~on
 
 
+def meeting_pairs(cells: DataFrame, key: str, name: str, size: float) -> DataFrame:
+    """(key, src, dst), src < dst: cells of one key whose shapes meet, from their squares alone.
+
+    Shapes meet if edges meet, which happens in a square that has both edges, or if one holds a part of the other;
+    then a vertex of that part is inside the other one's square.
+    """
+    squares, _, side = clip(cells.select(key, name, "edges", *_BOX), size, local_edges=None)
+    joined = [key, "g0", "g1"]
+    a, b = (squares.select(*joined, "_size", *[F.col(c).alias(f"{p}_{c}") for c in (name, "local", "odd")]) for p in "ab")
+    both = a.join(b.drop("_size"), joined).where(F.col(f"a_{name}") < F.col(f"b_{name}"))
+    right, low = (F.col("g0") + 1) * F.col("_size"), F.col("g1") * F.col("_size")
+
+    def holds(outer: str, inner: str) -> Column:
+        local, odd = F.col(f"{outer}_local"), F.col(f"{outer}_odd")
+
+        def vertex(e: Column) -> Column:
+            x, y = e["x1"], e["y1"]
+            here = (x <= right) & (x >= right - side) & (y >= low) & (y <= low + side)
+            return here & (corner_parity(local, odd, right, low, x, y) | on_boundary(local, x, y))
+
+        return F.exists(f"{inner}_local", vertex)
+
+    meets = edges_intersect(F.col("a_local"), F.col("b_local")) | holds("a", "b") | holds("b", "a")
+    return both.where(meets).select(key, F.col(f"a_{name}").alias("src"), F.col(f"b_{name}").alias("dst")).distinct()
+
+
 def clipped_join(
     points: DataFrame,
     polygons: DataFrame,

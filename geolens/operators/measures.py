@@ -133,25 +133,34 @@ def softmax_temp(df: DataFrame, key: str, logit: str, temperature: float = 1.0,
 def soft_label_loss(
     logits: DataFrame, truth: DataFrame, cells: DataFrame, tau_km: float = K.LABEL_SMOOTHING_KM
 ) -> DataFrame:
-    """Mean cross entropy against labels smoothed by distance to the cell centroids."""
+    """Mean cross entropy against labels smoothed by distance to the cell centroids: (n, loss, n_missing).
+
+    Probabilities are over all classes; one without centroid has no weight in the label.  A sample without truth, or
+    none of whose classes has a centroid, has no loss: it counts in ``n`` and in ``n_missing``.
+    """
     w = Window.partitionBy("sample_id")
     km = haversine_km(F.col("lat"), F.col("lon"), F.col("clat"), F.col("clon"), K.LABEL_RADIUS_M)
-    joined = logits.join(cells.select("geocell_index", "clat", "clon"), "geocell_index")
-    joined = joined.join(truth.select("sample_id", "lat", "lon"), "sample_id").withColumn("km", km)
+    joined = log_softmax(logits).join(cells.select("geocell_index", "clat", "clon"), "geocell_index", "left")
+    joined = joined.join(truth.select("sample_id", "lat", "lon"), "sample_id", "left").withColumn("km", F.nanvl(km, F.lit(None)))
     raw = F.exp(-(F.col("km") - F.min("km").over(w)) / tau_km)
-    weighted = log_softmax(joined).withColumn("w", F.coalesce(F.nanvl(raw, F.lit(0.0)), F.lit(0.0)))
-    per_sample = weighted.groupBy("sample_id").agg(
-        (-F.sum(F.col("w") * F.col("log_prob")) / F.greatest(F.sum("w"), F.lit(1e-12))).alias("loss")
-    )
-    return per_sample.agg(F.count(F.lit(1)).alias("n"), F.avg("loss").alias("loss"))
+    weighted = joined.withColumn("w", F.coalesce(raw, F.lit(0.0)))
+    loss = -F.sum(F.when(F.col("w") > 0, F.col("w") * F.col("log_prob"))) / F.greatest(F.sum("w"), F.lit(1e-12))
+    return _mean_loss(weighted.groupBy("sample_id").agg(F.when(F.count("km") > 0, loss).alias("loss")))
 
 
 def hard_label_loss(logits: DataFrame, labels: DataFrame) -> DataFrame:
-    """Mean cross entropy against the class index."""
-    named = log_softmax(logits).join(
-        labels.select("sample_id", F.col("label").alias("geocell_index")), ["sample_id", "geocell_index"]
-    )
-    return named.agg(F.count(F.lit(1)).alias("n"), F.avg(-F.col("log_prob")).alias("loss"))
+    """Mean cross entropy against the class index: (n, loss, n_missing).
+
+    A sample without label, or whose label is no class, has no loss: it counts in ``n`` and in ``n_missing``.
+    """
+    named = log_softmax(logits).join(labels.select("sample_id", "label"), "sample_id", "left")
+    own = F.max(F.when(F.col("geocell_index") == F.col("label"), F.col("log_prob")))
+    return _mean_loss(named.groupBy("sample_id").agg((-own).alias("loss")))
+
+
+def _mean_loss(per_sample: DataFrame) -> DataFrame:
+    n = F.count(F.lit(1))
+    return per_sample.agg(n.alias("n"), F.avg("loss").alias("loss"), (n - F.count("loss")).alias("n_missing"))
 
 
 def retrieval_accuracy(left: DataFrame, right: DataFrame, batch_size: int, trials: int | None = None) -> DataFrame:

@@ -8,15 +8,12 @@ from pyspark.sql import functions as F
 from geolens import constants as K
 from geolens.functions import geometry as G
 from geolens.functions.scalar import haversine_km, one_hot, round6, unit_xyz
-from geolens.operators.clipped import clipped_join
-from geolens.operators.grid import grid_join, nearest, square, with_box_keys
+from geolens.operators.clipped import clipped_join, meeting_pairs
+from geolens.operators.grid import grid_join, nearest
 from geolens.operators.spread import salted_join, top_per_key
 from geolens.session import cut_lineage
 
 
-_CELL_COLUMNS = ("cell_id", "edges", "min_x", "min_y", "max_x", "max_y")
-
-
 def polygon_table(df: DataFrame, rings: str = "rings") -> DataFrame:
     """Replace a ring column by the edge list and box every join here works on."""
     boxes = F.transform(F.col(rings), G.ring_bbox)
@@ -149,40 +146,9 @@ def assign_admin_cell(
 def cell_neighbours(cells: DataFrame, size: float = 8.0) -> DataFrame:
     """Pairs of cells of one country whose shapes meet, in both directions.
 
-    A pair sharing several grid squares is kept in the one holding the lower left
-    corner of the boxes' intersection, which avoids a distinct.
+    Each cell is clipped to squares, so a pair is settled by the edges of the squares it shares.
     """
-    lows, highs = _box_sides()
-    keyed = with_box_keys(cells, lows, highs, size)
-    a = keyed.select("country_id", "g0", "g1", *[F.col(c).alias(f"a_{c}") for c in _CELL_COLUMNS])
-    b = keyed.select("country_id", "g0", "g1", *[F.col(c).alias(f"b_{c}") for c in _CELL_COLUMNS])
-    overlap = (
-        (F.col("a_max_x") >= F.col("b_min_x"))
-        & (F.col("b_max_x") >= F.col("a_min_x"))
-        & (F.col("a_max_y") >= F.col("b_min_y"))
-        & (F.col("b_max_y") >= F.col("a_min_y"))
-        & (square(F.greatest("a_min_x", "b_min_x"), size) == F.col("g0"))
-        & (square(F.greatest("a_min_y", "b_min_y"), size) == F.col("g1"))
-    )
-
-    def holds(outer: str, inner: str) -> Column:
-        """Some part of the inner shape lies inside the outer one: one corner of every ring is tested."""
-        edges = F.col(f"{inner}_edges")
-
-        def opens_ring(e: Column, i: Column) -> Column:
-            before = F.element_at(edges, F.greatest(i, F.lit(1)))
-            return (i == 0) | (e["x1"] != before["x2"]) | (e["y1"] != before["y2"])
-
-        return F.exists(F.filter(edges, opens_ring), lambda e: G.covers_point(F.col(f"{outer}_edges"), e["x1"], e["y1"]))
-
-    meets = G.edges_intersect(F.col("a_edges"), F.col("b_edges")) | holds("a", "b") | holds("b", "a")
-    pairs = (
-        a.join(b, ["country_id", "g0", "g1"])
-        .where(F.col("a_cell_id") < F.col("b_cell_id"))
-        .where(overlap)
-        .where(meets)
-        .select("country_id", F.col("a_cell_id").alias("src"), F.col("b_cell_id").alias("dst"))
-    )
+    pairs = meeting_pairs(cells, "country_id", "cell_id", size)
     back = pairs.select("country_id", F.col("dst").alias("src"), F.col("src").alias("dst"))
     return pairs.unionByName(back)
 

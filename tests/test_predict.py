@@ -138,7 +138,7 @@ def test_chunks_and_packs_against_brute_force(spark, monkeypatch, farthest):
 def test_losses_by_hand(spark):
     logits = spark.createDataFrame([(1, 0, 2.0), (1, 1, 0.0), (2, 0, 0.0), (2, 1, 0.0)], "sample_id long, geocell_index long, logit double")
     labels = spark.createDataFrame([(1, 0), (2, 1)], "sample_id long, label long")
-    n, loss = measures.hard_label_loss(logits, labels).first()
+    n, loss, _ = measures.hard_label_loss(logits, labels).first()
     assert n == 2 and loss == pytest.approx((math.log(1 + math.exp(-2)) + math.log(2)) / 2)
     truth = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, 0.5)], "sample_id long, lat double, lon double")
     cells = spark.createDataFrame([(0, 0.0, 0.0), (1, 0.0, 1.0)], "geocell_index long, clat double, clon double")
@@ -207,3 +207,16 @@ def test_lookups_by_coordinates_and_raster_edges(spark):
     raster = spark.createDataFrame([(0, 0, 30), (17, 36, 0), (-1, 36, 5)], "row int, col int, value int").where("row >= 0")
     out = tables.raster_sample(points, raster, (-180.0, 90.0), (5.0, 5.0), K.CLIMATE_LEGEND)
     assert {r["id"]: r["climate"] for r in out.collect()} == {1: None, 2: None, 3: "a polar ice cap climate", 4: None}
+
+
+def test_losses_count_samples_without_truth_label_or_centroid(spark):
+    logits = spark.createDataFrame([(s, c, x) for s in (1, 2, 3) for c, x in ((0, 1.0), (1, 0.0))], "sample_id long, geocell_index long, logit double")
+    truth = spark.createDataFrame([(1, 0.0, 0.0), (3, None, 1.0)], "sample_id long, lat double, lon double")
+    cells = spark.createDataFrame([(0, 0.0, 0.0), (1, None, None)], "geocell_index long, clat double, clon double")
+    want = math.log(1 + math.exp(-1.0))  # the class without centroid keeps its probability
+    for known in (cells, cells.limit(1)):
+        n, loss, missing = measures.soft_label_loss(logits, truth, known).first()
+        assert (n, missing) == (3, 2) and loss == pytest.approx(want)
+    labels = spark.createDataFrame([(1, 0), (2, 9)], "sample_id long, label long")
+    n, loss, missing = measures.hard_label_loss(logits, labels).first()
+    assert (n, missing) == (3, 2) and loss == pytest.approx(want)
