@@ -141,7 +141,9 @@ def soft_label_loss(
     w = Window.partitionBy("sample_id")
     km = haversine_km(F.col("lat"), F.col("lon"), F.col("clat"), F.col("clon"), K.LABEL_RADIUS_M)
     joined = log_softmax(logits).join(cells.select("geocell_index", "clat", "clon"), "geocell_index", "left")
-    joined = joined.join(truth.select("sample_id", "lat", "lon"), "sample_id", "left").withColumn("km", F.nanvl(km, F.lit(None)))
+    joined = joined.join(truth.select("sample_id", "lat", "lon"), "sample_id", "left")
+    known = F.col("lat").isNotNull() & F.col("lon").isNotNull() & F.col("clat").isNotNull() & F.col("clon").isNotNull()
+    joined = joined.withColumn("km", F.when(known & ~F.isnan(km), km))
     raw = F.exp(-(F.col("km") - F.min("km").over(w)) / tau_km)
     weighted = joined.withColumn("w", F.coalesce(raw, F.lit(0.0)))
     loss = -F.sum(F.when(F.col("w") > 0, F.col("w") * F.col("log_prob"))) / F.greatest(F.sum("w"), F.lit(1e-12))
