@@ -4,9 +4,9 @@ A tolerant scanner cuts a page into blocks of text.  Blocks in elements that say
 headers, footers, sidebars, notices, adverts, forms, reader comments, scripts, hidden parts) are left out; blocks
 in an article are kept.  What else is on the page - loose blocks - is settled by page differencing: pages are put
 in order of host, path and id, each page is aligned with its nearest neighbour of the same host by the longest
-common subsequence of their loose blocks, and shared blocks are deleted as parts of the host's template.  Equal
-pages at one URL take one place in the order and get the same text, whatever their number.  A neighbour at another
-path with the same blocks in the same order is a copy too and says nothing about the template; it is not used.
+common subsequence of their loose blocks, and shared blocks are deleted as parts of the host's template.  Pages of a
+host with the same blocks say nothing about its template: they take one place in the order, that of their first
+path, and get the same text, whatever their number and wherever they are.
 
 The order is a global index over range partitions, and neighbours meet by an equi-join on it, so a host with a
 third of all pages is spread over tasks.  Only hashes of loose blocks travel; texts stay where they were written.
@@ -32,16 +32,20 @@ from geolens.operators.spread import global_index
 from geolens.session import cut_lineage
 
 BROADCAST_ROWS = 500_000
-_GROUP = ["host", "path", "page", "flags"]  # equal pages at one URL
+TABLE_CELLS = 1 << 22
+_GROUP = ["host", "page", "flags"]  # equal pages of a host
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^>]*\Z|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>",
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^>]*\Z|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
+    r"|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)>",  # a quote that nothing closes ends with the tag
     re.S,
 )
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = set("script style noscript template textarea title iframe noembed noframes xmp object svg math canvas video audio select".split())
+#: Of these only text that really ends them is skipped: without an end tag they are passed over as if empty.
+_PASSED = set("noscript template iframe noembed noframes object svg math canvas video audio select".split())
 _DROPPED = set("nav footer aside form button dialog menu head datalist".split())
 _CONTENT = {"article", "main"}
 _BLOCKS = set(
@@ -62,11 +66,30 @@ _NAMES = set(
 _COMMENTS = {"comment", "comments", "disqus", "reply", "replies"}
 
 
+#: Parts of a compound name that say what it is for, not what it is about; those that turn its sense around.
+_GENERIC = set("area bar block box btn button container content group inner item items link links list module outer panel row section slot unit wrap wrapper zone".split())
+_NEGATING = set("has no non not with without is js hide show".split())
+
+
+def _says(value: str, names: set[str]) -> bool:
+    """A class or id whose whole name is one of the names, ends in one, or is one of a generic part."""
+    for token in value.lower().split():
+        parts = [x for x in re.split(r"[^a-z]+", token) if x]
+        if not parts or parts[0] in _NEGATING:
+            continue
+        while len(parts) > 1 and parts[-1] in _GENERIC:
+            parts.pop()
+        if parts[-1] in names:
+            return True
+    return False
+
+
 class _Open:
-    __slots__ = ("content", "drop", "name")
+    __slots__ = ("comments", "content", "drop", "name")
 
-    def __init__(self, name: str, drop: bool, content: bool):
+    def __init__(self, name: str, drop: bool, content: bool, comments: bool = False):
         self.name, self.drop, self.content = name, drop, content
+        self.comments = comments  # reader comments or hidden: articles in it are none of the page's
 
 
 def _attributes(rest: str) -> dict[str, str]:
@@ -79,27 +102,49 @@ def _attributes(rest: str) -> dict[str, str]:
 def _opened(name: str, rest: str, in_content: bool) -> _Open:
     content = name in _CONTENT
     drop = name in _DROPPED or (name == "header" and not in_content)
+    comments = False
     if rest.strip(" \t\r\n/"):
         attributes = _attributes(rest)
         role = attributes.get("role", "").lower()
-        words = set(re.findall(r"[a-z]+", f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()))
+        classes, own = attributes.get("class", ""), attributes.get("id", "")
         content |= role == "main" or attributes.get("itemprop") == "articleBody"
         style = attributes.get("style", "").replace(" ", "").lower()
         drop |= role in _ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in style
+        hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in style
+        comments = hidden or _says(classes, _COMMENTS) or _says(own, _COMMENTS)
         if name in ("html", "body"):
-            drop = False
+            drop = comments = False
         elif name in _CONTENT:
-            drop |= bool(words & _COMMENTS)
+            drop |= _says(classes, _COMMENTS) or _says(own, _COMMENTS)
+        elif in_content:  # the id of a part of an article names its subject
+            drop |= _says(classes, _NAMES) or _says(own, _COMMENTS)
         else:
-            drop |= bool(words & _NAMES) or ("header" in words and not in_content)
-    return _Open(name, drop, content)
+            drop |= _says(classes, _NAMES | {"header"}) or _says(own, _NAMES | {"header"})
+    return _Open(name, drop, content, comments)
 
 
 def blocks(page: str) -> list[tuple[str, bool]]:
-    """(text, loose) of each block outside dropped elements; loose: not in an article."""
+    """(text, loose) of each block outside dropped elements; loose: not in an article.
+
+    Where all articles of a page are inside dropped elements, what encloses them is no furniture (a form around the
+    whole page, a layout named after its sidebar): then the elements that hold the first one are kept.
+    """
+    found, held = _scan(page, frozenset())
+    if held and all(loose for _, loose in found):
+        found, _ = _scan(page, held)
+    return found
+
+
+def _scan(page: str, spared: frozenset[int]) -> tuple[list[tuple[str, bool]], frozenset[int]]:
+    """Blocks, and the places of the dropped elements around the first article found inside some.
+
+    Elements at the places ``spared`` are not dropped.  An article in reader comments is none.
+    """
     out: list[tuple[str, bool]] = []
     text: list[str] = []
     stack: list[_Open] = []
+    places: list[int] = []
+    held: frozenset[int] = frozenset()
     dropped = content = 0
 
     def flush() -> None:
@@ -116,7 +161,7 @@ def blocks(page: str) -> list[tuple[str, bool]]:
         for x in stack[down_to:]:
             dropped -= x.drop
             content -= x.content
-        del stack[down_to:]
+        del stack[down_to:], places[down_to:]
 
     at = 0
     while True:
@@ -132,12 +177,13 @@ def blocks(page: str) -> list[tuple[str, bool]]:
         if token is None:
             break
         at = token.end()
-        if token["name"] is None:
+        if token["name"] is None and token["name2"] is None:
             continue
-        name, rest = token["name"].lower(), token["rest"]
-        if stack and stack[-1].name == "head" and not token["end"] and name not in ("html", "head", *_HEAD):
+        name, rest = (token["name"] or token["name2"]).lower(), token["rest"] if token["name"] else token["rest2"]
+        ends = token["end"] or token["end2"]
+        if stack and stack[-1].name == "head" and not ends and name not in ("html", "head", *_HEAD):
             close(len(stack) - 1)
-        if token["end"]:
+        if ends:
             if name == "br":
                 text.append(" ")
                 continue
@@ -154,7 +200,7 @@ def blocks(page: str) -> list[tuple[str, bool]]:
         if name in _RAW:
             if not rest.rstrip().endswith("/"):
                 end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                at = end.end() if end else at if name in _PASSED else len(page)
             if not dropped:
                 text.append(" ")
             continue
@@ -173,14 +219,19 @@ def blocks(page: str) -> list[tuple[str, bool]]:
                 if stack[i].name in _BLOCKS:
                     break
         new = _opened(name, rest, content > 0)
+        if token.start() in spared:
+            new.drop = False
         if name in _BLOCKS or new.drop:
             flush()
+        if new.content and not new.drop and dropped and not held and not any(x.comments for x in stack):
+            held = frozenset(p for x, p in zip(stack, places, strict=True) if x.drop)
         stack.append(new)
+        places.append(token.start())
         dropped += new.drop
         content += new.content
     close(0)
     flush()
-    return out
+    return out, held
 
 
 def host_and_path(url: str | None) -> tuple[str, str]:
@@ -215,8 +266,17 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     return parsed.select(F.monotonically_increasing_id().alias("row"), "*")
 
 
+def _lengths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of ``a`` with each prefix of ``b``."""
+    row = np.zeros(len(b) + 1, np.int32)
+    for x in a:
+        best = np.maximum(row[1:], np.where(b == x, row[:-1] + 1, 0))
+        row[1:] = np.maximum.accumulate(best)
+    return row
+
+
 def shared_places(mine: np.ndarray, theirs: np.ndarray) -> list[int]:
-    """Places in ``mine`` of a longest common subsequence with ``theirs``, the first such by place in ``mine``."""
+    """Places in ``mine`` of a longest common subsequence with ``theirs``; memory is bounded by ``TABLE_CELLS``."""
     n, m = len(mine), len(theirs)
     head = 0
     while head < min(n, m) and mine[head] == theirs[head]:
@@ -230,7 +290,13 @@ def shared_places(mine: np.ndarray, theirs: np.ndarray) -> list[int]:
     a = a[known]
     b = b[np.isin(b, a)]
     middle: list[int] = []
-    if len(a):
+    if len(a) * len(b) > TABLE_CELLS and len(a) > 1:
+        # Split the longer task where the two halves' lengths add up best: two rows of the table at a time.
+        half = len(a) // 2
+        cut = int((_lengths(a[:half], b) + _lengths(a[half:][::-1], b[::-1])[::-1]).argmax())
+        for first, x, y in ((0, a[:half], b[:cut]), (half, a[half:], b[cut:])):
+            middle += [head + int(places[first + k]) for k in shared_places(x, y)]
+    elif len(a):
         # row i: lengths for a[i:], found from the end, one numpy pass for each row
         table = np.zeros((len(a) + 1, len(b) + 1), np.int32)
         for i in range(len(a) - 1, -1, -1):
@@ -264,8 +330,8 @@ def _grouped(parsed: DataFrame) -> DataFrame:
 def template_blocks(parsed: DataFrame) -> DataFrame:
     """(_GROUP, deleted): places among a page's loose blocks that its nearest page shares, for groups that have some."""
     hashes = F.transform(F.filter(F.arrays_zip("texts", "loose"), lambda x: x["loose"]), lambda x: F.xxhash64(x["texts"]))
-    keys = _grouped(parsed).select("row", *_GROUP, hashes.alias("loose"))
-    keys = keys.groupBy(*_GROUP).agg(F.min("row").alias("row"), F.first("loose").alias("loose"))
+    keys = _grouped(parsed).select("row", "path", *_GROUP, hashes.alias("loose"))
+    keys = keys.groupBy(*_GROUP).agg(F.min("row").alias("row"), F.min("path").alias("path"), F.first("loose").alias("loose"))
     order = [F.col("host"), F.col("path"), F.col("row")]
     indexed = cut_lineage(global_index(keys, order, "place"))
     other = indexed.select(F.struct("host", "path", "loose", "page").alias("other"), "place")
@@ -284,11 +350,11 @@ def template_blocks(parsed: DataFrame) -> DataFrame:
                         if found := shared_places(np.array(r["loose"], np.int64), np.array(nearest["loose"], np.int64)):
                             found_in.append(r)
                             deleted.append(found)
-            keys = [pa.array([r[k] for r in found_in], kind) for k, kind in zip(_GROUP, (pa.string(), pa.string(), pa.int64(), pa.int64()))]
+            keys = [pa.array([r[k] for r in found_in], kind) for k, kind in zip(_GROUP, (pa.string(), pa.int64(), pa.int64()), strict=True)]
             yield pa.record_batch([*keys, pa.array(deleted, pa.list_(pa.int32()))], [*_GROUP, "deleted"])
 
-    schema = "host string, path string, page long, flags long, deleted array<int>"
-    return asking.select(*_GROUP, "loose", "before", "after").mapInArrow(align, schema)
+    schema = "host string, page long, flags long, deleted array<int>"
+    return asking.select(*_GROUP, "path", "loose", "before", "after").mapInArrow(align, schema)
 
 
 def main_text(pages: DataFrame) -> DataFrame:

@@ -40,6 +40,15 @@ def test_given_pages(spark):
         ("<html><head><meta charset=utf-8><title>t</title><link rel=x><article><p>a</article>", ["a"]),
         ("<head><title>t</title>\n loose <main>a</main>", ["a"]),
         ("<head><title>t</title><script>var x='<body>'</script><style>p{}</style></head><body><article>a</article>", ["a"]),
+        ("<div class='layout has-sidebar'><article>a</article></div><div class=sidebar>s</div>", ["a"]),
+        ("<div class='post no-comments'><main>a</main></div>", ["a"]),
+        ("<form action=x><div class=menu>m</div><article>a<form>f</form></article></form>", ["a"]),
+        ("<div class=sidebar><div class=widget><article>a<nav>n</nav></article></div></div>", ["a"]),
+        ("<aside><article>teaser</article></aside><article>a</article>", ["a"]),
+        ("<div class=comments><article>no</article></div><div hidden><article>no</article></div>", []),
+        ("<article>a<section id=search>b</section><section class=social-history>c</section><div class='ad-box'>d</div></article>", ["a", "b", "c"]),
+        ("<article><p class=\"a>Hello</p><p>b</p></article>", ["Hello", "b"]),
+        ("<article>a<svg><p>b</p></article>", ["a", "b"]),
         ("", []),
         ("no mark-up", []),
     ],
@@ -96,3 +105,23 @@ def test_equal_pages_at_one_url_get_one_text(spark, copies):
     frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
     got = {r["page_id"]: r["text"] for r in H.main_text(frame).collect()}
     assert got == {i: re.search("<p>(.*)</p>", x)[1] for i, _, x in rows}
+
+
+def test_alignment_of_long_pages_splits_the_table(monkeypatch):
+    rng = np.random.default_rng(1)
+    monkeypatch.setattr(H, "TABLE_CELLS", 20)
+    for _ in range(200):
+        a, b = rng.integers(0, 6, rng.integers(0, 40)), rng.integers(0, 6, rng.integers(0, 40))
+        places = H.shared_places(a, b)
+        assert len(places) == lcs(a, b) and places == sorted(set(places))
+        rest = iter(b.tolist())
+        assert all(any(x == y for y in rest) for x in a[places].tolist())
+
+
+def test_copies_at_neighbouring_paths_get_one_text(spark):
+    def page(own):
+        return f"<body><div>Template line</div><p>{own}</p></body>"
+
+    rows = [(i, f"http://h.org/a/{i}", page("copy")) for i in range(4)] + [(9, "http://h.org/a/9", page("other"))]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in H.main_text(frame).collect()} == {0: "copy", 1: "copy", 2: "copy", 3: "copy", 9: "other"}
