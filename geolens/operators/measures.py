@@ -135,6 +135,8 @@ def soft_label_loss(
 ) -> DataFrame:
     """Mean cross entropy against labels smoothed by distance to the cell centroids: (n, loss, n_missing).
 
+    For logits at hand; from vectors and weights, ``predict.soft_head_loss`` never makes rows of sample and class.
+
     Probabilities are over all classes; one without centroid has no weight in the label.  A sample without truth, or
     none of whose classes has a centroid, has no loss: it counts in ``n`` and in ``n_missing``.
     """
@@ -142,25 +144,27 @@ def soft_label_loss(
     km = haversine_km(F.col("lat"), F.col("lon"), F.col("clat"), F.col("clon"), K.LABEL_RADIUS_M)
     joined = log_softmax(logits).join(cells.select("geocell_index", "clat", "clon"), "geocell_index", "left")
     joined = joined.join(truth.select("sample_id", "lat", "lon"), "sample_id", "left")
-    known = F.col("lat").isNotNull() & F.col("lon").isNotNull() & F.col("clat").isNotNull() & F.col("clon").isNotNull()
-    joined = joined.withColumn("km", F.when(known & ~F.isnan(km), km))
+    known = F.lit(True)
+    for name in ("lat", "lon", "clat", "clon"):  # a NaN would pass as the antipode: least(1, NaN) is 1
+        known = known & F.col(name).isNotNull() & ~F.isnan(name)
+    joined = joined.withColumn("km", F.when(known, km))
     raw = F.exp(-(F.col("km") - F.min("km").over(w)) / tau_km)
     weighted = joined.withColumn("w", F.coalesce(raw, F.lit(0.0)))
     loss = -F.sum(F.when(F.col("w") > 0, F.col("w") * F.col("log_prob"))) / F.greatest(F.sum("w"), F.lit(1e-12))
-    return _mean_loss(weighted.groupBy("sample_id").agg(F.when(F.count("km") > 0, loss).alias("loss")))
+    return mean_loss(weighted.groupBy("sample_id").agg(F.when(F.count("km") > 0, loss).alias("loss")))
 
 
 def hard_label_loss(logits: DataFrame, labels: DataFrame) -> DataFrame:
-    """Mean cross entropy against the class index: (n, loss, n_missing).
+    """Mean cross entropy against the class index: (n, loss, n_missing).  From vectors: ``predict.hard_head_loss``.
 
     A sample without label, or whose label is no class, has no loss: it counts in ``n`` and in ``n_missing``.
     """
     named = log_softmax(logits).join(labels.select("sample_id", "label"), "sample_id", "left")
     own = F.max(F.when(F.col("geocell_index") == F.col("label"), F.col("log_prob")))
-    return _mean_loss(named.groupBy("sample_id").agg((-own).alias("loss")))
+    return mean_loss(named.groupBy("sample_id").agg((-own).alias("loss")))
 
 
-def _mean_loss(per_sample: DataFrame) -> DataFrame:
+def mean_loss(per_sample: DataFrame) -> DataFrame:
     n = F.count(F.lit(1))
     return per_sample.agg(n.alias("n"), F.avg("loss").alias("loss"), (n - F.count("loss")).alias("n_missing"))
 

@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from geolens import constants as K
 from geolens.functions.scalar import game_score, haversine_km
-from geolens.operators.measures import result_summary
+from geolens.operators.measures import mean_loss, result_summary
 from geolens.operators.spread import global_index, top_per_key
 from geolens.session import cut_lineage
 
-# A block of weights shipped to every executor stays below this size.
-BLOCK_BYTES = 64 * 1024 * 1024
+# Packs of class weights and chunks of samples that meet in one task stay about below these sizes.
+BLOCK_BYTES = 32 * 1024 * 1024
+CHUNK_BYTES = 64 * 1024 * 1024
+# Samples and classes of one matrix product inside a meeting.
+STEP_SAMPLES = 4096
+STEP_CLASSES = 512
 # Blocks of queries and items that meet in one task when nearest vectors are searched.
 CHUNK_SIZE = 4096
 PACK_SIZE = 1024
@@ -26,114 +33,246 @@ PACK_SIZE = 1024
 # ---- linear head -------------------------------------------------------------
 
 
-def _weight_blocks(weights: DataFrame, dim: int) -> Iterator[pd.DataFrame]:
-    """The class weights in slices of bounded size, in class order, whatever their ids; a class without id is none."""
-    per_block = max(1, BLOCK_BYTES // (8 * (dim + 2)))
-    named = weights.where(F.col("geocell_index").isNotNull()).select("geocell_index", "weight", "bias")
-    total = named.count()
-    if total > per_block:
-        named = global_index(named, [F.col("geocell_index")], "_row")
-    for start in range(0, total, per_block):
-        part = named.where(F.col("_row").between(start, start + per_block - 1)) if total > per_block else named
-        yield part.select("geocell_index", "weight", "bias").toPandas().sort_values("geocell_index")
-
-
-def _block_scores(samples: DataFrame, block: pd.DataFrame, schema: str, emit) -> DataFrame:
-    """Score every sample against one slice of the classes, one matrix product per batch."""
-    spark = samples.sparkSession
-    shipped = spark.sparkContext.broadcast(
-        (
-            block["geocell_index"].to_numpy(np.int64),
-            np.stack(block["weight"].to_numpy()).astype(np.float64),
-            block["bias"].to_numpy(np.float64),
-        )
-    )
+def _vectors(column: pa.ChunkedArray, dim: int) -> np.ndarray:
+    """A list column as a matrix; a null vector or component is NaN, another length an error."""
+    column = column.combine_chunks()
+    known = column.is_valid()
+    out = np.full((len(column), dim), np.nan)
+    if pc.any(pc.not_equal(pc.list_value_length(column), dim)).as_py():
+        raise ValueError(f"a vector has not {dim} components")
+    out[known.to_numpy(zero_copy_only=False)] = column.filter(known).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    return out
+
+
+def _floats(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).cast(pa.float64()).to_numpy(zero_copy_only=False)
+
+
+def _meetings(samples: DataFrame, weights: DataFrame, dim: int, per_chunk: int, per_pack: int, match, schema: T.StructType):
+    """(states, number of packs): ``match`` of every chunk of samples and every pack of classes, one meeting a group.
+
+    Packs and chunks are numbered by hashes and their numbers come from counts, so nothing of either side passes the
+    driver.  A head that fits into one pack, the usual case, sends each sample through the shuffle once.  A class
+    without id or weights is none; one without bias has none.
+    """
+    weights = weights.where(F.col("geocell_index").isNotNull() & F.col("weight").isNotNull())
+    classes = cut_lineage(weights.withColumn("bias", F.coalesce(F.col("bias").cast("double"), F.lit(0.0))))
+    packs = max(1, -(-classes.count() // per_pack))
+    samples = samples.withColumn("_row", F.monotonically_increasing_id() if packs > 1 else F.lit(0).cast("bigint"))
+    if packs > 1:
+        samples = cut_lineage(samples)  # row numbers that hold for every pack, whoever reads them again
+    chunks = max(1, -(-samples.count() // per_chunk))
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index, weight, bias = shipped.value
-        for batch in batches:
-            if len(batch):
-                vectors = np.stack(batch["embedding"].to_numpy()).astype(np.float64)
-                yield emit(batch["sample_id"].to_numpy(), vectors @ weight.T + bias, index)
+    def numbers(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
-    return samples.select("sample_id", "embedding").mapInPandas(score, schema)
+    left = samples.withColumn("_chunk", F.pmod(F.xxhash64("sample_id", "embedding"), F.lit(chunks)).cast("int"))
+    left = left.withColumn("_pack", numbers(packs)) if packs > 1 else left.withColumn("_pack", F.lit(0))
+    right = classes.withColumn("_pack", F.pmod(F.xxhash64("geocell_index"), F.lit(packs)).cast("int"))
+    right = right.withColumn("_chunk", numbers(chunks)) if chunks > 1 else right.withColumn("_chunk", F.lit(0))
+
+    def meet(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        if not mine.num_rows:
+            return pa.Table.from_pylist([], schema=to_arrow_schema(schema))
+        theirs = theirs.sort_by("geocell_index")
+        columns = match(mine, theirs)
+        return pa.table([columns[f.name] for f in schema], schema=to_arrow_schema(schema))
+
+    keys = ["_chunk", "_pack"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, schema), packs
 
 
 def class_logits(samples: DataFrame, weights: DataFrame, dim: int) -> DataFrame:
-    """One row (sample_id, geocell_index, logit) per sample and class."""
-
-    def emit(ids: np.ndarray, logits: np.ndarray, index: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame(
-            {
-                "sample_id": np.repeat(ids, len(index)),
-                "geocell_index": np.tile(index, len(ids)),
-                "logit": logits.ravel(),
-            }
-        )
+    """One row (sample_id, geocell_index, logit) per sample and class, for those who want them all.
 
-    schema = "sample_id long, geocell_index long, logit double"
-    out = None
-    for block in _weight_blocks(weights, dim):
-        part = _block_scores(samples, block, schema, emit)
-        out = part if out is None else out.unionByName(part)
-    return samples.sparkSession.createDataFrame([], schema) if out is None else out
+    Candidates and losses don't need these rows: see ``class_states``.  A sample without vector has NULL logits.
+    """
+    fields = [samples.schema["sample_id"], T.StructField("geocell_index", T.LongType()), T.StructField("logit", T.DoubleType())]
+
+    def match(mine: pa.Table, theirs: pa.Table) -> dict:
+        logits = _vectors(mine.column("embedding"), dim) @ _vectors(theirs.column("weight"), dim).T + _floats(theirs, "bias")
+        n, c = logits.shape
+        return {
+            "sample_id": mine.column("sample_id").take(pa.array(np.repeat(np.arange(n), c))),
+            "geocell_index": theirs.column("geocell_index").cast(pa.int64()).take(pa.array(np.tile(np.arange(c), n))),
+            "logit": pa.array(logits.ravel(), from_pandas=True),
+        }
+
+    samples, weights = samples.select("sample_id", "embedding"), weights.select("geocell_index", "weight", "bias")
+    return _meetings(samples, weights, dim, CHUNK_SIZE, PACK_SIZE, match, T.StructType(fields))[0]
+
+
+class _State:
+    """What scores of classes seen so far leave behind for each of ``n`` samples; classes come in ascending order."""
+
+    def __init__(self, n: int, k: int):
+        self.peak, self.total, self.own = np.full(n, -np.inf), np.zeros(n), np.full(n, np.nan)
+        self.top, self.index = np.empty((n, 0)), np.empty((n, 0), np.int64)
+        self.near, self.share, self.shared = np.full(n, np.inf), np.zeros(n), np.zeros(n)
+        self.k = k
+
+    def scores(self, logits: np.ndarray, index: np.ndarray) -> None:
+        peak = np.maximum(self.peak, logits.max(axis=1))
+        floor = np.where(np.isneginf(peak), 0.0, peak)
+        self.total = self.total * np.exp(self.peak - floor) + np.exp(logits - floor[:, None]).sum(axis=1)
+        self.peak = peak
+        if self.k:
+            every = np.concatenate((self.top, logits), axis=1)
+            named = np.concatenate((self.index, np.broadcast_to(index, logits.shape)), axis=1)
+            best = np.argsort(-every, axis=1, kind="stable")[:, : self.k]  # equal scores: the lower class
+            self.top, self.index = np.take_along_axis(every, best, 1), np.take_along_axis(named, best, 1)
+
+    def label(self, logits: np.ndarray, index: np.ndarray, label: np.ndarray) -> None:
+        at = np.minimum(np.searchsorted(index, label), len(index) - 1)
+        hit = np.flatnonzero(index[at] == label)
+        self.own[hit] = logits[hit, at[hit]]
+
+    def truth(self, logits: np.ndarray, km: np.ndarray, tau: float) -> None:
+        """``km`` to the classes' centroids; infinite where one of the two is unknown."""
+        near = np.minimum(self.near, km.min(axis=1))
+        base = np.where(np.isinf(near), 0.0, near)
+        weight = np.exp(-(km - base[:, None]) / tau)
+        fade = np.exp(-(self.near - base) / tau)
+        self.share = self.share * fade + weight.sum(axis=1)
+        self.shared = self.shared * fade + np.where(weight > 0, weight * logits, 0.0).sum(axis=1)
+        self.near = near
+
+
+def _km(lat: np.ndarray, lon: np.ndarray, clat: np.ndarray, clon: np.ndarray) -> np.ndarray:
+    """Great-circle distances of all of the one to all of the other; infinite where a coordinate is unknown."""
+    lat, lon, clat, clon = (np.radians(x) for x in (lat[:, None], lon[:, None], clat[None, :], clon[None, :]))
+    a = np.sin((clat - lat) / 2) ** 2 + np.cos(lat) * np.cos(clat) * np.sin((clon - lon) / 2) ** 2
+    km = 2.0 * K.LABEL_RADIUS_M / 1000.0 * np.arcsin(np.sqrt(np.minimum(a, 1.0)))
+    return np.where(np.isnan(km), np.inf, km)
+
+
+def class_states(
+    samples: DataFrame, weights: DataFrame, dim: int, k: int = 0, cells: DataFrame | None = None, tau_km: float = K.LABEL_SMOOTHING_KM
+) -> DataFrame:
+    """One row per sample: what its scores of all classes come to, never the scores themselves.
+
+    ``peak`` and ``total`` (sum of exp(logit - peak)) give every probability; ``top`` holds the k best
+    (logit, geocell_index).  With a column ``label``, ``own`` is the logit of that class.  With ``cells`` and columns
+    lat and lon, ``near`` is the distance to the nearest centroid, and ``share`` and ``shared`` are the sums of the
+    smoothed label's weights and of weights times logits.  States of the packs of a large head are merged by sample.
+    All are NULL, ``top`` empty, for a sample without vector or when there are no classes.
+    """
+    labelled, placed = "label" in samples.columns, cells is not None
+    samples = samples.select("sample_id", "embedding", *(["label"] if labelled else []), *(["lat", "lon"] if placed else []))
+    weights = weights.select("geocell_index", "weight", "bias")
+    if placed:
+        weights = weights.join(cells.select("geocell_index", "clat", "clon"), "geocell_index", "left")
+    numbers = ["peak", "total", "own", "near", "share", "shared"]
+    fields = [samples.schema["sample_id"], T.StructField("_row", T.LongType())]
+    fields += [T.StructField(n, T.DoubleType()) for n in numbers]
+    fields += [T.StructField("_logits", T.ArrayType(T.DoubleType())), T.StructField("_classes", T.ArrayType(T.LongType()))]
+
+    def match(mine: pa.Table, theirs: pa.Table) -> dict:
+        index = theirs.column("geocell_index").cast(pa.int64()).to_numpy()
+        weight, bias = _vectors(theirs.column("weight"), dim), _floats(theirs, "bias")
+        found: dict[str, list] = {n: [] for n in (*numbers, "_logits", "_classes")}
+        for begin in range(0, mine.num_rows, STEP_SAMPLES):
+            part = mine.slice(begin, STEP_SAMPLES)
+            x, state = _vectors(part.column("embedding"), dim), _State(part.num_rows, k)
+            for c in range(0, len(index), STEP_CLASSES):
+                of = slice(c, c + STEP_CLASSES)
+                with np.errstate(invalid="ignore", over="ignore"):
+                    logits = x @ weight[of].T + bias[of]
+                    state.scores(logits, index[of])
+                    if labelled:
+                        state.label(logits, index[of], _floats(part, "label"))
+                    if placed:
+                        km = _km(_floats(part, "lat"), _floats(part, "lon"), _floats(theirs, "clat")[of], _floats(theirs, "clon")[of])
+                        state.truth(logits, km, tau_km)
+            scored = ~np.isnan(state.peak) & bool(len(index))
+            for n in numbers:
+                value = getattr(state, n)
+                found[n].append(np.where(scored & ~np.isinf(value) | (n == "peak") & scored, value, np.nan))
+            sizes = np.where(scored, state.top.shape[1], 0)
+            at = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
+            found["_logits"].append(pa.ListArray.from_arrays(at, pa.array(state.top[scored].ravel())))
+            found["_classes"].append(pa.ListArray.from_arrays(at, pa.array(state.index[scored].ravel())))
+        columns = {n: pa.array(np.concatenate(found[n]), from_pandas=True) for n in numbers}
+        columns |= {n: pa.chunked_array(found[n]) for n in ("_logits", "_classes")}
+        return columns | {"sample_id": mine.column("sample_id"), "_row": mine.column("_row")}
+
+    per_row = 8 * (dim + 4)
+    states, packs = _meetings(
+        samples, weights, dim, max(1, CHUNK_BYTES // per_row), max(1, BLOCK_BYTES // per_row), match, T.StructType(fields)
+    )
+    states = states.withColumn("top", F.zip_with("_logits", "_classes", lambda x, c: F.struct(x.alias("logit"), c.alias("geocell_index"))))
+    states = states.drop("_logits", "_classes")
+    return (_merged(states, k, tau_km) if packs > 1 else states).drop("_row")
+
+
+def _merged(states: DataFrame, k: int, tau_km: float) -> DataFrame:
+    """One state for each row number from those of its packs, of which there are as many as packs."""
+    names = [c for c in states.columns if c not in ("sample_id", "_row")]
+    parts = states.groupBy("sample_id", "_row").agg(F.collect_list(F.struct(*names)).alias("b"))
+    parts = parts.withColumns({"peak": F.array_max(F.transform("b", lambda s: s["peak"]))})
+    parts = parts.withColumn("near", F.array_min(F.transform("b", lambda s: s["near"])))
+
+    def added(value, scale) -> Column:
+        kept = F.filter(F.transform("b", lambda s: value(s) * scale(s)), lambda v: v.isNotNull())
+        return F.when(F.size(kept) > 0, F.aggregate(kept, F.lit(0.0), lambda a, v: a + v))
+
+    def fade(s: Column) -> Column:
+        return F.exp(-(s["near"] - F.col("near")) / tau_km)
+
+    best_first = F.array_sort(
+        F.flatten(F.transform("b", lambda s: s["top"])),
+        lambda p, q: F.when(p["logit"] > q["logit"], -1)
+        .when(p["logit"] < q["logit"], 1)
+        .otherwise(F.when(p["geocell_index"] < q["geocell_index"], -1).otherwise(1)),
+    )
+    return parts.select(
+        "sample_id",
+        "_row",
+        "peak",
+        added(lambda s: s["total"], lambda s: F.exp(s["peak"] - F.col("peak"))).alias("total"),
+        F.array_max(F.transform("b", lambda s: s["own"])).alias("own"),
+        "near",
+        added(lambda s: s["share"], fade).alias("share"),
+        added(lambda s: s["shared"], fade).alias("shared"),
+        F.slice(best_first, 1, k).alias("top"),
+    )
 
 
 def score_linear_head(samples: DataFrame, weights: DataFrame, cells: DataFrame, dim: int, k: int = 5) -> DataFrame:
     """Best class with its centroid, and the k most probable classes, of every sample.
 
-    Each slice of classes yields per sample its k best logits and the log of its
-    sum of exponentials; slices are combined by sample.  With a single slice -
-    the usual case - nothing is shuffled.  Without any class a sample has no
-    candidates; a best class without centroid has NULL coordinates.
+    Without any class, or without a vector, a sample has no candidates; a best class without centroid has NULL
+    coordinates.
     """
-    schema = "sample_id long, peak double, total double, top array<struct<logit:double,geocell_index:long>>"
-
-    def emit(ids: np.ndarray, logits: np.ndarray, index: np.ndarray) -> pd.DataFrame:
-        peak = logits.max(axis=1)
-        total = np.exp(logits - peak[:, None]).sum(axis=1)
-        order = np.argsort(-logits, axis=1, kind="stable")[:, :k]
-        best = np.take_along_axis(logits, order, axis=1)
-        top = [
-            [{"logit": float(v), "geocell_index": int(c)} for v, c in zip(row, cols)]
-            for row, cols in zip(best, index[order])
-        ]
-        return pd.DataFrame({"sample_id": ids, "peak": peak, "total": total, "top": top})
-
-    parts = [_block_scores(samples, block, schema, emit) for block in _weight_blocks(weights, dim)]
-    if not parts:
-        none = [F.expr(f"cast(null as {kind}) as {name}") for name, kind in (("peak", "double"), ("total", "double"))]
-        none.append(F.expr("cast(array() as array<struct<logit: double, geocell_index: bigint>>) as top"))
-        parts = [samples.select("sample_id", *none)]
-    scored = parts[0]
-    if len(parts) > 1:
-        for part in parts[1:]:
-            scored = scored.unionByName(part)
-        merged = scored.groupBy("sample_id").agg(F.collect_list(F.struct("peak", "total", "top")).alias("b"))
-        peak = F.array_max(F.transform("b", lambda s: s["peak"]))
-        total = F.aggregate(
-            F.transform("b", lambda s: s["total"] * F.exp(s["peak"] - F.col("peak"))), F.lit(0.0), lambda a, v: a + v
-        )
-        best_first = F.array_sort(
-            F.flatten(F.transform("b", lambda s: s["top"])),
-            lambda p, q: F.when(p["logit"] > q["logit"], -1)
-            .when(p["logit"] < q["logit"], 1)
-            .otherwise(F.when(p["geocell_index"] < q["geocell_index"], -1).otherwise(1)),
-        )
-        scored = merged.withColumn("peak", peak).withColumns({"total": total, "top": F.slice(best_first, 1, k)})
-    candidates = F.transform(
-        "top",
-        lambda t: F.struct(
-            t["geocell_index"].alias("geocell_index"),
-            (F.exp(t["logit"] - F.col("peak")) / F.col("total")).alias("probability"),
-        ),
-    )
-    ready = scored.select("sample_id", candidates.alias("candidates"))
+    probability = lambda t: F.exp(t["logit"] - F.col("peak")) / F.col("total")
+    candidates = F.transform("top", lambda t: F.struct(t["geocell_index"].alias("geocell_index"), probability(t).alias("probability")))
+    ready = class_states(samples.select("sample_id", "embedding"), weights, dim, k).select("sample_id", candidates.alias("candidates"))
     ready = ready.withColumn("geocell_index", F.get("candidates", F.lit(0))["geocell_index"])
     where = cells.select("geocell_index", F.col("clat").alias("pred_lat"), F.col("clon").alias("pred_lon"))
     return ready.join(where, "geocell_index", "left")
 
 
+def candidate_rows(scored: DataFrame) -> DataFrame:
+    """The candidates of ``score_linear_head`` as rows, ranked from 0."""
+    listed = scored.select("sample_id", F.posexplode("candidates").alias("candidate", "c"))
+    return listed.select("sample_id", "candidate", "c.geocell_index", "c.probability")
+
+
+def soft_head_loss(
+    samples: DataFrame, weights: DataFrame, cells: DataFrame, dim: int, tau_km: float = K.LABEL_SMOOTHING_KM
+) -> DataFrame:
+    """``measures.soft_label_loss`` straight from vectors (sample_id, embedding, lat, lon): (n, loss, n_missing)."""
+    states = class_states(samples.select("sample_id", "embedding", "lat", "lon"), weights, dim, 0, cells, tau_km)
+    loss = F.col("peak") + F.log("total") - F.col("shared") / F.greatest("share", F.lit(1e-12))
+    return mean_loss(states.select(F.when(F.col("near").isNotNull(), loss).alias("loss")))
+
+
+def hard_head_loss(samples: DataFrame, weights: DataFrame, dim: int) -> DataFrame:
+    """``measures.hard_label_loss`` straight from vectors (sample_id, embedding, label): (n, loss, n_missing)."""
+    states = class_states(samples.select("sample_id", "embedding", "label"), weights, dim)
+    return mean_loss(states.select((F.col("peak") + F.log("total") - F.col("own")).alias("loss")))
+
+
 def topk_candidates(probabilities: DataFrame, k: int = 5) -> DataFrame:
     """The k most probable cells of every sample, ties to the lower index, ranked from 0."""
     order = [F.col("probability").desc(), F.col("geocell_index")]

@@ -10,6 +10,7 @@ from geolens.functions import scalar as S
 from geolens.operators import measures, predict, tables
 from geolens.plans.scalar_queries import MEANS_SQL, SCORE_SQL, n4
 from geolens.plans.views import Tables, haversine, oracle, r4
+from geolens.session import cut_lineage
 
 QUERIES, ORACLES = {}, {}
 DIM = 64
@@ -83,10 +84,6 @@ def head_weights(t: Tables) -> DataFrame:
     return means.select(F.col("label").alias("geocell_index"), "weight", (F.col("label") / 100.0).alias("bias"))
 
 
-def logits(t: Tables) -> DataFrame:
-    return predict.class_logits(t.samples, head_weights(t), DIM)
-
-
 def scored(t: Tables, k: int = 5) -> DataFrame:
     return predict.score_linear_head(t.samples, head_weights(t), t.cells, DIM, k)
 
@@ -101,8 +98,7 @@ def score_linear_head(t: Tables) -> DataFrame:
 
 @query(f"WITH {HEAD_SQL} SELECT sample_id, geocell_index, candidate, {r4('probability')} AS probability FROM rk WHERE candidate < 5")
 def topk_candidates(t: Tables) -> DataFrame:
-    probabilities = measures.softmax_temp(logits(t), "sample_id", "logit")
-    out = predict.topk_candidates(probabilities, 5)
+    out = predict.candidate_rows(scored(t, 5))
     return out.select(
         "sample_id", "geocell_index", F.col("candidate").cast("bigint").alias("candidate"), n4("probability").alias("probability")
     )
@@ -127,7 +123,7 @@ _SOFT_KM = haversine("s.lat", "s.lon", "c.clat", "c.clon", K.LABEL_RADIUS_M)
     f"SELECT count(*) AS n, {r4('avg(loss)')} AS loss FROM (SELECT sample_id, -sum(w*lp)/greatest(sum(w), 1e-12::DOUBLE) AS loss FROM e GROUP BY 1) f"
 )
 def soft_label_loss(t: Tables) -> DataFrame:
-    out = measures.soft_label_loss(logits(t), t.samples, t.cells)
+    out = predict.soft_head_loss(t.samples, head_weights(t), t.cells, DIM)
     return out.select("n", n4("loss").alias("loss"))
 
 
@@ -135,7 +131,7 @@ def soft_label_loss(t: Tables) -> DataFrame:
     f"WITH {_W}, {_LOGITS}, {_LSM} SELECT count(*) AS n, {r4('avg(-lp)')} AS loss FROM ls JOIN @samples s USING (sample_id) WHERE s.true_cell = ls.geocell_index"
 )
 def hard_label_loss(t: Tables) -> DataFrame:
-    out = measures.hard_label_loss(logits(t), t.samples.select("sample_id", F.col("true_cell").alias("label")))
+    out = predict.hard_head_loss(t.samples.select("sample_id", "embedding", F.col("true_cell").alias("label")), head_weights(t), DIM)
     return out.select("n", n4("loss").alias("loss"))
 
 
@@ -168,8 +164,7 @@ def prototypes(t: Tables) -> DataFrame:
 
 
 def candidates(t: Tables, k: int = 5) -> DataFrame:
-    listed = scored(t, k).select("sample_id", F.posexplode("candidates").alias("candidate", "c"))
-    return listed.select("sample_id", "candidate", "c.geocell_index", "c.probability")
+    return predict.candidate_rows(scored(t, k))
 
 
 _PROTOS = (
@@ -250,12 +245,12 @@ _REFINE = (
 
 
 def refined(t: Tables) -> DataFrame:
-    """Initial predictions are the centroids of the best class."""
-    head = scored(t)
+    """Initial predictions are the centroids of the best class; samples are scored once."""
+    head = cut_lineage(scored(t))
     samples = t.samples.join(
         head.select("sample_id", F.col("pred_lat").alias("init_lat"), F.col("pred_lon").alias("init_lon")), "sample_id"
     )
-    return predict.refine_prediction(samples, candidates(t), prototypes(t), _members(t))
+    return predict.refine_prediction(samples, predict.candidate_rows(head), prototypes(t), _members(t))
 
 
 @query(f"WITH {_REFINE} SELECT sample_id, CAST(candidate AS INTEGER) AS candidate, geocell_index, {r4('lat')} AS lat, {r4('lon')} AS lon, {r4('f')} AS weight FROM rf")

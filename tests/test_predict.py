@@ -220,3 +220,48 @@ def test_losses_count_samples_without_truth_label_or_centroid(spark):
     labels = spark.createDataFrame([(1, 0), (2, 9)], "sample_id long, label long")
     n, loss, missing = measures.hard_label_loss(logits, labels).first()
     assert (n, missing) == (3, 2) and loss == pytest.approx(want)
+
+
+@pytest.mark.parametrize("block", [None, 200])
+def test_losses_from_vectors_equal_those_of_all_logits(spark, monkeypatch, block):
+    """Samples without vector, truth or label, classes without centroid or id, repeated rows, and a head of several packs."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(v) for v in rng.normal(size=3) * 3], float(rng.uniform(-80, 80)), float(rng.uniform(-180, 180)), int(rng.integers(0, 14))) for i in range(60)]
+    rows[5] = (5, rows[5][1], None, 3.0, None)
+    rows[6] = (6, rows[6][1], float("nan"), 3.0, 99)
+    rows.append(rows[7])
+    samples = spark.createDataFrame(rows, "sample_id long, embedding array<double>, lat double, lon double, label long").withColumn("_pack", F.lit("own"))
+    weights = [(i, [float(v) for v in rng.normal(size=3)], float(rng.normal())) for i in range(13)] + [(None, [9.0, 9.0, 9.0], 9.0), (50, None, 9.0)]
+    weights = spark.createDataFrame(weights, "geocell_index long, weight array<double>, bias double")
+    cells = spark.createDataFrame([(i, None if i == 2 else 7.0 * i - 40, 20.0 * i - 100) for i in range(12)], "geocell_index long, clat double, clon double")
+    if block:
+        monkeypatch.setattr(predict, "BLOCK_BYTES", block)
+        monkeypatch.setattr(predict, "CHUNK_BYTES", 1000)
+    logits = predict.class_logits(samples, weights, 3)
+    assert logits.count() == 61 * 13
+    truth = samples.where("sample_id <> 7").select("sample_id", "lat", "lon")  # its logits are there twice
+    once = logits.where("sample_id <> 7")
+    soft = measures.soft_label_loss(once, truth, cells).first()
+    assert tuple(predict.soft_head_loss(samples.where("sample_id <> 7"), weights, cells, 3).first()) == pytest.approx(tuple(soft))
+    hard = measures.hard_label_loss(once, samples.where("sample_id <> 7").select("sample_id", "label")).first()
+    assert tuple(predict.hard_head_loss(samples.where("sample_id <> 7"), weights, 3).first()) == pytest.approx(tuple(hard))
+    assert (soft["n"], soft["n_missing"]) == (59, 2) and hard["n"] == 59 and hard["n_missing"] >= 2
+    assert predict.hard_head_loss(samples, weights, 3).first()["n"] == 61
+    assert predict.score_linear_head(samples, weights, cells, 3).where("sample_id = 7").count() == 2
+
+
+@pytest.mark.parametrize("block", [None, 100])
+def test_head_without_vectors_classes_or_samples(spark, monkeypatch, block):
+    if block:
+        monkeypatch.setattr(predict, "BLOCK_BYTES", block)
+    schema = "sample_id long, embedding array<float>, lat double, lon double, label long"
+    samples = spark.createDataFrame([(1, None, 1.0, 1.0, 0), (None, [1.0, 0.0], 1.0, 1.0, 0), (3, [None, 1.0], 1.0, 1.0, 0)], schema)
+    weights = spark.createDataFrame([(i, [1.0, float(i)], None) for i in range(6)], "geocell_index long, weight array<double>, bias double")
+    cells = spark.createDataFrame([(0, 1.0, 1.0)], "geocell_index long, clat double, clon double")
+    got = {r["sample_id"]: [c["geocell_index"] for c in r["candidates"]] for r in predict.score_linear_head(samples, weights, cells, 2, 3).collect()}
+    assert got == {1: [], None: [0, 1, 2], 3: []}
+    assert tuple(predict.soft_head_loss(samples, weights, cells, 2).first()) == (3, pytest.approx(math.log(6)), 2)
+    assert tuple(predict.hard_head_loss(samples, weights.limit(0), 2).first()) == (3, None, 3)
+    assert predict.score_linear_head(samples.limit(0), weights, cells, 2).count() == 0
+    with pytest.raises(PySparkException, match="components"):
+        predict.score_linear_head(samples, weights, cells, 5).collect()
