@@ -1,10 +1,13 @@
 """Quality rules: counting rules, then the distance of a document's letters and common words from its language.
 
-Pass one counts, over every document that the counting rules accept, characters by class and short words by
-language; the most frequent short words of a language are its common words.  Pass two compares the two
+Pass one counts, over every document that the counting rules accept, characters by class and words by
+language; the most frequent words of a language, of any length and script, are its common words.  Pass two compares the two
 histograms of each document with those of its language by Jensen-Shannon distance (base 2, 0 to 1).  Counts are
 integers, so a verdict does not depend on how rows are dealt out.
 
+Words are counted by 64-bit hashes of their bytes, A-Z lower case.  A verdict could only change if a word shared its hash
+with one of the few common words: of a thousand million different words, one does with a chance of 4 in 10^9 a language.
+
 Only counts by (language, class or word) are shuffled, added up inside the tasks first.  The references are
 ``common_words`` + 9 numbers a language; they are sent along with the tasks for at most ``languages_at_once``
 languages, and more languages are scored in that many passes over the documents.
@@ -17,6 +20,7 @@ are judged one by one; other columns pass through untouched.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from copy import copy
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +31,6 @@ from pyspark.sql import functions as F
 from geolens.llm.words import LOWER, NOT_SPACE, Texts, Words, chunks, window_firsts, windows
 
 CLASSES = 9
-_SHORT = 6  # bytes of a common word at most: it is packed into one integer, so no word is confused with another
 
 
 @dataclass(frozen=True)
@@ -117,22 +120,11 @@ class _Scan:
         code = owner * (CLASSES + 1) + _CLASS[texts.data]
         return np.bincount(code, minlength=self.n * (CLASSES + 1)).reshape(self.n, CLASSES + 1)[:, :CLASSES]
 
-    def short_words(self) -> tuple[np.ndarray, np.ndarray]:
-        """Packed bytes of the short words, A-Z lower case, and their texts."""
-        length = self.words.ends - self.words.starts
-        short = length <= _SHORT
-        start, length = self.words.starts[short], length[short]
-        low = LOWER[self.words.bytes] if len(self.words.bytes) else self.words.bytes
-        packed = np.zeros(len(start), np.int64)
-        for i in range(_SHORT):
-            has = length > i
-            packed[has] |= low[start[has] + i].astype(np.int64) << (8 * i)
-        return packed, self.words.text_of_word()[short]
-
-
-def word_of(key: int) -> str:
-    """The word behind a packed key."""
-    return int(key).to_bytes(_SHORT, "little").rstrip(b"\0").decode("utf-8", "replace")
+    def word_keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words, A-Z lower case, and their texts."""
+        low = copy(self.words)
+        low.bytes = LOWER[self.words.bytes]
+        return low.hashes().view(np.int64), self.words.text_of_word()
 
 
 def _languages(column: pa.Array) -> tuple[list[str | None], np.ndarray]:
@@ -143,7 +135,7 @@ def _languages(column: pa.Array) -> tuple[list[str | None], np.ndarray]:
 
 
 def references(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, kind, key, n): characters by class, all short words (kind ``all``), and the common words by packed key."""
+    """(lang, kind, key, n): characters by class, all words (kind ``all``), and the common words by hash."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[tuple, int] = {}
@@ -159,14 +151,14 @@ def references(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang
                 names, code = _languages(part.column("lang"))
                 good = ~scan.failed
                 by_class = scan.class_counts(texts)
-                packed, owner = scan.short_words()
+                keys, owner = scan.word_keys()
                 for c, name in enumerate(names):
                     rows_of = good & (code == c)
                     if not rows_of.any():
                         continue
                     for k, v in enumerate(by_class[rows_of].sum(axis=0)):
                         found[name, "class", k] = found.get((name, "class", k), 0) + int(v)
-                    key, n = np.unique(packed[rows_of[owner]], return_counts=True)
+                    key, n = np.unique(keys[rows_of[owner]], return_counts=True)
                     for k, v in zip(key.tolist(), n.tolist()):
                         found[name, "word", k] = found.get((name, "word", k), 0) + v
                     k = (name, "all", 0)
@@ -238,7 +230,7 @@ def _judge(docs: DataFrame, rows: list, rules: Rules, text: str, lang: str) -> D
                 langs, code = _languages(part.column(at_lang))
                 class_distance = np.full(len(texts), np.nan)
                 word_distance = np.full(len(texts), np.nan)
-                by_class, (packed, owner) = scan.class_counts(texts), scan.short_words()
+                by_class, (keys, owner) = scan.class_counts(texts), scan.word_keys()
                 long_enough = by_class.sum(axis=1) >= rules.min_chars
                 wordy = scan.n_words >= rules.min_judged_words
                 for c, name in enumerate(langs):
@@ -253,8 +245,8 @@ def _judge(docs: DataFrame, rows: list, rules: Rules, text: str, lang: str) -> D
                         continue
                     place = np.full(len(texts), -1)
                     place[rows_] = np.arange(len(rows_))
-                    spot = np.minimum(np.searchsorted(ref.keys, packed), len(ref.keys) - 1)
-                    hit = (ref.keys[spot] == packed) & (place[owner] >= 0)
+                    spot = np.minimum(np.searchsorted(ref.keys, keys), len(ref.keys) - 1)
+                    hit = (ref.keys[spot] == keys) & (place[owner] >= 0)
                     width = len(ref.words)
                     counts = np.bincount(place[owner[hit]] * width + spot[hit], minlength=len(rows_) * width).reshape(-1, width)
                     counts[:, -1] = scan.n_words[rows_] - counts.sum(axis=1)

@@ -4,10 +4,13 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from geolens.llm import rules
 from geolens.llm.queries import QUERIES
+from geolens.llm.words import NOT_SPACE, Texts, Words
 
 FOLDER = "/root/testdata/sf0.001"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -55,6 +58,11 @@ def lower(text):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
 
 
+def hash_of(word):
+    """Words of equal counts are ranked by their hashes."""
+    return int(Words(Texts(pa.array([word])), NOT_SPACE, lower=False).hashes().view("int64")[0])
+
+
 def distance(p, q):
     a, b = sum(p.values()), sum(q.values())
     out = 0
@@ -73,11 +81,11 @@ def test_distances_against_plain_ones(spark):
         if not counted(r["text"])[-1]:
             classes.setdefault(r["lang"], Counter()).update(map(class_of, r["text"]))
             words = words_of(lower(r["text"]))
-            common.setdefault(r["lang"], Counter()).update(w for w in words if len(w.encode()) <= 6)
+            common.setdefault(r["lang"], Counter()).update(words)
             total[r["lang"]] += len(words)
     tops = {}
     for lang, c in common.items():
-        key = lambda kv: (-kv[1], int.from_bytes(kv[0].encode().ljust(6, b"\0"), "little"))
+        key = lambda kv: (-kv[1], hash_of(kv[0]))
         tops[lang] = dict(sorted(c.items(), key=key)[:16])
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     seen = 0
@@ -125,3 +133,15 @@ def test_base_rule_boundaries(spark):
     docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
     got = {r["doc_id"]: (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in rules.quality(docs).collect()}
     assert got == {i: counted(t) for i, t in enumerate(texts)}
+
+
+def test_long_words_of_any_script_are_common_words(spark):
+    """Two vocabularies of twelve-letter Cyrillic words: a text of the other one is far from the language."""
+    first = ["".join(chr(0x430 + (7 * i + 5 * k + i * k) % 32) for k in range(12)) for i in range(40)]
+    other = [w[::-1] + "\u0451" for w in first]
+    said = lambda words, k: " ".join(np.random.default_rng(k).choice(words, 120))
+    rows = [(i, said(first, i), "ru") for i in range(200)] + [(1000, said(other, 3), "ru")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: (r["word_distance"], r["kept"]) for r in rules.quality(docs).collect()}
+    assert got[1000][0] > 0.52 and not got[1000][1]
+    assert all(d < 0.35 and kept for k, (d, kept) in got.items() if k < 1000)
