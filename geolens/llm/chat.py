@@ -125,8 +125,10 @@ class _Reader:
 
     def __init__(self, template: Template):
         t = self.template = template
-        literal = r"(?:\\(?:" + "|".join(map(re.escape, ["\\", *t.control])) + r")|(?!" + re.escape(t.ending) + r")[^\\])*"
-        name = r"((?:\\(?:" + "|".join(map(re.escape, ["\\", ":", *t.control])) + r")|[^\\:])*)"
+        # Possessive runs: what a turn says can't be read in two ways, so nothing is kept for a second try.
+        escaped, first = r"\\(?:" + "|".join(map(re.escape, ["\\", *t.control])), re.escape(t.ending[0])
+        literal = rf"(?:[^\\{first}]++|{escaped})|(?!{re.escape(t.ending)}){first})*+"
+        name = rf"((?:[^\\:]++|{escaped}|:))*+)"
         self.turn = re.compile(re.escape(t.opening) + name + re.escape(t.naming) + f"({literal})" + re.escape(t.ending + t.after), re.S)
         self.n_turns = self.loss_chars = self.chars = 0
         self.turns, self.loss, self.valid = hashlib.sha256(), hashlib.sha256(), True

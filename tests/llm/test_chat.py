@@ -1,4 +1,5 @@
 import hashlib
+import tracemalloc
 
 from geolens.llm import chat
 
@@ -54,3 +55,24 @@ def test_empty_table_and_more_columns(spark):
     frame = spark.createDataFrame([(1, 0, "user", "x", "y")], SCHEMA + ", loss string")
     assert chat.read_back(chat.segments(frame)).count() == 1
     assert chat.read_back(chat.segments(frame.limit(0))).count() == 0
+
+
+def test_a_turn_of_twenty_million_characters_takes_a_few_times_its_size():
+    template = chat.Template()
+    text = "word <b> \\ ### x\n" * 1_250_000
+    said = template.mark("assistant") + template.escape(text) + template.ending + template.after
+    reader = chat._Reader(template)
+    tracemalloc.start()
+    reader.feed(said, False, True)
+    got, peak = reader.done(), tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[0] == 1 and got[1] == digest(f"assistant\n{text}\n")
+    # unescaping holds the pieces between escapes
+    assert peak < 40 * len(said)
+    plain_text = "é" * 20_000_000
+    reader = chat._Reader(template)
+    tracemalloc.start()
+    reader.feed(template.mark("user") + plain_text + template.ending + template.after, False, True)
+    got, peak = reader.done(), tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[1] == digest(f"user\n{plain_text}\n") and peak < 10 * len(plain_text)
