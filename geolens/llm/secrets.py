@@ -1,13 +1,18 @@
 """Secret scans: three base patterns, and a character convolutional network over every other candidate.
 
 Candidates are runs of token characters, long and mixed enough to be keys.  A network sees each candidate with
-the text around it.  It is trained on labelled findings of the corpus: candidates inside a base match are secrets,
-others are not; a copy of each secret without its telling words makes the network look at the key itself.  The
-sample is bounded by ``TRAINING`` findings of each label, those with the smallest hashes of all in the corpus, so
-it doesn't depend on how rows are dealt out.  Scores are calibrated on findings held out of training, and the
-threshold is the highest that still finds ``RECALL`` of the held-out secrets, one half at least.
+the text around it.  It is trained on labelled findings of the corpus: candidates inside a base match are secrets;
+others that read like words, paths or numbers are none; the rest has no label.  Since the base patterns know few
+forms, ``MADE`` findings of each label are made of these: keys over other alphabets, of other lengths and with
+prefixes, and names put together from words and numbers, all in contexts of other findings, and a copy of each secret
+without its telling words.  The sample of the fit is bounded by ``TRAINING`` findings of each label, those with the
+smallest hashes of all in the corpus, so it doesn't depend on how rows are dealt out.
 
-Both passes are map-only; weights (under 100 KB) travel with the tasks.
+Calibration and threshold come from the scores of all labelled findings of all documents: a pass over the documents
+gives counts by label and score (in sixteenths), and the threshold is the highest that still finds ``RECALL`` of the
+secrets, and of made keys that the fit didn't see: forms without a base pattern count too.  The network reports the recall reached and the share of harmless findings it takes for secrets.
+
+All passes are map-only up to these counts; weights (under 100 KB) travel with the tasks.
 
 Defined cases: a null or empty text has no spans; with too few labelled findings of either kind no network is
 trained and only base spans are found; repeated rows are scanned one by one; columns named like a result column
@@ -17,12 +22,13 @@ are replaced; other columns pass through.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from geolens.llm.words import LOWER, Texts, Words, chunks
@@ -31,6 +37,8 @@ KINDS = ("assign", "access", "hex", "model")
 TRAINING = 4000  # findings of each label at most
 LEAST = 30  # of each label at least
 RECALL = 0.98
+MADE = 4000  # findings of each label made for training
+BINS = 16  # of one unit of score
 LEFT, BODY, RIGHT = 32, 48, 16
 WIDTH = LEFT + BODY + RIGHT
 
@@ -115,6 +123,9 @@ class Network:
     scale: float = 1.0
     shift: float = 0.0
     threshold: float = 0.5
+    made_least: float = np.inf  # the score that RECALL of the made keys outside the fit reach
+    recall: float = 1.0  # of labelled secrets, at the threshold
+    mistaken: float = 0.0  # share of the labelled harmless findings at or above it
 
     @classmethod
     def fresh(cls, seed: int = 1, d: int = 8, f: int = 32) -> Network:
@@ -166,14 +177,73 @@ class Network:
         return [self.embed, self.place, self.filters, self.bias, self.out]
 
 
-def train(x: np.ndarray, y: np.ndarray, seed: int = 1, epochs: int = 8, batch: int = 64, recall: float = RECALL) -> Network:
-    """A network fitted by Adam on four fifths of the findings, calibrated on the rest."""
+_SIGNS = "".join(map(chr, range(0x30, 0x3A))), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_ALPHABETS = [
+    *(_SIGNS[0] + _SIGNS[1] + _SIGNS[2] + more for more in ("", "+/", "-_")),
+    _SIGNS[0] + _SIGNS[1],
+    _SIGNS[0] + _SIGNS[2],
+    _SIGNS[0] + "abcdef",
+    _SIGNS[0] + "ABCDEF",
+]
+
+
+def _made_key(rng: np.random.Generator) -> str:
+    """A random key: of one alphabet, 16 to 64 long, some with a prefix, some in groups."""
+    signs = _ALPHABETS[rng.integers(len(_ALPHABETS))]
+    key = "".join(rng.choice(list(signs), rng.integers(16, 65)))
+    if rng.random() < 0.25:
+        size = int(rng.integers(8, 14))
+        key = "-".join(key[i : i + size] for i in range(0, len(key), size))
+    if rng.random() < 0.4:
+        key = "".join(rng.choice(list(_SIGNS[1]), rng.integers(2, 6))) + "_-"[rng.integers(2)] + key
+    return key
+
+
+def _made_name(words: list[str], rng: np.random.Generator) -> str:
+    """A name, path, number or date put together from words of the corpus and numbers."""
+    kind = rng.random()
+    number = lambda: "".join(rng.choice(list(_SIGNS[0]), rng.integers(1, 5)))
+    if kind < 0.15:
+        return "-/"[rng.integers(2)].join(number() for _ in range(rng.integers(4, 9)))
+    if kind < 0.25:
+        return "".join(rng.choice(list(_SIGNS[0]), rng.integers(12, 33)))
+    parts = [words[i] for i in rng.integers(0, len(words), rng.integers(2, 6))]
+    if rng.random() < 0.5:  # words that the corpus doesn't have, from a beginning and an end of others
+        parts = [w[: rng.integers(2, 6)] + words[rng.integers(len(words))][-int(rng.integers(2, 5)) :] for w in parts]
+    if kind < 0.45:
+        parts = [w.capitalize() for w in parts]
+    elif kind < 0.6:
+        parts = [w.upper() for w in parts]
+    if rng.random() < 0.4:
+        parts.insert(int(rng.integers(1, len(parts) + 1)), number())
+    return ("", "_", "/", "-")[rng.integers(1 if kind >= 0.45 else 0, 4)].join(parts)
+
+
+def made(x: np.ndarray, y: np.ndarray, n: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """``n`` made findings of each label in contexts of the given ones."""
+    plain = np.where((x > 0) & (x < 96), x + 0x1F, 0x20).astype(np.uint8)
+    said = [bytes(v[LEFT : LEFT + BODY]).decode() for v in plain[y == 0]] + [bytes(v[:LEFT]).decode() for v in plain]
+    words = sorted({w.lower()[:9] for s in said for w in re.findall("[A-Za-z]{3,}", s)}) or ["word"]
+    out = x[rng.integers(0, len(x), 2 * n)].copy()
+    out[:, LEFT + BODY :] = x[rng.integers(0, len(x), 2 * n), LEFT + BODY :]
+    label = np.arange(2 * n) < n
+    for row, key in zip(out, label):
+        body = (_made_key(rng) if key else _made_name(words, rng)).encode()
+        body = body if len(body) <= BODY else body[: BODY // 2] + body[-(BODY // 2) :]
+        row[LEFT : LEFT + BODY] = 0
+        row[LEFT : LEFT + len(body)] = _SYMBOL[np.frombuffer(body, np.uint8)]
+    return out, label.astype(np.float32)
+
+
+def train(x: np.ndarray, y: np.ndarray, seed: int = 1, epochs: int = 8, batch: int = 64, recall: float = RECALL, more: int = MADE) -> Network:
+    """A network fitted by Adam on four fifths of the findings and on made ones, calibrated on the rest."""
     rng = np.random.default_rng(seed)
     held = rng.permutation(len(x)) % 5 == 0
     xt, yt = x[~held], y[~held].astype(np.float32)
     bare = xt[yt == 1].copy()
     bare[:, :LEFT][rng.random((len(bare), LEFT)) < 0.9] = _SYMBOL[0x20]
-    xt, yt = np.concatenate((xt, bare)), np.concatenate((yt, np.ones(len(bare), np.float32)))
+    new_x, new_y = made(xt, yt, more, rng)
+    xt, yt = np.concatenate((xt, bare, new_x)), np.concatenate((yt, np.ones(len(bare), np.float32), new_y))
     weight = np.where(yt == 1, len(yt) / (2 * max(yt.sum(), 1)), len(yt) / (2 * max((1 - yt).sum(), 1))).astype(np.float32)
     net = Network.fresh(seed)
     first, second, step = [np.zeros_like(p) for p in net.parameters()], [np.zeros_like(p) for p in net.parameters()], 0
@@ -186,62 +256,109 @@ def train(x: np.ndarray, y: np.ndarray, seed: int = 1, epochs: int = 8, batch: i
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
                 p -= 0.003 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-7)
-    calibrate(net, x[held], y[held].astype(np.float64), recall)
+    fresh_x, fresh_y = made(x[held], y[held], more, rng)
+    net.made_least = float(np.quantile(net.logits(fresh_x[fresh_y == 1]), 1 - recall, method="lower"))
+    calibrate(net, net.logits(x[held]), y[held], np.ones(int(held.sum())), recall)
     return net
 
 
-def calibrate(net: Network, x: np.ndarray, y: np.ndarray, recall: float) -> None:
-    """Logistic calibration by Newton steps, then the recall-constrained threshold."""
-    s = net.logits(x).astype(np.float64)
-    n1, n0 = y.sum(), len(y) - y.sum()
+def calibrate(net: Network, s: np.ndarray, y: np.ndarray, n: np.ndarray, recall: float = RECALL) -> None:
+    """Logistic calibration by Newton steps, then the recall-constrained threshold, from ``n`` findings of each (score, label)."""
+    s, y, n = s.astype(np.float64), y.astype(np.float64), n.astype(np.float64)
+    n1, n0 = n[y == 1].sum(), n[y == 0].sum()
     target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     a, b = 1.0, 0.0
     for _ in range(50):
-        p = 1 / (1 + np.exp(-(a * s + b)))
-        w = np.maximum(p * (1 - p), 1e-9)
-        g = np.array([((p - target) * s).sum() + 1e-3 * (a - 1), (p - target).sum()])
+        p = 1 / (1 + np.exp(-np.clip(a * s + b, -500, 500)))
+        w = n * np.maximum(p * (1 - p), 1e-9)
+        g = np.array([(n * (p - target) * s).sum() + 1e-3 * (a - 1), (n * (p - target)).sum()])
         h = np.array([[(w * s * s).sum() + 1e-3, (w * s).sum()], [(w * s).sum(), w.sum() + 1e-6]])
         move = np.linalg.solve(h, g)
         move /= max(1.0, np.abs(move).max())
         a, b = max(a - move[0], 1e-3), b - move[1]
     net.scale, net.shift = float(a), float(b)
-    found = np.sort(net.probability(x[y == 1]))
-    if len(found):
-        net.threshold = float(max(0.5, found[int((1 - recall) * len(found))]))
+    order = np.argsort(-s[y == 1], kind="stable")
+    from_top = np.cumsum(n[y == 1][order])
+    if len(from_top):
+        least = min(net.made_least, s[y == 1][order][min(np.searchsorted(from_top, recall * n1 - 1e-9), len(from_top) - 1)])
+        net.threshold = float(1 / (1 + np.exp(-(a * least + b))))
+        net.recall = float(n[(y == 1) & (s >= least)].sum() / n1)
+        net.mistaken = float(n[(y == 0) & (s >= least)].sum() / max(n0, 1.0))
 
 
 # ---- passes over the documents -------------------------------------------------------
 
 
+def reads_like_words(body: bytes) -> bool:
+    """Words and numbers of four characters and more on average, whatever joins them."""
+    pieces = re.findall(rb"[A-Z]?[a-z]+|[A-Z]+|[0-9]+", body)
+    return bool(pieces) and sum(map(len, pieces)) >= 4 * len(pieces)
+
+
+def _labelled(texts: Texts) -> tuple[np.ndarray, list[bool | None]]:
+    """Views and labels of all candidates: inside a base match, like words, or neither (None)."""
+    owner, starts, ends = candidates(texts)
+    base = base_spans(texts)
+    label: list[bool | None] = []
+    for i, a, b in zip(owner.tolist(), starts.tolist(), ends.tolist()):
+        if any(a < y and x < b for x, _, y in base.get(i, ())):
+            label.append(True)
+        else:
+            at = int(texts.offsets[i])
+            # A long run of letters and digits is told by its ends, as in its view.
+            body = texts.data[at + a : at + b] if b - a <= BODY else np.concatenate((texts.data[at + a : at + a + BODY // 2], texts.data[at + b - BODY // 2 : at + b]))
+            label.append(False if reads_like_words(body.tobytes()) else None)
+    return views(texts, owner, starts, ends), label
+
+
 def findings(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(view, secret): all candidates of all documents, labelled by the base patterns."""
+    """(view, secret): all candidates of all documents that have a label."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
-                texts = Texts(part.column("text"))
-                owner, starts, ends = candidates(texts)
-                base = base_spans(texts)
-                label = [any(a < y and x < b for x, _, y in base.get(i, ())) for i, a, b in zip(owner.tolist(), starts.tolist(), ends.tolist())]
-                seen = views(texts, owner, starts, ends)
-                yield pa.record_batch([pa.array([v.tobytes() for v in seen], pa.binary()), pa.array(label, pa.bool_())], ["view", "secret"])
+                seen, label = _labelled(Texts(part.column("text")))
+                kept = [k for k, x in enumerate(label) if x is not None]
+                yield pa.record_batch([pa.array([seen[k].tobytes() for k in kept], pa.binary()), pa.array([label[k] for k in kept], pa.bool_())], ["view", "secret"])
 
     return docs.select(F.col(text).alias("text")).mapInArrow(find, "view binary, secret boolean")
 
 
+def score_counts(docs: DataFrame, network: Network, text: str = "text") -> DataFrame:
+    """(secret, score, n): all labelled candidates of all documents by score in sixteenths, rounded down."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                seen, label = _labelled(Texts(part.column("text")))
+                known = np.array([x is not None for x in label], bool)
+                score = np.floor(network.logits(seen[known]).astype(np.float64) * BINS).astype(np.int64)
+                found.update(zip((x for x in label if x is not None), score.tolist()))
+        if found:
+            secret, score = zip(*found)
+            yield pa.record_batch([pa.array(secret, pa.bool_()), pa.array(score, pa.int64()), pa.array(list(found.values()), pa.int64())], ["secret", "score", "n"])
+
+    counted = docs.select(F.col(text).alias("text")).mapInArrow(count, "secret boolean, score long, n long")
+    return counted.groupBy("secret", "score").agg(F.sum("n").alias("n"))
+
+
 def learn(docs: DataFrame, text: str = "text", training: int = TRAINING, least: int = LEAST) -> Network | None:
-    """A network trained on the bounded sample of distinct findings, or None with fewer than ``least`` of either label."""
-    found = findings(docs, text).distinct()
-    order = F.xxhash64("view")
-    rows = []
-    for secret in (True, False):
-        some = found.filter(F.col("secret") == secret).orderBy(order, "view").limit(training).collect()
-        if len(some) < least:
-            return None
-        rows += some
-    x = np.stack([np.frombuffer(r["view"], np.uint8) for r in rows])
-    y = np.array([r["secret"] for r in rows])
-    return train(x, y)
+    """A network trained on the bounded sample of distinct findings, or None with fewer than ``least`` of either label.
+
+    Both labels are sampled in one pass; a second one counts the scores of all findings, a few hundred rows.
+    """
+    rank = F.row_number().over(Window.partitionBy("secret").orderBy(F.xxhash64("view"), "view"))
+    rows = findings(docs, text).distinct().withColumn("rank", rank).filter(F.col("rank") <= training).collect()
+    rows.sort(key=lambda r: (not r["secret"], r["rank"]))
+    y = np.array([r["secret"] for r in rows], bool)
+    if min(y.sum(), (~y).sum()) < least:
+        return None
+    network = train(np.stack([np.frombuffer(r["view"], np.uint8) for r in rows]), y)
+    counts = score_counts(docs, network, text).orderBy("secret", "score").collect()
+    secret, score, n = (np.array(c) for c in zip(*counts))
+    calibrate(network, score / BINS, secret, n)
+    return network
 
 
 _RESULT = "base_spans string, spans string, n_assign long, n_access long, n_hex long, secret_bytes array<struct<start: long, end: long>>"
