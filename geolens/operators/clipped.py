@@ -213,21 +213,37 @@ def clipped_join(
     ``polygons`` has edges and box (:func:`geolens.operators.spatial.polygon_table`).  A left join keeps a point that
     is in no polygon once.
     """
-    lon, lat = F.col("lon"), F.col("lat")
     squares, levels, size = clip(polygons, size)
-    joined = ["lv", "g0", "g1"]
-
-    def at(level: Column) -> dict[str, Column]:
-        side = F.lit(size) / F.pow(F.lit(2.0), level)
-        return {"g0": F.floor(lon / side).cast("bigint"), "g1": F.floor(lat / side).cast("bigint")}
-
-    drop = [*joined, "_size", "local", "odd"]
     if levels == [0]:
-        keyed = points.withColumn("lv", F.lit(0)).withColumns(at(F.lit(0)))
-        join = salted_join if salt else keyed_join
-        return join(keyed, squares, [*keys, *joined], how, condition=inside(lon, lat, boundary)).drop(*drop)
+        return _at_level_0(points, squares, size, boundary, keys, how, salt)
     # Leaves lie on several levels: each place is looked up once on each of them, and a left join gets its points back.
     spots = points.select("lon", "lat", *keys).dropna().distinct()
-    keyed = spots.withColumn("lv", F.explode(F.array(*[F.lit(v) for v in levels]))).withColumns(at(F.col("lv")))
-    hits = keyed_join(keyed, squares, [*keys, *joined], "inner", condition=inside(lon, lat, boundary)).drop(*drop)
+    hits = settle(spots, squares, levels, size, boundary, keys)
     return salted_join(points, hits, ["lon", "lat", *keys], how) if salt else points.join(hits, ["lon", "lat", *keys], how)
+
+
+def settle(
+    points: DataFrame, squares: DataFrame, levels: list[int], size: float, boundary: bool, keys: Sequence[str] = ()
+) -> DataFrame:
+    """Points (lon, lat) with the polygons that contain them, for squares that :func:`clip` made once for many joins."""
+    if levels == [0]:
+        return _at_level_0(points, squares, size, boundary, keys)
+    keyed = points.withColumn("lv", F.explode(F.array(*[F.lit(v) for v in levels])))
+    keyed = keyed.withColumns(_square_at(size, F.col("lv")))
+    found = keyed_join(keyed, squares, [*keys, *_PLACE], "inner", condition=inside(F.col("lon"), F.col("lat"), boundary))
+    return found.drop(*_PLACE, *_CONTENT)
+
+
+_PLACE, _CONTENT = ("lv", "g0", "g1"), ("_size", "local", "odd")
+
+
+def _square_at(size: float, level: Column) -> dict[str, Column]:
+    side = F.lit(size) / F.pow(F.lit(2.0), level)
+    return {"g0": F.floor(F.col("lon") / side).cast("bigint"), "g1": F.floor(F.col("lat") / side).cast("bigint")}
+
+
+def _at_level_0(points, squares, size, boundary, keys=(), how="inner", salt=False) -> DataFrame:
+    keyed = points.withColumn("lv", F.lit(0)).withColumns(_square_at(size, F.lit(0)))
+    join = salted_join if salt else keyed_join
+    found = join(keyed, squares, [*keys, *_PLACE], how, condition=inside(F.col("lon"), F.col("lat"), boundary))
+    return found.drop(*_PLACE, *_CONTENT)

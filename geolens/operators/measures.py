@@ -202,8 +202,13 @@ def conversion_rate(
     grouped = candidates.groupBy(*by) if by else candidates
     n, hits = F.count(F.lit(1)), F.sum(F.col(covered).cast("bigint"))
     out = grouped.agg(n.alias("candidates"), F.coalesce(hits, F.lit(0)).alias("covered"))
+    return with_rate(out, target)
+
+
+def with_rate(counts: DataFrame, target: int | None = None) -> DataFrame:
+    """``candidates`` and ``covered`` with their rate in percent, and the candidates a target needs."""
     rate = F.coalesce(F.try_divide(F.col("covered") * 100.0, F.col("candidates")), F.lit(0.0))
-    out = out.withColumn("rate", rate)
+    out = counts.withColumn("rate", rate)
     if target is not None:
         out = out.withColumn("needed", F.ceil(F.try_divide(F.lit(target * 100.0), F.col("rate"))))
     return out

@@ -1,18 +1,21 @@
-"""Uniform points inside polygons."""
+"""Uniform points inside polygons, and the run that draws until enough of them are covered."""
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geolens.functions import geometry as G
-from geolens.functions.scalar import hash_uniform
-from geolens.operators.spread import rank_in_group
+from geolens.functions.scalar import hash_uniform, round6
+from geolens.operators.clipped import clip, settle
+from geolens.operators.measures import with_rate
+from geolens.operators.spatial import polygon_table, snap_to_coverage
+from geolens.operators.spread import global_index, rank_in_group
 from geolens.operators.tables import allocate_by_area
 from geolens.session import cut_lineage, range_tasks
 
@@ -92,29 +95,35 @@ def sample_in_polygons(parts: DataFrame, need: int | str, scalar: float = 1.0, s
     ``parts`` has country, part_id, area, edges and box columns; the number per part
     comes from :func:`allocate_by_area`.  Trial ``t`` of a part is a fixed function of
     seed, part and ``t``, and a part keeps its first accepted trials, so neither the
-    partitioning nor the number of rounds shows in the result.  Parts still short
+    partitioning nor the number of rounds shows in the result.  Trials meet the squares of their part, which are cut
+    once and hold local edges only.  Parts still short
     after a round draw on; those that fill too little of their box for that are cut
     into slabs and filled exactly.  Every part gets its number of points.
     """
-    planned = allocate_by_area(parts, need, scalar).where(F.col("take") > 0)
-    columns = ["country", "part_id", "take", "edges", "min_x", "min_y", "max_x", "max_y"]
+    planned = cut_lineage(allocate_by_area(parts, need, scalar).where(F.col("take") > 0))
+    box = ["min_x", "min_y", "max_x", "max_y"]
+    columns = ["country", "part_id", "take", *box]
+    squares, levels, size = clip(planned.select(F.col("part_id"), "edges", *box))
     open_parts = planned.select(*columns, F.lit(0).cast("bigint").alias("got"), F.lit(1).cast("bigint").alias("from_t"))
-    open_parts, kept, factor = cut_lineage(open_parts), None, 4
+    kept, factor = None, 4
     while True:
         limit = F.col("take") * TRIES_PER_POINT
         aim = F.col("from_t") + (F.col("take") - F.col("got")) * factor - 1
         batch = open_parts.withColumn("to_t", F.least(aim, limit))
         key = F.concat_ws(":", F.col("part_id").cast("string"), F.col("trial").cast("string"))
-        drawn = _draws(batch, "from_t", "to_t").withColumns(
-            {
-                "lon": F.col("min_x") + hash_uniform(key, seed, "x") * (F.col("max_x") - F.col("min_x")),
-                "lat": F.col("min_y") + hash_uniform(key, seed, "y") * (F.col("max_y") - F.col("min_y")),
-            }
+        drawn = _draws(batch, "from_t", "to_t").select(
+            "country",
+            "part_id",
+            "take",
+            "got",
+            "trial",
+            (F.col("min_x") + hash_uniform(key, seed, "x") * (F.col("max_x") - F.col("min_x"))).alias("lon"),
+            (F.col("min_y") + hash_uniform(key, seed, "y") * (F.col("max_y") - F.col("min_y"))).alias("lat"),
         )
-        hits = drawn.where(G.contains_point(F.col("edges"), F.col("lon"), F.col("lat")))
-        hits = hits.select("country", "part_id", "take", "got", "trial", "lat", "lon")
+        hits = settle(drawn, squares, levels, size, False, ["part_id"])
         ranked = rank_in_group(hits, ["part_id"], [F.col("trial")], "_at")
-        fresh = cut_lineage(ranked.where(F.col("_at") <= F.col("take") - F.col("got")).drop("_at", "take", "got"))
+        fresh = ranked.where(F.col("_at") <= F.col("take") - F.col("got"))
+        fresh = cut_lineage(fresh.select("country", "part_id", "trial", "lat", "lon"))
         kept = fresh if kept is None else kept.unionByName(fresh)
         added = fresh.groupBy("part_id").agg(F.count(F.lit(1)).alias("added"))
         grown = batch.join(added, "part_id", "left").withColumns(
@@ -122,9 +131,87 @@ def sample_in_polygons(parts: DataFrame, need: int | str, scalar: float = 1.0, s
         )
         short = cut_lineage(grown.where(F.col("got") < F.col("take")).select(*columns, "got", "from_t"))
         open_parts = short.where(F.col("from_t") <= limit)
-        slivers = short.where(F.col("from_t") > limit)
+        slivers = short.where(F.col("from_t") > limit).join(planned.select("part_id", "edges"), "part_id")
         if not slivers.isEmpty():
             kept = kept.unionByName(cut_lineage(_fill(slivers, seed)))
         if open_parts.isEmpty():
             return kept
         factor *= 2
+
+
+# ---- the whole run ----------------------------------------------------------
+
+
+class SamplingRun(NamedTuple):
+    points: DataFrame  # country, lat, lon, round: distinct covered positions
+    candidates: DataFrame  # country, part_id, round, trial, lat, lon: what was drawn
+    report: DataFrame  # country, asked, candidates, covered, rate, needed, rounds
+
+
+def boundary_parts(boundaries: DataFrame) -> DataFrame:
+    """Polygon parts as the sampler takes them, from :func:`geolens.sources.text.read_boundaries`.
+
+    Parts get one number over all countries, in the order of their names and places in the file.  A part that is
+    listed twice counts once; parts without a ring or an area are left out.
+    """
+    names = ["country", "name_1", "name_2", "part_id"]
+    shape = F.md5(F.to_json("rings"))
+    solid = boundaries.where((F.col("area") > 0) & (F.size("rings") > 0)).withColumn("_shape", shape)
+    once = solid.dropDuplicates([*names, "_shape"])
+    numbered = global_index(once, [F.col(c) for c in (*names, "_shape")], "_part")
+    return polygon_table(numbered.select("country", F.col("_part").alias("part_id"), "area", "rings"))
+
+
+def sampling_run(
+    parts: DataFrame,
+    coverage: DataFrame,
+    target: int,
+    radius_m: float = 60.0,
+    scalar: float = 1.0,
+    seed: int = 42,
+    limit: int | None = None,
+    max_rounds: int = 16,
+) -> SamplingRun:
+    """Draw candidates in every country until ``target`` distinct positions of it are covered.
+
+    The first round asks for ``target`` candidates of each country, dealt to its parts by area.  Candidates snap to
+    the nearest covered position (lat, lon of ``coverage``) within ``radius_m``.  A country still short asks for as
+    many more as its rate so far suggests, but at least half of what it has asked for, or as many again if nothing
+    was covered, so the rounds grow geometrically; it gives up at ``limit`` candidates (100 for each wanted point) or
+    after ``max_rounds``.  Round k draws with seed ``seed + k``, so its trials are new ones.
+
+    A position covered from two countries counts in both.  Parts without a country are one country.  The last
+    round's surplus stays.  A country whose parts have no area is not reported; empty tables give empty results.
+    """
+    limit = 100 * target if limit is None else limit
+    parts, sites = cut_lineage(parts), cut_lineage(coverage.select("lat", "lon").dropna().distinct())
+    zero = F.lit(0).cast("bigint")
+    state = parts.groupBy("country").agg(F.sum("area").alias("_area")).where(F.col("_area") > 0)
+    state = cut_lineage(state.select("country", zero.alias("asked"), zero.alias("candidates"), zero.alias("covered"), zero.alias("rounds")))
+    points = candidates = None
+    for k in range(max_rounds):
+        by_rate = F.ceil(F.try_divide((F.lit(target) - F.col("covered")) * F.col("candidates"), F.col("covered")))
+        more = F.when(F.col("asked") == 0, F.lit(target)).when(F.col("covered") == 0, F.col("asked"))
+        more = more.otherwise(F.greatest(by_rate, F.ceil(F.col("asked") / 2))).cast("bigint")
+        open_ = (F.col("covered") < target) & (F.col("asked") < limit)
+        wanted = state.where(open_).select("country", F.least(more, limit - F.col("asked")).alias("_more"))
+        if k and wanted.isEmpty():
+            break
+        asked = parts.join(wanted.withColumnRenamed("country", "_land"), F.col("country").eqNullSafe(F.col("_land"))).drop("_land")
+        drawn = cut_lineage(sample_in_polygons(asked, "_more", scalar, seed + k).withColumn("round", F.lit(k)))
+        snapped = snap_to_coverage(drawn, sites, radius_m)
+        place = drawn.join(snapped, ["lat", "lon"]).select("country", round6(F.col("s_lat")).alias("lat"), round6(F.col("s_lon")).alias("lon")).distinct()
+        if points is not None:
+            old = points.select(F.col("country").alias("_land"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
+            same = F.col("country").eqNullSafe(F.col("_land")) & (F.col("lat") == F.col("_lat")) & (F.col("lon") == F.col("_lon"))
+            place = place.join(old, same, "left_anti")
+        fresh = cut_lineage(place.withColumn("round", F.lit(k)))
+        points = fresh if points is None else points.unionByName(fresh)
+        candidates = drawn if candidates is None else candidates.unionByName(drawn)
+        news = wanted.withColumnRenamed("_more", "asked").withColumns({"candidates": zero, "covered": zero, "rounds": F.lit(1).cast("bigint")})
+        for name, rows in (("candidates", drawn), ("covered", fresh)):
+            counts = rows.groupBy("country").agg(F.count(F.lit(1)).alias(name))
+            news = news.unionByName(counts.select("country", *[F.col(c) if c == name else zero.alias(c) for c in state.columns[1:]]))
+        both = state.unionByName(news)
+        state = cut_lineage(both.groupBy("country").agg(*[F.sum(c).alias(c) for c in state.columns[1:]]))
+    return SamplingRun(points, candidates.select("country", "part_id", "round", "trial", "lat", "lon"), with_rate(state, target))

@@ -176,10 +176,17 @@ def nearest_centroid(
 
 def coverage_snap(candidates: DataFrame, coverage: DataFrame, radius_m: float = 60.0) -> DataFrame:
     """Covered position nearest to each candidate within ``radius_m``, distinct at six decimals."""
+    sites = coverage.select("lat", "lon").distinct()
+    best = snap_to_coverage(candidates, sites, radius_m)
+    return best.select(round6(F.col("s_lat")).alias("lat"), round6(F.col("s_lon")).alias("lon")).distinct()
+
+
+def snap_to_coverage(candidates: DataFrame, sites: DataFrame, radius_m: float) -> DataFrame:
+    """(lat, lon, s_lat, s_lon, km): each distinct candidate with the nearest of the distinct ``sites`` within reach."""
     reach = radius_m / K.SCORE_RADIUS_M
     spots = candidates.select("lat", "lon").distinct()
     spots = spots.withColumns({f"q{a}": v for a, v in enumerate(unit_xyz(F.col("lat"), F.col("lon")))})
-    sites = coverage.select(F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon")).distinct()
+    sites = sites.select(F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"))
     sites = sites.withColumns({f"i{a}": v for a, v in enumerate(unit_xyz(F.col("s_lat"), F.col("s_lon")))})
     q = [F.col(f"q{a}") for a in range(3)]
     i = [F.col(f"i{a}") for a in range(3)]
@@ -195,7 +202,7 @@ def coverage_snap(candidates: DataFrame, coverage: DataFrame, radius_m: float =
         km <= F.lit(radius_m / 1000.0),
     ).withColumn("km", km)
     best = top_per_key(pairs, ["lat", "lon"], [F.col("km"), F.col("s_lat"), F.col("s_lon")])
-    return best.select(round6(F.col("s_lat")).alias("lat"), round6(F.col("s_lon")).alias("lon")).distinct()
+    return best.select("lat", "lon", "s_lat", "s_lon", "km")
 
 
 def lookup_exact_or_nearest(

@@ -10,10 +10,7 @@ from pyspark.sql import functions as F
 from geolens import constants as K
 from geolens.functions.scalar import _literal_map, heading_distance, round6
 from geolens.operators.spread import global_index, rank_in_group, running_total, top_per_key
-
-# Above this many rows an ordered pick is cut by row index instead of a single top-n task; the rows and their
-# order are the same.
-TOP_N_LIMIT = 100_000
+from geolens.session import range_tasks
 
 # ---- filters ----------------------------------------------------------------
 
@@ -213,9 +210,15 @@ def version_nth(keys: DataFrame, n: int = 0) -> DataFrame:
 
 
 def first_n(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
-    if n <= TOP_N_LIMIT:
-        return df.orderBy(*order).limit(n)
-    return global_index(df, order, "_at").where(F.col("_at") < n).orderBy("_at").drop("_at")
+    """The first ``n`` rows of an order, for any ``n``.
+
+    Rows are numbered inside buckets of input partitions; of a bucket at most ``n`` rows can be among the first,
+    which for a small ``n`` drops nearly all of them before the shuffle.  What is left is cut by its place in the
+    order, so no task holds more than a range of it.
+    """
+    bucket = F.pmod(F.spark_partition_id(), F.lit(range_tasks(df.sparkSession)))
+    left = top_per_key(df.withColumn("_bucket", bucket), ["_bucket"], order, n).drop("_bucket")
+    return global_index(left, order, "_at").where(F.col("_at") < n).orderBy("_at").drop("_at")
 
 
 def collection_budget(points: DataFrame, n: int) -> DataFrame:

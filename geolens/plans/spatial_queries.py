@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from geolens import constants as K
 from geolens.functions.geometry import box_ring
-from geolens.operators import build, geocells, measures, sampling, spatial
+from geolens.operators import build, geocells, measures, sampling, spatial, tables
 from geolens.plans.scalar_queries import n4
 from geolens.plans.views import Tables, haversine, oracle, r4
 from geolens.session import cut_lineage, work_path
-from geolens.sources.text import PROTOTYPE_SCHEMA, read_prototypes, write_prototypes
+from geolens.sources.text import PROTOTYPE_SCHEMA, read_boundaries, read_prototypes, write_prototypes
 
 QUERIES, ORACLES = {}, {}
 
@@ -431,3 +431,66 @@ def sample_in_polygons(t: Tables) -> DataFrame:
     parts = t.sql(_PARTS).select("part_id", "country", (2 * r * r).alias("area"), F.array(ring).alias("rings"))
     out = sampling.sample_in_polygons(spatial.polygon_table(parts).join(need, "country"), "need")
     return out.select("country", "part_id", "trial", n4("lat").alias("lat"), n4("lon").alias("lon"))
+
+
+RUN_TARGET, RUN_LIMIT, RUN_ROUNDS, RUN_RADIUS_M = 30, 200, 4, 200_000.0
+
+
+def _run_round(k: int) -> str:
+    """One round: what open countries ask for, its draws, the positions that are new, and the sums after it."""
+    u = {a: f"(('0x' || substr(md5('{42 + k}:{a}:' || part_id || ':' || trial), 1, 8))::BIGINT / 4294967296.0::DOUBLE)" for a in "xy"}
+    km = haversine("h.lat", "h.lon", "s.lat", "s.lon", K.SCORE_RADIUS_M)
+    old = " AND ".join(
+        ["TRUE", *[f"NOT EXISTS (SELECT 1 FROM fresh{j} o WHERE o.country = f.country AND o.lat = f.lat AND o.lon = f.lon)" for j in range(k)]]
+    )
+    more = (
+        f"CASE WHEN asked = 0 THEN {RUN_TARGET} WHEN covered = 0 THEN asked ELSE "
+        f"greatest(CAST(ceil(({RUN_TARGET} - covered) * candidates / CAST(nullif(covered, 0) AS DOUBLE)) AS BIGINT), CAST(ceil(asked / 2.0) AS BIGINT)) END"
+    )
+    return (
+        f"more{k} AS MATERIALIZED (SELECT country, least({more}, {RUN_LIMIT} - asked) AS more FROM state{k} WHERE covered < {RUN_TARGET} AND asked < {RUN_LIMIT}), "
+        f"want{k} AS MATERIALIZED (SELECT part_id, country, px, py, r, least(cum, more) - least(cum - n, more) AS take FROM (SELECT *, CAST(sum(n) OVER (PARTITION BY country ORDER BY part_id) AS BIGINT) AS cum "
+        f"FROM (SELECT *, CAST(round_even(2*r*r * 1.25::DOUBLE / a * more, 0) AS BIGINT) AS n FROM parts JOIN total USING (country) JOIN more{k} USING (country)) z) y), "
+        f"draw{k} AS (SELECT *, unnest(generate_series(1, 100 + take * 8)) AS trial FROM want{k} WHERE take > 0), "
+        f"spot{k} AS (SELECT *, px - r + {u['x']} * (2*r) AS lon, py - r + {u['y']} * (2*r) AS lat FROM draw{k}), "
+        f"hit{k} AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY part_id ORDER BY trial) AS pos FROM spot{k} WHERE abs(lon - px) + abs(lat - py) < r) x WHERE pos <= take), "
+        f"near{k} AS (SELECT * FROM (SELECT h.country, s.lat, s.lon, row_number() OVER (PARTITION BY h.part_id, h.trial ORDER BY {km}, s.lat, s.lon) AS pos "
+        f"FROM hit{k} h JOIN site s ON abs(h.lat - s.lat) < 2 AND {km} <= {RUN_RADIUS_M / 1000!r}) x WHERE pos = 1), "
+        f"fresh{k} AS MATERIALIZED (SELECT * FROM (SELECT DISTINCT country, round_even(lat*1e6::DOUBLE,0)/1e6::DOUBLE AS lat, round_even(lon*1e6::DOUBLE,0)/1e6::DOUBLE AS lon FROM near{k}) f WHERE {old}), "
+        f"state{k + 1} AS MATERIALIZED (SELECT country, CAST(asked + coalesce(more, 0) AS BIGINT) AS asked, candidates + coalesce(c, 0) AS candidates, covered + coalesce(f, 0) AS covered, "
+        f"rounds + CAST(more IS NOT NULL AS BIGINT) AS rounds FROM state{k} LEFT JOIN more{k} USING (country) "
+        f"LEFT JOIN (SELECT country, count(*) AS c FROM hit{k} GROUP BY 1) USING (country) LEFT JOIN (SELECT country, count(*) AS f FROM fresh{k} GROUP BY 1) USING (country)), "
+    )
+
+
+@query(
+    "WITH parts AS MATERIALIZED (SELECT * REPLACE (n_name AS country, row_number() OVER (ORDER BY n_name, part_id) - 1 AS part_id) FROM (" + _PARTS + ") p JOIN @nation ON n_nationkey = country WHERE n_regionkey <> 2), "
+    "total AS (SELECT country, sum(2*r*r) AS a FROM parts GROUP BY 1), site AS MATERIALIZED (SELECT DISTINCT lat, lon FROM @loc_points), "
+    "state0 AS (SELECT country, 0::BIGINT AS asked, 0::BIGINT AS candidates, 0::BIGINT AS covered, 0::BIGINT AS rounds FROM total), "
+    + "".join(_run_round(k) for k in range(RUN_ROUNDS))
+    + "fresh AS (" + " UNION ALL ".join(f"SELECT *, {k} AS round FROM fresh{k}" for k in range(RUN_ROUNDS)) + ") "
+    f"SELECT country, lat, lon, round, asked, candidates, covered, rounds, {r4('rate')} AS rate, CAST(ceil({RUN_TARGET}00.0::DOUBLE / nullif(rate, 0)) AS BIGINT) AS needed "
+    f"FROM (SELECT *, coalesce(covered * 100.0::DOUBLE / nullif(candidates, 0), 0.0::DOUBLE) AS rate FROM state{RUN_ROUNDS}) s LEFT JOIN fresh USING (country)"
+)
+def sampling_run(t: Tables) -> DataFrame:
+    """Boundary files to covered points: files read, countries picked, candidates drawn in rounds until enough are covered.
+
+    One file per nation with a diamond per supplier; customers' places are covered.  A country without any covered
+    position has one row without coordinates.
+    """
+    folder = work_path(t.spark, "countries")
+    x, y, r = F.col("px"), F.col("py"), F.col("r")
+    corners = [(x - r, y), (x, y - r), (x + r, y), (x, y + r), (x - r, y)]
+    shape = F.struct(F.lit("Polygon").alias("type"), F.array(F.array(*[F.array(a, b) for a, b in corners])).alias("coordinates"))
+    names = F.struct(F.col("n_name").alias("NAME_0"), F.format_string("%012d", "part_id").alias("NAME_1"))
+    feature = F.struct(F.lit("Feature").alias("type"), names.alias("properties"), shape.alias("geometry"))
+    features = t.sql(_PARTS).join(t.nation, F.col("country") == F.col("n_nationkey")).groupBy("n_nationkey").agg(F.collect_list(feature).alias("features"))
+    collection = F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features"))
+    features.select("n_nationkey", collection.alias("value")).write.partitionBy("n_nationkey").text(folder)
+    wanted = t.nation.where("n_regionkey <> 2").select(F.concat(F.lit(" "), F.lower("n_name")).alias("name"))
+    land = tables.filter_countries(read_boundaries(t.spark, f"{folder}/*", ("NAME_0",), "*.txt"), wanted, ("country",))
+    run = sampling.sampling_run(
+        sampling.boundary_parts(land), t.loc_points, RUN_TARGET, RUN_RADIUS_M, 1.25, limit=RUN_LIMIT, max_rounds=RUN_ROUNDS
+    )
+    out = run.report.join(run.points, "country", "left").withColumn("rate", n4("rate"))
+    return out.select("country", "lat", "lon", "round", "asked", "candidates", "covered", "rounds", "rate", "needed")

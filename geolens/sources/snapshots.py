@@ -2,14 +2,18 @@
 
 ``root/manifests``  one folder per ingested batch
 ``root/snapshots``  one folder per pointer and version, holding a full table or only a batch
-``root/<pointer>``  one small JSON per version, naming the folders that make it up
+``root/<pointer>``  one small JSON per version, naming its own folder
 
 Data is written before its pointer, and a pointer is never changed, so a reader sees
 either the old version or the new one.  Versions are ordered by a sequence number in
-the pointer, not by their ids.  A known id with the same rows is a replay and changes
-nothing; with other rows it is refused, as later versions may stand on its folder.  A new version normally adds its batch as one
-more folder; the folders are folded into a full table every few versions, so a
-small batch does not rewrite a large snapshot.
+the pointer, then by id.  A known id with the same rows is a replay and changes
+nothing; with other rows it is refused, as later versions may stand on its folder.
+
+Writers need no lock.  A pointer names only what its writer added; the current table is
+the newest base with all versions on top that the base does not hold.  Two writers at
+once get the same number, neither names the other, and both batches count.  A base is a
+full table: a version written whole, or the fold of what a writer saw when there were
+many folders.  It lists the versions it holds, so one that it did not see stays on top.
 """
 
 from __future__ import annotations
@@ -27,7 +31,8 @@ from geolens.operators.tables import ingest_report
 KEYS = ("location_id", "heading")
 LATEST = "_latest"
 HOLDOUT = "_holdout"
-_POINTER = "run_id string, parts array<string>, seq long, content string"
+# path: rows of this version; base: a full table holding the versions ``folded`` and those of the base of ``under``.
+_POINTER = "run_id string, path string, base string, folded array<string>, under string, seq long, content string"
 
 
 def new_run_id() -> str:
@@ -41,24 +46,41 @@ def write_batch_manifest(batch: DataFrame, root: str, run_id: str) -> str:
     return path
 
 
-def _write_pointer(
-    spark: SparkSession, root: str, pointer: str, run_id: str, parts: list[str], seq: int, content: str
-) -> None:
-    row = spark.createDataFrame([(run_id, parts, seq, content)], _POINTER)
-    row.coalesce(1).write.mode("overwrite").json(f"{root}/{pointer}/version={run_id}")
+def _write_pointer(spark: SparkSession, root: str, pointer: str, entry: dict) -> None:
+    row = spark.createDataFrame([entry], _POINTER)
+    row.coalesce(1).write.mode("overwrite").json(f"{root}/{pointer}/version={entry['run_id']}")
 
 
-def _pointer(spark: SparkSession, root: str, pointer: str, run_id: str | None = None):
-    """Newest pointer entry, or the one of a run."""
+def _entries(spark: SparkSession, root: str, pointer: str) -> list:
+    """All versions, oldest first: one small row for each."""
     try:
-        entries = spark.read.schema(_POINTER).json(f"{root}/{pointer}/version=*")
+        entries = spark.read.schema(_POINTER).json(f"{root}/{pointer}/version=*").collect()
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return None
-    if run_id is not None:
-        return entries.where(F.col("run_id") == run_id).first()
-    return entries.orderBy(F.col("seq").desc()).first()
+        return []
+    return sorted(entries, key=lambda e: (e["seq"], e["run_id"]))
+
+
+def _pointer(spark: SparkSession, root: str, pointer: str):
+    """Newest version."""
+    return next(reversed(_entries(spark, root, pointer)), None)
+
+
+def _current(entries: list):
+    """The newest base, if any, and the versions on top of it, oldest first."""
+    base = next((e for e in reversed(entries) if e["base"]), None)
+    by_id, held, at = {e["run_id"]: e for e in entries}, set(), base
+    while at is not None:
+        held.update(at["folded"])
+        at = by_id.get(at["under"])
+    # A whole version that lost to a newer base was replaced by it, seen or not.
+    return base, [e for e in entries if e["run_id"] not in held and e["base"] != e["path"]]
+
+
+def _parts(entries: list) -> list[str]:
+    base, top = _current(entries)
+    return ([base["base"]] if base is not None else []) + [e["path"] for e in top]
 
 
 def _content(df: DataFrame) -> str:
@@ -68,18 +90,25 @@ def _content(df: DataFrame) -> str:
     return f"{sums[0]}:{sums[1] or 0}:{','.join(names)}"
 
 
-def _next_seq(newest) -> int:
-    return 0 if newest is None else newest["seq"] + 1
-
-
-def _published(spark: SparkSession, root: str, pointer: str, run_id: str, content: str) -> str | None:
+def _published(entries: list, run_id: str, content: str) -> str | None:
     """Path of a run that was published before with the same rows; an error if it had others."""
-    known = _pointer(spark, root, pointer, run_id)
+    known = next((e for e in entries if e["run_id"] == run_id), None)
     if known is None:
         return None
     if known["content"] != content:
         raise ValueError(f"{run_id} was published with other rows; use a new run id")
-    return known["parts"][-1]
+    return known["path"]
+
+
+def _entry(entries: list, run_id: str, path: str, content: str, base: str | None = None, own: bool = False) -> dict:
+    """Pointer of a new version; a base holds all that is current, and its own rows if it is a whole version."""
+    out = {"run_id": run_id, "path": path, "base": base, "folded": None, "under": None, "content": content}
+    out["seq"] = entries[-1]["seq"] + 1 if entries else 0
+    if base:
+        under, top = _current(entries)
+        out["folded"] = [e["run_id"] for e in top] + [run_id] * own
+        out["under"] = under["run_id"] if under is not None else None
+    return out
 
 
 def _read_parts(spark: SparkSession, parts: list[str], keys=KEYS) -> DataFrame:
@@ -95,22 +124,22 @@ def _read_parts(spark: SparkSession, parts: list[str], keys=KEYS) -> DataFrame:
 def snapshot_write(df: DataFrame, root: str, run_id: str | None = None, pointer: str = LATEST) -> str:
     """Write a full version and flip the pointer to it."""
     run_id, spark, content = run_id or new_run_id(), df.sparkSession, _content(df)
-    if path := _published(spark, root, pointer, run_id, content):
+    if path := _published(_entries(spark, root, pointer), run_id, content):
         return path
     path = f"{root}/snapshots/{pointer.strip('_')}/{run_id}"
     df.write.mode("overwrite").parquet(path)
-    _write_pointer(spark, root, pointer, run_id, [path], _next_seq(_pointer(spark, root, pointer)), content)
+    _write_pointer(spark, root, pointer, _entry(_entries(spark, root, pointer), run_id, path, content, path, own=True))
     return path
 
 
 def snapshot_read(spark: SparkSession, root: str, pointer: str = LATEST) -> DataFrame:
-    """The version the pointer names; an error when there is none or it is empty."""
-    entry = _pointer(spark, root, pointer)
-    if entry is None:
+    """The current table; an error when there is none or it is empty."""
+    entries = _entries(spark, root, pointer)
+    if not entries:
         raise FileNotFoundError(f"no snapshot under {root}/{pointer}")
-    snapshot = _read_parts(spark, entry["parts"])
+    snapshot = _read_parts(spark, _parts(entries))
     if snapshot.isEmpty():
-        raise FileNotFoundError(f"snapshot {entry['run_id']} is empty")
+        raise FileNotFoundError(f"snapshot {entries[-1]['run_id']} is empty")
     return snapshot
 
 
@@ -125,20 +154,16 @@ def publish_batch(
     spark = batch.sparkSession
     if order is not None:
         batch = top_per_key(batch, KEYS, [F.col(order).desc()])
-    content = _content(batch)
-    if path := _published(spark, root, pointer, run_id, content):
+    content, entries = _content(batch), _entries(spark, root, pointer)
+    if path := _published(entries, run_id, content):
         return path
     path = f"{root}/snapshots/{pointer.strip('_')}/{run_id}"
-    previous = _pointer(spark, root, pointer)
-    parts = list(previous["parts"]) if previous is not None else []
-    if len(parts) + 1 >= compact_every:
-        added = f"{path}-added"
-        batch.write.mode("overwrite").parquet(added)
-        _read_parts(spark, [*parts, added]).write.mode("overwrite").parquet(path)
-        parts = []
-    else:
-        batch.write.mode("overwrite").parquet(path)
-    _write_pointer(spark, root, pointer, run_id, [*parts, path], _next_seq(previous), content)
+    batch.write.mode("overwrite").parquet(path)
+    parts, base = _parts(entries), None
+    if len(parts) + 1 >= compact_every and len(parts) > 1:
+        base = f"{path}-base"
+        _read_parts(spark, parts).write.mode("overwrite").parquet(base)
+    _write_pointer(spark, root, pointer, _entry(entries, run_id, path, content, base))
     return path
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from geolens import constants as K
 from geolens.functions.geometry import ring_area
+from geolens.operators.spread import running_total
 
 
 def parse_point_line(line: Column) -> Column:
@@ -25,8 +26,8 @@ def read_points_text(spark: SparkSession, path: str) -> DataFrame:
     """Points of a text file with their position among the valid lines.
 
     Positions follow file, then offset of the read block, then line.  Rows are
-    numbered inside each block; the per-block counts, one row per block, are
-    summed and broadcast back.
+    numbered inside each block; the counts of the blocks are summed range by range
+    and joined back, so the number of blocks is not bounded by one task.
     """
     lines = spark.read.text(path).select(
         parse_point_line(F.col("value")).alias("p"),
@@ -37,10 +38,9 @@ def read_points_text(spark: SparkSession, path: str) -> DataFrame:
     valid = lines.where(F.col("p").isNotNull())
     inside = F.row_number().over(Window.partitionBy("_file", "_block").orderBy("_line"))
     numbered = valid.withColumn("_at", inside)
-    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = valid.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = offsets.select("_file", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    joined = numbered.join(F.broadcast(offsets), ["_file", "_block"])
+    counts = valid.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    summed = running_total(counts, [], [F.col("_file"), F.col("_block")], F.col("_n"), "_upto")
+    joined = numbered.join(summed.withColumn("_offset", F.col("_upto") - F.col("_n")), ["_file", "_block"])
     return joined.select((F.col("_at") + F.col("_offset") - 1).alias("point_idx"), "p.lat", "p.lon")
 
 

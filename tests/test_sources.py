@@ -59,6 +59,32 @@ def test_versions_follow_their_publication_not_their_names(spark, tmp_path):
     assert snapshots._pointer(spark, root, "_latest")["run_id"] == "run_ts=1999-01-01"
 
 
+@pytest.mark.parametrize("compact_every", [3, 16])
+def test_two_writers_at_once_lose_no_batch(spark, tmp_path, monkeypatch, compact_every):
+    """Two writers list the versions at the same time; then each publishes what it has, also as a fold or a whole table."""
+    root, names = str(tmp_path), lambda: {(r["location_id"], r["note"]) for r in snapshots.snapshot_read(spark, root).collect()}
+    publish = lambda place, run: snapshots.publish_batch(batch(spark, [("hot", 0, 1, run), (place, 0, 1, run)]), root, f"run_ts={run}", "ord", compact_every=compact_every)
+    for place in "abc":
+        publish(place, place)
+    seen = snapshots._entries(spark, root, "_latest")
+    publish("d", "d")
+    with monkeypatch.context() as late:
+        late.setattr(snapshots, "_entries", lambda *_: seen)
+        publish("e", "e")
+    assert names() == {("hot", "e")} | {(p, p) for p in "abcde"}
+    publish("f", "f")
+    assert names() == {("hot", "f")} | {(p, p) for p in "abcdef"}
+    seen = snapshots._entries(spark, root, "_latest")
+    publish("g", "g")
+    with monkeypatch.context() as late:
+        late.setattr(snapshots, "_entries", lambda *_: seen)
+        for run in ("x", "y"):
+            snapshots.snapshot_write(batch(spark, [(run, 0, 1, run)]), root, f"run_ts={run}")
+    assert names() == {("y", "y"), ("g", "g"), ("hot", "g")}  # whole tables replace what they saw and each other
+    publish("z", "z")
+    assert names() == {("y", "y"), ("g", "g"), ("z", "z"), ("hot", "z")}
+
+
 def test_a_known_version_is_not_overwritten(spark, tmp_path):
     root = str(tmp_path)
     snapshots.publish_batch(batch(spark, [("a", 0, 1, "x")]), root, "run_ts=1", "ord")

@@ -217,3 +217,32 @@ def test_slivers_get_all_their_points(spark):
             assert 0.999 * x - 1e-9 <= y <= 0.999 * x + 0.1 + 1e-9
     upper = sum(r["lat"] > 45 for r in got if r["part_id"] == 3)
     assert 120 < upper < 180  # three quarters of the area
+
+
+def test_sampling_run_draws_until_enough_is_covered(spark):
+    """Land a is covered on a fine grid, land b nowhere, land c in one place only; the part without a land is small."""
+    shapes = [("a", 0, box(0, 0, 1, 1)), ("a", 1, box(3, 0, 4, 2)), ("b", 0, box(20, 0, 21, 1)), ("c", 0, box(40, 0, 40.1, 0.1)), (None, 0, box(60, 0, 60.2, 0.2))]
+    shapes += [shapes[0], ("flat", 0, box(9, 9, 9, 9))]
+    area = lambda ring: (ring[2][0] - ring[0][0]) * (ring[2][1] - ring[0][1])
+    rows = [(land, "n", None, k, [ring], abs(area(ring))) for land, k, ring in shapes]
+    schema = "country string, name_1 string, name_2 string, part_id int, rings array<array<struct<x: double, y: double>>>, area double"
+    parts = sampling.boundary_parts(spark.createDataFrame(rows, schema))
+    assert sorted(r["part_id"] for r in parts.collect()) == [0, 1, 2, 3, 4]
+    sites = [(i / 20, j / 20) for i in range(41) for j in range(81)] + [(0.05, 40.05)] + [(i / 50, 60 + j / 50) for i in range(11) for j in range(11)] + [(None, 1.0)]
+    sites = spark.createDataFrame(sites, "lat double, lon double")
+    run = sampling.sampling_run(parts, sites, 12, radius_m=2000.0, limit=100)
+    report = {r["country"]: r for r in run.report.collect()}
+    assert set(report) == {"a", "b", "c", None}
+    points, drawn = run.points.collect(), run.candidates.collect()
+    for land, r in report.items():
+        own = [(p["lat"], p["lon"]) for p in points if p["country"] == land]
+        assert len(own) == len(set(own)) == r["covered"]
+        mine = [(d["lat"], d["lon"]) for d in drawn if d["country"] == land]
+        assert len(mine) == len(set(mine)) == r["candidates"] and r["candidates"] <= r["asked"] <= 100
+        near = {min((haversine(d, s, K.SCORE_RADIUS_M), s) for s in [tuple(x) for x in sites.dropna().collect()]) for d in mine}
+        assert set(own) == {tuple(round(v, 6) for v in s) for km, s in near if km <= 2.0}
+    assert report["a"]["covered"] >= 12 and report["a"]["rounds"] > 1 and report[None]["covered"] >= 12
+    assert (report["b"]["covered"], report["b"]["asked"], report["b"]["needed"]) == (0, 100, None)
+    assert (report["c"]["covered"], report["c"]["asked"]) == (1, 100)
+    none = sampling.sampling_run(parts.limit(0), sites, 5)
+    assert none.points.count() == none.candidates.count() == none.report.count() == 0

@@ -164,8 +164,9 @@ def test_rows_without_stratum_or_country_are_kept(spark):
     assert got == {1: 10, 2: 5, 3: 5}
 
 
-def test_large_picks_are_ordered_like_small_ones(spark, monkeypatch):
-    frame = spark.createDataFrame([(i * 7 % 50,) for i in range(50)], "id long")
-    small = [r["id"] for r in tables.first_n(frame, [frame["id"].desc()], 20).collect()]
-    monkeypatch.setattr(tables, "TOP_N_LIMIT", 5)
-    assert [r["id"] for r in tables.first_n(frame, [frame["id"].desc()], 20).collect()] == small
+def test_picks_of_any_size_follow_the_order(spark):
+    frame = spark.createDataFrame([(i * 7 % 50, i % 3) for i in range(50)] * 2, "id long, tie long").repartition(7)
+    for n in (0, 1, 20, 99, 100, 5000):
+        got = [r["id"] for r in tables.first_n(frame, [frame["id"].desc()], n).collect()]
+        assert got == sorted([i % 50 for i in range(100)], reverse=True)[:n]
+    assert tables.first_n(frame.limit(0), [F.col("id")], 3).count() == 0
