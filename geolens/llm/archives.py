@@ -1,8 +1,9 @@
 """Web archives: ARC files of both versions, their conversion to WARC, and reading WARC files back.
 
-All files are written and read by Spark.  A record is a row of the text writer: its own last line feed is the
-writer's, so the files are plain archives.  Every file opens with its description record and holds at most
-``RECORDS`` rows; the writer begins a new file there.
+All files are written and read by Spark.  Records are rows of the text writer: a row's own last line feed is the
+writer's, so the files are plain archives.  A row holds records up to about ``CHUNK`` characters (one record, if
+that is longer), and the writer begins a new file after ``ROWS`` rows; so files are bounded by their size, however
+large pages are.  Every file opens with its description record.
 
 ``convert`` parses ARC header lines by the version that the file declares, takes the declared number of bytes,
 and makes up what WARC wants and ARC lacks: record ids from the place of a record in its archive, ISO dates,
@@ -25,7 +26,7 @@ import hashlib
 import io
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from datetime import datetime, timedelta, timezone
 
 import pyarrow as pa
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from geolens.session import work_path
 
-RECORDS = 20_000
+ROWS = 16  # of a file: about 64 MB unpacked
 REVISIT_BYTES = 100
 BROADCAST_ROWS = 500_000
 CHUNK = 4 << 20
@@ -64,8 +65,23 @@ def _text_batches(rows: Iterator[str], name: str = "value") -> Iterator[pa.Recor
         yield pa.record_batch([pa.array(held, pa.string())], [name])
 
 
+def _rows(items: Iterable, opening: Callable[[int], str], record: Callable[[object, int], str], rows: int, chunk: int) -> Iterator[str]:
+    """Records of ``items`` joined to rows of about ``chunk`` characters; each ``rows``-th row opens a file."""
+    row, held, size = 0, [], 0
+    for item in items:
+        if not held and row % rows == 0:
+            held.append(opening(row // rows))
+        held.append(record(item, row // rows))
+        size += len(held[-1])
+        if size > chunk:
+            yield "\n".join(held)
+            row, held, size = row + 1, [], 0
+    if held:
+        yield "\n".join(held)
+
+
 def _write(rows: DataFrame, path: str) -> str:
-    rows.write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", RECORDS).text(path)
+    rows.write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", ROWS).text(path)
     return path
 
 
@@ -73,34 +89,36 @@ def _write(rows: DataFrame, path: str) -> str:
 
 
 def arc_rows(pages: DataFrame, agent: str = "pages", address: str = "0.0.0.0") -> DataFrame:
-    """Rows of ARC files, one file description for each ``RECORDS`` rows; tasks take turns with versions 1 and 2."""
+    """Rows of ARC files, each file with its description; tasks take turns with versions 1 and 2."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         version = 1 + part % 2
 
-        def rows() -> Iterator[str]:
-            count = 0
-            for batch in batches:
-                for start in range(0, batch.num_rows, 200):
-                    for page_id, url, html in zip(*(c.to_pylist() for c in batch.slice(start, 200).columns)):
-                        if count % RECORDS == 0:
-                            about = f"{version} 0 {agent}\n{_V1 if version == 1 else _V2}\n"
-                            line = f"filedesc://part-{part}-{count // RECORDS}.arc {address} {_START:%Y%m%d%H%M%S} text/plain"
-                            line += "" if version == 1 else f" 200 - - 0 part-{part}-{count // RECORDS}.arc"
-                            yield f"{line} {len(about)}\n{about}"
-                            count += 1
-                        body = html or ""
-                        size = len(body.encode())
-                        who = "" if page_id is None else f"X-Page-Id: {page_id}\r\n"
-                        doc = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{who}Content-Length: {size}\r\n\r\n"
-                        when = _START + timedelta(seconds=(page_id or 0) % 10**9)
-                        line = f"{_uri(url)} {address} {when:%Y%m%d%H%M%S} text/html"
-                        line += "" if version == 1 else f" 200 - - 0 part-{part}-{count // RECORDS}.arc"
-                        yield f"{line} {len(doc) + size}\n{doc}{body}"
-                        count += 1
-
-        return _text_batches(rows())
+        def tail(file: int) -> str:
+            return "" if version == 1 else f" 200 - - 0 part-{part}-{file}.arc"
+
+        def opening(file: int) -> str:
+            about = f"{version} 0 {agent}\n{_V1 if version == 1 else _V2}\n"
+            line = f"filedesc://part-{part}-{file}.arc {address} {_START:%Y%m%d%H%M%S} text/plain{tail(file)}"
+            return f"{line} {len(about)}\n{about}"
+
+        def record(page: tuple, file: int) -> str:
+            page_id, url, html = page
+            body = html or ""
+            size = len(body.encode())
+            who = "" if page_id is None else f"X-Page-Id: {page_id}\r\n"
+            doc = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{who}Content-Length: {size}\r\n\r\n"
+            when = _START + timedelta(seconds=(page_id or 0) % 10**9)
+            return f"{_uri(url)} {address} {when:%Y%m%d%H%M%S} text/html{tail(file)} {len(doc) + size}\n{doc}{body}"
+
+        items = (
+            page
+            for batch in batches
+            for start in range(0, batch.num_rows, 200)
+            for page in zip(*(c.to_pylist() for c in batch.slice(start, 200).columns))
+        )
+        return _text_batches(_rows(items, opening, record, ROWS, CHUNK))
 
     return pages.select("page_id", "url", "html").mapInArrow(emit, "value string")
 
@@ -209,39 +227,33 @@ def warc_rows(records: DataFrame) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
 
-        def rows() -> Iterator[str]:
-            count = 0
-            for batch in batches:
-                for start in range(0, batch.num_rows, 100):
-                    for r in batch.slice(start, 100).to_pylist():
-                        if count % RECORDS == 0:
-                            name = f"part-{part}-{count // RECORDS}.warc"
-                            yield _record(
-                                [("WARC-Type", "warcinfo"), ("WARC-Date", f"{_START:%Y-%m-%dT%H:%M:%SZ}"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")],
-                                b"format: WARC File Format 1.1\r\n",
-                            )
-                            count += 1
-                        head, payload = r["head"], r["payload"]
-                        web = r["kind"] == "response"
-                        headers = [("WARC-Record-ID", r["record_id"]), ("WARC-Date", r["date"]), ("WARC-Target-URI", r["uri"])]
-                        headers += [("WARC-Payload-Digest", f"sha256:{r['digest']}"), ("Content-Type", "application/http; msgtype=response" if web else "application/octet-stream")]
-                        first = r["first"]
-                        if first is not None and first["record_id"] != r["record_id"]:
-                            headers = [("WARC-Type", "revisit"), ("WARC-Profile", _PROFILE), ("WARC-Refers-To", first["record_id"]), ("WARC-Refers-To-Target-URI", first["uri"]), ("WARC-Refers-To-Date", first["date"]), *headers]
-                            block = head
-                        else:
-                            headers.insert(0, ("WARC-Type", r["kind"]))
-                            try:
-                                payload.decode()
-                            except UnicodeDecodeError:
-                                payload = base64.b64encode(payload)
-                                headers.append(("X-Payload-Encoding", "base64"))
-                            block = head + payload
-                        headers.append(("WARC-Block-Digest", f"sha256:{hashlib.sha256(block).hexdigest()}"))
-                        yield _record(headers, block)
-                        count += 1
-
-        return _text_batches(rows())
+        def opening(file: int) -> str:
+            headers = [("WARC-Type", "warcinfo"), ("WARC-Date", f"{_START:%Y-%m-%dT%H:%M:%SZ}"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>")]
+            headers += [("WARC-Filename", f"part-{part}-{file}.warc"), ("Content-Type", "application/warc-fields")]
+            return _record(headers, b"format: WARC File Format 1.1\r\n")
+
+        def record(r: dict, _: int) -> str:
+            head, payload = r["head"], r["payload"]
+            web = r["kind"] == "response"
+            headers = [("WARC-Record-ID", r["record_id"]), ("WARC-Date", r["date"]), ("WARC-Target-URI", r["uri"])]
+            headers += [("WARC-Payload-Digest", f"sha256:{r['digest']}"), ("Content-Type", "application/http; msgtype=response" if web else "application/octet-stream")]
+            first = r["first"]
+            if first is not None and first["record_id"] != r["record_id"]:
+                headers = [("WARC-Type", "revisit"), ("WARC-Profile", _PROFILE), ("WARC-Refers-To", first["record_id"]), ("WARC-Refers-To-Target-URI", first["uri"]), ("WARC-Refers-To-Date", first["date"]), *headers]
+                block = head
+            else:
+                headers.insert(0, ("WARC-Type", r["kind"]))
+                try:
+                    payload.decode()
+                except UnicodeDecodeError:
+                    payload = base64.b64encode(payload)
+                    headers.append(("X-Payload-Encoding", "base64"))
+                block = head + payload
+            headers.append(("WARC-Block-Digest", f"sha256:{hashlib.sha256(block).hexdigest()}"))
+            return _record(headers, block)
+
+        items = (r for batch in batches for start in range(0, batch.num_rows, 100) for r in batch.slice(start, 100).to_pylist())
+        return _text_batches(_rows(items, opening, record, ROWS, CHUNK))
 
     columns = ["record_id", "uri", "date", "kind", "digest", "head", "payload", F.struct("first.record_id", "first.uri", "first.date").alias("f"), F.col("first").isNull().alias("none")]
     plain = records.select(*columns).withColumn("first", F.when(~F.col("none"), F.col("f"))).drop("f", "none")

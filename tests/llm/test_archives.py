@@ -21,9 +21,10 @@ def plain(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("records", [20_000, 4])
-def test_round_trip(spark, records, monkeypatch):
-    monkeypatch.setattr(A, "RECORDS", records)
+@pytest.mark.parametrize("rows, chunk", [(16, 4 << 20), (2, 200), (1, 1)])
+def test_round_trip(spark, rows, chunk, monkeypatch):
+    monkeypatch.setattr(A, "ROWS", rows)
+    monkeypatch.setattr(A, "CHUNK", chunk)
     frame = spark.createDataFrame([(*r, "own") for r in ROWS], SCHEMA).repartition(3)
     assert sorted(map(tuple, A.round_trip(frame).collect()), key=repr) == plain(ROWS)
     monkeypatch.setattr(A, "BROADCAST_ROWS", 0)
@@ -31,6 +32,18 @@ def test_round_trip(spark, records, monkeypatch):
     assert A.round_trip(frame.limit(0)).count() == 0
 
 
+def test_files_are_bounded_by_size(spark, tmp_path):
+    """Forty pages of a million characters in one task: files of about 64 MB would hold them all, files of 4 rows don't."""
+    pages = spark.range(0, 40, 1, 1).selectExpr("id AS page_id", "'u' AS url", "repeat(cast(id % 10 AS string), 1000000) AS html", "'' AS date")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(A, "ROWS", 4)
+        patch.setattr(A, "CHUNK", 2_000_000)
+        A.write_arc(pages, str(tmp_path / "arc"))
+    sizes = [len(gzip.decompress(f.read_bytes())) for f in (tmp_path / "arc").glob("part-*")]
+    assert len(sizes) == 5 and max(sizes) < 4 * 3_000_000 + 10_000 and sum(sizes) > 40_000_000
+    assert A.read_arc(spark, str(tmp_path / "arc"), payloads=False).count() == 40
+
+
 def test_repeated_rows_are_a_response_and_its_revisits(spark):
     got = A.round_trip(spark.createDataFrame([(1, "u", LONG, "")] * 3, SCHEMA)).collect()
     assert sorted((r["record_type"], r["refers_to"]) for r in got if r["refers_to"]) == [("revisit", 1)] * 2
