@@ -130,7 +130,7 @@ def pseudonym(m: str, key: str, inverse: bool = False) -> str:
         (f"{whole('[0-9]{1,3}(?:[.][0-9]{1,3}){3}')} and forall({octets}, o -> o <= 255)", "ip", ip),
         (f"{whole('[0-9]{4}-[0-9]{2}-[0-9]{2}')} and coalesce({day} between 0 and 146096, false)", "date", date),
         (f"{whole(_CARD)} and pmod({_luhn_sum(digits, 0)}, 10) = 0", "card", card),
-        (f"not ({whole(_CARD)} or {whole('[0-9]{4}-[0-9]{2}-[0-9]{2}')} or {whole('[0-9.]+')}) and length({digits}) between 10 and 15", "phone", phone),
+        (f"not ({whole(_CARD)} or {whole('[0-9]{4}-[0-9]{2}-[0-9]{2}')} or {whole('[0-9]{1,3}(?:[.][0-9]{1,3}){3}')}) and length({digits}) between 10 and 15", "phone", phone),
     ]
     said = " ".join(f"when {test} then named_struct('kind', '{kind}', 'text', {value})" for test, kind, value in cases)
     return f"case {said} else named_struct('kind', cast(null as string), 'text', {m}) end"
