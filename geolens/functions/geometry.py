@@ -3,6 +3,9 @@
 A ring is ``array<struct<x,y>>``, closed or open.  Tests work on an edge list
 (``array<struct<x1,y1,x2,y2>>``) that a caller builds once per polygon, before
 any join, so that a joined row only folds over it.
+
+Coordinates are decimals rounded to doubles, so whatever is no farther from an edge
+than ``ROUNDING`` of the coordinates' size counts as on it.
 """
 
 from __future__ import annotations
@@ -12,6 +15,8 @@ from pyspark.sql import functions as F
 
 from geolens.functions.scalar import let
 
+ROUNDING = 2.0**-48  # 32 times the rounding of one double: vertices are sums, and a test has a few more steps
+
 
 def ring_edges(ring: Column) -> Column:
     """Edges of one ring; the closing edge is added when the ring is open."""
@@ -84,12 +89,26 @@ def ring_centroid(ring: Column) -> Column:
     return let(_signed_sums(ring), centroid)
 
 
+def _reach(*values: Column) -> Column:
+    """By how much rounding may displace the given values of one axis."""
+    return F.greatest(*[F.abs(v) for v in values]) * F.lit(ROUNDING)
+
+
+def side_of(e: Column, x: Column, y: Column) -> Column:
+    """1 where the point is left of the directed edge, -1 right of it, 0 on its line up to rounding."""
+    dx, dy, px, py = e["x2"] - e["x1"], e["y2"] - e["y1"], x - e["x1"], y - e["y1"]
+    turn = dx * py - dy * px
+    noise = _reach(e["x1"], e["x2"], x) * (F.abs(dy) + F.abs(py)) + _reach(e["y1"], e["y2"], y) * (F.abs(dx) + F.abs(px))
+    return F.when(F.abs(turn) <= noise, F.lit(0.0)).otherwise(F.signum(turn))
+
+
 def on_boundary(edges: Column, x: Column, y: Column) -> Column:
     def touches(e: Column) -> Column:
+        near_x, near_y = _reach(e["x1"], e["x2"], x), _reach(e["y1"], e["y2"], y)
         return (
-            ((e["x2"] - e["x1"]) * (y - e["y1"]) == (e["y2"] - e["y1"]) * (x - e["x1"]))
-            & x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"]))
-            & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
+            x.between(F.least(e["x1"], e["x2"]) - near_x, F.greatest(e["x1"], e["x2"]) + near_x)
+            & y.between(F.least(e["y1"], e["y2"]) - near_y, F.greatest(e["y1"], e["y2"]) + near_y)
+            & (side_of(e, x, y) == 0)
         )
 
     return F.exists(edges, touches)
@@ -126,22 +145,19 @@ def segment_distance(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y
 def edges_intersect(a: Column, b: Column) -> Column:
     """True when some edge of ``a`` meets some edge of ``b`` (touching counts)."""
 
-    def side(px: Column, py: Column, e: Column) -> Column:
-        return F.signum((e["x2"] - e["x1"]) * (py - e["y1"]) - (e["y2"] - e["y1"]) * (px - e["x1"]))
-
-    def boxes_meet(e: Column, f: Column) -> Column:
-        return (
-            (F.greatest(e["x1"], e["x2"]) >= F.least(f["x1"], f["x2"]))
-            & (F.greatest(f["x1"], f["x2"]) >= F.least(e["x1"], e["x2"]))
-            & (F.greatest(e["y1"], e["y2"]) >= F.least(f["y1"], f["y2"]))
-            & (F.greatest(f["y1"], f["y2"]) >= F.least(e["y1"], e["y2"]))
+    def meet_along(axis: str, e: Column, f: Column) -> Column:
+        first, last = f"{axis}1", f"{axis}2"
+        near = _reach(e[first], e[last], f[first], f[last])
+        return (F.greatest(e[first], e[last]) >= F.least(f[first], f[last]) - near) & (
+            F.greatest(f[first], f[last]) >= F.least(e[first], e[last]) - near
         )
 
     def meets(e: Column, f: Column) -> Column:
         return (
-            boxes_meet(e, f)
-            & (side(f["x1"], f["y1"], e) * side(f["x2"], f["y2"], e) <= 0)
-            & (side(e["x1"], e["y1"], f) * side(e["x2"], e["y2"], f) <= 0)
+            meet_along("x", e, f)
+            & meet_along("y", e, f)
+            & (side_of(e, f["x1"], f["y1"]) * side_of(e, f["x2"], f["y2"]) <= 0)
+            & (side_of(f, e["x1"], e["y1"]) * side_of(f, e["x2"], e["y2"]) <= 0)
         )
 
     return F.exists(a, lambda e: F.exists(b, lambda f: meets(e, f)))

@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geolens.functions.geometry import edges_intersect, on_boundary
+from geolens.functions.geometry import ROUNDING, edges_intersect, on_boundary
 from geolens.operators.spread import keyed_join, salted_join
 from geolens.session import cut_lineage
 
@@ -58,7 +58,8 @@ def corner_parity(local: Column, odd: Column, right: Column, low: Column, x: Col
 
 
 def _squares_of(low: Column, high: Column, size: Column | float) -> Column:
-    """Numbers of the closed squares that touch [low, high]."""
+    """Numbers of the closed squares that touch [low, high], up to the rounding of its ends."""
+    low, high = low - F.abs(low) * F.lit(ROUNDING), high + F.abs(high) * F.lit(ROUNDING)
     return F.sequence((F.ceil(low / size) - 1).cast("bigint"), F.floor(high / size).cast("bigint"))
 
 

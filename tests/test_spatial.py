@@ -246,3 +246,46 @@ def test_sampling_run_draws_until_enough_is_covered(spark):
     assert (report["c"]["covered"], report["c"]["asked"]) == (1, 100)
     none = sampling.sampling_run(parts.limit(0), sites, 5)
     assert none.points.count() == none.candidates.count() == none.report.count() == 0
+
+
+def diamond(x, y, rx, ry):
+    return [(x - rx, y), (x, y - ry), (x + rx, y), (x, y + ry), (x - rx, y)]
+
+
+def milli(point_id):
+    return (point_id * 7919 % 170001 - 85000) / 1000.0, (point_id * 104729 % 360000 - 180000) / 1000.0
+
+
+def test_decimals_on_a_slanted_edge_are_outside(spark):
+    """Thousandths that lie on the outline exactly, though their doubles may be a rounding inside."""
+    cells = polygons(spark, [(c, [diamond(c % 5 * 72 - 144.0, c // 5 * 36 - 72.0, 36.0, 18.0)]) for c in range(25)], "name long")
+    ids = [53734, 73696, 151726, 229756, 307786, 639868]
+    rows = [(k, *milli(k)) for k in ids]
+    rows += [(-i, -72.0 + i * 0.001, -144.0 + 36.0 - i * 0.002) for i in range(1, 18000, 37)]
+    points = spark.createDataFrame(rows, "id long, lat double, lon double")
+    got = spatial.join_within(points, cells.withColumn("name", F.col("name").cast("string")), "name").collect()
+    assert sorted(r["id"] for r in got) == sorted(r[0] for r in rows)
+    assert {r["name"] for r in got} == {"UNKNOWN"}
+
+
+def test_diamonds_that_touch_are_neighbours(spark):
+    """Pairs whose distance in the sum norm is the sum of their radii in thousandths, and as many just beyond."""
+    rows, want = [], set()
+    for number, k in enumerate(k for k in range(1, 20000, 7) if touching(k, k + 562792)):
+        for name, step in ((k, 0.0), (-k, 0.001)):
+            for j in (k, k + 562792):
+                lat, lon = milli(j)
+                away = step if j > k else 0.0
+                lat += math.copysign(away, lat - milli(k)[0])
+                lat = round(lat, 3)
+                rows.append((2 * name + (j > k), number * 2 + (name < 0), [diamond(lon, lat, 2.0 + j % 5, 2.0 + j % 5)]))
+        want |= {(2 * k, 2 * k + 1), (2 * k + 1, 2 * k)}
+    cells = polygons(spark, rows, "cell_id long, country_id long")
+    got = spatial.cell_neighbours(cells, size=4.0).collect()
+    assert len(want) > 200
+    assert {(r["src"], r["dst"]) for r in got} == want
+
+
+def touching(a, b):
+    (ya, xa), (yb, xb) = milli(a), milli(b)
+    return round(1000 * abs(xa - xb)) + round(1000 * abs(ya - yb)) == 1000 * (4 + a % 5 + b % 5)
