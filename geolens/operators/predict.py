@@ -329,12 +329,14 @@ def closest_vector(
     """
     query_keys, group = list(query_keys), list(group)
     queries = cut_lineage(queries)
-    stock = _distinct_vectors(items, group, key, payload)
+    # A cogroup meets equal keys only if both sides hash them as one type: an int and a bigint go to different tasks.
+    kinds = {f.name: f.dataType for f in queries.select(*group).union(items.select(*group)).schema}
+    stock = _distinct_vectors(items.withColumns({c: F.col(c).cast(kind) for c, kind in kinds.items()}), group, key, payload)
     chunks = queries.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / CHUNK_SIZE).alias("_chunks"))
     packs = stock.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / PACK_SIZE).alias("_packs"))
     shape = cut_lineage(chunks.join(packs, group))
 
-    asked = queries.select(*query_keys, *group).join(shape, group)
+    asked = queries.select(*query_keys, *[F.col(c).cast(kind) for c, kind in kinds.items()]).join(shape, group)
     asked = asked.join(samples.select("sample_id", "embedding"), "sample_id").select(
         *query_keys,
         *group,

@@ -265,3 +265,23 @@ def test_head_without_vectors_classes_or_samples(spark, monkeypatch, block):
     assert predict.score_linear_head(samples.limit(0), weights, cells, 2).count() == 0
     with pytest.raises(PySparkException, match="components"):
         predict.score_linear_head(samples, weights, cells, 5).collect()
+
+
+def test_nearest_prototype_with_keys_of_two_types(spark):
+    """Candidates name cells by bigint, prototypes by int; no task may miss the other side's rows."""
+    samples = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(40)], "sample_id long, embedding array<double>")
+    asked = spark.createDataFrame([(i, 0, i % 20, 0.5) for i in range(40)], "sample_id long, candidate int, geocell_index long, probability double")
+    stock = [(c, k, [float(c + 20 * k), 1.0], float(c), float(k)) for c in range(20) for k in range(2)]
+    prototypes = spark.createDataFrame(
+        stock, "geocell_index int, cluster_id int, embedding array<double>, centroid_lat double, centroid_lon double"
+    )
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        out = predict.nearest_prototype(samples, asked, prototypes)
+        got = {r["sample_id"]: (r["geocell_index"], r["cluster_id"], r["logit"]) for r in out.collect()}
+    finally:
+        spark.conf.set(name, before)
+    assert dict(out.dtypes)["geocell_index"] == "bigint"
+    assert got == {i: (i % 20, i // 20, 0.0) for i in range(40)}
