@@ -92,6 +92,8 @@ def nearest_candidates(
        items crowd, are searched again on a finer grid instead.
 
     No item is left out, so the nearest one found among the pairs is exact.
+
+    The estimated size of an exploded table is that of its source, so the joins are told not to broadcast one.
     """
     axes = range(dims)
     diagonal = size * dims**0.5
@@ -118,7 +120,7 @@ def nearest_candidates(
     around = cells.withColumn("lv", F.explode(level_ids))
     around = with_box_keys(around, [v - level_size for v in c], [v + level_size for v in c], level_size, "s")
     bound = (
-        around.join(reps, ["lv", *squares])
+        around.join(reps.hint("merge"), ["lv", *squares])
         .groupBy(*cell_keys)
         .agg(F.min(distance(c, r) + F.lit(slack)).alias("u"))
     )
@@ -131,7 +133,7 @@ def nearest_candidates(
     spots = items.withColumn("lv", F.explode(level_ids)).withColumns(
         {f"s{a}": square(F.col(f"i{a}"), level_size) for a in axes}
     )
-    lists = spots.join(balls, ["lv", *squares]).where(distance(i, c) <= F.col("reach"))
+    lists = spots.hint("merge").join(balls, ["lv", *squares]).where(distance(i, c) <= F.col("reach"))
     lists = lists.drop("lv", "u", "reach", *squares, *[f"c{a}" for a in axes])
 
     # 3. short lists are handed out, crowded squares go on with finer squares.  The
@@ -140,9 +142,9 @@ def nearest_candidates(
     long = lists.groupBy(*cell_keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > LONG_LIST)
     long = cut_lineage(long.select(*cell_keys))
     if slack > 0 or depth >= MAX_DEPTH or long.isEmpty():
-        return keyed.join(lists, cell_keys).drop(*cell_keys)
-    short = keyed.join(lists.join(long, cell_keys, "left_anti"), cell_keys).drop(*cell_keys)
-    crowded = cut_lineage(keyed.join(long, cell_keys, "left_semi").drop(*cell_keys))
+        return keyed.hint("merge").join(lists, cell_keys).drop(*cell_keys)
+    short = keyed.hint("merge").join(lists.join(long.hint("merge"), cell_keys, "left_anti"), cell_keys).drop(*cell_keys)
+    crowded = cut_lineage(keyed.join(long.hint("merge"), cell_keys, "left_semi").drop(*cell_keys))
     finer = nearest_candidates(crowded, items, dims, size / 16.0, levels + 4, slack, depth + 1)
     return short.unionByName(finer)
 

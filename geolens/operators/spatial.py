@@ -214,8 +214,8 @@ def lookup_exact_or_nearest(
     """
     first = table.groupBy("lat", "lon").agg(F.min(key).alias(key))
     spots = points.select("lat", "lon").dropna().distinct()
-    exact = spots.join(first, ["lat", "lon"]).withColumn("exact", F.lit(True))
-    rest = spots.join(first, ["lat", "lon"], "left_anti").withColumns({"q0": F.col("lon"), "q1": F.col("lat")})
+    exact = spots.join(first.hint("merge"), ["lat", "lon"]).withColumn("exact", F.lit(True))
+    rest = spots.join(first.hint("merge"), ["lat", "lon"], "left_anti").withColumns({"q0": F.col("lon"), "q1": F.col("lat")})
     items = first.select(key, F.col("lon").alias("i0"), F.col("lat").alias("i1"))
     gap = F.pow(F.col("q0") - F.col("i0"), F.lit(2.0)) + F.pow(F.col("q1") - F.col("i1"), F.lit(2.0))
     closest = nearest(rest, items, ["lat", "lon"], F.round(gap, 9), [F.col(key)], 2, size, levels)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geolens import constants as K
-from geolens.operators import sampling, spatial
+from geolens.operators import grid, sampling, spatial
 
 
 def haversine(a, b, radius):
@@ -289,3 +289,18 @@ def test_diamonds_that_touch_are_neighbours(spark):
 def touching(a, b):
     (ya, xa), (yb, xb) = milli(a), milli(b)
     return round(1000 * abs(xa - xb)) + round(1000 * abs(ya - yb)) == 1000 * (4 + a % 5 + b % 5)
+
+
+def test_nearest_search_broadcasts_no_exploded_items(spark):
+    """Items are repeated on every level, of which Spark's size estimates know nothing."""
+    from geolens.operators.grid import nearest_candidates
+
+    queries = spark.range(50).select(F.rand(1).alias("q0"), F.rand(2).alias("q1"))
+    items = spark.range(50).select(F.rand(3).alias("i0"), F.rand(4).alias("i1"), "id")
+    seen, keep = [], grid.cut_lineage
+    try:
+        grid.cut_lineage = lambda df: seen.append(df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().sparkPlan().toString()) or keep(df)
+        nearest_candidates(queries, items, 2, 0.5, 3)
+    finally:
+        grid.cut_lineage = keep
+    assert "SortMergeJoin [lv" in seen[0] and "BroadcastHashJoin [lv" not in seen[0]
