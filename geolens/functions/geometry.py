@@ -168,11 +168,13 @@ def polygon_from_wkt(text: Column) -> Column:
 
     def ring(body: Column) -> Column:
         def vertex(pair: Column) -> Column:
-            parts = F.split(F.trim(pair), r"\s+")
-            return F.struct(
-                F.try_element_at(parts, F.lit(1)).cast("double").alias("x"),
-                F.try_element_at(parts, F.lit(2)).cast("double").alias("y"),
-            )
+            def numbers(parts: Column) -> Column:
+                return F.struct(
+                    F.try_element_at(parts, F.lit(1)).cast("double").alias("x"),
+                    F.try_element_at(parts, F.lit(2)).cast("double").alias("y"),
+                )
+
+            return let(F.split(F.trim(pair), r"\s+"), numbers)
 
         return F.transform(F.split(body, ","), vertex)
 

@@ -11,6 +11,7 @@ from geolens.functions import scalar as S
 from geolens.functions.sql import register_functions
 from geolens.operators import measures, tables
 from geolens.plans.views import Tables, haversine, oracle, r4
+from geolens.session import range_tasks
 
 QUERIES, ORACLES = {}, {}
 
@@ -356,11 +357,13 @@ def polygon_from_wkt(t: Tables) -> DataFrame:
     single = F.concat(F.lit("POLYGON ("), box(0, 4), F.lit(", "), hole, F.lit(")"))
     double = F.concat(F.lit("MULTIPOLYGON (("), box(0, 4), F.lit(", "), hole, F.lit("), ("), box(9, 1), F.lit("))"))
     text = F.when(F.col("point_id") % 2 == 0, single).otherwise(double)
-    rings = t.loc_points.select("point_id", text.alias("text")).select(
+    # A table of points is a small file, which one task reads; texts are written and parsed in many.
+    points = t.loc_points.repartition(range_tasks(t.spark), "point_id")
+    rings = points.select("point_id", text.alias("text")).select(
         "point_id", G.polygon_from_wkt(F.col("text")).alias("rings")
     )
     areas = F.transform("rings", G.ring_area)
-    signed = F.aggregate(areas, F.lit(0.0), lambda a, v: a + v) - 2 * F.element_at(areas, 2)
+    signed = S.let(areas, lambda each: F.aggregate(each, F.lit(0.0), lambda a, v: a + v) - 2 * F.element_at(each, 2))
     return rings.select(
         "point_id",
         F.size("rings").alias("rings"),

@@ -10,6 +10,8 @@ from geolens import constants as K
 from geolens.functions import geometry as G
 from geolens.functions import scalar as S
 from geolens.functions.sql import register_functions
+from geolens.plans.catalog import all_queries
+from geolens.session import range_tasks
 
 
 def one(spark, *columns):
@@ -156,6 +158,11 @@ def test_ring_measures_and_wkt(spark):
     assert [len(r) for r in rings] == [4, 4, 4] and rings[2][1]["x"] == 5.2
 
 
+def test_text_of_polygons_is_parsed_in_many_tasks(spark):
+    found = all_queries()["polygon_from_wkt"](spark, "/root/testdata/sf0.01")
+    assert found.rdd.getNumPartitions() == range_tasks(spark) > 1
+
+
 def test_vectors_and_one_hot(spark):
     a, b = F.array(F.lit(3.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(4.0))
     assert list(one(spark, S.euclidean(a, b), S.cosine(a, b), S.one_hot(F.lit(2), 4))) == [5.0, 0.0, [0, 0, 1, 0]]
