@@ -16,6 +16,9 @@ both sets give it.  (A set with fewer than t rich segments uses its poor segment
 each band by the cost of one set: more signatures against more meetings, whatever the number of sets.
 
 Equal sets are one class and give their signatures once.  Signatures are shuffled; sets that meet are candidates.
+Each set has a sketch, the parities of the numbers of its shingles in one to two bins a shingle (a 64th to a 32nd of
+the set).  A shingle that only one of two sets holds changes one parity, so two sets differ by as many shingles at least
+as their sketches do by bits; candidates that differ too much for a link are dropped before their sets move.
 Buckets without an active member hold none and are left out; tables are deleted once the next ones stand.
 A bucket of few sets gives its pairs.  A larger one is never expanded: its members are verified against one hub and
 what is linked becomes one component.  Buckets that still hold several components are crowds.  Sets of a crowd
@@ -90,6 +93,14 @@ class Sets:
         self.ids = self._digest(seed)
         self.guards = self._digest(seed + 1)
 
+    def sketches(self) -> pa.ListArray:
+        """Parities of the numbers of shingles in each of 64, 128, 256, ... bins, at least as many as shingles, in words."""
+        words = 1 << np.ceil(np.log2(np.maximum(self.size / 64, 1))).astype(np.int64)
+        at = np.concatenate(([0], np.cumsum(words)))
+        bin_ = (mix(self.tokens ^ _U(99)) & (64 * words[self.owner] - 1).astype(_U)).astype(np.int64)
+        odd = (np.bincount(64 * at[self.owner] + bin_, minlength=64 * int(at[-1])) & 1).astype(np.uint8)
+        return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(np.packbits(odd, bitorder="little").view(np.int64)))
+
     def _digest(self, seed: int) -> np.ndarray:
         total = np.concatenate((np.zeros(1, _U), np.cumsum(mix(self.tokens ^ mix(np.array([seed + 7], _U))), dtype=_U)))
         return mix(total[self.at[1:]] - total[self.at[:-1]] + self.size.astype(_U)).view(np.int64)
@@ -204,7 +215,7 @@ def _in_parts(columns: list[np.ndarray], names: list[str], size: int = 500_000)
 
 
 def set_sizes(docs: DataFrame, text: str, doc: str, shingle: int, seed: int) -> DataFrame:
-    """(doc_id, n_shingles, id, guard) of each document; id is null for an empty set."""
+    """(doc_id, n_shingles, id, guard, sketch) of each document; id is null for an empty set."""
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,12 +223,12 @@ def set_sizes(docs: DataFrame, text: str, doc: str, shingle: int, seed: int) ->
                 sets = Sets(Texts(part.column("text")), shingle, seed)
                 none = sets.size == 0
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(sets.size.astype(np.int64)), pa.array(sets.ids, mask=none), pa.array(sets.guards, mask=none)],
-                    names=["doc_id", "n_shingles", "id", "guard"],
+                    [part.column("doc_id"), pa.array(sets.size.astype(np.int64)), pa.array(sets.ids, mask=none), pa.array(sets.guards, mask=none), sets.sketches()],
+                    names=["doc_id", "n_shingles", "id", "guard", "sketch"],
                 )
 
     plain = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"))
-    return plain.mapInArrow(sizes, f"doc_id {plain.schema['doc_id'].dataType.simpleString()}, n_shingles long, id long, guard long")
+    return plain.mapInArrow(sizes, f"doc_id {plain.schema['doc_id'].dataType.simpleString()}, n_shingles long, id long, guard long, sketch array<long>")
 
 
 def _first_seen(sets: Sets, seen: set[int]) -> np.ndarray:
@@ -318,6 +329,26 @@ def _checked(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def possible(pairs: DataFrame, shapes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) that may be linked by their sizes and sketches, from (id, n, sketch) of each set.
+
+    100 * intersection >= percent * union means (100 + percent) * difference <= (100 - percent) * sum of the sizes.
+    A sketch of twice the bins is folded; pairs whose sketches differ more in length are kept if their sizes allow it.
+    """
+    for side in ("a", "b"):
+        pairs = pairs.join(shapes.select(F.col("id").alias(side), F.col("n").alias(f"{side}_n"), F.col("sketch").alias(f"{side}_s")), side)
+    words = F.least(F.size("a_s"), F.size("b_s"))
+
+    def folded(sketch: F.Column) -> F.Column:
+        halves = F.zip_with(F.slice(sketch, F.lit(1), words), F.slice(sketch, words + 1, words), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(sketch) == words, sketch).when(F.size(sketch) == 2 * words, halves)
+
+    other = F.zip_with(folded(F.col("a_s")), folded(F.col("b_s")), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    bits = F.coalesce(F.aggregate(other, F.lit(0), lambda total, n: total + n), F.lit(0)).cast("long")
+    small = lambda differ: (100 + percent) * differ <= (100 - percent) * (F.col("a_n") + F.col("b_n"))
+    return pairs.filter(small(F.abs(F.col("a_n") - F.col("b_n")))).filter(small(bits)).select("a", "b")
+
+
 def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """The linked ones of the pairs (a, b), a the hub, and a written table that they are read from.
 
@@ -550,15 +581,13 @@ def crowd_links(crowd: DataFrame, sets: DataFrame, plan: Allocation, percent: in
     return rows.mapInArrow(settle, "a long, b long"), [blocks, asked]
 
 
-def link_components(pairs: DataFrame, members: DataFrame, sets: DataFrame, plan: Allocation, percent: int = PERCENT) -> DataFrame:
-    """(node, root) of the linked sets, from written pairs (a, b) and bucket members (key, id, active).
+def link_components(pairs: DataFrame, star: DataFrame, members: DataFrame, sets: DataFrame, plan: Allocation, percent: int = PERCENT) -> DataFrame:
+    """(node, root) of the linked sets, from written pairs (a, b), pairs with hubs and bucket members (key, id, active).
 
-    1. Each set is verified against the smallest set that it meets.
+    1. Each set is verified against the smallest set that it meets and may be linked with.
     2. Pairs that this leaves in different components are verified, and large buckets that it leaves with several
        components become crowds: groups of sets that meet, each settled block by block.
     """
-    hub = members.filter("active").groupBy("key").agg(F.min("id").alias("a"))
-    star = members.join(hub, "key").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).filter("a <> b")
     tested = cut_lineage(pairs.select("a", "b").unionByName(star).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     found, asked = verify(tested, sets, percent)
     links = cut_lineage(found.distinct())
@@ -595,24 +624,27 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc: str = "doc_id", sh
     spark = docs.sparkSession
     docs = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"))
     sizes = cut_lineage(set_sizes(docs, "text", "doc_id", shingle, seed))
-    classes = cut_lineage(sizes.filter("id is not null").groupBy("id").agg(F.min("n_shingles").alias("n"), F.min("guard").alias("g"), F.max("guard").alias("h"), F.min("doc_id").alias("first")))
+    classes = cut_lineage(sizes.filter("id is not null").groupBy("id").agg(F.min("n_shingles").alias("n"), F.min("guard").alias("g"), F.max("guard").alias("h"), F.min("doc_id").alias("first"), F.first("sketch").alias("sketch")))
     if not classes.filter("g <> h").isEmpty():
         raise ValueError("two sets share a class id; use another seed")
     plan = Allocation(classes.agg(F.max("n")).first()[0] or 1, percent, small)
 
     met = cut_lineage(_meet(_signature_rows(docs, "text", shingle, seed, plan)))
     release_shuffles(spark)
-    pairs = cut_lineage(met.filter("not large").select("a", "b").distinct())
+    pairs = cut_lineage(possible(met.filter("not large").select("a", "b").distinct(), classes, percent))
     members = met.filter("large").select(F.col("a").alias("key"), F.col("b").alias("id"), "active")
     members = cut_lineage(members.join(members.filter("active").select("key").distinct(), "key", "left_semi"))  # others hold no candidates
     discard(met)
+    hub = members.filter("active").groupBy("key").agg(F.min("id").alias("a"))
+    star = members.join(hub, "key").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).filter("a <> b")
+    star = cut_lineage(possible(star.groupBy("b").agg(F.min("a").alias("a")), classes, percent))
     needed = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(members.select("id")).distinct())
     found = _set_rows(docs, "text", shingle, seed).join(_checked(needed, needed.count()), "id")
     sets = cut_lineage(found.dropDuplicates(["id"]))
     discard(needed)
     release_shuffles(spark)
-    labels = link_components(pairs, members, sets, plan, percent)
-    discard(pairs, members, sets)
+    labels = link_components(pairs, star, members, sets, plan, percent)
+    discard(pairs, star, members, sets)
 
     named = classes.join(labels, classes["id"] == labels["node"], "left").select("id", "first", F.coalesce("root", "id").alias("root"))
     best = named.groupBy("root").agg(F.min("first").alias("component_id"))

@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from geolens.llm import jaccard
 from geolens.llm.queries import QUERIES
@@ -133,3 +134,21 @@ def test_every_linked_pair_meets(light, monkeypatch):
         mine = {k: x for k, i, x in zip(key.tolist(), id_.tolist(), active.tolist()) if i == 1 for x in [x]}
         met = any(k in mine and (x or mine[k]) for k, i, x in zip(key.tolist(), id_.tolist(), active.tolist()) if i == 2)
         assert met, (trial, len(a), len(b), both)
+
+
+def test_sketches_drop_false_candidates_and_no_link(spark):
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(40)]
+    texts = [" ".join(passage + [f"a{i}_{k}" for k in range(n)]) for i, n in enumerate((30, 90, 91, 120, 260, 270, 300, 1000, 1010, 3000, 4000))]
+    for n in (12, 62, 70, 130, 250, 500, 530, 2040, 2060):  # of these also edited copies, some with sketches of other lengths
+        words = [f"b{n}_{k}" for k in range(n)]
+        texts += [" ".join(words)] + [" ".join(edited(rng, words, e)) for e in (1, 2, n // 60, n // 30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    shapes = jaccard.set_sizes(docs, "text", "doc_id", 4, 0).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch")
+    every = [(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts))]
+    left = {(r["a"], r["b"]) for r in jaccard.possible(spark.createDataFrame(every, "a long, b long"), shapes).collect()}
+    sets = [shingles(t) for t in texts]
+    linked = {(a, b) for a, b in every if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    assert linked <= left and len(linked) > 30
+    assert not [(a, b) for a, b in left if not sets[a] & sets[b] and len(sets[b]) > 50]
+    assert not [(a, b) for a, b in left if b < 11 and len(sets[a]) > 100]  # these share the passage only
