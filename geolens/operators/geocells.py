@@ -113,6 +113,7 @@ def merge_sparse_cells(
 
 # ---- C4: core distance -------------------------------------------------------
 
+LISTED = 512  # positions of a square that move as one list
 
 def _uncrowded_size(spots: DataFrame, size: float, limit: int) -> float:
     """Square size, divided by four as often as needed, at which no square holds over ``limit`` positions."""
@@ -125,6 +126,61 @@ def _uncrowded_size(spots: DataFrame, size: float, limit: int) -> float:
     return size
 
 
+def _settled_by_lists(spots: DataFrame, seekers: DataFrame, size: float, k: int, name: str) -> DataFrame:
+    """(cell_id, lat, lon, core distance) of seekers with ``k`` points in the 3x3 squares around their square.
+
+    Positions move as one list a square, to the nine squares whose seekers look at it; a seeker finds its distance
+    in the lists of its own row, so pairs are neither shuffled nor sorted.  For squares of bounded lists.
+    """
+    home = ["cell_id", "g0", "g1"]
+    axes = [F.col("lat"), F.col("lon")]
+    seekers = with_point_key(seekers, axes, size).groupBy(*home).agg(F.collect_list(F.struct("lat", "lon")).alias("seekers"))
+    lists = with_point_key(spots, axes, size).groupBy(*home).agg(F.collect_list(F.struct("lat", "lon", "n")).alias("hosts"))
+    for axis in ("g0", "g1"):
+        lists = lists.withColumn(axis, F.explode(F.sequence(F.col(axis) - 1, F.col(axis) + 1)))
+    lists = lists.join(seekers.select(*home), home, "left_semi")
+    blocks = lists.groupBy(*home).agg(F.flatten(F.collect_list("hosts")).alias("hosts")).join(seekers, home)
+    rows = blocks.select("cell_id", F.explode("seekers").alias("at"), "hosts").select("cell_id", "at.lat", "at.lon", "hosts")
+    gaps = F.transform(
+        "hosts", lambda h: F.struct(distance([F.col("lat"), F.col("lon")], [h["lat"], h["lon"]]).alias("gap"), h["n"].alias("n"))
+    )
+
+    def add(state: Column, h: Column) -> Column:
+        upto = state["upto"] + h["n"]
+        last = F.when((state["upto"] < k) & (upto >= k), h["gap"]).otherwise(state["gap"])
+        return F.struct(upto.alias("upto"), last.alias("gap"))
+
+    # k positions always hold at least k points, so the k nearest positions suffice.
+    start = F.struct(F.lit(0).cast("bigint").alias("upto"), F.lit(None).cast("double").alias("gap"))
+    kth = F.aggregate(F.slice(F.sort_array(gaps), 1, k), start, add)["gap"]
+    # Taken out of an array, so that a filter on the distance doesn't compute it again.
+    found = rows.select("cell_id", "lat", "lon", F.explode_outer(F.array(kth)).alias(name))
+    return found.where(F.col(name).isNotNull())
+
+
+def _settled_by_pairs(spots: DataFrame, seekers: DataFrame, size: float, k: int, name: str) -> DataFrame:
+    """The same with a row for each pair, for squares of any number of positions."""
+    hosts = with_point_key(
+        spots.select("cell_id", F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"), "n"),
+        [F.col("b_lat"), F.col("b_lon")],
+        size,
+    )
+    lows, highs = ([F.col(c) + F.lit(step) for c in ("lat", "lon")] for step in (-size, size))
+    seekers = with_box_keys(seekers, lows, highs, size)
+    gap = distance([F.col("lat"), F.col("lon")], [F.col("b_lat"), F.col("b_lon")])
+    pairs = salted_join(hosts, seekers, ["cell_id", "g0", "g1"], spread_by=["b_lat", "b_lon"])
+    near = top_per_key(
+        pairs.withColumn("gap", gap),
+        ["cell_id", "lat", "lon"],
+        [F.col("gap"), F.col("b_lat"), F.col("b_lon")],
+        k,
+        rank="at",
+    )
+    w = Window.partitionBy("cell_id", "lat", "lon").orderBy("at")
+    reached = near.withColumn("upto", F.sum("n").over(w)).where(F.col("upto") >= k)
+    return reached.groupBy("cell_id", "lat", "lon").agg(F.min("gap").alias(name))
+
+
 def core_distance(points: DataFrame, k: int = K.CLUSTER_MIN_POINTS, name: str = "core_km_deg") -> DataFrame:
     """Distance in degrees to the k-th nearest point of the same cell, the point itself included.
 
@@ -132,41 +188,45 @@ def core_distance(points: DataFrame, k: int = K.CLUSTER_MIN_POINTS, name: str =
     around a position; when the k-th neighbour is no farther than the border of
     that block it is final, otherwise the position goes on to squares four times
     as large.  The first squares are small enough for the most crowded spot, so
-    crowds are settled before squares grow.  Cells with fewer than ``k`` points have no core distance (NULL).
+    crowds are settled before squares grow, and only positions that look at a square of more than
+    ``LISTED`` positions in a later round are joined pair by pair.  Cells with fewer than ``k`` points,
+    and points without coordinates, have no core distance (NULL).
     """
     spots = cut_lineage(points.groupBy("cell_id", "lat", "lon").agg(F.count(F.lit(1)).alias("n")))
-    sizes = spots.groupBy("cell_id").agg(F.sum("n").alias("cell_n"))
+    counted = F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.col("n")).otherwise(0)
+    sizes = spots.groupBy("cell_id").agg(F.sum(counted).alias("cell_n"))
     extent = spots.agg(
         F.count(F.lit(1)).alias("n"),
         F.greatest(F.max("lat") - F.min("lat"), F.max("lon") - F.min("lon")).alias("side"),
     ).first()
     side = max(extent["side"] or 0.0, 1e-6)
     size = _uncrowded_size(spots, side * (k / (9.0 * max(extent["n"], 1))) ** 0.5 * 4.0, 16 * k)
-    found = spots.where(F.col("n") >= k).select("cell_id", "lat", "lon", F.lit(0.0).alias(name))
+    found = spots.where((F.col("n") >= k) & F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    found = found.select("cell_id", "lat", "lon", F.lit(0.0).alias(name))
     small = sizes.where(F.col("cell_n") < k).select("cell_id")
-    open_spots = cut_lineage(spots.where(F.col("n") < k).join(small, "cell_id", "left_anti").drop("n"))
+    placed = spots.where((F.col("n") < k) & F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    open_spots = cut_lineage(placed.join(small, "cell_id", "left_anti").drop("n"))
     while not open_spots.isEmpty():
         all_in_reach = size >= side
-        hosts = with_point_key(
-            spots.select("cell_id", F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"), "n"),
-            [F.col("b_lat"), F.col("b_lon")],
-            size,
-        )
-        lows, highs = ([F.col(c) + F.lit(step) for c in ("lat", "lon")] for step in (-size, size))
-        seekers = with_box_keys(open_spots, lows, highs, size)
-        gap = distance([F.col("lat"), F.col("lon")], [F.col("b_lat"), F.col("b_lon")])
-        pairs = salted_join(hosts, seekers, ["cell_id", "g0", "g1"], spread_by=["b_lat", "b_lon"])
-        # k positions always hold at least k points, so the k nearest positions suffice.
-        near = top_per_key(
-            pairs.withColumn("gap", gap),
-            ["cell_id", "lat", "lon"],
-            [F.col("gap"), F.col("b_lat"), F.col("b_lon")],
-            k,
-            rank="at",
-        )
-        w = Window.partitionBy("cell_id", "lat", "lon").orderBy("at")
-        reached = near.withColumn("upto", F.sum("n").over(w)).where(F.col("upto") >= k)
-        reached = reached.groupBy("cell_id", "lat", "lon").agg(F.min("gap").alias(name))
+        squares = with_point_key(spots, [F.col("lat"), F.col("lon")], size).groupBy("cell_id", "g0", "g1")
+        crowded = squares.agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max(LISTED, 16 * k)).drop("_n")
+        crowded = cut_lineage(crowded)
+        if crowded.isEmpty():
+            reached = _settled_by_lists(spots, open_spots, size, k, name)
+        else:
+            home = ["cell_id", "g0", "g1"]
+            for axis in ("g0", "g1"):
+                crowded = crowded.withColumn(axis, F.explode(F.sequence(F.col(axis) - 1, F.col(axis) + 1)))
+            crowded = crowded.distinct()
+            placed = with_point_key(open_spots, [F.col("lat"), F.col("lon")], size)
+            beside = cut_lineage(placed.join(crowded, home, "left_semi").drop("g0", "g1"))
+            quiet = cut_lineage(placed.join(crowded, home, "left_anti"))
+            looked_at = quiet.select(*home).distinct()
+            for axis in ("g0", "g1"):
+                looked_at = looked_at.withColumn(axis, F.explode(F.sequence(F.col(axis) - 1, F.col(axis) + 1)))
+            near = with_point_key(spots, [F.col("lat"), F.col("lon")], size).join(looked_at.distinct(), home, "left_semi")
+            reached = _settled_by_lists(near.drop("g0", "g1"), quiet.drop("g0", "g1"), size, k, name)
+            reached = reached.unionByName(_settled_by_pairs(spots, beside, size, k, name))
         if not all_in_reach:
             reached = reached.where(F.col(name) <= size)
         reached = cut_lineage(reached)

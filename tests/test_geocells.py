@@ -89,6 +89,33 @@ def test_core_distance_against_brute_force(spark):
         assert got[p[0]] == (None if len(gaps) < 5 else pytest.approx(gaps[4], abs=1e-12))
 
 
+@pytest.mark.parametrize("listed", [0, 512])
+def test_core_distance_beside_crowds_and_without_coordinates(spark, monkeypatch, listed):
+    monkeypatch.setattr(geocells, "LISTED", listed)  # with 0, lone points beside the crowd are joined pair by pair
+    rng = random.Random(3)
+    points = [(i, 1, rng.random() * 0.01, rng.random() * 0.01) for i in range(300)]
+    points += [(1000 + i, 1, rng.random() * 20, rng.random() * 20) for i in range(60)]
+    lost = [(2000, 1, None, 3.0), (2001, 1, 4.0, None), (2002, 2, None, None)]
+    got = {r["point_id"]: r["core"] for r in geocells.core_distance(frame(spark, points + lost), 5, "core").collect()}
+    want = {p[0]: pytest.approx(sorted(gap(p, q) for q in points)[4], abs=1e-12) for p in points}
+    assert got == want | {p[0]: None for p in lost}
+
+
+def test_core_distance_shuffles_no_pairs(spark):
+    rng = random.Random(4)
+    points = frame(spark, [(i, 1, rng.random() * 50, rng.random() * 50) for i in range(4000)])
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def written():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(None, False, False, getattr(store, "stageList$default$4")(), getattr(store, "stageList$default$5")())
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+    before = written()
+    geocells.core_distance(points, 5, "core").collect()
+    assert sum(n for stage, n in written().items() if stage not in before) < 20 * 4000
+
+
 def test_connected_components_of_chain_star_and_pairs(spark):
     edges = [(i, i + 1) for i in range(100, 164)] + [(7, i) for i in range(1, 30) if i != 7] + [(900, 800), (800, 901)]
     random.Random(2).shuffle(edges)
