@@ -452,10 +452,10 @@ def _supported(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     tokens = sets.join(crowd, "id").select("id", "label", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
     tokens = cut_lineage(tokens)
-    shared = tokens.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("token")
-    have = tokens.join(shared, "token").groupBy("id", "label", "size").agg(F.count(F.lit(1)).alias("n"))
+    shared = cut_lineage(tokens.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("token"))
+    have = tokens.join(_checked(shared, shared.count()), "token").groupBy("id", "label", "size").agg(F.count(F.lit(1)).alias("n"))
     found = cut_lineage(have.filter(100 * F.col("n") >= percent * F.col("size")).select("id", "label", "size"))
-    discard(tokens)
+    discard(tokens, shared)
     return found
 
 
