@@ -6,6 +6,12 @@ shared folder and only bring counters to the driver.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,61 +119,134 @@ def merge_sparse_cells(
 
 # ---- C4: core distance -------------------------------------------------------
 
-LISTED = 512  # positions of a square that move as one list
+LISTED = 512  # positions of a square that a task compares with its tile's
+CORE_TILE = 4  # squares a side of such a tile
+SMALLEST = 1e-7  # of the squares, in degrees; below, rounding moves positions between squares
 
-def _uncrowded_size(spots: DataFrame, size: float, limit: int) -> float:
-    """Square size, divided by four as often as needed, at which no square holds over ``limit`` positions."""
-    for _ in range(20):
-        squares = with_point_key(spots, [F.col("lat"), F.col("lon")], size).groupBy("cell_id", "g0", "g1")
-        fullest = squares.agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-        if fullest is None or fullest <= limit:
-            break
-        size /= 4.0
-    return size
 
+def _sized(spots: DataFrame, k: int) -> DataFrame:
+    """Spots with the size ``s`` of the first squares of their cell and the cell's extent ``side``.
 
-def _settled_by_lists(spots: DataFrame, seekers: DataFrame, size: float, k: int, name: str) -> DataFrame:
-    """(cell_id, lat, lon, core distance) of seekers with ``k`` points in the 3x3 squares around their square.
-
-    Positions move as one list a square, to the nine squares whose seekers look at it; a seeker finds its distance
-    in the lists of its own row, so pairs are neither shuffled nor sorted.  For squares of bounded lists.
+    Squares follow the density of their cell: were its positions spread evenly over their box, or along a line, a
+    circle of radius ``s`` would hold 2.4 ``k`` of them.  Where a square holds over 16 ``k`` positions, all squares of
+    the cell are divided by four, as often as needed.
     """
-    home = ["cell_id", "g0", "g1"]
-    axes = [F.col("lat"), F.col("lon")]
-    seekers = with_point_key(seekers, axes, size).groupBy(*home).agg(F.collect_list(F.struct("lat", "lon")).alias("seekers"))
-    lists = with_point_key(spots, axes, size).groupBy(*home).agg(F.collect_list(F.struct("lat", "lon", "n")).alias("hosts"))
-    for axis in ("g0", "g1"):
-        lists = lists.withColumn(axis, F.explode(F.sequence(F.col(axis) - 1, F.col(axis) + 1)))
-    lists = lists.join(seekers.select(*home), home, "left_semi")
-    blocks = lists.groupBy(*home).agg(F.flatten(F.collect_list("hosts")).alias("hosts")).join(seekers, home)
-    rows = blocks.select("cell_id", F.explode("seekers").alias("at"), "hosts").select("cell_id", "at.lat", "at.lon", "hosts")
-    gaps = F.transform(
-        "hosts", lambda h: F.struct(distance([F.col("lat"), F.col("lon")], [h["lat"], h["lon"]]).alias("gap"), h["n"].alias("n"))
+    height, width = F.max("lat") - F.min("lat"), F.max("lon") - F.min("lon")
+    cells = spots.groupBy("cell_id").agg(
+        F.sum("n").alias("cell_n"),
+        F.count(F.lit(1)).cast("double").alias("spots_n"),
+        (height * width).alias("area"),
+        F.greatest(height, width).alias("side"),
+    )
+    even = F.sqrt(F.col("area") * F.lit(2.4 * k / math.pi) / F.col("spots_n"))
+    lined = F.col("side") * F.lit(1.2 * k) / F.col("spots_n")
+    cells = cells.where(F.col("cell_n") >= k).select(
+        "cell_id", "side", F.greatest(even, lined, F.lit(SMALLEST)).alias("s")
     )
+    cells = cut_lineage(cells)
+    sized = salted_join(spots, cells, ["cell_id"], spread_by=["lat", "lon"])
+    for _ in range(20):
+        squares = with_point_key(sized, [F.col("lat"), F.col("lon")], F.col("s")).groupBy("cell_id", "s", "g0", "g1")
+        fullest = squares.agg(F.count(F.lit(1)).alias("_n")).groupBy("cell_id", "s").agg(F.max("_n").alias("_n"))
+        crowded = cut_lineage(fullest.where((F.col("_n") > 16 * k) & (F.col("s") > SMALLEST)).select("cell_id", "_n"))
+        if crowded.isEmpty():
+            break
+        smaller = F.when(F.col("_n").isNotNull(), F.greatest(F.col("s") / 4.0, F.lit(SMALLEST))).otherwise(F.col("s"))
+        cells = cut_lineage(cells.join(crowded, "cell_id", "left").withColumn("s", smaller).drop("_n"))
+        sized = salted_join(spots, cells, ["cell_id"], spread_by=["lat", "lon"])
+    return cut_lineage(sized)
+
 
-    def add(state: Column, h: Column) -> Column:
-        upto = state["upto"] + h["n"]
-        last = F.when((state["upto"] < k) & (upto >= k), h["gap"]).otherwise(state["gap"])
-        return F.struct(upto.alias("upto"), last.alias("gap"))
+def _with_sides(squares: DataFrame) -> DataFrame:
+    """Squares (g0, g1) and the eight around each."""
+    for axis in ("g0", "g1"):
+        squares = squares.withColumn(axis, F.explode(F.sequence(F.col(axis) - 1, F.col(axis) + 1)))
+    return squares
 
-    # k positions always hold at least k points, so the k nearest positions suffice.
-    start = F.struct(F.lit(0).cast("bigint").alias("upto"), F.lit(None).cast("double").alias("gap"))
-    kth = F.aggregate(F.slice(F.sort_array(gaps), 1, k), start, add)["gap"]
-    # Taken out of an array, so that a filter on the distance doesn't compute it again.
-    found = rows.select("cell_id", "lat", "lon", F.explode_outer(F.array(kth)).alias(name))
-    return found.where(F.col(name).isNotNull())
 
+def _settled_by_tiles(spots: DataFrame, seekers: DataFrame | None, k: int, name: str) -> DataFrame:
+    """(cell_id, lat, lon, s, side, core distance) of seekers with ``k`` points in the squares around their square.
 
-def _settled_by_pairs(spots: DataFrame, seekers: DataFrame, size: float, k: int, name: str) -> DataFrame:
+    Positions move to their tile of ``CORE_TILE`` x ``CORE_TILE`` squares and, near its border, to the tiles beside it;
+    a task compares the positions of one tile at a time, so pairs are neither shuffled nor sorted by Spark.  For
+    squares of bounded numbers of positions.  Without ``seekers``, all spots below ``k`` points seek.
+    """
+    at, tile = ["cell_id", "lat", "lon"], ["cell_id", "t0", "t1"]
+    if seekers is None:
+        rows = spots.withColumn("seeks", F.col("n") < k)
+    else:
+        rows = spots.join(seekers.select(*at, F.lit(True).alias("seeks")), at, "left").fillna(False, ["seeks"])
+    rows = with_point_key(rows, [F.col("lat"), F.col("lon")], F.col("s"))
+    for i in (0, 1):
+        low, own, high = (F.floor((F.col(f"g{i}") + step) / CORE_TILE) for step in (-1, 0, 1))
+        rows = rows.withColumn(f"t{i}", F.explode(F.sequence(low, high)))
+        rows = rows.withColumn("seeks", F.col("seeks") & (F.col(f"t{i}") == own))
+    placed = rows.repartition(*tile).sortWithinPartitions(*tile)
+    wide = [F.col(c).cast("double").alias(f"w_{c}") for c in ("lat", "lon")]
+    placed = placed.select(*tile, "lat", "lon", *wide, "n", "s", "side", "seeks")
+    schema = ", ".join(f"{c} {placed.schema[c].dataType.simpleString()}" for c in (*at, "s", "side"))
+    return placed.mapInArrow(_kth_gaps(k), f"{schema}, gap double").withColumnRenamed("gap", name)
+
+
+def _kth_gaps(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Task on rows in order of tiles: smallest distances within which a tile's positions count ``k`` or more."""
+
+    def kth(y: np.ndarray, x: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        dy, dx = y[at][:, None] - y[None, :], x[at][:, None] - x[None, :]
+        gap = np.sqrt(dx * dx + dy * dy)
+        # k positions always hold at least k points, so the k nearest positions suffice.
+        if len(n) > k:
+            nearest = np.argpartition(gap, k - 1, axis=1)[:, :k]
+            gap, n = np.take_along_axis(gap, nearest, 1), n[nearest]
+        else:
+            n = np.broadcast_to(n, gap.shape)
+        order = np.argsort(gap, axis=1)
+        upto = np.cumsum(np.take_along_axis(n, order, 1), axis=1)
+        last = np.take_along_axis(order, (upto >= k).argmax(axis=1)[:, None], 1)
+        return np.where(upto[:, -1] >= k, np.take_along_axis(gap, last, 1)[:, 0], np.nan)
+
+    def settle(rows: pa.RecordBatch, bounds: list[int]) -> pa.RecordBatch:
+        y, x, n = (rows.column(c).to_numpy() for c in ("w_lat", "w_lon", "n"))
+        seeks = rows.column("seeks").to_numpy(zero_copy_only=False)
+        gaps = np.full(len(n), np.nan)
+        for begin, end in zip(bounds, bounds[1:]):
+            seekers = np.flatnonzero(seeks[begin:end])
+            step = max(1, 100_000 // (end - begin))
+            for i in range(0, len(seekers), step):
+                at = seekers[i : i + step]
+                gaps[begin + at] = kth(y[begin:end], x[begin:end], at, n[begin:end])
+        out = [rows.column(c) for c in ("cell_id", "lat", "lon", "s", "side")]
+        out = pa.RecordBatch.from_arrays([*out, pa.array(gaps)], ["cell_id", "lat", "lon", "s", "side", "gap"])
+        return out.filter(pa.array(~np.isnan(gaps)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            rows = batch if held is None else pa.concat_batches([held, batch])
+            new = np.zeros(rows.num_rows - 1, bool)
+            for c in ("cell_id", "t0", "t1"):
+                column = rows.column(c)
+                new |= pc.not_equal(column.slice(1), column.slice(0, len(new))).to_numpy(zero_copy_only=False)
+            bounds = [0, *(np.flatnonzero(new) + 1).tolist()]
+            held = rows.slice(bounds[-1])
+            if len(bounds) > 1:
+                yield settle(rows.slice(0, bounds[-1]), bounds)
+        if held is not None:
+            yield settle(held, [0, held.num_rows])
+
+    return run
+
+
+def _settled_by_pairs(spots: DataFrame, seekers: DataFrame, k: int, name: str) -> DataFrame:
     """The same with a row for each pair, for squares of any number of positions."""
-    hosts = with_point_key(
-        spots.select("cell_id", F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"), "n"),
-        [F.col("b_lat"), F.col("b_lon")],
-        size,
-    )
-    lows, highs = ([F.col(c) + F.lit(step) for c in ("lat", "lon")] for step in (-size, size))
-    seekers = with_box_keys(seekers, lows, highs, size)
-    gap = distance([F.col("lat"), F.col("lon")], [F.col("b_lat"), F.col("b_lon")])
+    axes = [F.col("b_lat"), F.col("b_lon")]
+    hosts = spots.select("cell_id", F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"), "n", "s")
+    hosts = with_point_key(hosts, axes, F.col("s")).drop("s")
+    lows, highs = ([F.col(c) + step for c in ("lat", "lon")] for step in (-F.col("s"), F.col("s")))
+    seekers = with_box_keys(seekers, lows, highs, F.col("s"))
+    gap = distance([F.col("lat"), F.col("lon")], axes)
     pairs = salted_join(hosts, seekers, ["cell_id", "g0", "g1"], spread_by=["b_lat", "b_lon"])
     near = top_per_key(
         pairs.withColumn("gap", gap),
@@ -178,7 +257,48 @@ def _settled_by_pairs(spots: DataFrame, seekers: DataFrame, size: float, k: int,
     )
     w = Window.partitionBy("cell_id", "lat", "lon").orderBy("at")
     reached = near.withColumn("upto", F.sum("n").over(w)).where(F.col("upto") >= k)
-    return reached.groupBy("cell_id", "lat", "lon").agg(F.min("gap").alias(name))
+    return reached.groupBy("cell_id", "lat", "lon", "s", "side").agg(F.min("gap").alias(name))
+
+
+def _core_of_spots(spots: DataFrame, k: int, name: str) -> DataFrame:
+    """(cell_id, lat, lon, core distance) of positions with weights ``n``, where there is a distance."""
+    home = ["cell_id", "g0", "g1"]
+    at = ["cell_id", "lat", "lon"]
+    axes = [F.col("lat"), F.col("lon")]
+    located = [F.abs(F.col(c).cast("double")) < F.lit(float("inf")) for c in ("lat", "lon")]
+    placed = spots.where(located[0] & located[1]).select(*at, "n")
+    found = placed.where(F.col("n") >= k).select(*at, F.lit(0.0).alias(name))
+    spots = _sized(placed, k)
+    open_spots = spots.where(F.col("n") < k).drop("n")
+    first = True
+    while not open_spots.isEmpty():
+        hosts = spots
+        if not first:  # few are left, which look at few squares
+            sights = _with_sides(with_point_key(open_spots, axes, F.col("s")).select(*home).distinct()).distinct()
+            hosts = cut_lineage(with_point_key(spots, axes, F.col("s")).join(sights, home, "left_semi").drop("g0", "g1"))
+        squares = with_point_key(hosts, axes, F.col("s")).groupBy(*home)
+        crowded = squares.agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max(LISTED, 16 * k)).drop("_n")
+        crowded = cut_lineage(crowded)
+        if crowded.isEmpty():
+            reached = _settled_by_tiles(hosts, None if first else open_spots, k, name)
+        else:
+            crowded = _with_sides(crowded).distinct()
+            keyed = with_point_key(open_spots, axes, F.col("s"))
+            beside = cut_lineage(keyed.join(crowded, home, "left_semi").drop("g0", "g1"))
+            quiet = cut_lineage(keyed.join(crowded, home, "left_anti"))
+            sights = _with_sides(quiet.select(*home).distinct()).distinct()
+            near = with_point_key(hosts, axes, F.col("s")).join(sights, home, "left_semi")
+            reached = _settled_by_tiles(near.drop("g0", "g1"), quiet, k, name)
+            reached = reached.unionByName(_settled_by_pairs(hosts, beside, k, name))
+        # The squares' borders are rounded; a distance that close to the size is left to the next round.
+        final = (F.col(name) <= F.col("s") * (1.0 - 1e-6)) | (F.col("s") >= F.col("side"))
+        reached = cut_lineage(reached.where(final).select(*at, name))
+        found = found.unionByName(reached)
+        open_spots = open_spots.join(reached.drop(name), at, "left_anti")
+        open_spots = cut_lineage(open_spots.withColumn("s", F.col("s") * 4.0))
+        spots = spots.withColumn("s", F.col("s") * 4.0)
+        first = False
+    return found
 
 
 def core_distance(points: DataFrame, k: int = K.CLUSTER_MIN_POINTS, name: str = "core_km_deg") -> DataFrame:
@@ -187,58 +307,82 @@ def core_distance(points: DataFrame, k: int = K.CLUSTER_MIN_POINTS, name: str =
     Equal positions count with their weight.  The search looks at the 3x3 squares
     around a position; when the k-th neighbour is no farther than the border of
     that block it is final, otherwise the position goes on to squares four times
-    as large.  The first squares are small enough for the most crowded spot, so
-    crowds are settled before squares grow, and only positions that look at a square of more than
+    as large.  The first squares follow the density of the cell, so that most positions are settled at once, and
+    are small enough for its most crowded spot, so
+    crowds are settled before squares grow; only positions that look at a square of more than
     ``LISTED`` positions in a later round are joined pair by pair.  Cells with fewer than ``k`` points,
-    and points without coordinates, have no core distance (NULL).
+    and points without finite coordinates, have no core distance (NULL).
     """
     spots = cut_lineage(points.groupBy("cell_id", "lat", "lon").agg(F.count(F.lit(1)).alias("n")))
-    counted = F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.col("n")).otherwise(0)
-    sizes = spots.groupBy("cell_id").agg(F.sum(counted).alias("cell_n"))
-    extent = spots.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.greatest(F.max("lat") - F.min("lat"), F.max("lon") - F.min("lon")).alias("side"),
-    ).first()
-    side = max(extent["side"] or 0.0, 1e-6)
-    size = _uncrowded_size(spots, side * (k / (9.0 * max(extent["n"], 1))) ** 0.5 * 4.0, 16 * k)
-    found = spots.where((F.col("n") >= k) & F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    found = found.select("cell_id", "lat", "lon", F.lit(0.0).alias(name))
-    small = sizes.where(F.col("cell_n") < k).select("cell_id")
-    placed = spots.where((F.col("n") < k) & F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    open_spots = cut_lineage(placed.join(small, "cell_id", "left_anti").drop("n"))
-    while not open_spots.isEmpty():
-        all_in_reach = size >= side
-        squares = with_point_key(spots, [F.col("lat"), F.col("lon")], size).groupBy("cell_id", "g0", "g1")
-        crowded = squares.agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max(LISTED, 16 * k)).drop("_n")
-        crowded = cut_lineage(crowded)
-        if crowded.isEmpty():
-            reached = _settled_by_lists(spots, open_spots, size, k, name)
-        else:
-            home = ["cell_id", "g0", "g1"]
-            for axis in ("g0", "g1"):
-                crowded = crowded.withColumn(axis, F.explode(F.sequence(F.col(axis) - 1, F.col(axis) + 1)))
-            crowded = crowded.distinct()
-            placed = with_point_key(open_spots, [F.col("lat"), F.col("lon")], size)
-            beside = cut_lineage(placed.join(crowded, home, "left_semi").drop("g0", "g1"))
-            quiet = cut_lineage(placed.join(crowded, home, "left_anti"))
-            looked_at = quiet.select(*home).distinct()
-            for axis in ("g0", "g1"):
-                looked_at = looked_at.withColumn(axis, F.explode(F.sequence(F.col(axis) - 1, F.col(axis) + 1)))
-            near = with_point_key(spots, [F.col("lat"), F.col("lon")], size).join(looked_at.distinct(), home, "left_semi")
-            reached = _settled_by_lists(near.drop("g0", "g1"), quiet.drop("g0", "g1"), size, k, name)
-            reached = reached.unionByName(_settled_by_pairs(spots, beside, size, k, name))
-        if not all_in_reach:
-            reached = reached.where(F.col(name) <= size)
-        reached = cut_lineage(reached)
-        found = found.unionByName(reached)
-        open_spots = cut_lineage(open_spots.join(reached, ["cell_id", "lat", "lon"], "left_anti"))
-        size *= 4.0
+    found = _core_of_spots(spots, k, name)
     return salted_join(points, found, ["cell_id", "lat", "lon"], "left")
 
 
 # ---- connected components ----------------------------------------------------
 
 
+CHUNK = 500_000  # edges that one task contracts at once
+
+
+def _contraction(chunk: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Task that replaces its edges, ``chunk`` by chunk, by edges from each node to the smallest it reaches."""
+
+    def smallest_reached(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+        root = np.arange(n)
+        while True:
+            ra, rb = root[a], root[b]
+            apart = ra != rb
+            if not apart.any():
+                return root
+            a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+            np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+            while not np.array_equal(up := root[root], root):
+                root = up
+
+    def star(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = pa.Table.from_batches(held)
+        src, dst = (pa.concat_arrays(edges.column(c).chunks) for c in ("src", "dst"))
+        nodes = pc.unique(pa.concat_arrays([src, dst]))
+        nodes = nodes.take(pc.sort_indices(nodes))
+        a, b = (pc.index_in(side, nodes).to_numpy(zero_copy_only=False) for side in (src, dst))
+        root = smallest_reached(a, b, len(nodes))
+        far = np.flatnonzero(root != np.arange(len(nodes)))
+        out = [nodes.take(pa.array(far)), nodes.take(pa.array(root[far]))]
+        yield from pa.Table.from_arrays(out, ["src", "dst"]).to_batches(max_chunksize=10_000)
+
+    def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= chunk:
+                yield from star(held)
+                held, rows = [], 0
+        if rows:
+            yield from star(held)
+
+    return contract
+
+
+def near_components(edges: DataFrame, near: Sequence[str]) -> DataFrame:
+    """:func:`connected_components` of edges (src, dst) that mostly stay in one place, given by columns ``near``.
+
+    Tasks contract the edges of their places to stars, whatever links them outside; nodes that appear in one star
+    only, at its rim, wait for their hub's root.  So only nodes on the borders of places go through the rounds.
+    """
+    there = edges.where(F.col("src") != F.col("dst")).repartition(*near).sortWithinPartitions(*near).select("src", "dst")
+    stars = cut_lineage(there.mapInArrow(_contraction(CHUNK), there.schema))
+    uses = stars.select(F.explode(F.array("src", "dst")).alias("src")).groupBy("src").agg(F.count(F.lit(1)).alias("_n"))
+    busy = cut_lineage(uses.where(F.col("_n") > 1).select("src"))
+    links = cut_lineage(stars.join(busy, "src", "left_semi"))
+    rims = stars.join(busy, "src", "left_anti")
+    roots = cut_lineage(connected_components(links))
+    rims = rims.join(roots, rims.dst == roots.node, "left").select("src", "dst", F.coalesce("root", "dst").alias("root"))
+    rims = cut_lineage(rims)
+    hubs = rims.select(F.col("dst").alias("node"), "root").distinct().join(roots, "node", "left_anti")
+    return roots.unionByName(hubs).unionByName(rims.select(F.col("src").alias("node"), "root"))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of an edge list (src, dst); the root is the smallest node.
 
@@ -270,17 +414,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 # ---- C3: density clusters ----------------------------------------------------
 
+TILE = 4  # squares a side, where pairs meet
+PLACE = 64  # squares a side, where links are contracted
+
 
-def _dense_links(spots: DataFrame, dense: DataFrame) -> DataFrame:
-    """Pairs of crowded squares holding two positions within eps of each other.
+def _dense_links(inside: DataFrame) -> DataFrame:
+    """Pairs of crowded squares holding two positions within eps of each other; ``inside`` has their positions.
 
     A pair of boxes is decided when their farthest corners are within reach, when
     two representatives are, or when the boxes are too far apart; undecided boxes
     are quartered and only they go on.  Work therefore follows the borders where
     distances are close to eps, not the number of position pairs.
     """
-    home = ["cell_id", "g0", "g1"]
-    inside = cut_lineage(salted_join(spots, dense.select(*home, "node"), home, spread_by=["lat", "lon"]))
 
     def boxes(source: DataFrame, level: int) -> DataFrame:
         part = F.col("s") / (2.0**level)
@@ -361,16 +506,19 @@ def density_clusters(
 
     Positions are put on squares whose diagonal is ``eps``.  A square with enough
     points is one cluster at once, so position pairs are only formed around
-    sparsely filled squares, which hold fewer than ``min_points`` positions.
+    sparsely filled squares, which hold fewer than ``min_points`` positions.  Pairs meet in tiles of
+    ``TILE`` x ``TILE`` squares, to which the positions within reach of their borders go too, and links are first
+    contracted inside places of ``PLACE`` x ``PLACE`` squares.
     """
+    at = ["cell_id", "lat", "lon"]
+    spots = points.groupBy(*at).agg(F.count(F.lit(1)).alias("n"), F.min("point_id").alias("pid"))
     if eps is None:
-        reach = exact_median(core_distance(points, min_points, "_core"), ["cell_id"], "_core", "eps")
+        spots = cut_lineage(spots)
+        core = salted_join(spots, _core_of_spots(spots, min_points, "_core"), at).select("cell_id", "_core", "n")
+        reach = exact_median(core, ["cell_id"], "_core", "eps", weight="n")
     else:
         reach = points.select("cell_id").distinct().withColumn("eps", F.lit(float(eps)))
     home = ["cell_id", "g0", "g1"]
-    spots = points.groupBy("cell_id", "lat", "lon").agg(
-        F.count(F.lit(1)).alias("n"), F.min("point_id").alias("pid")
-    )
     spots = spots.join(reach, "cell_id")
     spots = spots.withColumn("eps", F.greatest("eps", F.lit(1e-9)))
     spots = spots.withColumn("s", F.col("eps") * (0.5**0.5 * (1.0 - 1e-9)))
@@ -383,30 +531,35 @@ def density_clusters(
     marked = cut_lineage(salted_join(spots, squares, home, spread_by=["lat", "lon"]))
     is_dense = F.col("square_n") >= min_points
 
-    # Sparse positions against everything within eps of them.
-    loose = marked.where(~is_dense).select("cell_id", "s", F.col("lat").alias("y"), F.col("lon").alias("x"), "eps", "pid")
-    loose = loose.withColumnRenamed("pid", "a")
-    lows = [F.col("y") - F.col("eps"), F.col("x") - F.col("eps")]
-    highs = [F.col("y") + F.col("eps"), F.col("x") + F.col("eps")]
-    loose = with_box_keys(loose, lows, highs, F.col("s"))
+    def part(size: int) -> dict[str, Column]:
+        return {"t0": F.floor(F.col("g0") / size), "t1": F.floor(F.col("g1") / size)}
+
+    # Sparse positions against everything within eps of them; eps is less than two squares.
+    tile = ["cell_id", "t0", "t1"]
+    loose = marked.where(~is_dense).withColumns(part(TILE))
+    loose = loose.select(*tile, "g0", "g1", F.col("lat").alias("y"), F.col("lon").alias("x"), "eps", F.col("pid").alias("a"))
     around = marked.select(*home, "lat", "lon", "n", F.col("pid").alias("b"), "node", is_dense.alias("dense"))
-    near = salted_join(around, loose, home, spread_by=["lat", "lon"])
+    for i in (0, 1):
+        low, high = (F.floor((F.col(f"g{i}") + step) / TILE) for step in (-2, 2))
+        around = around.withColumn(f"t{i}", F.explode(F.sequence(low, high)))
+    near = salted_join(around.drop("g0", "g1"), loose, tile, spread_by=["lat", "lon"])
     near = near.where(distance([F.col("y"), F.col("x")], [F.col("lat"), F.col("lon")]) <= F.col("eps"))
-    near = cut_lineage(near.select("a", "b", "n", "node", "dense"))
+    near = cut_lineage(near.withColumns(part(PLACE)).select(*tile, "a", "b", "n", "node", "dense"))
     loose_core = near.groupBy("a").agg(F.sum("n").alias("reached")).where(F.col("reached") >= min_points).select("a")
     loose_core = cut_lineage(loose_core)
 
     # Nodes: crowded squares and loose core positions, named by their smallest core point.
-    core_b = near.join(loose_core.select(F.col("a").alias("b")), "b", "left_semi").where(~F.col("dense"))
-    to_core = near.where("dense").select("a", F.col("node").alias("core"))
-    to_core = cut_lineage(to_core.unionByName(core_b.select("a", F.col("b").alias("core"))).distinct())
-    edges = to_core.join(loose_core, "a", "left_semi").select(F.col("a").alias("src"), F.col("core").alias("dst"))
-    edges = edges.unionByName(_dense_links(spots, dense))
-    roots = cut_lineage(connected_components(edges))
+    core_b = near.where(~F.col("dense")).join(loose_core.select(F.col("a").alias("b")), "b", "left_semi")
+    to_core = near.where("dense").select(*tile, "a", F.col("node").alias("core")).distinct()
+    to_core = cut_lineage(to_core.unionByName(core_b.select(*tile, "a", F.col("b").alias("core"))))
+    edges = to_core.join(loose_core, "a", "left_semi").select(F.col("a").alias("src"), F.col("core").alias("dst"), *tile)
+    places = dense.withColumns(part(PLACE)).select(F.col("node").alias("src"), *tile)
+    edges = edges.unionByName(_dense_links(marked.where(is_dense)).join(places, "src"))
+    roots = cut_lineage(near_components(edges, tile))
     nodes = dense.select("node").unionByName(loose_core.select(F.col("a").alias("node")))
     nodes = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
-    border = to_core.join(loose_core, "a", "left_anti").withColumnRenamed("core", "node")
+    border = to_core.join(loose_core, "a", "left_anti").select("a", F.col("core").alias("node"))
     border = border.join(nodes, "node").groupBy("a").agg(F.min("root").alias("root"))
     loose_roots = border.unionByName(
         loose_core.withColumnRenamed("a", "node").join(nodes, "node").select(F.col("node").alias("a"), "root")

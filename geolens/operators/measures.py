@@ -64,14 +64,17 @@ def prototype_embeddings(prototypes: DataFrame, members: DataFrame, dim: int) ->
     return every.select(*keys, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("embedding", zero).alias("embedding"))
 
 
-def exact_median(df: DataFrame, by: Sequence[str], value: str, name: str = "median") -> DataFrame:
-    """Exact median per group without gathering a group.
+def exact_median(
+    df: DataFrame, by: Sequence[str], value: str, name: str = "median", weight: str | None = None
+) -> DataFrame:
+    """Exact median per group without gathering a group; a row counts ``weight`` times, or once.
 
     Equal values are counted first; running counts over the ordered values then
     show which values cover the middle positions.
     """
     by = list(by)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value)
+    counts = counts.agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_n"))
     summed = running_total(counts, by, [F.col(value)], F.col("_n"), "_cum")
     if by:
         placed = summed.join(summed.groupBy(*by).agg(F.sum("_n").alias("_size")), by)

@@ -220,3 +220,52 @@ def test_split_cells_are_clustered_again(spark):
     clustered = spark.createDataFrame(rows, "point_id long, cell_id long, cluster_id long, lat double, lon double")
     got = {r["point_id"]: (r["cell_id"], r["cluster_id"]) for r in geocells.split_and_cluster(clustered, eps=0.1).collect()}
     assert got == {i: ("1_0", int(i >= 40)) if i < 80 else ("1", 1) if i < 90 else ("2", 3) for i in range(110)}
+
+
+def test_density_clusters_sends_a_position_to_few_tiles_and_contracts_links(spark):
+    rng = random.Random(6)
+    points = frame(spark, [(i, 1, rng.random() * 50, rng.random() * 50) for i in range(4000)])
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def written():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(None, False, False, getattr(store, "stageList$default$4")(), getattr(store, "stageList$default$5")())
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+    before = written()
+    geocells.density_clusters(points).collect()
+    assert sum(n for stage, n in written().items() if stage not in before) < 30 * 4000
+
+
+@pytest.mark.parametrize("chunk", [3, 500_000])
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_components_contracted_by_place(spark, monkeypatch, chunk, kind):
+    monkeypatch.setattr(geocells, "CHUNK", chunk)
+    edges = [(i, i + 1) for i in range(100, 164)] + [(107, i) for i in range(110, 130)] + [(900, 800), (800, 901), (500, 501)]
+    edges += [(300 + i, 300 + i // 2) for i in range(1, 40)] + [(700, 700)]
+    random.Random(2).shuffle(edges)
+    rows = [(a, b, a // 10) for a, b in edges]
+    typed = spark.createDataFrame(rows, "src long, dst long, place long")
+    typed = typed.withColumns({c: F.col(c).cast(kind) for c in ("src", "dst")})
+    got = [(int(r["node"]), int(r["root"])) for r in geocells.near_components(typed, ["place"]).collect()]
+    want = {i: 100 for i in range(100, 165)} | {i: 300 for i in range(300, 340)} | {800: 800, 900: 800, 901: 800, 500: 500, 501: 500}
+    assert len(got) == len(want) and dict(got) == want
+
+
+def test_core_distance_in_cells_of_unlike_density_and_shape(spark):
+    rng = random.Random(8)
+    points = [(i, 1, rng.random() * 50, rng.random() * 90) for i in range(150)]
+    points += [(1000 + i, 2, 7 + rng.random() * 1e-3, 8 + rng.random() * 1e-3) for i in range(150)]
+    points += [(2000 + i, 3, i * 0.5, 4.0) for i in range(100)] + [(3000 + i, 4, 1.0, 1.0 + i * 1e-9) for i in range(12)]
+    points += [(4000 + i, 5, 2.0, 2.0) for i in range(4)] + [(4010, 5, 60.0, 80.0)]
+    got = {r["point_id"]: r["core"] for r in geocells.core_distance(frame(spark, points), 5, "core").collect()}
+    for p in points:
+        assert got[p[0]] == pytest.approx(sorted(gap(p, q) for q in points if q[1] == p[1])[4], rel=1e-12, abs=0)
+
+
+def test_core_distance_without_finite_coordinates(spark):
+    nan, inf = float("nan"), float("inf")
+    points = [(i, 1, float(i), 2.0) for i in range(6)]
+    lost = [(100, 1, nan, 2.0), (101, 1, 1.0, -inf), (102, 1, nan, nan)] + [(200 + i, 2, nan, 1.0) for i in range(6)]
+    got = {r["point_id"]: r["core"] for r in geocells.core_distance(frame(spark, points + lost), 5, "core").collect()}
+    assert got == {0: 4.0, 1: 3.0, 2: 2.0, 3: 2.0, 4: 3.0, 5: 4.0} | {p[0]: None for p in lost}
