@@ -146,11 +146,13 @@ def assign_admin_cell(
 def cell_neighbours(cells: DataFrame, size: float = 8.0) -> DataFrame:
     """Pairs of cells of one country whose shapes meet, in both directions.
 
-    Each cell is clipped to squares, so a pair is settled by the edges of the squares it shares.
+    Boxes, diamonds and other octagons meet where their extents do.  Any other cell is clipped to squares, so a pair
+    is settled by the edges of the squares it shares.
     """
     pairs = meeting_pairs(cells, "country_id", "cell_id", size)
-    back = pairs.select("country_id", F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return pairs.unionByName(back)
+    src, dst, back = F.col("src"), F.col("dst"), F.col("_back")
+    both = pairs.withColumn("_back", F.explode(F.array(F.lit(False), F.lit(True))))
+    return both.select("country_id", F.when(back, dst).otherwise(src).alias("src"), F.when(back, src).otherwise(dst).alias("dst"))
 
 
 def nearest_centroid(

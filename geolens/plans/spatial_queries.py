@@ -10,7 +10,7 @@ from geolens.functions.geometry import box_ring
 from geolens.operators import build, geocells, measures, sampling, spatial, tables
 from geolens.plans.scalar_queries import n4
 from geolens.plans.views import Tables, haversine, oracle, r4
-from geolens.session import cut_lineage, work_path
+from geolens.session import cut_lineage, range_tasks, work_path
 from geolens.sources.text import PROTOTYPE_SCHEMA, read_boundaries, read_prototypes, write_prototypes
 
 QUERIES, ORACLES = {}, {}
@@ -122,7 +122,9 @@ def diamond_neighbours(t: Tables) -> DataFrame:
     x, y, r = F.col("lon"), F.col("lat"), F.col("r")
     corners = [(x - r, y), (x, y - r), (x + r, y), (x, y + r), (x - r, y)]
     ring = F.array(*[F.struct(a.alias("x"), b.alias("y")) for a, b in corners])
-    cells = t.kites.select(F.col("point_id").alias("cell_id"), "country_id", F.array(ring).alias("rings"))
+    # A table of points is a small file, which few tasks read; outlines are written in many.
+    kites = t.kites.repartition(range_tasks(t.spark), "point_id")
+    cells = kites.select(F.col("point_id").alias("cell_id"), "country_id", F.array(ring).alias("rings"))
     return spatial.cell_neighbours(spatial.polygon_table(cells), size=4.0)
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from geolens.operators import clipped, spatial
+from geolens.operators import clipped, octagons, spatial
 
 RINGS = "array<array<struct<x:double,y:double>>>"
 
@@ -94,3 +94,68 @@ def test_no_polygons_and_empty_rings(spark):
     none = polygons_of(spark, [[[]], []])
     assert clipped.clipped_join(points, none, 4.0, True).count() == 0
     assert clipped.clipped_join(points, none.limit(0), 4.0, True, how="left").count() == 1
+
+
+def test_octagons_are_told_from_other_outlines(spark):
+    square = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]
+    diamond = [(-2.1, 0.3), (0.3, -2.1), (2.7, 0.3), (0.3, 2.7), (-2.1, 0.3)]
+    yes = [
+        [square], [square[::-1]], [[*square, square[0]]], [diamond], [diamond[::-1]],
+        [[(0.0, 0.0), (2.0, 0.0), (2.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]],
+        [[(0.0, 0.0), (4.0, 0.0), (0.0, 4.0)]], [[(0.0, 0.0), (3.0, 0.0)]], [[(0.0, 0.0), (3.0, 3.0)]],
+        [[(1.0, 0.0), (2.0, 0.0), (3.0, 1.0), (3.0, 2.0), (2.0, 3.0), (1.0, 3.0), (0.0, 2.0), (0.0, 1.0)]],
+    ]
+    no = [
+        [[(-2.0, 0.0), (0.0, -1.0), (2.0, 0.0), (0.0, 1.0)]], [[(0.0, 0.0), (4.0, 0.0), (4.0, 4.001), (0.0, 4.0)]],
+        [[(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (2.0, 4.0), (2.0, 2.0), (0.0, 2.0)]],
+        [[(0.0, 0.0), (2.0, 2.0), (2.0, 0.0), (0.0, 2.0)]], [square, [(1.0, 1.0), (2.0, 1.0), (2.0, 2.0), (1.0, 2.0)]],
+        [square, [(9.0, 9.0), (10.0, 9.0), (10.0, 10.0)]], [[(0.0, 0.0), (2.0, 0.0)], [(5.0, 0.0), (7.0, 0.0)]], [[(1.0, 1.0)]], [[]], [],
+        [[(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (4.0, 6.0), (4.0, 4.0), (0.0, 4.0)]], [[(0.0, 0.0), (4.0, None), (4.0, 4.0), (0.0, 4.0)]],
+        [[*square, *square]],
+    ]
+    got = polygons_of(spark, yes + no).select("name", octagons.is_octagon(F.col("edges")).alias("o")).collect()
+    assert {r["name"]: r["o"] for r in got} == {k: k < len(yes) for k in range(len(yes) + len(no))}
+
+
+def shape(rng):
+    """A box, diamond, half box, octagon, hook or flat diamond on whole numbers."""
+    x, y, r, kind = rng.randint(-12, 12), rng.randint(-12, 12), rng.randint(1, 3), rng.randint(0, 5)
+    corners = [
+        [(0, 0), (r, 0), (r, 2), (0, 2)],
+        [(-r, 0), (0, -r), (r, 0), (0, r)],
+        [(0, 0), (r, 0), (0, r)],
+        [(1, 0), (2, 0), (3, 1), (3, 2), (2, 3), (1, 3), (0, 2), (0, 1)],
+        [(0, 0), (4, 0), (4, 4), (2, 4), (2, 2), (0, 2)],
+        [(-2 * r, 0), (0, -r), (2 * r, 0), (0, r)],
+    ][kind]
+    return [[(float(x + a), float(y + b)) for a, b in corners]]
+
+
+@pytest.mark.parametrize(("crowd", "named"), [(4096, 1), (5, 1), (4096, 3)])
+def test_octagons_meet_as_their_outlines_do(spark, monkeypatch, crowd, named):
+    """Against the edges of all pairs; also in small blocks, and for names of several parts."""
+    monkeypatch.setattr(octagons, "CROWD", crowd)
+    rng = random.Random(crowd + named)
+    cells = polygons_of(spark, [shape(rng) for _ in range(120)]).withColumn("key", F.col("name") % 2)
+    cells = cells.withColumn("name", F.floor(F.col("name") / (2 * named)).cast("string"))
+    pairs = spatial.meeting_pairs(cells, "key", "name", 4.0).collect()
+    got = {(r["key"], *sorted((r["src"], r["dst"]))) for r in pairs}
+    assert len(pairs) == len(got) and all(r["src"] != r["dst"] for r in pairs)
+    monkeypatch.setattr(clipped, "is_octagon", lambda edges: F.lit(False))
+    want = {(r["key"], *sorted((r["src"], r["dst"]))) for r in spatial.meeting_pairs(cells, "key", "name", 4.0).collect()}
+    assert len(want) > 100
+    assert got == want
+
+
+def test_pairs_of_octagons_need_no_edges_and_no_shuffle(spark):
+    """The plan compares numbers and ends with the join; edges and pairs moved before."""
+    rows = [(k, k % 2, float(k * 37 % 101) / 2, float(k * 53 % 103) / 2, 2.0 + k % 5) for k in range(400)]
+    corners = [(-1, 0), (0, -1), (1, 0), (0, 1)]
+    shapes = [(k, key, [[(x + a * r, y + b * r) for a, b in corners]]) for k, key, x, y, r in rows]
+    cells = spatial.polygon_table(spark.createDataFrame(shapes, f"cell_id int, country_id int, rings {RINGS}"))
+    pairs = spatial.cell_neighbours(cells)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "exists(" not in plan and "Aggregate [src" not in plan and "Aggregate [country_id" not in plan.split("Join Inner")[0]
+    got = [(r["country_id"], r["src"], r["dst"]) for r in pairs.collect()]
+    want = {(p[1], p[0], q[0]) for p in rows for q in rows if p[1] == q[1] and p[0] != q[0] and abs(p[2] - q[2]) + abs(p[3] - q[3]) <= p[4] + q[4]}
+    assert len(got) == len(want) and set(got) == want
