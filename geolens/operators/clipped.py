@@ -198,7 +198,7 @@ def _meeting_outlines(cells: DataFrame, key: str, name: str, size: float) -> Dat
     Shapes meet if edges meet, which happens in a square that has both edges, or if one holds a part of the other;
     then a vertex of that part is inside the other one's square.
     """
-    squares, _, side = clip(cells, size, local_edges=None)
+    squares, _, side = clip(_around_outlines(cut_lineage(cells), key, name, size), size, local_edges=None)
     joined = [key, "g0", "g1"]
     a, b = (squares.select(*joined, "_size", *[F.col(c).alias(f"{p}_{c}") for c in (name, "_octagon", "local", "odd")]) for p in "ab")
     once = F.col("b__octagon") | (F.col(f"a_{name}") < F.col(f"b_{name}"))
@@ -219,6 +219,19 @@ def _meeting_outlines(cells: DataFrame, key: str, name: str, size: float) -> Dat
     return both.where(meets).select(key, F.col(f"a_{name}").alias("src"), F.col(f"b_{name}").alias("dst")).distinct()
 
 
+def _around_outlines(cells: DataFrame, key: str, name: str, size: float) -> DataFrame:
+    """Cells that are no octagons, and the octagons that have a square of their boxes in common with one of them."""
+    others, octagons = cells.where(~F.col("_octagon")), cells.where("_octagon")
+
+    def squares(df: DataFrame, *columns: str) -> DataFrame:
+        for i, axis in enumerate("xy"):
+            df = df.withColumn(f"g{i}", F.explode(_squares_of(F.col(f"min_{axis}"), F.col(f"max_{axis}"), size)))
+        return df.select(*columns, key, "g0", "g1").distinct()
+
+    near = squares(octagons, name).join(squares(others), [key, "g0", "g1"], "left_semi").select(key, name).distinct()
+    return others.unionByName(octagons.join(near, [key, name], "left_semi"))
+
+
 def clipped_join(
     points: DataFrame,
     polygons: DataFrame,

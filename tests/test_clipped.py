@@ -159,3 +159,16 @@ def test_pairs_of_octagons_need_no_edges_and_no_shuffle(spark):
     got = [(r["country_id"], r["src"], r["dst"]) for r in pairs.collect()]
     want = {(p[1], p[0], q[0]) for p in rows for q in rows if p[1] == q[1] and p[0] != q[0] and abs(p[2] - q[2]) + abs(p[3] - q[3]) <= p[4] + q[4]}
     assert len(got) == len(want) and set(got) == want
+
+
+def test_octagons_far_from_other_outlines_are_not_clipped(spark, monkeypatch):
+    """One hook among boxes: only what shares a square with it is cut."""
+    boxes = [[[(x + a, y + b) for a, b in ((0.0, 0.0), (5.0, 0.0), (5.0, 5.0), (0.0, 5.0))]] for x in range(0, 100, 5) for y in range(0, 50, 5)]
+    hook = [[(11.0, 11.0), (13.0, 11.0), (13.0, 13.0), (12.0, 13.0), (12.0, 12.0), (11.0, 12.0)]]
+    cells = polygons_of(spark, [*boxes, hook]).withColumn("key", F.lit(1))
+    seen, clip = [], clipped.clip
+    monkeypatch.setattr(clipped, "clip", lambda df, *a, **k: seen.append(df.count()) or clip(df, *a, **k))
+    got = {tuple(sorted((r["src"], r["dst"]))) for r in spatial.meeting_pairs(cells, "key", "name", 4.0).collect()}
+    assert len(seen) == 1 and 2 <= seen[0] < 30
+    assert {p for p in got if p[1] == len(boxes)} == {(22, len(boxes))}
+    assert len(got) == 19 * 10 + 20 * 9 + 2 * 19 * 9 + 1
